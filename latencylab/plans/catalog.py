@@ -7,6 +7,7 @@ columns to 6 decimals so results compare across engines.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +33,14 @@ _TABLES: dict = {}
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """Tables of a data folder; the derived tables are written once to the store
+    (set LATENCYLAB_STORE=0 to plan everything from the raw tables instead)."""
     key = (id(spark), sf_dir)
     if key not in _TABLES:
-        _TABLES[key] = Tables(spark, sf_dir)
+        t = Tables(spark, sf_dir)
+        if os.environ.get("LATENCYLAB_STORE", "1") != "0":
+            t.materialize()
+        _TABLES[key] = t
     return _TABLES[key]
 
 

@@ -16,7 +16,8 @@ table; nothing is collected.
 
 from __future__ import annotations
 
-from functools import cached_property
+import hashlib
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,41 @@ RUN_KEYS = ["framework", "scenario", "iteration"]
 # Block width of the source-id order for the per-run event numbering.
 SEQ_BLOCK = 1_000_000
 
+# Stored tables in build order, with the layout columns (range partitioning and
+# in-file sort: parquet min/max statistics then skip row groups on run_id / time,
+# and a hot run spreads over several files).
+STORE_LAYOUT = [
+    ("fx_seq", ("run_id", "event_id")),
+    ("transactions", ("run_id", "event_id")),
+    ("fx_kept", ("run_id", "event_id")),
+    ("processed_events_all", ("run_id", "collected_at_ms")),
+    ("runs", ("run_id",)),
+    ("run_metadata", ("run_id",)),
+    ("fault_events", ("run_id", "timestamp_ms")),
+    ("resource_samples", ("run_id", "timestamp_ms")),
+    ("starts_all", ("run_id",)),
+    ("processed_event_buckets", ("run_id", "bucket_offset_ms")),
+    ("processed_run_summaries", ("run_id",)),
+    ("processed_events", ("run_id", "collected_at_ms")),
+    ("resource_usage_buckets", ("run_id", "bucket_offset_ms")),
+]
+
+
+def stored(fn):
+    """Accessor: the written table once the store is built, else the lazy plan."""
+    name = fn.__name__
+
+    def get(self):
+        if name in self._built:
+            return self.spark.read.parquet(self._store_path(name))
+        if name not in self._plans:
+            self._plans[name] = fn(self)
+        return self._plans[name]
+
+    get.__name__ = name
+    get.__doc__ = fn.__doc__
+    return property(get)
+
 
 class Tables:
     """Lazily derived tables for one data directory."""
@@ -44,12 +80,54 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._built: set[str] = set()
+        self._plans: dict[str, DataFrame] = {}
+        self._store_root: str | None = None
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    # -- the store --------------------------------------------------------------
+    def _store_path(self, name: str) -> str:
+        return f"{self._store_root}/{name}"
+
+    def _source_key(self) -> str:
+        """Identity of the input: path plus size and mtime of the events file when local."""
+        ident = self.sf_dir
+        local = os.path.join(self.sf_dir, "events.parquet")
+        if os.path.exists(local):
+            st = os.stat(local)
+            ident += f":{st.st_size}:{st.st_mtime_ns}"
+        return hashlib.sha1(ident.encode()).hexdigest()[:16]
+
+    def _exists(self, path: str) -> bool:
+        jvm = self.spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+
+    def materialize(self, root: str | None = None) -> "Tables":
+        """Write the derived and stored tables once under the shared checkpoint
+        folder (``spark.checkpoint.dir``) and read them from there afterwards.
+        A table already written for the same input is reused."""
+        if self._store_root is not None and len(self._built) == len(STORE_LAYOUT):
+            return self
+        from latencylab.session import scratch_path
+
+        self._store_root = root or scratch_path(self.spark, f"latencylab-store/{self._source_key()}")
+        self._plans.clear()
+        for name, layout in STORE_LAYOUT:
+            path = self._store_path(name)
+            if not self._exists(path):
+                df = getattr(self, name)
+                cols = list(layout)
+                (df.repartitionByRange(*cols).sortWithinPartitions(*cols)
+                 .write.mode("overwrite").parquet(path))
+            self._built.add(name)
+            self._plans.pop(name, None)
+        return self
+
     # -- source mapping -------------------------------------------------------
-    @cached_property
+    @property
     def fx_base(self) -> DataFrame:
         ev = self.read("events")
         u = F.col("user_id")
@@ -65,7 +143,7 @@ class Tables:
             F.lpad((F.floor(u / 10).cast("long") % 5 + 1).cast("string"), 2, "0").alias("iteration"),
         )
 
-    @cached_property
+    @stored
     def fx_seq(self) -> DataFrame:
         b = self.fx_base.withColumn("run_id", F.concat_ws("_", *RUN_KEYS)).withColumn(
             "sent_at_ms",
@@ -73,7 +151,7 @@ class Tables:
         )
         return sequence_number(b, ["run_id"], ["src_id"], "src_id", SEQ_BLOCK, name="event_id")
 
-    @cached_property
+    @stored
     def transactions(self) -> DataFrame:
         s = self.fx_seq
         eid, src = F.col("event_id"), F.col("src_id")
@@ -92,7 +170,7 @@ class Tables:
             F.floor(eid / 10).cast("long").alias("batch_id"),
         )
 
-    @cached_property
+    @stored
     def fx_kept(self) -> DataFrame:
         s = self.fx_seq.where(F.col("event_id") % 97 != 0)
         delay = F.floor(F.col("value") * 10).cast("long")
@@ -103,20 +181,20 @@ class Tables:
             F.when(F.col("event_id") % 113 != 0, delay.cast("double")).alias("latency_ms"),
         )
 
-    @cached_property
+    @stored
     def processed_events_all(self) -> DataFrame:
         """Every collected record of every run (ids lost every 97th, duplicated every 89th)."""
         k = self.fx_kept
         dup = k.where(F.col("event_id") % 89 == 0).withColumn("collected_at_ms", F.col("collected_at_ms") + 50)
         return k.unionByName(dup)
 
-    @cached_property
+    @stored
     def runs(self) -> DataFrame:
         return self.fx_seq.groupBy("run_id", *RUN_KEYS).agg(
             F.min("sent_at_ms").alias("run_start_ms"), F.max("sent_at_ms").alias("run_end_ms")
         )
 
-    @cached_property
+    @stored
     def run_metadata(self) -> DataFrame:
         sc = F.col("scenario")
         return self.runs.where(F.col("iteration") != "05").select(
@@ -131,7 +209,7 @@ class Tables:
             F.lit(None).cast("int").alias("fault_count"),
         )
 
-    @cached_property
+    @stored
     def fault_events(self) -> DataFrame:
         r = self.runs.where(F.col("scenario").like("fault%"))
         kill = F.col("iteration").isin("01", "03", "05")
@@ -156,7 +234,7 @@ class Tables:
             F.col("p.phase").alias("phase"), F.col("p.timestamp_ms").alias("timestamp_ms"),
         )
 
-    @cached_property
+    @stored
     def resource_samples(self) -> DataFrame:
         steps = (
             self.fx_seq.select("run_id", "framework", "scenario", "iteration", "sent_at_ms")
@@ -185,29 +263,30 @@ class Tables:
         return a.unionByName(b).unionByName(h)
 
     # -- the three stored event sources ---------------------------------------
-    @cached_property
+    @stored
     def starts_all(self) -> DataFrame:
+        """Run start per run (first record seen, back-calculated with eps)."""
         return run_starts(self.processed_events_all, self.run_metadata)
 
     def _rollup_input(self, iterations) -> DataFrame:
         return self.processed_events_all.where(F.col("iteration").isin(*iterations)).drop("iteration")
 
-    @cached_property
+    @stored
     def processed_event_buckets(self) -> DataFrame:
         ev = self._rollup_input(BUCKET_ITERATIONS)
         return bucket_rollup(ev, run_starts(ev, self.run_metadata), 5.0)
 
-    @cached_property
+    @stored
     def processed_run_summaries(self) -> DataFrame:
         ev = self._rollup_input(SUMMARY_ITERATIONS)
         return run_rollup(ev, run_starts(ev, self.run_metadata))
 
-    @cached_property
+    @stored
     def processed_events(self) -> DataFrame:
         """Stored raw rows (runs kept raw only)."""
         return self._rollup_input(RAW_ITERATIONS)
 
-    @cached_property
+    @stored
     def resource_usage_buckets(self) -> DataFrame:
         from latencylab.operators.resources import resource_usage_buckets
 
