@@ -61,7 +61,7 @@ class Store:
     def _overwrite_runs(self, table: str, df: DataFrame) -> None:
         staging = scratch_path(self.spark, f"staging-{table}-{uuid.uuid4().hex}")
         df.write.mode("overwrite").partitionBy("run_id").parquet(staging)
-        staged = self.spark.read.parquet(staging)
+        staged = self.spark.read.schema(df.schema).parquet(staging).select(*df.columns)
         (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("run_id").parquet(self.path(table)))
 
@@ -89,22 +89,27 @@ class Store:
         self._overwrite_runs(table, merged)
 
     def purge(self, run_id: str) -> DataFrame:
-        """Delete a run from every table; returns rows deleted per table."""
-        counts = []
+        """Delete a run from every table; returns rows deleted per table.
+
+        Tables are partitioned by ``run_id``, so a purge counts the run's rows
+        (a partition-pruned read) and deletes its partition folders: a metadata
+        operation, no rewrite of other runs."""
+        jvm = self.spark._jvm
+        conf = self.spark._jsc.hadoopConfiguration()
+        rows = []
+        escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(run_id)
         for table in TABLE_NAMES:
-            df = self.read(table)
+            df = self.read(table, run_id)
             if df is None:
                 continue
-            n = df.where(F.col("run_id") == run_id).groupBy().count().withColumn("table_name", F.lit(table))
-            counts.append(n)
-            keep = df.where(F.col("run_id") != run_id)
-            staging = scratch_path(self.spark, f"purge-{table}-{uuid.uuid4().hex}")
-            keep.write.mode("overwrite").partitionBy("run_id").parquet(staging)
-            self.spark.read.parquet(staging).write.mode("overwrite").partitionBy("run_id").parquet(self.path(table))
-        out = counts[0]
-        for c in counts[1:]:
-            out = out.unionByName(c)
-        return out.select(F.lit(run_id).alias("run_id"), "table_name", F.col("count").alias("deleted_rows"))
+            n = df.count()
+            base = jvm.org.apache.hadoop.fs.Path(self.path(table))
+            fs = base.getFileSystem(conf)
+            for pattern in (f"{self.path(table)}/run_id={escaped}", f"{self.path(table)}/*/run_id={escaped}"):
+                for st in fs.globStatus(jvm.org.apache.hadoop.fs.Path(pattern)) or []:
+                    fs.delete(st.getPath(), True)
+            rows.append((run_id, table, int(n)))
+        return self.spark.createDataFrame(rows, "run_id string, table_name string, deleted_rows long")
 
 
 def _table_frames(t) -> dict[str, DataFrame]:

@@ -64,11 +64,24 @@ def collect_batch(batch: DataFrame, batch_id: int, store: Store, cfg: CollectCon
             .select("run_id", bucket_floor(F.col("collected_at_ms") - F.col("run_start_ms"), width).alias("bucket_offset_ms"))
             .distinct()
         )
-        fresh = bucket_rollup(log, starts, cfg.bucket_seconds).join(touched, ["run_id", "bucket_offset_ms"], "left_semi")
+        rolled = bucket_rollup(log, starts, cfg.bucket_seconds)
         old = store.read("processed_event_buckets")
-        if old is not None:
-            keep = old.join(touched_runs, "run_id", "left_semi").join(touched, ["run_id", "bucket_offset_ms"], "left_anti")
-            fresh = keep.select(*fresh.columns).unionByName(fresh)
+        if old is None:
+            fresh = rolled
+        else:
+            old = old.join(touched_runs, "run_id", "left_semi")
+            # a run whose start moved (an arrival earlier than the first one seen) is rebuilt whole
+            moved = (
+                old.select("run_id", (F.col("bucket_start_ms") - F.col("bucket_offset_ms")).alias("_s")).distinct()
+                .join(starts.select("run_id", "run_start_ms"), "run_id")
+                .where(F.col("_s") != F.col("run_start_ms")).select("run_id").distinct()
+            )
+            fresh = rolled.join(touched, ["run_id", "bucket_offset_ms"], "left_semi").unionByName(
+                rolled.join(moved, "run_id", "left_semi")
+            ).distinct()
+            keep = (old.join(moved, "run_id", "left_anti")
+                    .join(touched, ["run_id", "bucket_offset_ms"], "left_anti"))
+            fresh = keep.select(*rolled.columns).unionByName(fresh)
         store.replace_runs("processed_event_buckets", fresh)
         store.replace_runs("processed_run_summaries", run_rollup(log, starts))
     finally:
