@@ -77,6 +77,11 @@ def run_windows(t, filt: RunFilter | None = None) -> DataFrame:
     )
 
 
+def run_windows_by_start(t, filt: RunFilter | None = None) -> DataFrame:
+    """The same runs ordered by start (the export order)."""
+    return run_windows(t, filt).orderBy("run_start_at_ms")
+
+
 def align_metric_series(series: DataFrame, runs: DataFrame, value: str) -> DataFrame:
     """Series samples inside [run start, last arrival] as offsets from the run start:
     non-finite values dropped, negative offsets clamped to 0, last sample wins per

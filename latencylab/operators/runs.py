@@ -216,6 +216,15 @@ def run_exists(t, candidates: DataFrame) -> DataFrame:
     return flags.withColumn("run_exists", F.col("in_summaries") | F.col("in_buckets") | F.col("in_events"))
 
 
+def run_exists_one(t, run_id: str) -> bool:
+    """Existence check for one run: the first matching row of any event table
+    (``limit(1)`` per table, run filter pushed to the scan)."""
+    for df in (t.processed_run_summaries, t.processed_event_buckets, t.processed_events):
+        if not df.where(F.col("run_id") == F.lit(run_id)).select("run_id").limit(1).isEmpty():
+            return True
+    return False
+
+
 def compose_run_id(framework: Column, scenario: Column, iteration_number: Column) -> Column:
     """framework_scenario_NN with a zero-padded two-digit iteration."""
     return F.concat_ws("_", framework, scenario, F.lpad(iteration_number.cast("string"), 2, "0"))

@@ -97,3 +97,27 @@ def start_collect(stream: DataFrame, store: Store, cfg: CollectConfig, checkpoin
         lambda df, bid: collect_batch(df, bid, store, cfg, metadata, collected_at)
     ).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
+def await_idle(query, idle_seconds: float = 30.0, max_messages: int | None = None, poll_seconds: float = 1.0) -> int:
+    """Bounded collection: stop the query after ``idle_seconds`` without input rows,
+    or once ``max_messages`` rows were read. Reads only ``query.lastProgress``.
+    Returns the number of rows read."""
+    import time
+
+    seen, idle_since, last_batch = 0, time.time(), None
+    while query.isActive:
+        p = query.lastProgress
+        if p and p.get("batchId") != last_batch:
+            last_batch = p.get("batchId")
+            n = int(p.get("numInputRows", 0))
+            seen += n
+            if n > 0:
+                idle_since = time.time()
+        if max_messages is not None and seen >= max_messages:
+            break
+        if time.time() - idle_since >= idle_seconds:
+            break
+        time.sleep(poll_seconds)
+    query.stop()
+    return seen

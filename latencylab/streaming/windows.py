@@ -33,3 +33,10 @@ def window_metrics_stream(values: DataFrame, window: str = "30 seconds", waterma
         "metric_transaction_type", "transaction_count", "total_amount", "fraud_count",
         (F.col("total_amount") / F.col("transaction_count")).alias("avg_amount"),
     )
+
+
+def dedupe_events(values: DataFrame, watermark_delay: str = "10 minutes") -> DataFrame:
+    """Optional: drop re-delivered events (same run and event id) within the
+    watermark. The reference measures duplicates and keeps them; this is opt-in."""
+    ev = parse_events(values, flatten=True).withColumn("event_time", F.timestamp_millis(F.col("sent_at_ms")))
+    return ev.withWatermark("event_time", watermark_delay).dropDuplicatesWithinWatermark(["run_id", "event_id"])
