@@ -42,22 +42,35 @@ SEQ_BLOCK = 1_000_000
 # in-file sort: parquet min/max statistics then skip row groups on run_id / time,
 # and a hot run spreads over several files).
 STORE_LAYOUT = [
-    ("fx_seq", ("run_id", "event_id")),
-    ("transactions", ("run_id", "event_id")),
-    ("fx_kept", ("run_id", "event_id")),
-    ("processed_events_all", ("run_id", "collected_at_ms")),
-    ("runs", ("run_id",)),
-    ("run_metadata", ("run_id",)),
-    ("fault_events", ("run_id", "timestamp_ms")),
-    ("resource_samples", ("run_id", "timestamp_ms")),
-    ("starts_all", ("run_id",)),
-    ("processed_event_buckets", ("run_id", "bucket_offset_ms")),
-    ("processed_run_summaries", ("run_id",)),
-    ("processed_events", ("run_id", "collected_at_ms")),
-    ("resource_usage_buckets", ("run_id", "bucket_offset_ms")),
+    # (name, layout columns, dependency level, grain)
+    ("fx_seq", ("run_id", "event_id"), 0, "event"),
+    ("transactions", ("run_id", "event_id"), 1, "event"),
+    ("fx_kept", ("run_id", "event_id"), 1, "event"),
+    ("runs", ("run_id",), 1, "run"),
+    ("processed_events_all", ("run_id", "collected_at_ms"), 2, "event"),
+    ("run_metadata", ("run_id",), 2, "run"),
+    ("fault_events", ("run_id", "timestamp_ms"), 2, "run"),
+    ("resource_samples", ("run_id", "timestamp_ms"), 2, "event"),
+    ("starts_all", ("run_id",), 3, "run"),
+    ("processed_event_buckets", ("run_id", "bucket_offset_ms"), 3, "event"),
+    ("processed_run_summaries", ("run_id",), 3, "run"),
+    ("processed_events", ("run_id", "collected_at_ms"), 3, "event"),
+    ("resource_usage_buckets", ("run_id", "bucket_offset_ms"), 4, "event"),
 ]
 
 
+def _code_hash() -> str:
+    pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = hashlib.sha1()
+    for sub in ("sources", "operators", "functions"):
+        folder = os.path.join(pkg, sub)
+        for name in sorted(os.listdir(folder)):
+            if name.endswith(".py"):
+                with open(os.path.join(folder, name), "rb") as f:
+                    h.update(name.encode() + f.read())
+    return h.hexdigest()[:12]
+
+
 def stored(fn):
     """Accessor: the written table once the store is built, else the lazy plan."""
     name = fn.__name__
@@ -92,13 +105,15 @@ class Tables:
         return f"{self._store_root}/{name}"
 
     def _source_key(self) -> str:
-        """Identity of the input: path plus size and mtime of the events file when local."""
+        """Identity of the store: the input (path, size and mtime of the events file
+        when local) and the library code that derives the tables, so a stale store
+        is never reused after either changes."""
         ident = self.sf_dir
         local = os.path.join(self.sf_dir, "events.parquet")
         if os.path.exists(local):
             st = os.stat(local)
             ident += f":{st.st_size}:{st.st_mtime_ns}"
-        return hashlib.sha1(ident.encode()).hexdigest()[:16]
+        return hashlib.sha1((ident + ":" + _code_hash()).encode()).hexdigest()[:16]
 
     def _exists(self, path: str) -> bool:
         jvm = self.spark._jvm
@@ -113,17 +128,31 @@ class Tables:
             return self
         from latencylab.session import scratch_path
 
+        from concurrent.futures import ThreadPoolExecutor
+
         self._store_root = root or scratch_path(self.spark, f"latencylab-store/{self._source_key()}")
         self._plans.clear()
-        for name, layout in STORE_LAYOUT:
+
+        def write(entry):
+            name, layout, _, grain = entry
             path = self._store_path(name)
             if not self._exists(path):
                 df = getattr(self, name)
                 cols = list(layout)
-                (df.repartitionByRange(*cols).sortWithinPartitions(*cols)
-                 .write.mode("overwrite").parquet(path))
-            self._built.add(name)
-            self._plans.pop(name, None)
+                # event-grain tables: range-partitioned, so a hot run spans several
+                # files; per-run tables (one row per run or fault-log line) are small
+                # at any event volume: one sorted file
+                df = df.repartitionByRange(*cols) if grain == "event" else df.repartition(1)
+                df.sortWithinPartitions(*cols).write.mode("overwrite").parquet(path)
+            return name
+
+        levels = sorted({lvl for _, _, lvl, _ in STORE_LAYOUT})
+        with ThreadPoolExecutor(max_workers=4) as pool:
+            for lvl in levels:
+                batch = [e for e in STORE_LAYOUT if e[2] == lvl]
+                for name in pool.map(write, batch):  # independent tables of one level run concurrently
+                    self._built.add(name)
+                    self._plans.pop(name, None)
         return self
 
     # -- source mapping -------------------------------------------------------
