@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latencylab.functions.columns import effective_ts, nearest_rank
-from latencylab.operators.scan import neighbour
+from latencylab.operators.scan import auto_block_width, neighbour
 
 # Block width (ms of effective time) for the ordered per-run scans.
 TIME_BLOCK_MS = 60_000
@@ -35,10 +35,12 @@ def timed_records(events: DataFrame, warmup_seconds: float = 0.0) -> DataFrame:
     return rows
 
 
-def gap_series(events: DataFrame, warmup_seconds: float = 0.0, block_ms: int = TIME_BLOCK_MS) -> DataFrame:
-    """Inter-message gaps: one row per consecutive pair of records in a run."""
+def gap_series(events: DataFrame, warmup_seconds: float = 0.0, block_ms=None) -> DataFrame:
+    """Inter-message gaps: one row per consecutive pair of records in a run.
+    Time blocks are sized from the data unless ``block_ms`` is given."""
     rows = timed_records(events, warmup_seconds).select("run_id", "event_id", "ts")
-    nb = neighbour(rows, ["run_id"], ["ts", "event_id"], "ts", block_ms, ["ts", "event_id"], "prev", "prev_")
+    width = auto_block_width(rows, ["run_id"], "ts") if block_ms is None else block_ms
+    nb = neighbour(rows, ["run_id"], ["ts", "event_id"], "ts", width, ["ts", "event_id"], "prev", "prev_")
     return nb.where(F.col("prev_ts").isNotNull()).select(
         "run_id",
         (F.col("ts") - F.col("prev_ts")).alias("gap_ms"),

@@ -11,6 +11,9 @@ is exact; the largest window partition is one block instead of one key.
 Requirements: key columns are non-null (callers coalesce), the block column is
 numeric and non-decreasing in the order, and the order columns give a total order
 within a key when the result depends on it (pass a tiebreak).
+
+``block_size`` is a width in units of the block column, or a Column such as
+``auto_block_width(...)`` that sizes blocks from the data.
 """
 
 from __future__ import annotations
@@ -22,9 +25,31 @@ from pyspark.sql import functions as F
 
 _BLK = "_blk"
 
+# Target rows per block when the width is chosen from the data.
+TARGET_BLOCK_ROWS = 1_000_000
+
+
+def auto_block_width(df: DataFrame, keys, block_col: str, target_rows: int = TARGET_BLOCK_ROWS) -> Column:
+    """Block width from the data, as a scalar subquery (no join, no collect):
+    span of the ordering column x target rows / rows of the largest key. If the
+    largest key is spread evenly over the span, its blocks hold about
+    ``target_rows`` rows; smaller keys hold fewer per block."""
+    per_key = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(block_col).alias("_lo"), F.max(block_col).alias("_hi")
+    )
+    stats = per_key.agg(
+        F.greatest(
+            F.lit(1).cast("long"),
+            F.floor((F.max("_hi") - F.min("_lo") + 1).cast("double") * F.lit(float(target_rows))
+                    / F.max("_n").cast("double")).cast("long"),
+        )
+    )
+    return stats.scalar()
+
 
-def _with_block(df: DataFrame, block_col: str, block_size: int) -> DataFrame:
-    return df.withColumn(_BLK, F.floor(F.col(block_col) / F.lit(block_size)).cast("long"))
+def _with_block(df: DataFrame, block_col: str, block_size) -> DataFrame:
+    width = block_size if isinstance(block_size, Column) else F.lit(block_size)
+    return df.withColumn(_BLK, F.floor(F.col(block_col) / width).cast("long"))
 
 
 def _ordered(order_cols: Sequence) -> list[Column]:

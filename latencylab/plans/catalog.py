@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType
 
 from latencylab.operators import metrics, parse, recovery, resources, rollup, rules, running, runs, series, summary
 from latencylab.operators.output import to_output
-from latencylab.operators.scan import sequence_number
+from latencylab.operators.scan import auto_block_width, sequence_number
 from latencylab.schemas import PAYLOAD_NAMES
 from latencylab.sources.fixtures import Tables
 
@@ -244,7 +244,8 @@ def q_run_groups(spark, sf):
 def q_run_events_scan(spark, sf):
     t = tables(spark, sf)
     ev = runs.keep_run(_all_events(t), None).select("run_id", "event_id", "sent_at_ms", "collected_at_ms", "latency_ms")
-    return sequence_number(ev, ["run_id"], ["collected_at_ms", "event_id"], "collected_at_ms", 60_000,
+    width = auto_block_width(ev, ["run_id"], "collected_at_ms")
+    return sequence_number(ev, ["run_id"], ["collected_at_ms", "event_id"], "collected_at_ms", width,
                            name="arrival_seq")
 
 

@@ -57,3 +57,16 @@ def test_blocked_scan_splits_the_hot_key(spark):
     got = sequence_number(df, ["k"], ["o"], "o", 50, name="seq")
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "_blk" in plan
+
+
+def test_auto_block_width_bounds_the_hot_key(spark):
+    from latencylab.operators.scan import _with_block, auto_block_width
+
+    df = _data(spark)
+    width = auto_block_width(df, ["k"], "o", target_rows=100)
+    b = _with_block(df, "o", width)
+    biggest = b.groupBy("k", "_blk").count().agg(F.max("count")).first()[0]
+    assert biggest <= 200  # the hot key (1000 rows) is split into ~100-row blocks
+    got = sequence_number(df, ["k"], ["o"], "o", width, name="seq")
+    ref = df.withColumn("seq", F.row_number().over(Window.partitionBy("k").orderBy("o")).cast("long"))
+    assert got.exceptAll(ref.select(*got.columns)).count() == 0
