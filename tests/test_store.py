@@ -50,3 +50,24 @@ def test_csv_nan_becomes_null(spark, tmp_dir):
     with open(s, "w") as f:
         f.write("scenario,eps,duration\nlow,50,250\nhigh,400,250\n")
     assert scenario_volume(read_scenarios(spark, s), "high").first().expected_events == 100000
+
+
+def test_read_run_events_falls_back_to_table(spark, tmp_dir):
+    from latencylab.sources.readers import read_run_events
+
+    table = spark.createDataFrame([("a", 1), ("b", 2)], "run_id string, event_id long")
+    assert read_run_events(spark, f"{tmp_dir}/none.jsonl", table, "a").count() == 1
+    p = f"{tmp_dir}/a.jsonl"
+    with open(p, "w") as f:
+        f.write('{"run_id":"a","event_id":7,"collected_at_ms":1}\n')
+    assert read_run_events(spark, p, table, "a").first().event_id == 7
+
+
+def test_run_exists_one(spark):
+    from latencylab.operators.runs import run_exists_one
+    from latencylab.plans.catalog import tables
+    from tests.conftest import SF_SMALL
+
+    t = tables(spark, SF_SMALL)
+    assert run_exists_one(t, "spark_low_01") is True
+    assert run_exists_one(t, "spark_low_99") is False

@@ -165,3 +165,18 @@ def test_keyed_pandas_state(spark, tmp_dir):
                                   empty_is_unknown=True).select("run_id", "event_id", "account_transaction_count")
     assert got.count() == tx.count()
     assert got.exceptAll(ref).count() == 0
+
+
+def test_optional_dedupe_within_watermark(spark, tmp_dir):
+    from latencylab.streaming.windows import dedupe_events
+
+    src = f"{tmp_dir}/d"
+    os.makedirs(src)
+    line = '{"run_id":"r_x_01","event_id":1,"sent_at_ms":1000,"payload":{}}'
+    with open(f"{src}/a.txt", "w") as f:
+        f.write("\n".join([line, line, line.replace('"event_id":1', '"event_id":2')]) + "\n")
+    q = (dedupe_events(read_events_stream(spark, "files", src), "1 minute").writeStream.format("memory")
+         .queryName("dedup").option("checkpointLocation", f"{tmp_dir}/ck").start())
+    q.processAllAvailable()
+    q.stop()
+    assert spark.table("dedup").count() == 2
