@@ -8,6 +8,7 @@ columns to 6 decimals so results compare across engines.
 from __future__ import annotations
 
 import os
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,24 +31,28 @@ SELECTED = runs.RunFilter(
 )
 
 _TABLES: dict = {}
+_LOCK = threading.Lock()
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
     """Tables of a data folder; the derived tables are written once to the store
     (set LATENCYLAB_STORE=0 to plan everything from the raw tables instead)."""
     key = (id(spark), sf_dir)
-    if key not in _TABLES:
-        t = Tables(spark, sf_dir)
-        if os.environ.get("LATENCYLAB_STORE", "1") != "0":
-            t.materialize()
-        _TABLES[key] = t
-    return _TABLES[key]
+    with _LOCK:  # one store build even when queries are started from several threads
+        if key not in _TABLES:
+            t = Tables(spark, sf_dir)
+            if os.environ.get("LATENCYLAB_STORE", "1") != "0":
+                t.materialize()
+            _TABLES[key] = t
+        return _TABLES[key]
 
 
 def finalize(df: DataFrame) -> DataFrame:
-    """Round every double column (engines may differ in the last bits of sums)."""
+    """Round every double column (engines may differ in the last bits of sums) and
+    present NaN as null, so results hash the same in any engine or client."""
     cols = [
-        F.round(F.col(f.name), DIGITS).alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f.name)
+        F.round(F.nanvl(F.col(f.name), F.lit(None).cast("double")), DIGITS).alias(f.name)
+        if isinstance(f.dataType, DoubleType) else F.col(f.name)
         for f in df.schema.fields
     ]
     return df.select(*cols)
