@@ -39,8 +39,8 @@ def with_ci95(df: DataFrame, mean: str, stddev: str, n: str, prefix: str) -> Dat
     t = t_critical_col(n)
     ok = F.col(mean).isNotNull() & F.col(stddev).isNotNull() & F.col(n).isNotNull() & (F.col(n) >= 2)
     margin = F.when(ok, t * (F.col(stddev).cast("double") / F.sqrt(F.col(n).cast("double"))))
-    return (
-        df.withColumn(f"{prefix}_ci95_margin_ms", margin)
-        .withColumn(f"{prefix}_ci95_low_ms", F.col(mean) - F.col(f"{prefix}_ci95_margin_ms"))
-        .withColumn(f"{prefix}_ci95_high_ms", F.col(mean) + F.col(f"{prefix}_ci95_margin_ms"))
-    )
+    return df.withColumns({
+        f"{prefix}_ci95_margin_ms": margin,
+        f"{prefix}_ci95_low_ms": F.col(mean) - margin,
+        f"{prefix}_ci95_high_ms": F.col(mean) + margin,
+    })

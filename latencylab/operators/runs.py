@@ -139,18 +139,20 @@ def resolve_dimensions(runs: DataFrame, metadata: DataFrame, faults: DataFrame |
         fallback_mode = F.when(F.col("run_id").like("%_fault_%"), "fault").otherwise("normal")
     else:
         fallback_mode = F.when(F.col("_has_faults").isNull(), "normal").otherwise("fault")
-    return (
-        out.withColumn("framework", F.coalesce("m_framework", framework_col))
-        .withColumn("scenario", F.coalesce("m_scenario", scenario_col))
-        .withColumn("iteration", F.coalesce(F.col("m_iteration"), split_iteration(F.col("run_id"))))
-        .withColumn("mode", F.coalesce(F.col("m_mode"), fallback_mode))
-        .withColumn("fault_service", F.coalesce("m_fault_service", "inferred_fault_service"))
-        .withColumn("fault_action", F.coalesce("m_fault_action", "inferred_fault_action"))
-        .withColumn("fault_count", F.coalesce("m_fault_count", "inferred_fault_count"))
-        .drop("m_framework", "m_scenario", "m_iteration", "m_mode", "m_fault_service", "m_fault_action",
+    resolved = {
+        "framework": F.coalesce("m_framework", framework_col),
+        "scenario": F.coalesce("m_scenario", scenario_col),
+        "iteration": F.coalesce(F.col("m_iteration"), split_iteration(F.col("run_id"))),
+        "mode": F.coalesce(F.col("m_mode"), fallback_mode),
+        "fault_service": F.coalesce("m_fault_service", "inferred_fault_service"),
+        "fault_action": F.coalesce("m_fault_action", "inferred_fault_action"),
+        "fault_count": F.coalesce("m_fault_count", "inferred_fault_count"),
+    }
+    helper = {"m_framework", "m_scenario", "m_iteration", "m_mode", "m_fault_service", "m_fault_action",
               "m_fault_count", "_has_faults", "inferred_fault_service", "inferred_fault_action",
-              "inferred_fault_count")
-    )
+              "inferred_fault_count"}
+    keep = [c for c in out.columns if c not in helper and c not in resolved]
+    return out.select(*keep, *[v.alias(k) for k, v in resolved.items()])
 
 
 def apply_filter(df: DataFrame, filt: RunFilter | None) -> DataFrame:

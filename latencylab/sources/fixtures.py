@@ -77,7 +77,9 @@ def stored(fn):
 
     def get(self):
         if name in self._built:
-            return self.spark.read.parquet(self._store_path(name))
+            if name not in self._reads:  # list files and read footers once per table
+                self._reads[name] = self.spark.read.parquet(self._store_path(name))
+            return self._reads[name]
         if name not in self._plans:
             self._plans[name] = fn(self)
         return self._plans[name]
@@ -95,6 +97,7 @@ class Tables:
         self.sf_dir = sf_dir.rstrip("/")
         self._built: set[str] = set()
         self._plans: dict[str, DataFrame] = {}
+        self._reads: dict[str, DataFrame] = {}
         self._store_root: str | None = None
 
     def read(self, name: str) -> DataFrame:
