@@ -18,6 +18,20 @@ from latencylab.functions.columns import bucket_floor, nearest_rank
 DEFAULT_BUCKET_SECONDS = 5.0
 
 
+def run_labels(events: DataFrame, how: str = "max", prefix: str = "") -> DataFrame:
+    """framework / scenario per run without a string aggregate over raw rows.
+
+    ``min``/``max`` of a string needs a sort-based aggregate (string buffers are not
+    fixed-width), i.e. a sort of every row. Instead the distinct (run, framework,
+    scenario) combinations are found with a hash aggregate (strings as keys are
+    fine), and only that tiny table is reduced per run."""
+    combos = events.select("run_id", "framework", "scenario").distinct()
+    fn = F.max if how == "max" else F.min
+    return combos.groupBy("run_id").agg(
+        fn("framework").alias(f"{prefix}framework"), fn("scenario").alias(f"{prefix}scenario")
+    )
+
+
 def run_starts(events: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
     """Run start per run, from the first record *seen* (earliest arrival, then id).
 
@@ -69,15 +83,14 @@ def bucket_rollup(events: DataFrame, starts: DataFrame, bucket_seconds: float =
     )
     rows = rows.withColumn("bucket_offset_ms", bucket_floor(F.col("collected_at_ms") - F.col("run_start_ms"), width))
     agg = rows.groupBy("run_id", "bucket_offset_ms").agg(
-        F.max("framework").alias("framework"),
-        F.max("scenario").alias("scenario"),
-        F.first("run_start_ms").alias("_start"),
+        F.min("run_start_ms").alias("_start"),
         F.count(F.lit(1)).alias("messages"),
         F.count_distinct("event_id").alias("distinct_events"),
         F.min("event_id").alias("min_event_id"),
         F.max("event_id").alias("max_event_id"),
         *_latency_stats(),
     )
+    agg = agg.join(run_labels(rows), "run_id", "left")
     return agg.select(
         "run_id", "framework", "scenario", "bucket_offset_ms",
         (F.col("_start") + F.col("bucket_offset_ms")).alias("bucket_start_ms"),
@@ -92,8 +105,6 @@ def run_rollup(events: DataFrame, starts: DataFrame) -> DataFrame:
     start and the first / last arrival."""
     rows = events.where(F.col("collected_at_ms").isNotNull())
     agg = rows.groupBy("run_id").agg(
-        F.max("framework").alias("framework"),
-        F.max("scenario").alias("scenario"),
         F.count(F.lit(1)).alias("messages"),
         F.count_distinct("event_id").alias("distinct_events"),
         F.min("event_id").alias("min_event_id"),
@@ -102,7 +113,9 @@ def run_rollup(events: DataFrame, starts: DataFrame) -> DataFrame:
         F.max("collected_at_ms").alias("last_collected_at_ms"),
         *_latency_stats(),
     )
-    out = agg.join(starts.select("run_id", F.col("run_start_ms").alias("first_sent_at_ms")), "run_id", "left")
+    out = agg.join(run_labels(rows), "run_id", "left").join(
+        starts.select("run_id", F.col("run_start_ms").alias("first_sent_at_ms")), "run_id", "left"
+    )
     return out.select(
         "run_id", "framework", "scenario", "messages", "distinct_events", "min_event_id", "max_event_id",
         "first_sent_at_ms", "first_collected_at_ms", "last_collected_at_ms",

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latencylab.functions.columns import cont_percentile, split_iteration
+from latencylab.operators.rollup import run_labels
 
 
 @dataclass(frozen=True)
@@ -52,12 +53,12 @@ def event_runs(t) -> DataFrame:
         "first_sent_at_ms", "first_collected_at_ms", "last_collected_at_ms", "avg_latency_ms", "p95_latency_ms",
         F.coalesce("first_sent_at_ms", "first_collected_at_ms").alias("first_ts"),
     )
+    raw_rows = e.join(_ids(s), "run_id", "left_anti")
     raw = (
-        e.join(_ids(s), "run_id", "left_anti")
+        raw_rows
         .groupBy("run_id")
         .agg(
             F.lit("raw").alias("source"),
-            F.min("framework").alias("event_framework"), F.min("scenario").alias("event_scenario"),
             F.count(F.lit(1)).alias("messages"),
             F.min("event_id").alias("min_event_id"), F.max("event_id").alias("max_event_id"),
             F.min("sent_at_ms").alias("first_sent_at_ms"),
@@ -67,14 +68,14 @@ def event_runs(t) -> DataFrame:
             cont_percentile("latency_ms", 0.95).alias("p95_latency_ms"),
             F.min(F.coalesce("sent_at_ms", "collected_at_ms")).alias("first_ts"),
         )
+        .join(run_labels(raw_rows, "min", "event_"), "run_id", "left")
     )
+    bucket_rows = b.join(_ids(s), "run_id", "left_anti").join(_ids(e), "run_id", "left_anti")
     buckets = (
-        b.join(_ids(s), "run_id", "left_anti")
-        .join(_ids(e), "run_id", "left_anti")
+        bucket_rows
         .groupBy("run_id")
         .agg(
             F.lit("buckets").alias("source"),
-            F.min("framework").alias("event_framework"), F.min("scenario").alias("event_scenario"),
             F.sum("messages").cast("long").alias("messages"),
             F.min("min_event_id").alias("min_event_id"), F.max("max_event_id").alias("max_event_id"),
             F.lit(None).cast("long").alias("first_sent_at_ms"),
@@ -85,6 +86,7 @@ def event_runs(t) -> DataFrame:
             F.avg("p95_latency_ms").alias("p95_latency_ms"),
             F.min("bucket_start_ms").alias("first_ts"),
         )
+        .join(run_labels(bucket_rows, "min", "event_"), "run_id", "left")
     )
     return summary.unionByName(raw).unionByName(buckets)
 
