@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latencylab.functions.columns import effective_ts, nearest_rank
-from latencylab.operators.scan import auto_block_width, neighbour
+from latencylab.operators.scan import arg_extreme, auto_block_width, neighbour
 
 # Block width (ms of effective time) for the ordered per-run scans.
 TIME_BLOCK_MS = 60_000
@@ -51,13 +51,15 @@ def gap_series(events: DataFrame, warmup_seconds: float = 0.0, block_ms=None) ->
     )
 
 
-def _first_largest(cond=None):
-    """Largest gap, the earliest one on ties, as a struct (null when none qualifies)."""
-    value = F.struct("gap_ms", "before_event_id", "after_event_id", "before_ts", "after_ts")
-    order = F.struct((-F.col("gap_ms")).alias("g"), F.col("before_ts"), F.col("after_ts"))
-    if cond is not None:
-        order = F.when(cond, order)
-    return F.min_by(value, order)
+GAP_FIELDS = ["gap_ms", "before_event_id", "after_event_id", "before_ts", "after_ts"]
+
+
+def _largest_gap(gaps: DataFrame, keys=("run_id",), prefix: str = "max_gap_") -> DataFrame:
+    """The largest gap per key, the earliest one on ties (hash aggregates only)."""
+    return arg_extreme(
+        gaps, list(keys), [F.col("gap_ms"), -F.col("before_ts"), -F.col("after_ts")], GAP_FIELDS,
+        largest=True, names=[f"{prefix}{c.replace('gap_ms', 'ms')}" for c in GAP_FIELDS],
+    )
 
 
 def gap_stats(gaps: DataFrame) -> DataFrame:
@@ -65,14 +67,11 @@ def gap_stats(gaps: DataFrame) -> DataFrame:
     agg = gaps.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("gap_count"),
         F.median("gap_ms").cast("double").alias("typical_gap_ms"),
-        _first_largest().alias("_g"),
     )
-    return agg.select(
-        "run_id", "gap_count", "typical_gap_ms",
-        F.col("_g.gap_ms").alias("max_gap_ms"),
-        F.col("_g.before_event_id").alias("max_gap_before_event_id"),
-        F.col("_g.after_event_id").alias("max_gap_after_event_id"),
+    top = _largest_gap(gaps).select(
+        "run_id", F.col("max_gap_ms"), F.col("max_gap_before_event_id"), F.col("max_gap_after_event_id")
     )
+    return agg.join(top, "run_id", "left")
 
 
 def missing_ids(events: DataFrame, block: int = ID_BLOCK, chunk: int = MISSING_CHUNK) -> DataFrame:
@@ -144,19 +143,14 @@ def fault_gaps(gaps: DataFrame, intervals: DataFrame) -> DataFrame:
     g = gaps.join(intervals.select("run_id", "fault_start_ms", "fault_end_ms"), "run_id")
     s, e = F.col("fault_start_ms"), F.col("fault_end_ms")
     bts, ats = F.col("before_ts"), F.col("after_ts")
-    agg = g.groupBy("run_id").agg(
-        _first_largest(ats < s).alias("pre"),
-        _first_largest(bts > e).alias("post"),
-        _first_largest(((bts <= s) & (s <= ats)) | (bts >= s)).alias("span"),
-    )
-    cols = ["run_id"]
-    for k, name in (("pre", "pre_fault"), ("post", "post_fault"), ("span", "fault_window")):
-        cols += [
-            F.col(f"{k}.gap_ms").alias(f"{name}_gap_ms"),
-            F.col(f"{k}.before_event_id").alias(f"{name}_before_event_id"),
-            F.col(f"{k}.after_event_id").alias(f"{name}_after_event_id"),
-        ]
-    return intervals.select("run_id").join(agg.select(*cols), "run_id", "left")
+    out = intervals.select("run_id")
+    for cond, name in ((ats < s, "pre_fault"), (bts > e, "post_fault"),
+                       (((bts <= s) & (s <= ats)) | (bts >= s), "fault_window")):
+        top = _largest_gap(g.where(cond), prefix=f"{name}_").select(
+            "run_id", f"{name}_ms", f"{name}_before_event_id", f"{name}_after_event_id"
+        ).withColumnRenamed(f"{name}_ms", f"{name}_gap_ms")
+        out = out.join(top, "run_id", "left")
+    return out
 
 
 SECTIONS = ("pre_all", "post_all", "pre_window", "post_window", "fault_interval")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latencylab.functions.columns import bucket_floor, nearest_rank
+from latencylab.operators.scan import arg_extreme
 
 DEFAULT_BUCKET_SECONDS = 5.0
 
@@ -40,16 +41,12 @@ def run_starts(events: DataFrame, metadata: DataFrame | None = None) -> DataFram
     record's sent time, else its arrival time.
     """
     seen = events.where(F.col("collected_at_ms").isNotNull())
-    first = seen.groupBy("run_id").agg(
-        F.min_by(
-            F.struct("sent_at_ms", "event_id", "collected_at_ms"), F.struct("collected_at_ms", "event_id")
-        ).alias("f")
-    )
-    first = first.select(
-        "run_id",
-        F.col("f.event_id").alias("first_event_id"),
-        F.col("f.sent_at_ms").alias("first_record_sent_at_ms"),
-        F.col("f.collected_at_ms").alias("first_collected_at_ms"),
+    # earliest arrival, then smallest event id (a null id sorts last)
+    first = arg_extreme(
+        seen, ["run_id"],
+        [F.col("collected_at_ms"), F.coalesce(F.col("event_id"), F.lit(2**63 - 1))],
+        ["event_id", "sent_at_ms", "collected_at_ms"],
+        names=["first_event_id", "first_record_sent_at_ms", "first_collected_at_ms"],
     )
     if metadata is not None:
         first = first.join(metadata.select("run_id", "eps"), "run_id", "left")

@@ -172,3 +172,25 @@ def neighbour(
     for c in cols:
         out = out.withColumn(prefix + c, F.col("_nb")[c])
     return out.drop(_BLK, "_nb", "_carry")
+
+
+def arg_extreme(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cols: Sequence[str],
+                largest: bool = False, names: Sequence[str] | None = None) -> DataFrame:
+    """Per key, the ``cols`` of the row with the lexicographically smallest (or
+    largest) ``order`` tuple; ties on the whole tuple resolve to the smallest values.
+
+    ``min_by``/``max_by`` with a struct needs a sort-based aggregate (its buffer is
+    not fixed-width), i.e. a sort of every row. Here each order component is a
+    fixed-width hash aggregate (partial + final) followed by an equi-join filter
+    against the one-row-per-key result; only the first round sees all rows, later
+    rounds see the ties. Order components must be numeric; null orders are
+    skipped (as ``min_by`` skips them)."""
+    keys = list(keys)
+    names = list(names or cols)
+    fn = F.max if largest else F.min
+    cand = df.select(*keys, *[c.alias(f"_o{i}") for i, c in enumerate(order)], *[F.col(c) for c in cols])
+    for i in range(len(order)):
+        o = f"_o{i}"
+        best = cand.where(F.col(o).isNotNull()).groupBy(*keys).agg(fn(o).alias(o))
+        cand = cand.join(best, [*keys, o])
+    return cand.groupBy(*keys).agg(*[F.min(c).alias(n) for c, n in zip(cols, names)])
