@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latencylab.functions.columns import effective_ts, nearest_rank
-from latencylab.operators.scan import arg_extreme, auto_block_width, neighbour
+from latencylab.operators.scan import auto_block_width, neighbour
 
 # Block width (ms of effective time) for the ordered per-run scans.
 TIME_BLOCK_MS = 60_000
@@ -54,12 +54,24 @@ def gap_series(events: DataFrame, warmup_seconds: float = 0.0, block_ms=None) ->
 GAP_FIELDS = ["gap_ms", "before_event_id", "after_event_id", "before_ts", "after_ts"]
 
 
-def _largest_gap(gaps: DataFrame, keys=("run_id",), prefix: str = "max_gap_") -> DataFrame:
-    """The largest gap per key, the earliest one on ties (hash aggregates only)."""
-    return arg_extreme(
-        gaps, list(keys), [F.col("gap_ms"), -F.col("before_ts"), -F.col("after_ts")], GAP_FIELDS,
-        largest=True, names=[f"{prefix}{c.replace('gap_ms', 'ms')}" for c in GAP_FIELDS],
+def largest_gaps(gaps: DataFrame, conds: dict, keys=("run_id",)) -> DataFrame:
+    """For each named condition, the largest qualifying gap per key, the earliest on
+    ties. One hash aggregate finds every condition's maximum in a single pass; the
+    tie rows (joined back on the one-row-per-key maxima) are the only input of the
+    ``min_by`` that breaks ties."""
+    keys = list(keys)
+    flagged = gaps.withColumns({f"_c_{n}": c for n, c in conds.items()})
+    best = flagged.groupBy(*keys).agg(
+        *[F.max(F.when(F.col(f"_c_{n}"), F.col("gap_ms"))).alias(f"_m_{n}") for n in conds]
     )
+    top = {n: F.col(f"_c_{n}") & (F.col("gap_ms") == F.col(f"_m_{n}")) for n in conds}
+    any_top = None
+    for c in top.values():
+        any_top = c if any_top is None else (any_top | c)
+    ties = flagged.join(best, keys).where(any_top)
+    value = F.struct(*GAP_FIELDS)
+    order = F.struct("before_ts", "after_ts")
+    return ties.groupBy(*keys).agg(*[F.min_by(value, F.when(top[n], order)).alias(n) for n in conds])
 
 
 def gap_stats(gaps: DataFrame) -> DataFrame:
@@ -68,8 +80,9 @@ def gap_stats(gaps: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("gap_count"),
         F.median("gap_ms").cast("double").alias("typical_gap_ms"),
     )
-    top = _largest_gap(gaps).select(
-        "run_id", F.col("max_gap_ms"), F.col("max_gap_before_event_id"), F.col("max_gap_after_event_id")
+    top = largest_gaps(gaps, {"g": F.lit(True)}).select(
+        "run_id", F.col("g.gap_ms").alias("max_gap_ms"), F.col("g.before_event_id").alias("max_gap_before_event_id"),
+        F.col("g.after_event_id").alias("max_gap_after_event_id"),
     )
     return agg.join(top, "run_id", "left")
 
@@ -143,14 +156,14 @@ def fault_gaps(gaps: DataFrame, intervals: DataFrame) -> DataFrame:
     g = gaps.join(intervals.select("run_id", "fault_start_ms", "fault_end_ms"), "run_id")
     s, e = F.col("fault_start_ms"), F.col("fault_end_ms")
     bts, ats = F.col("before_ts"), F.col("after_ts")
-    out = intervals.select("run_id")
-    for cond, name in ((ats < s, "pre_fault"), (bts > e, "post_fault"),
-                       (((bts <= s) & (s <= ats)) | (bts >= s), "fault_window")):
-        top = _largest_gap(g.where(cond), prefix=f"{name}_").select(
-            "run_id", f"{name}_ms", f"{name}_before_event_id", f"{name}_after_event_id"
-        ).withColumnRenamed(f"{name}_ms", f"{name}_gap_ms")
-        out = out.join(top, "run_id", "left")
-    return out
+    conds = {"pre_fault": ats < s, "post_fault": bts > e, "fault_window": ((bts <= s) & (s <= ats)) | (bts >= s)}
+    top = largest_gaps(g, conds)
+    cols = ["run_id"]
+    for name in conds:
+        cols += [F.col(f"{name}.gap_ms").alias(f"{name}_gap_ms"),
+                 F.col(f"{name}.before_event_id").alias(f"{name}_before_event_id"),
+                 F.col(f"{name}.after_event_id").alias(f"{name}_after_event_id")]
+    return intervals.select("run_id").join(top.select(*cols), "run_id", "left")
 
 
 SECTIONS = ("pre_all", "post_all", "pre_window", "post_window", "fault_interval")

@@ -224,20 +224,24 @@ def neighbour(
 def arg_extreme(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cols: Sequence[str],
                 largest: bool = False, names: Sequence[str] | None = None) -> DataFrame:
     """Per key, the ``cols`` of the row with the lexicographically smallest (or
-    largest) ``order`` tuple; ties on the whole tuple resolve to the smallest values.
+    largest) ``order`` tuple.
 
     ``min_by``/``max_by`` with a struct needs a sort-based aggregate (its buffer is
-    not fixed-width), i.e. a sort of every row. Here each order component is a
-    fixed-width hash aggregate (partial + final) followed by an equi-join filter
-    against the one-row-per-key result; only the first round sees all rows, later
-    rounds see the ties. Order components must be numeric; null orders are
-    skipped (as ``min_by`` skips them)."""
+    not fixed-width), i.e. a sort of every row. Here the leading order component is
+    a fixed-width hash aggregate (partial + final) over all rows, joined back to
+    keep the rows that reach it (one row per key on the small side); only those ties
+    go through ``min_by``/``max_by`` for the remaining components. The leading
+    component must be numeric; rows with a null leading component are skipped."""
     keys = list(keys)
     names = list(names or cols)
     fn = F.max if largest else F.min
+    pick = F.max_by if largest else F.min_by
     cand = df.select(*keys, *[c.alias(f"_o{i}") for i, c in enumerate(order)], *[F.col(c) for c in cols])
-    for i in range(len(order)):
-        o = f"_o{i}"
-        best = cand.where(F.col(o).isNotNull()).groupBy(*keys).agg(fn(o).alias(o))
-        cand = cand.join(best, [*keys, o])
-    return cand.groupBy(*keys).agg(*[F.min(c).alias(n) for c, n in zip(cols, names)])
+    best = cand.where(F.col("_o0").isNotNull()).groupBy(*keys).agg(fn("_o0").alias("_o0"))
+    ties = cand.join(best, [*keys, "_o0"])
+    value = F.struct(*[F.col(c).alias(n) for c, n in zip(cols, names)])
+    if len(order) == 1:
+        agg = ties.groupBy(*keys).agg(F.min(value).alias("_v"))
+    else:
+        agg = ties.groupBy(*keys).agg(pick(value, F.struct(*[F.col(f"_o{i}") for i in range(1, len(order))])).alias("_v"))
+    return agg.select(*keys, *[F.col(f"_v.{n}").alias(n) for n in names])
