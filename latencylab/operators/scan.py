@@ -92,17 +92,30 @@ def running_totals(
 
     ``sums`` and ``maxes`` map output names to Column expressions. With
     ``peers=True`` rows with equal order values share one value (a RANGE frame:
-    all rows of a micro-batch see the batch-end total); the block column must then
-    be the single order column so peers never straddle two blocks.
+    all rows of a micro-batch see the batch-end total): the rows are first
+    pre-aggregated per (key, order value) with a partial+final hash aggregate, the
+    running scan runs over those aggregated rows, and the totals are joined back, so
+    neither a key with many order values nor one huge peer group lands in a single
+    window partition. ``order_cols`` must then be the single block column.
     """
     keys = list(keys)
     sums = dict(sums or {})
     maxes = dict(maxes or {})
+    if peers:
+        order = order_cols[0] if isinstance(order_cols[0], str) else block_col
+        per_peer = df.groupBy(*keys, order).agg(
+            *[F.sum(e).alias(f"_p_{n}") for n, e in sums.items()],
+            *[F.max(e).alias(f"_p_{n}") for n, e in maxes.items()],
+        )
+        scanned = running_totals(
+            per_peer, keys, [order], order, block_size,
+            sums={n: F.col(f"_p_{n}") for n in sums}, maxes={n: F.col(f"_p_{n}") for n in maxes},
+        ).drop(*[f"_p_{n}" for n in {**sums, **maxes}])
+        return df.join(scanned, [*keys, order])
     b = _with_block(df, block_col, block_size)
     for name, expr in {**sums, **maxes}.items():
         b = b.withColumn(f"_v_{name}", expr)
-    w = Window.partitionBy(*keys, _BLK).orderBy(*_ordered(order_cols))
-    w = w.rangeBetween(Window.unboundedPreceding, Window.currentRow) if peers else w.rowsBetween(
+    w = Window.partitionBy(*keys, _BLK).orderBy(*_ordered(order_cols)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     local = b
