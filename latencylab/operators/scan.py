@@ -167,7 +167,6 @@ def neighbour(
     keys = list(keys)
     b = _with_block(df, block_col, block_size)
     packed = F.struct(*[F.col(c) for c in cols])
-    order_key = F.struct(*[F.col(c) for c in order_cols])
     w = Window.partitionBy(*keys, _BLK).orderBy(*[F.col(c) for c in order_cols])
     if direction == "prev":
         # the previous row, and whether this row closes its block (no next row)
@@ -181,53 +180,6 @@ def neighbour(
     # one edge row per block, taken from the window output (a filter, no aggregate)
     edges = local.where("_edge_row").select(*keys, _BLK, packed.alias("_edge"))
     carry = edges.select(*keys, _BLK, carry_fn("_edge").over(Window.partitionBy(*keys).orderBy(_BLK)).alias("_carry"))
-    out = local.join(carry, [*keys, _BLK])
-    for name in sums:
-        # sum semantics: null only when every value so far is null
-        out = out.withColumn(
-            name,
-            F.when(F.col(f"_c_{name}").isNull(), F.col(f"_l_{name}"))
-            .when(F.col(f"_l_{name}").isNull(), F.col(f"_c_{name}"))
-            .otherwise(F.col(f"_c_{name}") + F.col(f"_l_{name}")),
-        )
-    for name in maxes:
-        out = out.withColumn(name, F.greatest(F.col(f"_c_{name}"), F.col(f"_l_{name}")))
-    drop = [_BLK] + [f"_{p}_{n}" for n in {**sums, **maxes} for p in ("v", "l", "c")]
-    return out.drop(*drop)
-
-
-def neighbour(
-    df: DataFrame,
-    keys: Sequence[str],
-    order_cols: Sequence[str],
-    block_col: str,
-    block_size: int,
-    cols: Sequence[str],
-    direction: str = "prev",
-    prefix: str = "prev_",
-) -> DataFrame:
-    """Attach the previous (``lag``) or next (``lead``) row's ``cols`` within ``keys``.
-
-    Output columns are ``prefix + col``; null on the first (last) row of a key.
-    ``order_cols`` must be a total order inside a key.
-    """
-    keys = list(keys)
-    b = _with_block(df, block_col, block_size)
-    packed = F.struct(*[F.col(c) for c in cols])
-    order_key = F.struct(*[F.col(c) for c in order_cols])
-    w = Window.partitionBy(*keys, _BLK).orderBy(*[F.col(c) for c in order_cols])
-    if direction == "prev":
-        local = b.withColumn("_nb", F.lag(packed).over(w))
-        edge = F.max_by(packed, order_key)  # last row of each block
-        carry_fn = F.lag
-    elif direction == "next":
-        local = b.withColumn("_nb", F.lead(packed).over(w))
-        edge = F.min_by(packed, order_key)  # first row of each block
-        carry_fn = F.lead
-    else:
-        raise ValueError("direction must be 'prev' or 'next'")
-    edges = local.groupBy(*keys, _BLK).agg(edge.alias("_edge"))
-    carry = edges.select(*keys, _BLK, carry_fn("_edge").over(Window.partitionBy(*keys).orderBy(_BLK)).alias("_carry"))
     out = local.join(carry, [*keys, _BLK]).withColumn("_nb", F.coalesce("_nb", "_carry"))
     for c in cols:
         out = out.withColumn(prefix + c, F.col("_nb")[c])
