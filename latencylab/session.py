@@ -30,21 +30,32 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared checkpoint folder.
 
-    On a cluster the folder comes from the session configuration (a shared
-    file system). Only when it is unset, as in local tests, a scratch folder is
-    created and registered.
+    On a cluster the folder is the session's ``spark.checkpoint.dir`` (a shared file
+    system), or a checkpoint dir already set on the SparkContext. Only when neither
+    exists, as in local tests, a scratch folder is created and registered with
+    ``setCheckpointDir`` (``spark.checkpoint.dir`` itself cannot change at runtime).
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if configured:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(configured)
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(configured)
         return configured
-    path = tempfile.mkdtemp(prefix="latencylab-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    key = id(sc)
+    if key not in _SCRATCH:
+        existing = sc.getCheckpointDir()
+        if existing:
+            _SCRATCH[key] = existing
+        else:
+            path = tempfile.mkdtemp(prefix="latencylab-ckpt-")
+            sc.setCheckpointDir(path)
+            _SCRATCH[key] = path
+    return _SCRATCH[key]
+
+
+_SCRATCH: dict = {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
