@@ -210,25 +210,47 @@ def _with_totals(ev: DataFrame, prior: DataFrame | None, keys, prefix: str, grai
     return ev.drop(*[c for c in ev.columns if c.startswith("_p_")])
 
 
+STATE_KEYS = ["family", "state_key"]
+
+
+def _state_key(keys) -> "F.Column":
+    return F.to_json(F.struct(*[F.col(k) for k in keys]))
+
+
 def process_batch(batch: DataFrame, batch_id: int, cfg: PipelineConfig, processed_at: str | None = None) -> None:
-    """One micro-batch: enrich, update the delta state, write output (idempotent)."""
+    """One micro-batch: enrich, update the delta state, write output (idempotent).
+
+    Both metric families share one delta table keyed by (family, state_key), so a
+    batch does one state read and one state write whatever the number of families."""
     spark = batch.sparkSession
-    ev = _parsed(batch, cfg.profile, processed_at).persist()
+    ev = _parsed(batch, cfg.profile, processed_at)
+    ev = ev.withColumns({f"_k_{fam}": _state_key(keys) for fam, keys in FAMILIES.items()}).persist()
+    partial = None
     try:
         if ev.isEmpty():
             return
+        parts = [
+            _partials(ev, [f"_k_{fam}"]).select(F.lit(fam).alias("family"), F.col(f"_k_{fam}").alias("state_key"),
+                                               "transaction_count", "total_amount", "fraud_count", "max_amount")
+            for fam in FAMILIES
+        ]
+        partial = parts[0]
+        for p in parts[1:]:
+            partial = partial.unionByName(p)
+        partial = partial.persist()
+        st = DeltaState(spark, cfg.state_dir, "families", STATE_KEYS)
+        prior = st.prior(batch_id, partial.select(*STATE_KEYS))
         out = ev
-        cached = []
-        for family, keys in FAMILIES.items():
-            st = DeltaState(spark, cfg.state_dir, family, keys)
-            keys_df = ev.select(*keys).distinct()
-            prior = st.prior(batch_id, keys_df)
-            partial = _partials(ev, keys).persist()
-            cached.append(partial)
-            out = _with_totals(out, prior, keys, f"{family}_", cfg.grain, partial)
-            st.write_delta(batch_id, partial)
-            if cfg.compact_every and batch_id > 0 and batch_id % cfg.compact_every == 0:
-                st.compact(batch_id)
+        for fam in FAMILIES:
+            key = f"_k_{fam}"
+            fam_prior = None if prior is None else prior.where(F.col("family") == fam).select(
+                F.col("state_key").alias(key), "transaction_count", "total_amount", "fraud_count", "max_amount")
+            fam_partial = partial.where(F.col("family") == fam).select(
+                F.col("state_key").alias(key), "transaction_count", "total_amount", "fraud_count", "max_amount")
+            out = _with_totals(out, fam_prior, [key], f"{fam}_", cfg.grain, fam_partial)
+        st.write_delta(batch_id, partial)
+        if cfg.compact_every and batch_id > 0 and batch_id % cfg.compact_every == 0:
+            st.compact(batch_id)
         result = to_key_value(out, cfg.framework)
         if cfg.output_format == "kafka":
             w = result.write.format("kafka")
@@ -239,9 +261,9 @@ def process_batch(batch: DataFrame, batch_id: int, cfg: PipelineConfig, processe
             (result.withColumn("batch_id", F.lit(int(batch_id)))
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("batch_id").json(cfg.output_dir))
-        for c in cached:
-            c.unpersist()
     finally:
+        if partial is not None:
+            partial.unpersist()
         ev.unpersist()
 
 
