@@ -109,6 +109,10 @@ def fault_summary(fault_events: DataFrame) -> DataFrame:
     return fault_events.groupBy("run_id").agg(*aggs)
 
 
+def _meta_fault(c: str):
+    return F.when(F.col("m_mode") == "normal", F.lit(None).cast("string")).otherwise(F.nullif(F.col(c), F.lit("")))
+
+
 def resolve_dimensions(runs: DataFrame, metadata: DataFrame, faults: DataFrame | None,
                        framework_col: str = "event_framework", scenario_col: str = "event_scenario",
                        mode_by_pattern: bool = False) -> DataFrame:
@@ -146,8 +150,10 @@ def resolve_dimensions(runs: DataFrame, metadata: DataFrame, faults: DataFrame |
         "scenario": F.coalesce("m_scenario", scenario_col),
         "iteration": F.coalesce(F.col("m_iteration"), split_iteration(F.col("run_id"))),
         "mode": F.coalesce(F.col("m_mode"), fallback_mode),
-        "fault_service": F.coalesce("m_fault_service", "inferred_fault_service"),
-        "fault_action": F.coalesce("m_fault_action", "inferred_fault_action"),
+        # metadata writes '' (and a default action) even for normal runs: treat '' as
+        # missing and normal runs as having no fault
+        "fault_service": F.coalesce(_meta_fault("m_fault_service"), "inferred_fault_service"),
+        "fault_action": F.coalesce(_meta_fault("m_fault_action"), "inferred_fault_action"),
         "fault_count": F.coalesce("m_fault_count", "inferred_fault_count"),
     }
     helper = {"m_framework", "m_scenario", "m_iteration", "m_mode", "m_fault_service", "m_fault_action",

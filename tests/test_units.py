@@ -182,3 +182,20 @@ def test_output_record_json_round_trip(spark):
     assert bad.count() == 0
     r = back.where("r.result.window_metrics.transaction_count is not null").first()
     assert r.r.framework == "spark" and r.r.result.account_state.transaction_count >= 1
+
+
+def test_metadata_empty_fault_fields_and_normal_runs(spark):
+    from latencylab.operators.runs import resolve_dimensions
+
+    runs = spark.createDataFrame([("a_x_01", "a", "x"), ("b_y_01", "b", "y")],
+                                 "run_id string, event_framework string, event_scenario string")
+    meta = spark.createDataFrame(
+        [("a_x_01", "a", "x", "01", "normal", 1.0, 1.0, None, "", "stop-start", None),
+         ("b_y_01", "b", "y", "01", "fault", 1.0, 1.0, None, "", "kill", None)],
+        "run_id string, framework string, scenario string, iteration string, mode string, eps double, "
+        "duration_seconds double, max_events int, fault_service string, fault_action string, fault_count int")
+    faults = spark.createDataFrame([("b_y_01", "w", "", "kill", "fault_start", 1, None, None, None)],
+                                   "run_id string, service string, container string, action string, phase string, "
+                                   "timestamp_ms long, delay_seconds int, duration_seconds int, count int")
+    got = {r.run_id: (r.fault_service, r.fault_action) for r in resolve_dimensions(runs, meta, faults).collect()}
+    assert got == {"a_x_01": (None, None), "b_y_01": ("w", "kill")}
