@@ -94,10 +94,19 @@ def _combine(df: DataFrame, keys) -> DataFrame:
 
 
 class DeltaState:
-    """Additive keyed state as per-batch delta folders plus periodic snapshots."""
+    """Additive keyed state as per-batch delta folders plus periodic snapshots.
 
-    def __init__(self, spark: SparkSession, root: str, family: str, keys):
+    Snapshots are partitioned by a hash bucket of the key; the prior read lists the
+    buckets the batch touches (at most ``buckets`` numbers) and reads only those
+    partitions, then semi-joins on the keys. Deltas (at most ``compact_every``
+    batches) are read whole."""
+
+    def __init__(self, spark: SparkSession, root: str, family: str, keys, buckets: int = 64):
         self.spark, self.root, self.family, self.keys = spark, root.rstrip("/"), family, list(keys)
+        self.buckets = buckets
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(self.buckets)).cast("int").alias("bucket")
 
     def _fs(self):
         jvm = self.spark._jvm
@@ -131,7 +140,11 @@ class DeltaState:
         base = snaps[-1] if snaps else -1
         parts = []
         if snaps:
-            parts.append(self.spark.read.parquet(self.snapshot_path(base)))
+            # the touched bucket numbers: at most ``buckets`` small ints, read to prune
+            # the snapshot's partitions (the keys themselves stay on the executors)
+            touched = [r[0] for r in keys_df.select(self._bucket()).distinct().collect()]
+            snap = self.spark.read.parquet(self.snapshot_path(base)).where(F.col("bucket").isin(touched))
+            parts.append(snap.drop("bucket"))
         deltas = [d for d in self._list("deltas", "batch_id=") if base < d < batch_id]
         if deltas:
             d = self.spark.read.parquet(self.delta_path()).where(
@@ -156,13 +169,14 @@ class DeltaState:
         base = snaps[-1] if snaps else -1
         if base == upto:
             return
-        parts = [self.spark.read.parquet(self.snapshot_path(base))] if snaps else []
+        parts = [self.spark.read.parquet(self.snapshot_path(base)).drop("bucket")] if snaps else []
         parts.append(self.spark.read.parquet(self.delta_path()).where(
             (F.col("batch_id") > base) & (F.col("batch_id") <= upto)).drop("batch_id"))
         allp = parts[0]
         for p in parts[1:]:
             allp = allp.unionByName(p)
-        _combine(allp, self.keys).write.mode("overwrite").parquet(self.snapshot_path(upto))
+        (_combine(allp, self.keys).withColumn("bucket", self._bucket()).repartition("bucket")
+         .write.mode("overwrite").partitionBy("bucket").parquet(self.snapshot_path(upto)))
 
 
 def _with_totals(ev: DataFrame, prior: DataFrame | None, keys, prefix: str, grain: str,
