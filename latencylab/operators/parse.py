@@ -34,14 +34,14 @@ def latency_enrich(df: DataFrame, processed_at=None) -> DataFrame:
 def payload_defaults(df: DataFrame) -> DataFrame:
     """Lenient profile: missing or non-numeric rule inputs take defaults
     ('' for text, 0 for numbers) so the rules never see nulls."""
-    return (
-        df.withColumn("AccountID", F.coalesce(F.col("AccountID").cast("string"), F.lit("")))
-        .withColumn("TransactionAmount", F.coalesce(F.col("TransactionAmount").try_cast("double"), F.lit(0.0)))
-        .withColumn("TransactionType", F.coalesce(F.col("TransactionType").cast("string"), F.lit("")))
-        .withColumn("Channel", F.coalesce(F.col("Channel").cast("string"), F.lit("")))
-        .withColumn("CustomerAge", F.coalesce(F.col("CustomerAge").try_cast("long"), F.lit(0).cast("long")))
-        .withColumn("LoginAttempts", F.coalesce(F.col("LoginAttempts").try_cast("long"), F.lit(0).cast("long")))
-    )
+    return df.withColumns({
+        "AccountID": F.coalesce(F.col("AccountID").cast("string"), F.lit("")),
+        "TransactionAmount": F.coalesce(F.col("TransactionAmount").try_cast("double"), F.lit(0.0)),
+        "TransactionType": F.coalesce(F.col("TransactionType").cast("string"), F.lit("")),
+        "Channel": F.coalesce(F.col("Channel").cast("string"), F.lit("")),
+        "CustomerAge": F.coalesce(F.col("CustomerAge").try_cast("long"), F.lit(0).cast("long")),
+        "LoginAttempts": F.coalesce(F.col("LoginAttempts").try_cast("long"), F.lit(0).cast("long")),
+    })
 
 
 def event_envelope(df: DataFrame) -> DataFrame:

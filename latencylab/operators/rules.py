@@ -39,12 +39,12 @@ def apply_fraud_rules(df: DataFrame, profile: RuleProfile = DEFAULT_RULES, flat:
     high_amount = amount > F.lit(profile.amount_limit)
     channel_mismatch = (ttype == F.lit(profile.debit_type)) & channel.isin(*profile.remote_channels)
     age_anomaly = (age > F.lit(profile.age_limit)) & ((channel == F.lit(profile.mobile_channel)) | (logins > F.lit(profile.login_limit)))
-    return (
-        df.withColumn("is_high_amount", F.coalesce(high_amount, F.lit(False)))
-        .withColumn("is_channel_mismatch", F.coalesce(channel_mismatch, F.lit(False)))
-        .withColumn("is_age_anomaly", F.coalesce(age_anomaly, F.lit(False)))
-        .withColumn("is_fraud", F.when(high_amount | channel_mismatch | age_anomaly, True).otherwise(False))
-    )
+    return df.withColumns({
+        "is_high_amount": F.coalesce(high_amount, F.lit(False)),
+        "is_channel_mismatch": F.coalesce(channel_mismatch, F.lit(False)),
+        "is_age_anomaly": F.coalesce(age_anomaly, F.lit(False)),
+        "is_fraud": F.when(high_amount | channel_mismatch | age_anomaly, True).otherwise(False),
+    })
 
 
 def with_bucket(df: DataFrame, width_ms: int = WINDOW_SIZE_MS, ts: str = "sent_at_ms", name: str = "window_bucket_ms") -> DataFrame:

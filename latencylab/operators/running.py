@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latencylab.functions.columns import unknown_if_null
-from latencylab.operators.rules import WINDOW_SIZE_MS, with_bucket
+from latencylab.functions.columns import bucket_floor, unknown_if_null
+from latencylab.operators.rules import WINDOW_SIZE_MS
 from latencylab.operators.scan import running_totals
 
 ACCOUNT_KEYS = ["run_id", "metric_account_id"]
@@ -23,13 +23,15 @@ WINDOW_KEYS = ["run_id", "metric_scenario", "window_bucket_ms", "metric_channel"
 def metric_keys(df: DataFrame, empty_is_unknown: bool = False, flat: bool = True) -> DataFrame:
     """Dimension keys with null (and optionally empty) mapped to ``unknown``."""
     p = "" if flat else "payload."
-    out = df.withColumn("metric_account_id", unknown_if_null(F.col(f"{p}AccountID"), empty_is_unknown))
-    out = out.withColumn("metric_channel", unknown_if_null(F.col(f"{p}Channel"), empty_is_unknown))
-    out = out.withColumn("metric_transaction_type", unknown_if_null(F.col(f"{p}TransactionType"), empty_is_unknown))
-    out = out.withColumn("metric_scenario", unknown_if_null(F.col("scenario"), empty_is_unknown))
+    cols = {
+        "metric_account_id": unknown_if_null(F.col(f"{p}AccountID"), empty_is_unknown),
+        "metric_channel": unknown_if_null(F.col(f"{p}Channel"), empty_is_unknown),
+        "metric_transaction_type": unknown_if_null(F.col(f"{p}TransactionType"), empty_is_unknown),
+        "metric_scenario": unknown_if_null(F.col("scenario"), empty_is_unknown),
+    }
     if "window_bucket_ms" not in df.columns:
-        out = with_bucket(out, WINDOW_SIZE_MS)
-    return out
+        cols["window_bucket_ms"] = bucket_floor("sent_at_ms", WINDOW_SIZE_MS)
+    return df.withColumns(cols)
 
 
 def _fraud_int() -> Column:

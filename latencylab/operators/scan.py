@@ -112,17 +112,14 @@ def running_totals(
             sums={n: F.col(f"_p_{n}") for n in sums}, maxes={n: F.col(f"_p_{n}") for n in maxes},
         ).drop(*[f"_p_{n}" for n in {**sums, **maxes}])
         return df.join(scanned, [*keys, order])
-    b = _with_block(df, block_col, block_size)
-    for name, expr in {**sums, **maxes}.items():
-        b = b.withColumn(f"_v_{name}", expr)
+    b = _with_block(df, block_col, block_size).withColumns({f"_v_{n}": e for n, e in {**sums, **maxes}.items()})
     w = Window.partitionBy(*keys, _BLK).orderBy(*_ordered(order_cols)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    local = b
-    for name in sums:
-        local = local.withColumn(f"_l_{name}", F.sum(f"_v_{name}").over(w))
-    for name in maxes:
-        local = local.withColumn(f"_l_{name}", F.max(f"_v_{name}").over(w))
+    local = b.withColumns({
+        **{f"_l_{n}": F.sum(f"_v_{n}").over(w) for n in sums},
+        **{f"_l_{n}": F.max(f"_v_{n}").over(w) for n in maxes},
+    })
     per_block = local.groupBy(*keys, _BLK).agg(
         *[F.sum(f"_v_{n}").alias(f"_b_{n}") for n in sums],
         *[F.max(f"_v_{n}").alias(f"_b_{n}") for n in maxes],
@@ -134,17 +131,13 @@ def running_totals(
         *[F.sum(f"_b_{n}").over(before).alias(f"_c_{n}") for n in sums],
         *[F.max(f"_b_{n}").over(before).alias(f"_c_{n}") for n in maxes],
     )
-    out = local.join(carry, [*keys, _BLK])
-    for name in sums:
+    out = local.join(carry, [*keys, _BLK]).withColumns({
         # sum semantics: null only when every value so far is null
-        out = out.withColumn(
-            name,
-            F.when(F.col(f"_c_{name}").isNull(), F.col(f"_l_{name}"))
-            .when(F.col(f"_l_{name}").isNull(), F.col(f"_c_{name}"))
-            .otherwise(F.col(f"_c_{name}") + F.col(f"_l_{name}")),
-        )
-    for name in maxes:
-        out = out.withColumn(name, F.greatest(F.col(f"_c_{name}"), F.col(f"_l_{name}")))
+        **{n: F.when(F.col(f"_c_{n}").isNull(), F.col(f"_l_{n}"))
+           .when(F.col(f"_l_{n}").isNull(), F.col(f"_c_{n}"))
+           .otherwise(F.col(f"_c_{n}") + F.col(f"_l_{n}")) for n in sums},
+        **{n: F.greatest(F.col(f"_c_{n}"), F.col(f"_l_{n}")) for n in maxes},
+    })
     drop = [_BLK] + [f"_{p}_{n}" for n in {**sums, **maxes} for p in ("v", "l", "c")]
     return out.drop(*drop)
 
