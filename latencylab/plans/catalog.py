@@ -293,6 +293,10 @@ def q_latency_series_bucket(spark, sf):
     return series.latency_series_bucket(tables(spark, sf), SERIES_BUCKET_SECONDS, 0.0)
 
 
+def q_latency_series(spark, sf):
+    return series.latency_series(tables(spark, sf), SERIES_BUCKET_SECONDS, 0.0)
+
+
 def q_aggregate_runs(spark, sf):
     return series.aggregate_runs(tables(spark, sf), None, AGG_WARMUP_SECONDS, group_by=GROUP_DIMS)
 
@@ -390,6 +394,10 @@ def q_latency_histogram(spark, sf):
     return metrics.latency_histogram(_all_events(tables(spark, sf)))
 
 
+def q_messages_counter(spark, sf):
+    return metrics.messages_counter(_all_events(tables(spark, sf)))
+
+
 def q_purge_run_counts(spark, sf):
     from latencylab.sinks.store import purge_counts
 

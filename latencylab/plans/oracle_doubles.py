@@ -68,6 +68,12 @@ DOUBLE_COLUMNS: dict[str, list[str]] = {'account_batch_cumulative': ['account_to
  'gap_stats': ['typical_gap_ms'],
  'latency_enrich': ['stored_latency_ms'],
  'latency_histogram': ['le'],
+ 'latency_series': ['throughput_eps',
+                    'avg_latency_ms',
+                    'median_latency_ms',
+                    'p95_latency_ms',
+                    'stddev_latency_ms',
+                    'max_latency_ms'],
  'latency_series_bucket': ['throughput_eps',
                            'avg_latency_ms',
                            'median_latency_ms',
