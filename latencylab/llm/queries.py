@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latencylab.llm import decontam, langid, line_dedup
+from latencylab.llm import decontam, jaccard_join, langid, line_dedup, mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.lang_id(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_digest(table(spark, sf_dir, "documents"))
 
@@ -27,8 +35,8 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op7_line_dedup, op8_benchmark_decontamination)}
+    return {f.__name__: f for f in (op2_language_id, op5_jaccard_join, op6_source_mixing, op7_line_dedup, op8_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": line_dedup.ORACLE, "op8_benchmark_decontamination": decontam.ORACLE}
+    return {"op5_jaccard_join": jaccard_join.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op8_benchmark_decontamination": decontam.ORACLE}
