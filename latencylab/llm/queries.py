@@ -7,17 +7,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latencylab.llm import decontam, jaccard_join, langid, line_dedup, mixing
+from latencylab.llm import decontam, html_extract, jaccard_join, langid, line_dedup, lm, mixing, spotsigs, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.lang_id(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,9 +46,26 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op5_jaccard_join, op6_source_mixing, op7_line_dedup, op8_benchmark_decontamination)}
+    found = (
+        op1_suffix_dedup, op2_language_id, op3_warc_dictionary, op4_spotsigs, op5_jaccard_join, op6_source_mixing,
+        op7_line_dedup, op8_benchmark_decontamination, op9_lm_scoring, op10_html_extraction,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_jaccard_join": jaccard_join.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op8_benchmark_decontamination": decontam.ORACLE}
+    return {
+        "op3_warc_dictionary": warc.ORACLE,
+        "op5_jaccard_join": jaccard_join.ORACLE,
+        "op7_line_dedup": line_dedup.ORACLE,
+        "op8_benchmark_decontamination": decontam.ORACLE,
+    }

@@ -95,12 +95,13 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
         lo = hi
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and per row the index of its first word (n + 1)."""
+def words(buf: np.ndarray, offs: np.ndarray, blank: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and per row the index of its first word (n + 1).
+    ``blank`` tells which bytes separate words."""
     if not len(buf):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offs), np.int64)
-    solid = ~SPACE[buf]
+    solid = ~blank[buf]
     before = np.empty_like(solid)
     before[0] = False
     before[1:] = solid[:-1]
@@ -128,10 +129,10 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return out
 
 
-def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(buf: np.ndarray, offs: np.ndarray, blank: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each lower-cased word, and per row the index of its first word (n + 1)."""
     low = LOWER[buf]
-    starts, ends, first = words(low, offs)
+    starts, ends, first = words(low, offs, blank)
     return hash_spans(low, starts, ends), first
 
 
