@@ -10,15 +10,12 @@ no per-run loop is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latencylab.functions.columns import effective_ts, nearest_rank
-from latencylab.operators.scan import auto_block_width, neighbour
+from latencylab.functions.columns import effective_ts
+from latencylab.operators.scan import neighbour, null_safe_join, percentiles, running_totals
 
-# Block width (ms of effective time) for the ordered per-run scans.
-TIME_BLOCK_MS = 60_000
-ID_BLOCK = 1_000_000
 # Missing-id ranges are generated in chunks so no array exceeds this many ids.
 MISSING_CHUNK = 100_000
 
@@ -35,12 +32,10 @@ def timed_records(events: DataFrame, warmup_seconds: float = 0.0) -> DataFrame:
     return rows
 
 
-def gap_series(events: DataFrame, warmup_seconds: float = 0.0, block_ms=None) -> DataFrame:
-    """Inter-message gaps: one row per consecutive pair of records in a run.
-    Time blocks are sized from the data unless ``block_ms`` is given."""
+def gap_series(events: DataFrame, warmup_seconds: float = 0.0) -> DataFrame:
+    """Inter-message gaps: one row per consecutive pair of records in a run."""
     rows = timed_records(events, warmup_seconds).select("run_id", "event_id", "ts")
-    width = auto_block_width(rows, ["run_id"], "ts") if block_ms is None else block_ms
-    nb = neighbour(rows, ["run_id"], ["ts", "event_id"], "ts", width, ["ts", "event_id"], "prev", "prev_")
+    nb = neighbour(rows, ["run_id"], ["ts", "event_id"], ["ts", "event_id"], "prev", "prev_")
     return nb.where(F.col("prev_ts").isNotNull()).select(
         "run_id",
         (F.col("ts") - F.col("prev_ts")).alias("gap_ms"),
@@ -76,9 +71,8 @@ def largest_gaps(gaps: DataFrame, conds: dict, keys=("run_id",)) -> DataFrame:
 
 def gap_stats(gaps: DataFrame) -> DataFrame:
     """Per run: number of gaps, typical (median) gap and the largest gap."""
-    agg = gaps.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("gap_count"),
-        F.median("gap_ms").cast("double").alias("typical_gap_ms"),
+    agg = gaps.groupBy("run_id").agg(F.count(F.lit(1)).alias("gap_count")).join(
+        percentiles(gaps, ["run_id"], "gap_ms", {"typical_gap_ms": ("cont", 0.5)}), "run_id", "left"
     )
     top = largest_gaps(gaps, {"g": F.lit(True)}).select(
         "run_id", F.col("g.gap_ms").alias("max_gap_ms"), F.col("g.before_event_id").alias("max_gap_before_event_id"),
@@ -87,22 +81,29 @@ def gap_stats(gaps: DataFrame) -> DataFrame:
     return agg.join(top, "run_id", "left")
 
 
-def missing_ids(events: DataFrame, block: int = ID_BLOCK, chunk: int = MISSING_CHUNK) -> DataFrame:
-    """Every id between a run's smallest and largest id that never arrived.
+def missing_ranges(events: DataFrame) -> DataFrame:
+    """The holes of a run's ids as ranges (run_id, lo, hi, n): one row per hole, however wide. Distinct ids
+    are paired with the next id (skew-safe scan)."""
+    ids = events.where(F.col("event_id").isNotNull()).select("run_id", "event_id").distinct()
+    nb = neighbour(ids, ["run_id"], ["event_id"], ["event_id"], "next", "next_")
+    lo, hi = F.col("event_id") + 1, F.col("next_event_id") - 1
+    return nb.where(hi >= lo).select("run_id", lo.alias("lo"), hi.alias("hi"), (hi - lo + 1).alias("n"))
+
 
-    Distinct ids are paired with the next id (skew-safe scan); only the holes are
-    expanded, first into chunk starts, then into ids, so arrays stay bounded.
+def missing_ids(events: DataFrame, chunk: int = MISSING_CHUNK) -> DataFrame:
+    """Every id between a run's smallest and largest id that never arrived: the ranges, expanded.
+
+    A hole is split in three steps of at most ``chunk`` parts each, with a shuffle between, so no array exceeds
+    ``chunk`` entries (for holes up to its cube) and one wide hole is written by many tasks.
     """
-    ids = events.where(F.col("event_id").isNotNull()).select("run_id", "event_id").distinct()
-    nb = neighbour(ids, ["run_id"], ["event_id"], "event_id", block, ["event_id"], "next", "next_")
-    holes = nb.where(F.col("next_event_id") > F.col("event_id") + 1).select(
-        "run_id", (F.col("event_id") + 1).alias("lo"), (F.col("next_event_id") - 1).alias("hi")
-    )
-    chunks = holes.select("run_id", "hi", F.explode(F.sequence("lo", "hi", F.lit(chunk).cast("long"))).alias("c"))
-    return chunks.select(
-        "run_id",
-        F.explode(F.sequence("c", F.least(F.col("c") + F.lit(chunk - 1), F.col("hi")))).alias("missing_event_id"),
-    )
+    out = missing_ranges(events).select("run_id", "lo", "hi")
+    for step in (chunk * chunk, chunk):
+        wide = F.explode(F.sequence("lo", "hi", F.lit(step).cast("long"))).alias("c")
+        out = out.select("run_id", "hi", wide).select(
+            "run_id", F.col("c").alias("lo"), F.least(F.col("c") + F.lit(step - 1), F.col("hi")).alias("hi")
+        )
+    out = out.repartition("run_id", "lo")
+    return out.select("run_id", F.explode(F.sequence("lo", "hi")).alias("missing_event_id"))
 
 
 def fault_intervals(faults: DataFrame) -> DataFrame:
@@ -132,13 +133,12 @@ def fault_attempts(faults: DataFrame) -> DataFrame:
 
     The log is numbered by a running count of starts (ends at the same instant
     sort after the start), so every end carries the attempt it closes; no start x
-    end pairs are formed. A fault log holds a few rows per run.
+    end pairs are formed.
     """
-    log = faults.where(F.col("phase").isin("fault_start", "fault_end")).withColumn(
-        "_is_start", (F.col("phase") == "fault_start").cast("int")
-    )
-    w = Window.partitionBy("run_id").orderBy(F.col("timestamp_ms"), F.col("_is_start").desc(), F.col("container"))
-    log = log.withColumn("attempt", F.sum("_is_start").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    log = faults.where(F.col("phase").isin("fault_start", "fault_end")).withColumns({
+        "_is_start": (F.col("phase") == "fault_start").cast("int"), "_end_last": (F.col("phase") == "fault_end").cast("int"),
+    })
+    log = running_totals(log, ["run_id"], ["timestamp_ms", "_end_last", "container"], sums={"attempt": F.col("_is_start").cast("long")})
     starts = log.where(F.col("_is_start") == 1).select(
         "run_id", "attempt", "service", "action", F.col("timestamp_ms").alias("fault_start_ms")
     )
@@ -188,10 +188,11 @@ def fault_latency_sections(events: DataFrame, intervals: DataFrame, window_secon
         F.when((s <= ts) & (ts <= e), F.lit("fault_interval")),
     )
     exploded = rows.select("run_id", "latency_ms", F.explode(F.filter(labels, lambda x: x.isNotNull())).alias("section"))
-    return exploded.groupBy("run_id", "section").agg(
+    keys = ["run_id", "section"]
+    agg = exploded.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("latency_ms").alias("avg_latency_ms"),
-        F.median("latency_ms").cast("double").alias("median_latency_ms"),
-        nearest_rank("latency_ms", 0.95).alias("p95_latency_ms"),
         F.max("latency_ms").alias("max_latency_ms"),
     )
+    pct = percentiles(exploded, keys, "latency_ms", {"median_latency_ms": ("cont", 0.5), "p95_latency_ms": ("disc", 0.95)})
+    return null_safe_join(agg, pct, keys, "left")

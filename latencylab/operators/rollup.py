@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latencylab.functions.columns import bucket_floor, nearest_rank
-from latencylab.operators.scan import arg_extreme
+from latencylab.functions.columns import bucket_floor
+from latencylab.operators.scan import arg_extreme, null_safe_join, percentiles
 
 DEFAULT_BUCKET_SECONDS = 5.0
 
@@ -23,10 +23,10 @@ def run_labels(events: DataFrame, how: str = "max", prefix: str = "") -> DataFra
     """framework / scenario per run without a string aggregate over raw rows.
 
     ``min``/``max`` of a string needs a sort-based aggregate (string buffers are not
-    fixed-width), i.e. a sort of every row. Instead the distinct (run, framework,
-    scenario) combinations are found with a hash aggregate (strings as keys are
-    fine), and only that tiny table is reduced per run."""
-    combos = events.select("run_id", "framework", "scenario").distinct()
+    fixed-width), i.e. a sort of every row. Instead the (run, framework, scenario)
+    combinations are counted with a hash aggregate (strings as keys are fine), and only that
+    tiny table is reduced per run. The count is used, else the optimizer would drop the step."""
+    combos = events.groupBy("run_id", "framework", "scenario").agg(F.count(F.lit(1)).alias("_n")).where("_n > 0")
     fn = F.max if how == "max" else F.min
     return combos.groupBy("run_id").agg(
         fn("framework").alias(f"{prefix}framework"), fn("scenario").alias(f"{prefix}scenario")
@@ -62,13 +62,25 @@ def run_starts(events: DataFrame, metadata: DataFrame | None = None) -> DataFram
     return first.withColumn("run_start_ms", start)
 
 
-def _latency_stats(col: str = "latency_ms"):
-    return [
-        F.avg(col).alias("avg_latency_ms"),
-        nearest_rank(col, 0.5).alias("median_latency_ms"),
-        nearest_rank(col, 0.95).alias("p95_latency_ms"),
-        F.max(col).alias("max_latency_ms"),
-    ]
+RANKS = {"median_latency_ms": ("disc", 0.5), "p95_latency_ms": ("disc", 0.95)}
+
+
+def _statistics(rows: DataFrame, keys: Sequence[str], extra=()) -> DataFrame:
+    """Messages, distinct ids, id range and latency statistics per key.
+
+    Rows are first combined per (key, event id): the distinct count is then a plain count, and
+    every step is a fixed-width hash aggregate. The percentiles are ranks of counted values."""
+    per_id = rows.groupBy(*keys, "event_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("latency_ms").alias("_sum"), F.count("latency_ms").alias("_cnt"),
+        F.max("latency_ms").alias("_max"), *[fn(c).alias(f"_{n}") for n, fn, c in extra],
+    )
+    agg = per_id.groupBy(*keys).agg(
+        F.sum("_n").alias("messages"), F.count("event_id").alias("distinct_events"),
+        F.min("event_id").alias("min_event_id"), F.max("event_id").alias("max_event_id"),
+        F.try_divide(F.sum("_sum"), F.sum("_cnt")).alias("avg_latency_ms"), F.max("_max").alias("max_latency_ms"),
+        *[fn(f"_{n}").alias(n) for n, fn, _ in extra],
+    )
+    return null_safe_join(agg, percentiles(rows, keys, "latency_ms", RANKS), keys, "left")
 
 
 def bucket_rollup(events: DataFrame, starts: DataFrame, bucket_seconds: float = DEFAULT_BUCKET_SECONDS) -> DataFrame:
@@ -79,15 +91,8 @@ def bucket_rollup(events: DataFrame, starts: DataFrame, bucket_seconds: float =
         starts.select("run_id", "run_start_ms"), "run_id"
     )
     rows = rows.withColumn("bucket_offset_ms", bucket_floor(F.col("collected_at_ms") - F.col("run_start_ms"), width))
-    agg = rows.groupBy("run_id", "bucket_offset_ms").agg(
-        F.min("run_start_ms").alias("_start"),
-        F.count(F.lit(1)).alias("messages"),
-        F.count_distinct("event_id").alias("distinct_events"),
-        F.min("event_id").alias("min_event_id"),
-        F.max("event_id").alias("max_event_id"),
-        *_latency_stats(),
-    )
-    agg = agg.join(run_labels(rows), "run_id", "left")
+    agg = _statistics(rows, ["run_id", "bucket_offset_ms"], [("_start", F.min, "run_start_ms")])
+    agg = agg.join(run_labels(events.where(F.col("collected_at_ms").isNotNull())), "run_id", "left")
     return agg.select(
         "run_id", "framework", "scenario", "bucket_offset_ms",
         (F.col("_start") + F.col("bucket_offset_ms")).alias("bucket_start_ms"),
@@ -101,15 +106,9 @@ def run_rollup(events: DataFrame, starts: DataFrame) -> DataFrame:
     """One summary row per run, the same statistics over the whole run plus the run
     start and the first / last arrival."""
     rows = events.where(F.col("collected_at_ms").isNotNull())
-    agg = rows.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("messages"),
-        F.count_distinct("event_id").alias("distinct_events"),
-        F.min("event_id").alias("min_event_id"),
-        F.max("event_id").alias("max_event_id"),
-        F.min("collected_at_ms").alias("first_collected_at_ms"),
-        F.max("collected_at_ms").alias("last_collected_at_ms"),
-        *_latency_stats(),
-    )
+    agg = _statistics(rows, ["run_id"], [
+        ("first_collected_at_ms", F.min, "collected_at_ms"), ("last_collected_at_ms", F.max, "collected_at_ms"),
+    ])
     out = agg.join(run_labels(rows), "run_id", "left").join(
         starts.select("run_id", F.col("run_start_ms").alias("first_sent_at_ms")), "run_id", "left"
     )
@@ -123,18 +122,10 @@ def run_rollup(events: DataFrame, starts: DataFrame) -> DataFrame:
 def latest_wins(df: DataFrame, keys: Sequence[str], version_cols: Sequence[str]) -> DataFrame:
     """What ``INSERT ... ON CONFLICT DO UPDATE`` leaves: the newest row per key.
 
-    ``version_cols`` order versions (newest = largest); ties must not occur.
-    Implemented as ``max_by`` on a struct of the row, so it is a partial+final
-    aggregate (map-side combine), not a per-key sort.
+    ``version_cols`` order versions (newest = largest; numbers or timestamps, the first not null). The
+    largest first version per key is a hash aggregate; only rows that reach it are compared further.
+    Rows equal in all versions are settled by their other columns (the largest), so the result is defined.
     """
     others = [c for c in df.columns if c not in keys]
-    newest = df.groupBy(*keys).agg(
-        F.max_by(F.struct(*[F.col(c) for c in others]), F.struct(*[F.col(c) for c in version_cols])).alias("_row")
-    )
-    return newest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others])
-
-
-def latest_wins_rank(df: DataFrame, keys: Sequence[str], version_cols: Sequence[str]) -> DataFrame:
-    """Same result with ``row_number() ... desc = 1`` (kept for readers who expect it)."""
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in version_cols])
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    order = [F.col(c) for c in version_cols]
+    return arg_extreme(df, keys, order, others, largest=True).select(*keys, *others)

@@ -62,14 +62,14 @@ def window_metrics(df: DataFrame, amount: str = "TransactionAmount") -> DataFram
     return agg.withColumn("avg_amount", F.col("total_amount") / F.col("transaction_count"))
 
 
-def _running(df, keys, order, block_col, block_size, amount, peers, with_max, prefix):
+def _running(df, keys, order, amount, peers, with_max, prefix):
     sums = {
         f"{prefix}transaction_count": F.lit(1).cast("long"),
         f"{prefix}total_amount": F.coalesce(F.col(amount).cast("double"), F.lit(0.0)),
         f"{prefix}fraud_count": _fraud_int(),
     }
     maxes = {f"{prefix}max_amount": F.coalesce(F.col(amount).cast("double"), F.lit(0.0))} if with_max else {}
-    out = running_totals(df, keys, order, block_col, block_size, sums=sums, maxes=maxes, peers=peers)
+    out = running_totals(df, keys, [order], sums=sums, maxes=maxes, peers=peers)
     if with_max:
         out = out.withColumn(f"{prefix}max_amount", F.greatest(F.lit(0.0), F.col(f"{prefix}max_amount")))
     return out.withColumn(
@@ -78,46 +78,42 @@ def _running(df, keys, order, block_col, block_size, amount, peers, with_max, pr
 
 
 def account_running(df: DataFrame, amount: str = "TransactionAmount", order: str = "event_id",
-                    block_size: int = 1_000_000, prefix: str = "account_", empty_is_unknown: bool = False) -> DataFrame:
+                    prefix: str = "account_", empty_is_unknown: bool = False) -> DataFrame:
     """Per-event running account values in event order (one value per event)."""
     keyed = metric_keys(df, empty_is_unknown)
-    return _running(keyed, ACCOUNT_KEYS, [order], order, block_size, amount, False, True, prefix)
+    return _running(keyed, ACCOUNT_KEYS, order, amount, False, True, prefix)
 
 
 def window_running(df: DataFrame, amount: str = "TransactionAmount", order: str = "event_id",
-                   block_size: int = 1_000_000, prefix: str = "window_", empty_is_unknown: bool = False) -> DataFrame:
+                   prefix: str = "window_", empty_is_unknown: bool = False) -> DataFrame:
     """Per-event running values of the event's 30-s window key."""
     keyed = metric_keys(df, empty_is_unknown)
-    return _running(keyed, WINDOW_KEYS, [order], order, block_size, amount, False, False, prefix)
+    return _running(keyed, WINDOW_KEYS, order, amount, False, False, prefix)
 
 
 def account_batch_cumulative(df: DataFrame, amount: str = "TransactionAmount", batch: str = "batch_id",
-                             block_size: int = 100_000, prefix: str = "account_") -> DataFrame:
+                             prefix: str = "account_", empty_is_unknown: bool = False) -> DataFrame:
     """Batch-end cumulative account values: all rows of a batch share them."""
-    keyed = metric_keys(df)
-    return _running(keyed, ACCOUNT_KEYS, [batch], batch, block_size, amount, True, False, prefix)
+    return _running(metric_keys(df, empty_is_unknown), ACCOUNT_KEYS, batch, amount, True, False, prefix)
 
 
 def window_batch_cumulative(df: DataFrame, amount: str = "TransactionAmount", batch: str = "batch_id",
-                            block_size: int = 100_000, prefix: str = "window_") -> DataFrame:
-    keyed = metric_keys(df)
-    return _running(keyed, WINDOW_KEYS, [batch], batch, block_size, amount, True, False, prefix)
+                            prefix: str = "window_", empty_is_unknown: bool = False) -> DataFrame:
+    return _running(metric_keys(df, empty_is_unknown), WINDOW_KEYS, batch, amount, True, False, prefix)
 
 
 def add_running_metrics(df: DataFrame, grain: str = "batch", amount: str = "TransactionAmount",
-                        batch: str = "batch_id", order: str = "event_id") -> DataFrame:
+                        batch: str = "batch_id", order: str = "event_id", empty_is_unknown: bool = False) -> DataFrame:
     """Both metric families on each event: ``grain='batch'`` gives batch-end values
     (the micro-batch job), ``grain='event'`` per-event values (the per-record job).
 
-    Window frames replace the reference's collect-to-driver + left joins; rows with
-    a null scenario form their own group instead of getting null metrics.
+    Every event stays, also one without a send time (its window bucket is null, a
+    key value of its own) or with a null scenario.
     """
     if grain == "batch":
-        out = window_batch_cumulative(df, amount, batch)
-        out = account_batch_cumulative(out, amount, batch)
-    elif grain == "event":
-        out = window_running(df, amount, order)
-        out = account_running(out, amount, order)
-    else:
-        raise ValueError("grain must be 'batch' or 'event'")
-    return out
+        out = window_batch_cumulative(df, amount, batch, empty_is_unknown=empty_is_unknown)
+        return account_batch_cumulative(out, amount, batch, empty_is_unknown=empty_is_unknown)
+    if grain == "event":
+        out = window_running(df, amount, order, empty_is_unknown=empty_is_unknown)
+        return account_running(out, amount, order, empty_is_unknown=empty_is_unknown)
+    raise ValueError("grain must be 'batch' or 'event'")

@@ -16,8 +16,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latencylab.functions.columns import cont_percentile, split_iteration
+from latencylab.functions.columns import split_iteration
 from latencylab.operators.rollup import run_labels
+from latencylab.operators.scan import percentiles
 
 
 @dataclass(frozen=True)
@@ -65,9 +66,9 @@ def event_runs(t) -> DataFrame:
             F.min("collected_at_ms").alias("first_collected_at_ms"),
             F.max("collected_at_ms").alias("last_collected_at_ms"),
             F.avg("latency_ms").alias("avg_latency_ms"),
-            cont_percentile("latency_ms", 0.95).alias("p95_latency_ms"),
             F.min(F.coalesce("sent_at_ms", "collected_at_ms")).alias("first_ts"),
         )
+        .join(percentiles(raw_rows, ["run_id"], "latency_ms", {"p95_latency_ms": ("cont", 0.95)}), "run_id", "left")
         .join(run_labels(raw_rows, "min", "event_"), "run_id", "left")
     )
     bucket_rows = b.join(_ids(s), "run_id", "left_anti").join(_ids(e), "run_id", "left_anti")
@@ -251,8 +252,9 @@ def run_dim(runs: DataFrame) -> DataFrame:
 
 
 def next_iteration(t, max_iteration: int = 99) -> DataFrame:
-    """First free iteration 1..99 per (framework, scenario): a run id is taken when
-    any stored table (raw, summary, buckets, metadata) has it."""
+    """First free iteration 1..``max_iteration`` per (framework, scenario): a run id is taken when
+    any stored table (raw, summary, buckets, metadata) has it. A combination without a free
+    one stays, with null."""
     taken = (
         _ids(t.processed_events).unionByName(_ids(t.processed_run_summaries))
         .unionByName(_ids(t.processed_event_buckets)).unionByName(_ids(t.run_metadata)).distinct()
@@ -261,7 +263,7 @@ def next_iteration(t, max_iteration: int = 99) -> DataFrame:
     cand = combos.select(
         "framework", "scenario", F.explode(F.sequence(F.lit(1), F.lit(max_iteration))).alias("n")
     ).withColumn("run_id", compose_run_id(F.col("framework"), F.col("scenario"), F.col("n")))
-    free = cand.join(taken, "run_id", "left_anti")
-    return free.groupBy("framework", "scenario").agg(
-        F.lpad(F.min("n").cast("string"), 2, "0").alias("next_iteration")
+    marked = cand.join(taken.withColumn("_taken", F.lit(True)), "run_id", "left")
+    return marked.groupBy("framework", "scenario").agg(
+        F.lpad(F.min(F.when(F.col("_taken").isNull(), F.col("n"))).cast("string"), 2, "0").alias("next_iteration")
     )

@@ -1,19 +1,18 @@
-"""Skew-safe ordered scans within a key: row numbers, running totals, neighbours.
+"""Skew-safe ordered scans within a key: row numbers, running totals, neighbours, percentiles.
 
 A plain ``Window.partitionBy(key).orderBy(...)`` sends every row of a key to one
 task, so a run or account holding a third of the rows becomes one straggler task.
-These operators split each key into *blocks* of the ordering column
-(``floor(order / block_size)``), do the ordered work inside ``(key, block)``
-partitions, and carry the per-block result (count, sum, max, last row) forward
-with a window over the block summaries, which hold one row per block. The result
-is exact; the largest window partition is one block instead of one key.
-
-Requirements: key columns are non-null (callers coalesce), the block column is
-numeric and non-decreasing in the order, and the order columns give a total order
-within a key when the result depends on it (pass a tiebreak).
-
-``block_size`` is a width in units of the block column, or a Column such as
-``auto_block_width(...)`` that sizes blocks from the data.
+These operators cut each large key into *blocks* of consecutive rows, do the ordered
+work inside ``(key, block)`` partitions, and carry the per-block result (count,
+sum, max, edge row) forward with a window over the block summaries, one row per block.
+
+Blocks are cut at points of the full sort order, (order columns) as one tuple, taken
+from a hash sample of the key's rows: a dense key beside sparse ones, many equal timestamps
+(the tiebreak column splits them) and sparse ids are all cut to about ``target_rows``. Keys
+below that size are one block. The cut points are one value, the result of a scalar subquery.
+
+Null keys and null order values are ordinary values (nulls first): no row is lost. The
+order columns give a total order within a key when the result depends on it.
 """
 
 from __future__ import annotations
@@ -25,54 +24,53 @@ from pyspark.sql import functions as F
 
 _BLK = "_blk"
 
-# Target rows per block when the width is chosen from the data.
+# Rows per block, and sampled rows per block from which the cut points are taken.
 TARGET_BLOCK_ROWS = 1_000_000
-
-
-def auto_block_width(df: DataFrame, keys, block_col: str, target_rows: int = TARGET_BLOCK_ROWS) -> Column:
-    """Block width from the data, as a scalar subquery (no join, no collect):
-    span of the ordering column x target rows / rows of the largest key. If the
-    largest key is spread evenly over the span, its blocks hold about
-    ``target_rows`` rows; smaller keys hold fewer per block."""
-    per_key = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(block_col).alias("_lo"), F.max(block_col).alias("_hi")
-    )
-    stats = per_key.agg(
-        F.greatest(
-            F.lit(1).cast("long"),
-            F.floor((F.max("_hi") - F.min("_lo") + 1).cast("double") * F.lit(float(target_rows))
-                    / F.max("_n").cast("double")).cast("long"),
-        )
+SAMPLES_PER_BLOCK = 32
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which null equals null; the right side's keys are dropped."""
+    renamed = right.withColumnsRenamed({k: f"_j_{k}" for k in keys})
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"_j_{k}"))
+        cond = c if cond is None else cond & c
+    return left.join(renamed, cond, how).drop(*[f"_j_{k}" for k in keys])
+
+
+def with_blocks(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], target_rows: int = TARGET_BLOCK_ROWS) -> DataFrame:
+    """Adds the block number of each row: how many of its key's cut points are at or before it."""
+    step = max(1, target_rows // SAMPLES_PER_BLOCK)
+    point, key = F.struct(*order_cols), F.xxhash64(F.lit(1), *keys)
+    drawn = F.pmod(F.xxhash64(F.lit(2), *keys, *order_cols), F.lit(step)) == 0
+    cuts = (
+        df.where(drawn).groupBy(key.alias("k"))
+        .agg(F.array_sort(F.collect_list(point)).alias("points"))
+        .where(F.size("points") > SAMPLES_PER_BLOCK)
+        .select("k", F.filter("points", lambda p, i: i % SAMPLES_PER_BLOCK == SAMPLES_PER_BLOCK - 1).alias("cuts"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("k", "cuts"))).alias("all"))
+        .scalar()
     )
-    return stats.scalar()
+    number = F.size(F.filter("_cuts", lambda c: c <= point)).cast("long")
+    return df.withColumn("_cuts", F.try_element_at(cuts, key)).withColumn(_BLK, F.when(F.col("_cuts").isNull(), F.lit(0).cast("long")).otherwise(number)).drop("_cuts")
 
 
-def _with_block(df: DataFrame, block_col: str, block_size) -> DataFrame:
-    width = block_size if isinstance(block_size, Column) else F.lit(block_size)
-    return df.withColumn(_BLK, F.floor(F.col(block_col) / width).cast("long"))
+def _columns(order_cols: Sequence[str]) -> list[Column]:
+    return [F.col(c) for c in order_cols]
 
 
-def _ordered(order_cols: Sequence) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in order_cols]
-
-
-def sequence_number(
-    df: DataFrame,
-    keys: Sequence[str],
-    order_cols: Sequence,
-    block_col: str,
-    block_size: int,
-    name: str = "seq",
-) -> DataFrame:
+def sequence_number(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], name: str = "seq",
+                    target_rows: int = TARGET_BLOCK_ROWS) -> DataFrame:
     """Exact ``row_number()`` within ``keys`` ordered by ``order_cols`` (1-based, long)."""
     keys = list(keys)
-    b = _with_block(df, block_col, block_size)
-    local = b.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, _BLK).orderBy(*_ordered(order_cols))))
+    b = with_blocks(df, keys, order_cols, target_rows)
+    local = b.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, _BLK).orderBy(*_columns(order_cols))))
     counts = local.groupBy(*keys, _BLK).agg(F.max("_local").alias("_n"))
     before = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, _BLK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     return (
-        local.join(offsets, [*keys, _BLK])
+        null_safe_join(local, offsets, [*keys, _BLK])
         .withColumn(name, (F.col("_off") + F.col("_local")).cast("long"))
         .drop(_BLK, "_local", "_off")
     )
@@ -81,12 +79,11 @@ def sequence_number(
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
-    order_cols: Sequence,
-    block_col: str,
-    block_size: int,
+    order_cols: Sequence[str],
     sums: dict[str, Column] | None = None,
     maxes: dict[str, Column] | None = None,
     peers: bool = False,
+    target_rows: int = TARGET_BLOCK_ROWS,
 ) -> DataFrame:
     """Running sums / maxima from the start of the key up to each row.
 
@@ -96,34 +93,31 @@ def running_totals(
     pre-aggregated per (key, order value) with a partial+final hash aggregate, the
     running scan runs over those aggregated rows, and the totals are joined back, so
     neither a key with many order values nor one huge peer group lands in a single
-    window partition. ``order_cols`` must then be the single block column.
+    window partition.
     """
-    keys = list(keys)
+    keys, order_cols = list(keys), list(order_cols)
     sums = dict(sums or {})
     maxes = dict(maxes or {})
     if peers:
-        order = order_cols[0] if isinstance(order_cols[0], str) else block_col
-        per_peer = df.groupBy(*keys, order).agg(
+        per_peer = df.groupBy(*keys, *order_cols).agg(
             *[F.sum(e).alias(f"_p_{n}") for n, e in sums.items()],
             *[F.max(e).alias(f"_p_{n}") for n, e in maxes.items()],
         )
         scanned = running_totals(
-            per_peer, keys, [order], order, block_size,
-            sums={n: F.col(f"_p_{n}") for n in sums}, maxes={n: F.col(f"_p_{n}") for n in maxes},
+            per_peer, keys, order_cols, sums={n: F.col(f"_p_{n}") for n in sums},
+            maxes={n: F.col(f"_p_{n}") for n in maxes}, target_rows=target_rows,
         ).drop(*[f"_p_{n}" for n in {**sums, **maxes}])
-        return df.join(scanned, [*keys, order])
-    b = _with_block(df, block_col, block_size).withColumns({f"_v_{n}": e for n, e in {**sums, **maxes}.items()})
-    w = Window.partitionBy(*keys, _BLK).orderBy(*_ordered(order_cols)).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+        return null_safe_join(df, scanned, [*keys, *order_cols])
+    b = with_blocks(df, keys, order_cols, target_rows).withColumns({f"_v_{n}": e for n, e in {**sums, **maxes}.items()})
+    order = Window.partitionBy(*keys, _BLK).orderBy(*_columns(order_cols))
+    w = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = b.withColumns({
         **{f"_l_{n}": F.sum(f"_v_{n}").over(w) for n in sums},
         **{f"_l_{n}": F.max(f"_v_{n}").over(w) for n in maxes},
+        "_closes": F.lead(F.lit(1)).over(order).isNull(),
     })
-    per_block = local.groupBy(*keys, _BLK).agg(
-        *[F.sum(f"_v_{n}").alias(f"_b_{n}") for n in sums],
-        *[F.max(f"_v_{n}").alias(f"_b_{n}") for n in maxes],
-    )
+    # the totals of a block are those of its last row: a filter of the window output, no aggregate
+    per_block = local.where("_closes").select(*keys, _BLK, *[F.col(f"_l_{n}").alias(f"_b_{n}") for n in {**sums, **maxes}])
     before = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
     carry = per_block.select(
         *keys,
@@ -131,14 +125,14 @@ def running_totals(
         *[F.sum(f"_b_{n}").over(before).alias(f"_c_{n}") for n in sums],
         *[F.max(f"_b_{n}").over(before).alias(f"_c_{n}") for n in maxes],
     )
-    out = local.join(carry, [*keys, _BLK]).withColumns({
+    out = null_safe_join(local, carry, [*keys, _BLK]).withColumns({
         # sum semantics: null only when every value so far is null
         **{n: F.when(F.col(f"_c_{n}").isNull(), F.col(f"_l_{n}"))
            .when(F.col(f"_l_{n}").isNull(), F.col(f"_c_{n}"))
            .otherwise(F.col(f"_c_{n}") + F.col(f"_l_{n}")) for n in sums},
         **{n: F.greatest(F.col(f"_c_{n}"), F.col(f"_l_{n}")) for n in maxes},
     })
-    drop = [_BLK] + [f"_{p}_{n}" for n in {**sums, **maxes} for p in ("v", "l", "c")]
+    drop = [_BLK, "_closes"] + [f"_{p}_{n}" for n in {**sums, **maxes} for p in ("v", "l", "c")]
     return out.drop(*drop)
 
 
@@ -146,11 +140,10 @@ def neighbour(
     df: DataFrame,
     keys: Sequence[str],
     order_cols: Sequence[str],
-    block_col: str,
-    block_size: int,
     cols: Sequence[str],
     direction: str = "prev",
     prefix: str = "prev_",
+    target_rows: int = TARGET_BLOCK_ROWS,
 ) -> DataFrame:
     """Attach the previous (``lag``) or next (``lead``) row's ``cols`` within ``keys``.
 
@@ -158,9 +151,9 @@ def neighbour(
     ``order_cols`` must be a total order inside a key.
     """
     keys = list(keys)
-    b = _with_block(df, block_col, block_size)
+    b = with_blocks(df, keys, order_cols, target_rows)
     packed = F.struct(*[F.col(c) for c in cols])
-    w = Window.partitionBy(*keys, _BLK).orderBy(*[F.col(c) for c in order_cols])
+    w = Window.partitionBy(*keys, _BLK).orderBy(*_columns(order_cols))
     if direction == "prev":
         # the previous row, and whether this row closes its block (no next row)
         local = b.withColumns({"_nb": F.lag(packed).over(w), "_edge_row": F.lead(F.lit(1)).over(w).isNull()})
@@ -173,33 +166,66 @@ def neighbour(
     # one edge row per block, taken from the window output (a filter, no aggregate)
     edges = local.where("_edge_row").select(*keys, _BLK, packed.alias("_edge"))
     carry = edges.select(*keys, _BLK, carry_fn("_edge").over(Window.partitionBy(*keys).orderBy(_BLK)).alias("_carry"))
-    out = local.join(carry, [*keys, _BLK]).withColumn("_nb", F.coalesce("_nb", "_carry"))
-    for c in cols:
-        out = out.withColumn(prefix + c, F.col("_nb")[c])
-    return out.drop(_BLK, "_nb", "_carry", "_edge_row")
+    out = null_safe_join(local, carry, [*keys, _BLK]).withColumn("_nb", F.coalesce("_nb", "_carry"))
+    return out.withColumns({prefix + c: F.col("_nb")[c] for c in cols}).drop(_BLK, "_nb", "_carry", "_edge_row")
+
+
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, tuple[str, float]],
+                target_rows: int = TARGET_BLOCK_ROWS) -> DataFrame:
+    """Exact percentiles per key: ``wanted`` maps output names to ("disc" | "cont", p).
+
+    Equal values are counted first (partial + final hash aggregate), a running count over the
+    distinct values gives every value's last rank, and the value at a rank is the least one
+    whose running count reaches it. No buffer grows with a group, unlike the built-in exact
+    percentile, whose value map of a hot group ends in one task. "disc" is the nearest rank
+    (index ceil(p n), at least 1), "cont" interpolates between ranks. Null values are skipped; a key without
+    values has no row.
+    """
+    keys = list(keys)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = running_totals(counts, keys, ["_x"], sums={"_cum": F.col("_c")}, target_rows=target_rows)
+    total = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    ranked = null_safe_join(ranked, total, keys) if keys else ranked.crossJoin(total)
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("_cum") >= rank, F.col("_x").cast("double")))
+
+    aggs = {}
+    for name, (kind, p) in wanted.items():
+        if kind == "disc":
+            aggs[name] = at(F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("_n"))))
+        else:
+            pos = F.lit(p) * (F.col("_n") - 1)
+            aggs[f"{name}_lo"], aggs[f"{name}_hi"] = at(F.floor(pos) + 1), at(F.ceil(pos) + 1)
+    out = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *[e.alias(n) for n, e in aggs.items()])
+    picked = []
+    for name, (kind, p) in wanted.items():
+        if kind == "disc":
+            picked.append(F.col(name))
+        else:
+            pos = F.lit(p) * (F.col("_n") - 1)
+            lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
+            picked.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
+    return out.select(*keys, *picked)
 
 
 def arg_extreme(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cols: Sequence[str],
                 largest: bool = False, names: Sequence[str] | None = None) -> DataFrame:
     """Per key, the ``cols`` of the row with the lexicographically smallest (or
-    largest) ``order`` tuple.
+    largest) ``order`` tuple; of rows equal in all of it the smallest (largest) by ``cols``.
 
     ``min_by``/``max_by`` with a struct needs a sort-based aggregate (its buffer is
     not fixed-width), i.e. a sort of every row. Here the leading order component is
     a fixed-width hash aggregate (partial + final) over all rows, joined back to
     keep the rows that reach it (one row per key on the small side); only those ties
-    go through ``min_by``/``max_by`` for the remaining components. The leading
+    go through ``min``/``max`` of the remaining tuple. The leading
     component must be numeric; rows with a null leading component are skipped."""
     keys = list(keys)
     names = list(names or cols)
     fn = F.max if largest else F.min
-    pick = F.max_by if largest else F.min_by
-    cand = df.select(*keys, *[c.alias(f"_o{i}") for i, c in enumerate(order)], *[F.col(c) for c in cols])
+    cand = df.select(*keys, *[c.alias(f"_o{i}") for i, c in enumerate(order)], *[F.col(c).alias(f"_x_{n}") for c, n in zip(cols, names)])
     best = cand.where(F.col("_o0").isNotNull()).groupBy(*keys).agg(fn("_o0").alias("_o0"))
-    ties = cand.join(best, [*keys, "_o0"])
-    value = F.struct(*[F.col(c).alias(n) for c, n in zip(cols, names)])
-    if len(order) == 1:
-        agg = ties.groupBy(*keys).agg(F.min(value).alias("_v"))
-    else:
-        agg = ties.groupBy(*keys).agg(pick(value, F.struct(*[F.col(f"_o{i}") for i in range(1, len(order))])).alias("_v"))
-    return agg.select(*keys, *[F.col(f"_v.{n}").alias(n) for n in names])
+    ties = null_safe_join(cand, best, [*keys, "_o0"])
+    rest = F.struct(*[F.col(f"_o{i}") for i in range(1, len(order))], *[F.col(f"_x_{n}") for n in names])
+    agg = ties.groupBy(*keys).agg(fn(rest).alias("_v"))
+    return agg.select(*keys, *[F.col(f"_v._x_{n}").alias(n) for n in names])

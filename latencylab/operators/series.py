@@ -12,10 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latencylab.functions.columns import bucket_floor, cont_percentile
+from latencylab.functions.columns import bucket_floor
 from latencylab.functions.stats import with_ci95
 from latencylab.operators.runs import RunFilter, selected_runs
-from latencylab.operators.summary import _ids
+from latencylab.operators.scan import null_safe_join, percentiles
+from latencylab.operators.summary import QUANTILES, _ids, distinct_per_run
 
 
 def _weighted_avg():
@@ -37,14 +38,21 @@ def _bucket_aggs(width: int, start_col: str = "bucket_start_ms"):
     ]
 
 
+def _raw_stats(rows: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+    """Statistics of raw rows per key; the percentiles are joined to the other aggregates."""
+    agg = rows.groupBy(*keys).agg(*_raw_aggs(width))
+    pct = percentiles(rows, keys, "latency_ms", QUANTILES)
+    return null_safe_join(agg, pct, keys, "left").select(
+        *keys, "bucket_start_ms", "messages", "throughput_eps", "avg_latency_ms", *QUANTILES, "stddev_latency_ms", "max_latency_ms"
+    )
+
+
 def _raw_aggs(width: int):
     return [
         F.min("collected_at_ms").alias("bucket_start_ms"),
         F.count(F.lit(1)).alias("messages"),
         (F.count(F.lit(1)) * F.lit(1000.0) / F.lit(float(width))).alias("throughput_eps"),
         F.avg("latency_ms").alias("avg_latency_ms"),
-        cont_percentile("latency_ms", 0.5).alias("median_latency_ms"),
-        cont_percentile("latency_ms", 0.95).alias("p95_latency_ms"),
         F.stddev_samp("latency_ms").alias("stddev_latency_ms"),
         F.max("latency_ms").alias("max_latency_ms"),
     ]
@@ -64,15 +72,19 @@ def run_bounds(t) -> DataFrame:
     return s.unionByName(raw)
 
 
-def latency_series_bucket(t, bucket_seconds: float = 5.0, warmup_seconds: float = 0.0) -> DataFrame:
+def latency_series_bucket(t, bucket_seconds: float = 5.0, warmup_seconds: float = 0.0, ordered: bool = True) -> DataFrame:
     """Series from stored time buckets re-bucketed to ``bucket_seconds``."""
     width, warm = int(bucket_seconds * 1000), int(warmup_seconds * 1000)
     b = t.processed_event_buckets.where(F.col("bucket_offset_ms") >= F.lit(warm))
     b = b.withColumn("bucket_offset_ms", bucket_floor("bucket_offset_ms", width))
-    return b.groupBy("run_id", "bucket_offset_ms").agg(*_bucket_aggs(width)).orderBy("run_id", "bucket_offset_ms")
+    return _in_order(b.groupBy("run_id", "bucket_offset_ms").agg(*_bucket_aggs(width)), ordered)
 
 
-def latency_series_raw(t, bucket_seconds: float = 5.0, warmup_seconds: float = 0.0) -> DataFrame:
+def _in_order(series: DataFrame, ordered: bool) -> DataFrame:
+    return series.orderBy("run_id", "bucket_offset_ms") if ordered else series
+
+
+def latency_series_raw(t, bucket_seconds: float = 5.0, warmup_seconds: float = 0.0, ordered: bool = True) -> DataFrame:
     """Series from raw rows of runs without buckets, offset from the run origin."""
     width, warm = int(bucket_seconds * 1000), int(warmup_seconds * 1000)
     e = (
@@ -82,14 +94,15 @@ def latency_series_raw(t, bucket_seconds: float = 5.0, warmup_seconds: float = 0
         .where(F.col("collected_at_ms") >= F.col("first_ts") + F.lit(warm))
         .withColumn("bucket_offset_ms", bucket_floor(F.col("collected_at_ms") - F.col("first_ts"), width))
     )
-    return e.groupBy("run_id", "bucket_offset_ms").agg(*_raw_aggs(width)).orderBy("run_id", "bucket_offset_ms")
+    return _in_order(_raw_stats(e, ["run_id", "bucket_offset_ms"], width), ordered)
 
 
 def latency_series(t, bucket_seconds: float = 5.0, warmup_seconds: float = 0.0) -> DataFrame:
-    """Both paths: a run with buckets is served from them, otherwise from raw rows."""
-    return latency_series_bucket(t, bucket_seconds, warmup_seconds).unionByName(
-        latency_series_raw(t, bucket_seconds, warmup_seconds)
+    """Both paths: a run with buckets is served from them, otherwise from raw rows; one sort after the union."""
+    both = latency_series_bucket(t, bucket_seconds, warmup_seconds, ordered=False).unionByName(
+        latency_series_raw(t, bucket_seconds, warmup_seconds, ordered=False)
     )
+    return _in_order(both, True)
 
 
 def per_run_stats(t, sel: DataFrame, warmup_seconds: float = 0.0) -> DataFrame:
@@ -130,17 +143,29 @@ def per_run_stats(t, sel: DataFrame, warmup_seconds: float = 0.0) -> DataFrame:
             "_lat", F.when(F.col("collected_at_ms") >= F.col("first_ts") + F.lit(warm), F.col("latency_ms"))
         )
     )
-    raw_runs = e.groupBy(*keep).agg(
-        F.count(F.lit(1)).alias("messages"),
-        F.count_distinct("event_id").alias("distinct_events"),
-        F.min("event_id").alias("min_event_id"), F.max("event_id").alias("max_event_id"),
+    latency = e.groupBy("run_id").agg(
         F.avg("_lat").alias("avg_latency_ms"),
-        cont_percentile("_lat", 0.5).alias("median_latency_ms"),
-        cont_percentile("_lat", 0.95).alias("p95_latency_ms"),
         F.stddev_samp("_lat").alias("stddev_latency_ms"),
         F.max("_lat").alias("max_latency_ms"),
     )
-    return summary_runs.unionByName(raw_runs)
+    raw_runs = (
+        sel.select(*keep).join(distinct_per_run(e), "run_id").join(latency, "run_id")
+        .join(percentiles(e, ["run_id"], "_lat", QUANTILES), "run_id", "left")
+    )
+    return summary_runs.unionByName(raw_runs.select(*summary_runs.columns))
+
+
+def _across_runs() -> list:
+    missing = F.greatest((F.col("max_event_id") - F.col("min_event_id") + 1) - F.col("distinct_events"), F.lit(0))
+    means = [F.avg(f"{c}_latency_ms").alias(f"avg_of_run_{c}_latency_ms") for c in ("avg", "median", "p95", "stddev")]
+    return [
+        F.count(F.lit(1)).alias("run_count"),
+        F.sum("messages").cast("long").alias("total_messages"),
+        F.sum(missing).cast("long").alias("total_missing_event_ids"),
+        *means,
+        F.stddev_samp("avg_latency_ms").alias("stddev_of_run_avg_latency_ms"),
+        F.max("max_latency_ms").alias("max_latency_ms"),
+    ]
 
 
 def aggregate_runs(t, filt: RunFilter | None = None, warmup_seconds: float = 0.0,
@@ -150,18 +175,7 @@ def aggregate_runs(t, filt: RunFilter | None = None, warmup_seconds: float = 0.0
     them one row for the filtered selection (an empty selection gives run_count 0)."""
     sel = selected_runs(t, filt).select("run_id", "first_ts", *group_by)
     per_run = per_run_stats(t, sel, warmup_seconds)
-    aggs = [
-        F.count(F.lit(1)).alias("run_count"),
-        F.sum("messages").cast("long").alias("total_messages"),
-        F.sum(F.greatest((F.col("max_event_id") - F.col("min_event_id") + 1) - F.col("distinct_events"), F.lit(0)))
-        .cast("long").alias("total_missing_event_ids"),
-        F.avg("avg_latency_ms").alias("avg_of_run_avg_latency_ms"),
-        F.avg("median_latency_ms").alias("avg_of_run_median_latency_ms"),
-        F.avg("p95_latency_ms").alias("avg_of_run_p95_latency_ms"),
-        F.avg("stddev_latency_ms").alias("avg_of_run_stddev_latency_ms"),
-        F.stddev_samp("avg_latency_ms").alias("stddev_of_run_avg_latency_ms"),
-        F.max("max_latency_ms").alias("max_latency_ms"),
-    ]
+    aggs = _across_runs()
     out = per_run.groupBy(*group_by).agg(*aggs) if group_by else per_run.agg(*aggs)
     return with_ci95(out, "avg_of_run_avg_latency_ms", "stddev_of_run_avg_latency_ms", "run_count",
                      "avg_of_run_avg_latency")
@@ -190,10 +204,8 @@ def aggregate_latency_series(t, filt: RunFilter | None = None, bucket_seconds: f
         .join(sel, "run_id")
         .where(F.col("collected_at_ms") >= F.col("first_ts") + F.lit(warm))
         .withColumn("bucket_offset_ms", bucket_floor(F.col("collected_at_ms") - F.col("first_ts"), width))
-        .groupBy(*keys, "bucket_offset_ms")
-        .agg(*_raw_aggs(width)[1:])
     )
-    per_run_bucket = b.unionByName(e)
+    per_run_bucket = b.unionByName(_raw_stats(e, [*keys, "bucket_offset_ms"], width).drop("bucket_start_ms"))
     return (
         per_run_bucket.groupBy(*group_by, "bucket_offset_ms")
         .agg(
@@ -212,15 +224,27 @@ def aggregate_latency_series(t, filt: RunFilter | None = None, bucket_seconds: f
 
 
 def compare_frameworks(t, warmup_seconds: float = 0.0, frameworks=("spark", "flink")) -> DataFrame:
-    """Frameworks side by side per (scenario, mode, fault action); the fault service
+    """Frameworks side by side per (scenario, mode, fault action): every metric of the group aggregate with
+    its confidence interval, null where a framework has no run. The fault service
     differs by framework, so it is not a grouping key."""
-    sel = selected_runs(t).select("run_id", "first_ts", "framework", "scenario", "mode", "fault_action")
+    dims = ["scenario", "mode", "fault_action"]
+    sel = selected_runs(t).select("run_id", "first_ts", "framework", *dims)
     per_run = per_run_stats(t, sel, warmup_seconds)
-    piv = (
-        per_run.groupBy("scenario", "mode", "fault_action")
-        .pivot("framework", list(frameworks))
-        .agg(F.count(F.lit(1)).alias("run_count"), F.avg("avg_latency_ms").alias("avg_latency_ms"))
-    )
-    for fw in frameworks:
-        piv = piv.withColumn(f"{fw}_run_count", F.coalesce(F.col(f"{fw}_run_count"), F.lit(0).cast("long")))
-    return piv
+    agg = with_ci95(per_run.groupBy(*dims, "framework").agg(*_across_runs()), "avg_of_run_avg_latency_ms",
+                    "stddev_of_run_avg_latency_ms", "run_count", "avg_of_run_avg_latency")
+    metrics = [c for c in agg.columns if c not in (*dims, "framework")]
+    out = agg.groupBy(*dims).agg(*[
+        F.max(F.when(F.col("framework") == fw, F.col(m))).alias(f"{fw}_{m}") for fw in frameworks for m in metrics
+    ])
+    return out.withColumns({f"{fw}_run_count": F.coalesce(F.col(f"{fw}_run_count"), F.lit(0).cast("long")) for fw in frameworks})
+
+
+def compare_framework_series(t, bucket_seconds: float = 5.0, warmup_seconds: float = 0.0, frameworks=("spark", "flink")) -> DataFrame:
+    """The frameworks' latency and throughput series side by side per (scenario, mode, fault action, offset)."""
+    dims = ["scenario", "mode", "fault_action"]
+    series = aggregate_latency_series(t, None, bucket_seconds, warmup_seconds, group_by=["framework", *dims])
+    metrics = [c for c in series.columns if c not in ("framework", *dims, "bucket_offset_ms")]
+    out = series.groupBy(*dims, "bucket_offset_ms").agg(*[
+        F.max(F.when(F.col("framework") == fw, F.col(m))).alias(f"{fw}_{m}") for fw in frameworks for m in metrics
+    ])
+    return out.orderBy(*dims, "bucket_offset_ms")

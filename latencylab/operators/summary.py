@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latencylab.functions.columns import cont_percentile, parse_run_id
+from latencylab.functions.columns import parse_run_id
 from latencylab.functions.stats import with_ci95
+from latencylab.operators.scan import percentiles
 
 LATENCY_COLUMNS = [
     "measured_messages", "latency_sample_count", "avg_latency_ms", "median_latency_ms",
@@ -19,10 +20,25 @@ LATENCY_COLUMNS = [
 ]
 
 
+# Interpolated percentiles of raw latencies.
+QUANTILES = {"median_latency_ms": ("cont", 0.5), "p95_latency_ms": ("cont", 0.95)}
+
+
 def _ids(df: DataFrame) -> DataFrame:
     return df.select("run_id").distinct()
 
 
+def distinct_per_run(events: DataFrame, *aggs) -> DataFrame:
+    """Messages, distinct ids and id range per run (and any decomposable ``(name, fn, column)``): rows are
+    combined per (run, id) first, so the distinct count is a plain count."""
+    per_id = events.groupBy("run_id", "event_id").agg(F.count(F.lit(1)).alias("_n"), *[fn(c).alias(f"_{n}") for n, fn, c in aggs])
+    return per_id.groupBy("run_id").agg(
+        F.sum("_n").alias("messages"), F.count("event_id").alias("distinct_events"),
+        F.min("event_id").alias("min_event_id"), F.max("event_id").alias("max_event_id"),
+        *[fn(f"_{n}").alias(n) for n, fn, _ in aggs],
+    )
+
+
 def all_events(t) -> DataFrame:
     """Event counts per run: the summary row, else the raw rows (bucket-only runs
     have no summary)."""
@@ -31,17 +47,10 @@ def all_events(t) -> DataFrame:
         F.col("distinct_events").cast("long").alias("distinct_events"), "min_event_id", "max_event_id",
         "first_sent_at_ms", "first_collected_at_ms", "last_collected_at_ms",
     )
-    raw = (
-        t.processed_events.join(_ids(t.processed_run_summaries), "run_id", "left_anti")
-        .groupBy("run_id")
-        .agg(
-            F.count(F.lit(1)).alias("messages"),
-            F.count_distinct("event_id").alias("distinct_events"),
-            F.min("event_id").alias("min_event_id"), F.max("event_id").alias("max_event_id"),
-            F.min("sent_at_ms").alias("first_sent_at_ms"),
-            F.min("collected_at_ms").alias("first_collected_at_ms"),
-            F.max("collected_at_ms").alias("last_collected_at_ms"),
-        )
+    raw = distinct_per_run(
+        t.processed_events.join(_ids(t.processed_run_summaries), "run_id", "left_anti"),
+        ("first_sent_at_ms", F.min, "sent_at_ms"), ("first_collected_at_ms", F.min, "collected_at_ms"),
+        ("last_collected_at_ms", F.max, "collected_at_ms"),
     )
     return s.unionByName(raw)
 
@@ -72,11 +81,9 @@ def raw_latency(events: DataFrame, bounds: DataFrame, warmup_ms: int = 0) -> Dat
         F.count(F.lit(1)).alias("measured_messages"),
         F.count("latency_ms").alias("latency_sample_count"),
         F.avg("latency_ms").alias("avg_latency_ms"),
-        cont_percentile("latency_ms", 0.5).alias("median_latency_ms"),
-        cont_percentile("latency_ms", 0.95).alias("p95_latency_ms"),
         F.stddev_samp("latency_ms").alias("stddev_latency_ms"),
         F.max("latency_ms").alias("max_latency_ms"),
-    )
+    ).join(percentiles(rows, ["run_id"], "latency_ms", QUANTILES), "run_id", "left")
 
 
 def run_summary(t, warmup_seconds: float = 0.0) -> DataFrame:
@@ -120,23 +127,43 @@ def run_summary_bucket(t, warmup_seconds: float = 0.0) -> DataFrame:
     return with_ci95(out, "avg_latency_ms", "stddev_latency_ms", "latency_sample_count", "avg_latency")
 
 
-COMPARE_METRICS = [
-    "messages", "missing_event_ids", "duplicate_messages", "avg_latency_ms", "median_latency_ms",
-    "p95_latency_ms", "max_latency_ms",
-]
+SUMMARY_IDS = ("run_id", "framework", "scenario", "iteration")
+DELTAS = ("avg_latency_ms", "p95_latency_ms", "messages")
 
 
-def compare_runs(summary: DataFrame, pairs: DataFrame, metrics=COMPARE_METRICS) -> DataFrame:
+def compare_runs(summary: DataFrame, pairs: DataFrame, metrics=None) -> DataFrame:
     """Side-by-side summaries for (left_run_id, right_run_id) pairs plus deltas
-    (right - left). Equi-joins on the ids; no cross join."""
+    (right - left): every field of both summaries, the confidence interval included. Equi-joins on
+    the ids; no cross join. The warm-up is that of ``summary``."""
+    metrics = list(metrics or [c for c in summary.columns if c not in SUMMARY_IDS])
     s = summary.select("run_id", *metrics)
     left = s.select(F.col("run_id").alias("left_run_id"), *[F.col(m).alias(f"left_{m}") for m in metrics])
     right = s.select(F.col("run_id").alias("right_run_id"), *[F.col(m).alias(f"right_{m}") for m in metrics])
     out = pairs.join(left, "left_run_id").join(right, "right_run_id")
-    for m in ("avg_latency_ms", "p95_latency_ms", "messages"):
-        if m in metrics:
-            out = out.withColumn(f"delta_{m}", F.col(f"right_{m}") - F.col(f"left_{m}"))
-    return out
+    return out.withColumns({f"delta_{m}": F.col(f"right_{m}") - F.col(f"left_{m}") for m in DELTAS if m in metrics})
+
+
+def compare_two_runs(t, left_run_id: str, right_run_id: str, warmup_seconds: float = 0.0) -> DataFrame:
+    """The comparison of two given runs: one row, or none if either is unknown."""
+    s = run_summary(t, warmup_seconds).where(F.col("run_id").isin(left_run_id, right_run_id))
+    pair = t.spark.createDataFrame([(left_run_id, right_run_id)], "left_run_id string, right_run_id string")
+    return compare_runs(s, pair)
+
+
+def compare_by_scenario(t, warmup_seconds: float = 0.0, left: str = "spark", right: str = "flink") -> DataFrame:
+    """All pairs of a left and a right framework's run with the same scenario and iteration. The summary
+    is computed once, grouped by (scenario, iteration) and spread over the two sides."""
+    s = run_summary(t, warmup_seconds)
+    metrics = [c for c in s.columns if c not in SUMMARY_IDS]
+    row = F.struct("run_id", *metrics)
+    sides = s.groupBy("scenario", "iteration").agg(*[
+        F.max(F.when(F.col("framework") == fw, row)).alias(side) for side, fw in (("left", left), ("right", right))
+    ]).where(F.col("left").isNotNull() & F.col("right").isNotNull())
+    out = sides.select(
+        "scenario", "iteration",
+        *[F.col(f"{side}.{m}").alias(f"{side}_{m}") for side in ("left", "right") for m in ("run_id", *metrics)],
+    )
+    return out.withColumns({f"delta_{m}": F.col(f"right_{m}") - F.col(f"left_{m}") for m in DELTAS})
 
 
 def framework_pairs(summary: DataFrame, left: str = "spark", right: str = "flink") -> DataFrame:
@@ -150,12 +177,7 @@ def framework_pairs(summary: DataFrame, left: str = "spark", right: str = "flink
 def loss_duplication(events: DataFrame) -> DataFrame:
     """Per run: messages, distinct ids, id range, missing ids and duplicates.
     Duplicates are measured, not removed."""
-    agg = events.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("messages"),
-        F.count_distinct("event_id").alias("distinct_events"),
-        F.min("event_id").alias("min_event_id"),
-        F.max("event_id").alias("max_event_id"),
-    )
+    agg = distinct_per_run(events)
     return agg.withColumn(
         "missing_event_ids",
         F.greatest((F.col("max_event_id") - F.col("min_event_id") + 1) - F.col("distinct_events"), F.lit(0)),

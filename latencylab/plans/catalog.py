@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from latencylab.operators import metrics, parse, recovery, resources, rollup, rules, running, runs, series, summary
-from latencylab.operators.output import to_output
-from latencylab.operators.scan import auto_block_width, sequence_number
+from latencylab.operators.output import from_output, to_output
+from latencylab.operators.scan import sequence_number
 from latencylab.schemas import PAYLOAD_NAMES
 from latencylab.sources.fixtures import Tables
 
@@ -160,7 +160,34 @@ def q_output_records(spark, sf):
         t.fx_kept.select("run_id", "event_id", "processed_at_ms"), ["run_id", "event_id"]
     )
     enriched = parse.latency_enrich(rules.apply_fraud_rules(stamped), processed_at="processed_at_ms")
-    return to_output(running.add_running_metrics(enriched, grain="batch"), framework="spark")
+    return from_output(to_output(running.add_running_metrics(enriched, grain="batch"), framework="spark"))
+
+
+def q_enriched_running_event(spark, sf):
+    r = _rules(tables(spark, sf), rules.STRICT_AGE_RULES, lenient=True)
+    out = running.add_running_metrics(r, grain="event", empty_is_unknown=True)
+    return out.select(*ENRICHED_COLUMNS, "account_max_amount")
+
+
+def q_lenient_events(spark, sf):
+    t = tables(spark, sf)
+    loose = t.transactions.withColumns({  # numbers as text or with a fraction, as some producers send them
+        "event_id": F.col("event_id").cast("string"), "TransactionAmount": F.col("TransactionAmount").cast("string"),
+        "CustomerAge": F.concat(F.col("CustomerAge").cast("string"), F.when(F.col("event_id") % 2 == 0, ".0").otherwise("")),
+    })
+    out = rules.apply_fraud_rules(parse.parse_events_lenient(parse.envelope_json(loose).select("value")), rules.STRICT_AGE_RULES)
+    return out.select("run_id", "event_id", "sent_at_ms", "scenario", "AccountID", "TransactionAmount", "TransactionType", "Channel",
+                      "CustomerAge", "LoginAttempts", "is_high_amount", "is_channel_mismatch", "is_age_anomaly", "is_fraud")
+
+
+def q_decode_collected(spark, sf):
+    from latencylab.streaming.collect import decode_records
+
+    kept = tables(spark, sf).fx_kept
+    half = F.when(F.col("event_id") % 3 == 0, F.col("latency_ms") + 0.5).otherwise(F.col("latency_ms"))
+    record = kept.withColumns({"event_id": F.col("event_id").cast("string"), "latency_ms": half.cast("string")})
+    value = F.to_json(F.struct("framework", "run_id", "event_id", "sent_at_ms", "processed_at_ms", "latency_ms", "scenario"))
+    return decode_records(record.select(value.alias("value"), "collected_at_ms"), "collected_at_ms")
 
 
 # -- rollups and the run model --------------------------------------------------
@@ -179,17 +206,20 @@ def q_parse_run_id(spark, sf):
 
 
 def q_scenario_volume(spark, sf):
+    from latencylab.sources.readers import scenario_volume
+
     t = tables(spark, sf)
     saved = t.processed_events_all.groupBy("run_id").agg(F.count(F.lit(1)).alias("saved_messages"))
-    m = t.run_metadata.select(
-        "run_id", "scenario", "eps", "duration_seconds",
-        (F.col("eps") * F.col("duration_seconds")).cast("int").alias("expected_events"),
-    )
-    return m.join(saved, "run_id").withColumn(
+    volume = scenario_volume(t.run_metadata.select("run_id", "scenario", "eps", F.col("duration_seconds").alias("duration")))
+    return volume.withColumnRenamed("duration", "duration_seconds").join(saved, "run_id").withColumn(
         "completeness", F.col("saved_messages") / F.col("expected_events").cast("double")
     )
 
 
+def q_next_iteration_full(spark, sf):
+    return runs.next_iteration(tables(spark, sf), max_iteration=2)
+
+
 def q_next_iteration(spark, sf):
     return runs.next_iteration(tables(spark, sf))
 
@@ -209,7 +239,8 @@ def q_run_rollup(spark, sf):
 
 
 def q_run_start_alignment(spark, sf):
-    return tables(spark, sf).starts_all
+    t = tables(spark, sf)
+    return rollup.run_starts(t.processed_events_all, t.run_metadata)
 
 
 def q_upsert_latest_wins(spark, sf):
@@ -249,9 +280,18 @@ def q_run_groups(spark, sf):
 def q_run_events_scan(spark, sf):
     t = tables(spark, sf)
     ev = runs.keep_run(_all_events(t), None).select("run_id", "event_id", "sent_at_ms", "collected_at_ms", "latency_ms")
-    width = auto_block_width(ev, ["run_id"], "collected_at_ms")
-    return sequence_number(ev, ["run_id"], ["collected_at_ms", "event_id"], "collected_at_ms", width,
-                           name="arrival_seq")
+    return sequence_number(ev, ["run_id"], ["collected_at_ms", "event_id"], name="arrival_seq")
+
+
+def q_run_events_one(spark, sf):
+    from latencylab.sources.readers import read_run_events
+
+    t = tables(spark, sf)
+    return read_run_events(spark, None, runs.keep_run(_all_events(t), "spark_high_03"), "spark_high_03")
+
+
+def q_run_windows_by_start(spark, sf):
+    return resources.run_windows_by_start(tables(spark, sf))
 
 
 # -- summaries, series, group aggregates ------------------------------------------
@@ -277,8 +317,19 @@ def q_ci95_runs(spark, sf):
 
 
 def q_compare_runs(spark, sf):
-    s = summary.run_summary(tables(spark, sf), 0.0)
-    return summary.compare_runs(s, summary.framework_pairs(s))
+    return summary.compare_by_scenario(tables(spark, sf), 0.0)
+
+
+def q_compare_runs_warmup(spark, sf):
+    return summary.compare_by_scenario(tables(spark, sf), WARMUP_SECONDS)
+
+
+def q_compare_two_runs(spark, sf):
+    return summary.compare_two_runs(tables(spark, sf), "spark_low_01", "flink_fault_high_03")
+
+
+def q_compare_framework_series(spark, sf):
+    return series.compare_framework_series(tables(spark, sf), SERIES_BUCKET_SECONDS, 0.0)
 
 
 def q_compare_frameworks(spark, sf):
@@ -319,6 +370,10 @@ def q_gap_stats(spark, sf):
     return recovery.gap_stats(recovery.gap_series(_all_events(tables(spark, sf))))
 
 
+def q_missing_ranges(spark, sf):
+    return recovery.missing_ranges(_all_events(tables(spark, sf)))
+
+
 def q_missing_ids(spark, sf):
     return recovery.missing_ids(_all_events(tables(spark, sf)))
 
@@ -361,7 +416,7 @@ def q_metric_align(spark, sf):
 
 
 def q_resource_merge(spark, sf):
-    return tables(spark, sf).resource_usage_buckets
+    return resources.resource_usage_buckets(tables(spark, sf))
 
 
 def q_resource_series(spark, sf):
@@ -379,7 +434,8 @@ def q_aggregate_resource_series(spark, sf):
 
 
 def q_docker_resource_total(spark, sf):
-    return resources.docker_resource_total(tables(spark, sf).resource_samples)
+    total = resources.docker_resource_total(tables(spark, sf).resource_samples)
+    return total.withColumn("is_nan", F.isnan("memory_working_set_bytes"))  # NaN itself is shown as null
 
 
 def q_counter_rate(spark, sf):

@@ -72,6 +72,14 @@ OUTPUT_RECORD = StructType(
         StructField("result", RESULT),
     ]
 )
+# The per-record profile also reports the account's largest amount so far.
+EVENT_OUTPUT_RECORD = StructType([
+    f if f.name != "result" else StructField("result", StructType([
+        g if g.name != "account_state" else StructField("account_state", StructType([*ACCOUNT_STATE.fields, StructField("max_amount", DoubleType())]))
+        for g in RESULT
+    ]))
+    for f in OUTPUT_RECORD
+])
 # Collected record: the output record plus the arrival stamp.
 COLLECTED_RECORD = StructType(OUTPUT_RECORD.fields + [StructField("collected_at_ms", LongType())])
 

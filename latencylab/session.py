@@ -49,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if existing:
             _SCRATCH[key] = existing
         else:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
             path = tempfile.mkdtemp(prefix="latencylab-ckpt-")
             sc.setCheckpointDir(path)
             _SCRATCH[key] = path

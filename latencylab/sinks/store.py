@@ -64,6 +64,8 @@ class Store:
         staged = self.spark.read.schema(df.schema).parquet(staging).select(*df.columns)
         (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("run_id").parquet(self.path(table)))
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(staging)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def replace_runs(self, table: str, df: DataFrame) -> None:
         """Replace every row of the runs present in ``df`` (a fault-log import)."""
@@ -72,8 +74,9 @@ class Store:
     def upsert(self, table: str, df: DataFrame, keys: Sequence[str], version_col: str = "updated_at",
                keep_first: Sequence[str] = ("created_at",)) -> None:
         """Insert-or-update by ``keys``: the newest version wins; columns in
-        ``keep_first`` keep their first value (as ``created_at`` does)."""
+        ``keep_first`` are set on insert and keep their first value (as ``created_at`` does)."""
         new = df if version_col in df.columns else df.withColumn(version_col, F.current_timestamp())
+        new = new.withColumns({c: F.col(version_col) for c in keep_first if c not in new.columns})
         old = self.read(table)
         if old is not None:
             touched = new.select("run_id").distinct()
@@ -146,9 +149,12 @@ def purge_counts(t) -> DataFrame:
     )
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    """One JSON line per record, a folder per run (the collector's JSONL files)."""
-    df.write.mode("append").partitionBy("run_id").json(path)
+def write_jsonl(df: DataFrame, path: str, batch_id: int) -> None:
+    """One JSON line per record, a folder per batch and run (the collector's JSONL files); a replayed
+    batch replaces its folder. Each line holds the whole record, its run id included."""
+    (df.withColumns({"batch_id": F.lit(int(batch_id)), "run": F.col("run_id")})
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch_id", "run").json(path))
 
 
 def new_store(spark: SparkSession, name: str | None = None) -> Store:

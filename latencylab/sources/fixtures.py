@@ -35,30 +35,32 @@ RAW_ITERATIONS = ("03", "04")
 BUCKET_ITERATIONS = ("01", "02", "05")
 RUN_KEYS = ["framework", "scenario", "iteration"]
 
-# Block width of the source-id order for the per-run event numbering.
-SEQ_BLOCK = 1_000_000
-
 # Stored tables in build order, with the layout columns (range partitioning and
 # in-file sort: parquet min/max statistics then skip row groups on run_id / time,
 # and a hot run spreads over several files).
 STORE_LAYOUT = [
-    # (name, layout columns, dependency level, grain)
-    ("fx_seq", ("run_id", "event_id"), 0, "event"),
-    ("transactions", ("run_id", "event_id"), 1, "event"),
-    ("fx_kept", ("run_id", "event_id"), 1, "event"),
-    ("runs", ("run_id",), 1, "run"),
-    ("processed_events_all", ("run_id", "collected_at_ms"), 2, "event"),
-    ("run_metadata", ("run_id",), 2, "run"),
-    ("fault_events", ("run_id", "timestamp_ms"), 2, "run"),
-    ("resource_samples", ("run_id", "timestamp_ms"), 2, "event"),
-    ("starts_all", ("run_id",), 3, "run"),
-    ("processed_event_buckets", ("run_id", "bucket_offset_ms"), 3, "event"),
-    ("processed_run_summaries", ("run_id",), 3, "run"),
-    ("processed_events", ("run_id", "collected_at_ms"), 3, "event"),
-    ("resource_usage_buckets", ("run_id", "bucket_offset_ms"), 4, "event"),
+    # (name, layout columns, dependency level)
+    ("fx_seq", ("run_id", "event_id"), 0),
+    ("transactions", ("run_id", "event_id"), 1),
+    ("fx_kept", ("run_id", "event_id"), 1),
+    ("runs", ("run_id",), 1),
+    ("processed_events_all", ("run_id", "collected_at_ms"), 2),
+    ("run_metadata", ("run_id",), 2),
+    ("fault_events", ("run_id", "timestamp_ms"), 2),
+    ("resource_samples", ("run_id", "timestamp_ms"), 2),
+    ("starts_all", ("run_id",), 3),
+    ("processed_event_buckets", ("run_id", "bucket_offset_ms"), 3),
+    ("processed_run_summaries", ("run_id",), 3),
+    ("processed_events", ("run_id", "collected_at_ms"), 3),
+    ("resource_usage_buckets", ("run_id", "bucket_offset_ms"), 4),
 ]
 
 
+def _sent():
+    """Send time of an event; every 59th event has none."""
+    return F.when(F.col("event_id") % 59 != 0, F.col("sent_at_ms")).alias("sent_at_ms")
+
+
 def _code_hash() -> str:
     pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     h = hashlib.sha1()
@@ -108,14 +110,16 @@ class Tables:
         return f"{self._store_root}/{name}"
 
     def _source_key(self) -> str:
-        """Identity of the store: the input (path, size and mtime of the events file
-        when local) and the library code that derives the tables, so a stale store
-        is never reused after either changes."""
-        ident = self.sf_dir
-        local = os.path.join(self.sf_dir, "events.parquet")
-        if os.path.exists(local):
-            st = os.stat(local)
-            ident += f":{st.st_size}:{st.st_mtime_ns}"
+        """Identity of the store: the input (path, and length and modification time of
+        every file of the events table, from its file system) and the library code that derives
+        the tables, so a stale store is never reused after either changes."""
+        jvm = self.spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/events.parquet")
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files = [fs.getFileStatus(p)]
+        if files[0].isDirectory():
+            files = fs.listStatus(p)
+        ident = ";".join([self.sf_dir, *sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files)])
         return hashlib.sha1((ident + ":" + _code_hash()).encode()).hexdigest()[:16]
 
     def _exists(self, path: str) -> bool:
@@ -137,19 +141,17 @@ class Tables:
         self._plans.clear()
 
         def write(entry):
-            name, layout, _, grain = entry
+            name, layout, _ = entry
             path = self._store_path(name)
             if not self._exists(path):
                 df = getattr(self, name)
                 cols = list(layout)
-                # event-grain tables: range-partitioned, so a hot run spans several
-                # files; per-run tables (one row per run or fault-log line) are small
-                # at any event volume: one sorted file
-                df = df.repartitionByRange(*cols) if grain == "event" else df.repartition(1)
-                df.sortWithinPartitions(*cols).write.mode("overwrite").parquet(path)
+                # range-partitioned: a hot run spans several files, and AQE merges the
+                # partitions of a small table into one file
+                df.repartitionByRange(*cols).sortWithinPartitions(*cols).write.mode("overwrite").parquet(path)
             return name
 
-        levels = sorted({lvl for _, _, lvl, _ in STORE_LAYOUT})
+        levels = sorted({lvl for _, _, lvl in STORE_LAYOUT})
         with ThreadPoolExecutor(max_workers=4) as pool:
             for lvl in levels:
                 batch = [e for e in STORE_LAYOUT if e[2] == lvl]
@@ -181,14 +183,14 @@ class Tables:
             "sent_at_ms",
             F.lit(SOURCE_EPOCH_MS) + F.floor((F.col("ts_ms") - F.lit(SOURCE_EPOCH_MS)) / TIME_COMPRESSION).cast("long"),
         )
-        return sequence_number(b, ["run_id"], ["src_id"], "src_id", SEQ_BLOCK, name="event_id")
+        return sequence_number(b, ["run_id"], ["src_id"], name="event_id")
 
     @stored
     def transactions(self) -> DataFrame:
         s = self.fx_seq
         eid, src = F.col("event_id"), F.col("src_id")
         return s.select(
-            "run_id", "event_id", "sent_at_ms", "scenario", "framework", "iteration",
+            "run_id", "event_id", _sent(), "scenario", "framework", "iteration",
             F.concat(F.lit("T"), src.cast("string")).alias("TransactionID"),
             F.when(eid % 61 != 0, F.concat(F.lit("A"), F.col("user_id").cast("string"))).alias("AccountID"),
             F.when(eid % 53 != 0, F.round(F.col("value") * 50, 2)).alias("TransactionAmount"),
@@ -207,7 +209,7 @@ class Tables:
         s = self.fx_seq.where(F.col("event_id") % 97 != 0)
         delay = F.floor(F.col("value") * 10).cast("long")
         return s.select(
-            "run_id", "framework", "scenario", "iteration", "event_id", "sent_at_ms",
+            "run_id", "framework", "scenario", "iteration", "event_id", _sent(),
             (F.col("sent_at_ms") + delay).alias("processed_at_ms"),
             (F.col("sent_at_ms") + delay + F.col("event_id") % 7).alias("collected_at_ms"),
             F.when(F.col("event_id") % 113 != 0, delay.cast("double")).alias("latency_ms"),

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from latencylab.operators.parse import clean_nan
-from latencylab.schemas import FAULT_LOG, PAYLOAD, SCENARIOS
+from latencylab.operators.parse import as_text, clean_nan, lenient
+from latencylab.schemas import COLLECTED_RECORD, FAULT_LOG, PAYLOAD, PROCESSED_EVENTS, SCENARIOS
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -44,21 +44,21 @@ def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scenario_volume(scenarios: DataFrame, scenario: str | None = None) -> DataFrame:
-    """Expected events per scenario, ``int(eps * duration)``; optionally one scenario."""
-    out = scenarios.withColumn("expected_events", (F.col("eps") * F.col("duration")).cast("int"))
+    """Expected events per scenario, the whole part of ``eps * duration``; optionally one scenario."""
+    out = scenarios.withColumn("expected_events", (F.col("eps") * F.col("duration")).cast("long"))
     return out if scenario is None else out.where(F.col("scenario") == scenario)
 
 
 def read_run_events(spark: SparkSession, jsonl_path: str | None, table: DataFrame | None,
                     run_id: str | None = None, schema: StructType | None = None) -> DataFrame:
-    """A run's raw events: the JSONL log when present, else the stored table;
-    optionally one run. Order is applied by the consumer's window spec."""
-    from latencylab.schemas import COLLECTED_RECORD
-
+    """A run's raw events with the columns of the stored table: the JSONL log when present, else the
+    stored table; optionally one run, in arrival order (time, then id)."""
     if jsonl_path and _exists(spark, jsonl_path):
-        df = read_jsonl(spark, jsonl_path, schema or COLLECTED_RECORD)
+        text = read_jsonl(spark, jsonl_path, as_text(schema or COLLECTED_RECORD))
+        df = text.select(*[lenient(f.name, f.dataType, F.col(f.name)) for f in PROCESSED_EVENTS])
     elif table is not None:
-        df = table
+        df = table.select(*PROCESSED_EVENTS.names)
     else:
-        df = spark.createDataFrame([], schema or COLLECTED_RECORD)
-    return df if run_id is None else df.where(F.col("run_id") == run_id)
+        df = spark.createDataFrame([], PROCESSED_EVENTS)
+    df = df if run_id is None else df.where(F.col("run_id") == run_id)
+    return df.orderBy("run_id", F.col("collected_at_ms").asc_nulls_first(), "event_id")

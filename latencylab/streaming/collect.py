@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latencylab.functions.columns import bucket_floor, lenient_double
+from latencylab.operators.parse import as_text, lenient_long
 from latencylab.operators.rollup import bucket_rollup, run_rollup, run_starts
 from latencylab.operators.runs import keep_run
 from latencylab.schemas import OUTPUT_RECORD
@@ -31,15 +32,16 @@ class CollectConfig:
 
 
 def decode_records(df: DataFrame, collected_at: str | None = None) -> DataFrame:
-    """Output-record JSON -> raw row; stamps ``collected_at_ms`` (arrival time, once
+    """Output-record JSON -> raw row, numbers read leniently (text and fractions too); stamps ``collected_at_ms`` (arrival time, once
     per micro-batch) unless a column supplies it."""
-    cols = [F.from_json(F.col("value").cast("string"), OUTPUT_RECORD).alias("r")]
+    cols = [F.from_json(F.col("value").cast("string"), as_text(OUTPUT_RECORD)).alias("r")]
     if collected_at is not None:
         cols.append(F.col(collected_at).alias("_c"))
     rec = df.select(*cols)
     stamp = F.col("_c") if collected_at is not None else F.expr("unix_millis(current_timestamp())")
     return rec.select(
-        "r.run_id", "r.framework", "r.scenario", "r.event_id", "r.sent_at_ms", "r.processed_at_ms",
+        "r.run_id", "r.framework", "r.scenario",
+        *[lenient_long(c, F.col(f"r.{c}")) for c in ("event_id", "sent_at_ms", "processed_at_ms")],
         stamp.cast("long").alias("collected_at_ms"),
         lenient_double(F.col("r.latency_ms")).alias("latency_ms"),
     ).where(F.col("run_id").isNotNull())
@@ -101,23 +103,27 @@ def start_collect(stream: DataFrame, store: Store, cfg: CollectConfig, checkpoin
 
 def await_idle(query, idle_seconds: float = 30.0, max_messages: int | None = None, poll_seconds: float = 1.0) -> int:
     """Bounded collection: stop the query after ``idle_seconds`` without input rows,
-    or once ``max_messages`` rows were read. Reads only ``query.lastProgress``.
-    Returns the number of rows read."""
+    or once ``max_messages`` rows were read. Adds up all recent progress reports by batch, so
+    batches that end between two polls count. Returns the number of rows read."""
     import time
 
-    seen, idle_since, last_batch = 0, time.time(), None
+    rows, idle_since = {}, time.time()
+
+    def poll() -> int:
+        before = sum(rows.values())
+        for p in query.recentProgress:
+            if int(p["numInputRows"]) > 0:
+                rows[p["batchId"]] = int(p["numInputRows"])
+        return sum(rows.values()) - before
+
     while query.isActive:
-        p = query.lastProgress
-        if p and p.get("batchId") != last_batch:
-            last_batch = p.get("batchId")
-            n = int(p.get("numInputRows", 0))
-            seen += n
-            if n > 0:
-                idle_since = time.time()
-        if max_messages is not None and seen >= max_messages:
+        if poll() > 0:
+            idle_since = time.time()
+        if max_messages is not None and sum(rows.values()) >= max_messages:
             break
         if time.time() - idle_since >= idle_seconds:
             break
         time.sleep(poll_seconds)
+    poll()
     query.stop()
-    return seen
+    return sum(rows.values())

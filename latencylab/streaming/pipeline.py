@@ -1,318 +1,169 @@
 """Structured Streaming pipeline: events in, enriched records out (SS1-SS7, SS11).
 
-``start_pipeline`` reads JSON event values (a Kafka topic, or a folder of JSON /
-text files here), and in ``foreachBatch`` parses them, applies the fraud rules,
-adds the running account and window metrics, and writes key/value output.
-
-Running state is a *delta log* (all metrics are sums or maxima):
-
-* each batch writes its per-key partial aggregates to ``state/<family>/batch_id=N``
-  (overwrite, so a replayed batch replaces its own delta),
-* the prior totals of the keys in batch N are read from the latest compacted
-  snapshot plus the deltas after it and before N (partition pruning on batch_id,
-  semi join on the batch's keys), so no state is held on the driver,
-* every ``compact_every`` batches the deltas are folded into a new snapshot.
-
-Output goes to ``out/batch_id=N`` (overwritten on replay), so a restart from the
-checkpoint neither loses nor repeats records.
+``start_pipeline`` reads JSON event values (a Kafka topic, or a folder of text files),
+parses them, applies the fraud rules, adds the running account and window metrics, and writes
+key/value output.
+
+Running state is in Spark's own state store: every event is sent to its account's and its
+window's key, one stateful operator folds each key's rows chunk by chunk, and within the micro-batch the
+two rows of an event are joined again. ``grain="batch"`` gives all rows of a micro-batch the totals
+after it (each key's totals are one more row, joined to its events), ``grain="event"`` the running
+value at each event in arrival order. State and offsets are in the query's checkpoint; files of a batch
+replace those of a replayed one, so file output neither loses nor repeats records (a Kafka sink
+may receive a replayed batch again).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
-from latencylab.operators.output import output_struct
-from latencylab.operators.parse import latency_enrich, parse_events
+from latencylab.operators.output import flatten, to_output
+from latencylab.operators.parse import latency_enrich, parse_events, parse_events_lenient
 from latencylab.operators.rules import DEFAULT_RULES, RuleProfile, apply_fraud_rules
 from latencylab.operators.running import ACCOUNT_KEYS, WINDOW_KEYS, metric_keys
-from latencylab.schemas import PAYLOAD_NAMES
+from latencylab.schemas import EVENT_OUTPUT_RECORD, OUTPUT_RECORD
 
 FAMILIES = {"account": ACCOUNT_KEYS, "window": WINDOW_KEYS}
+TOTALS = ("transaction_count", "total_amount", "fraud_count", "max_amount")
+STATE = "transaction_count long, total_amount double, fraud_count long, max_amount double"
+FOLDED = f"family string, state_key string, uid string, record string, {STATE}"
 
 
 @dataclass
 class PipelineConfig:
-    state_dir: str
     output_dir: str
     framework: str = "spark"
     profile: RuleProfile = DEFAULT_RULES
     grain: str = "batch"  # "batch": batch-end values; "event": per-event running values
-    compact_every: int = 20
+    per_record: bool = False  # lenient numbers, empty names unknown, the account's largest amount in the output
     output_format: str = "json"  # json files of key/value, or "kafka" with kafka_options
     kafka_options: dict | None = None
 
+    @property
+    def schema(self):
+        return EVENT_OUTPUT_RECORD if self.per_record else OUTPUT_RECORD
+
+
+def kafka_source_options(options: dict | None = None, starting_offsets: str = "latest") -> dict[str, str]:
+    """Options of the topic reader: where to start, and lost offsets tolerated."""
+    return {"startingOffsets": starting_offsets, "failOnDataLoss": "false", **(options or {})}
+
 
 def read_events_stream(spark: SparkSession, source: str = "files", path: str | None = None,
                        options: dict | None = None, starting_offsets: str = "latest") -> DataFrame:
     """The input stream as a ``value`` column of JSON text.
 
-    ``source='kafka'`` subscribes with ``startingOffsets`` and tolerates lost
-    offsets (``failOnDataLoss=false``); ``source='files'`` reads new text files of a
-    folder (one JSON event per line)."""
+    ``source='kafka'`` subscribes with :func:`kafka_source_options`; ``source='files'`` reads new text
+    files of a folder (one JSON event per line)."""
     if source == "kafka":
-        reader = (
-            spark.readStream.format("kafka")
-            .option("startingOffsets", starting_offsets)
-            .option("failOnDataLoss", "false")
-        )
-        for k, v in (options or {}).items():
-            reader = reader.option(k, v)
+        reader = spark.readStream.format("kafka").options(**kafka_source_options(options, starting_offsets))
         return reader.load().select(F.col("value").cast("string").alias("value"))
-    reader = spark.readStream.format("text")
-    for k, v in (options or {}).items():
-        reader = reader.option(k, v)
-    return reader.load(path)
-
-
-def _parsed(df: DataFrame, profile: RuleProfile, processed_at: str | None) -> DataFrame:
-    ev = parse_events(df, flatten=True)
-    ev = latency_enrich(ev, processed_at=processed_at)
-    ev = apply_fraud_rules(ev, profile)
-    return metric_keys(ev)
-
-
-def _partials(ev: DataFrame, keys) -> DataFrame:
-    amount = F.coalesce(F.col("TransactionAmount"), F.lit(0.0))
-    return ev.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("transaction_count"),
-        F.sum(amount).alias("total_amount"),
-        F.sum(F.when(F.col("is_fraud"), 1).otherwise(0)).cast("long").alias("fraud_count"),
-        F.max(amount).alias("max_amount"),
-    )
-
-
-def _combine(df: DataFrame, keys) -> DataFrame:
-    return df.groupBy(*keys).agg(
-        F.sum("transaction_count").alias("transaction_count"),
-        F.sum("total_amount").alias("total_amount"),
-        F.sum("fraud_count").alias("fraud_count"),
-        F.max("max_amount").alias("max_amount"),
-    )
-
-
-class DeltaState:
-    """Additive keyed state as per-batch delta folders plus periodic snapshots.
-
-    Snapshots are partitioned by a hash bucket of the key; the prior read lists the
-    buckets the batch touches (at most ``buckets`` numbers) and reads only those
-    partitions, then semi-joins on the keys. Deltas (at most ``compact_every``
-    batches) are read whole."""
-
-    def __init__(self, spark: SparkSession, root: str, family: str, keys, buckets: int = 64):
-        self.spark, self.root, self.family, self.keys = spark, root.rstrip("/"), family, list(keys)
-        self.buckets = buckets
-
-    def _bucket(self):
-        return F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(self.buckets)).cast("int").alias("bucket")
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.root)
-        return jvm, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _list(self, sub: str, prefix: str) -> list[int]:
-        jvm, fs = self._fs()
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{self.family}/{sub}")
-        if not fs.exists(p):
-            return []
-        out = []
-        for st in fs.listStatus(p):
-            name = st.getPath().getName()
-            if name.startswith(prefix):
-                ok = jvm.org.apache.hadoop.fs.Path(st.getPath().toString() + "/_SUCCESS")
-                if sub == "snapshots" and not fs.exists(ok):
-                    continue
-                out.append(int(name[len(prefix):]))
-        return sorted(out)
-
-    def delta_path(self) -> str:
-        return f"{self.root}/{self.family}/deltas"
-
-    def snapshot_path(self, n: int) -> str:
-        return f"{self.root}/{self.family}/snapshots/upto={n}"
-
-    def prior(self, batch_id: int, keys_df: DataFrame) -> DataFrame | None:
-        """Totals of the given keys over all batches before ``batch_id``."""
-        snaps = [s for s in self._list("snapshots", "upto=") if s < batch_id]
-        base = snaps[-1] if snaps else -1
-        parts = []
-        if snaps:
-            # the touched bucket numbers: at most ``buckets`` small ints, read to prune
-            # the snapshot's partitions (the keys themselves stay on the executors)
-            touched = [r[0] for r in keys_df.select(self._bucket()).distinct().collect()]
-            snap = self.spark.read.parquet(self.snapshot_path(base)).where(F.col("bucket").isin(touched))
-            parts.append(snap.drop("bucket"))
-        deltas = [d for d in self._list("deltas", "batch_id=") if base < d < batch_id]
-        if deltas:
-            d = self.spark.read.parquet(self.delta_path()).where(
-                (F.col("batch_id") > base) & (F.col("batch_id") < batch_id)
-            ).drop("batch_id")
-            parts.append(d)
-        if not parts:
-            return None
-        allp = parts[0]
-        for p in parts[1:]:
-            allp = allp.unionByName(p)
-        return _combine(allp.join(keys_df, self.keys, "left_semi"), self.keys)
-
-    def write_delta(self, batch_id: int, partial: DataFrame) -> None:
-        (partial.withColumn("batch_id", F.lit(int(batch_id)))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(self.delta_path()))
-
-    def compact(self, upto: int) -> None:
-        """Fold the latest snapshot and all deltas up to ``upto`` into a new snapshot."""
-        snaps = [s for s in self._list("snapshots", "upto=") if s <= upto]
-        base = snaps[-1] if snaps else -1
-        if base == upto:
-            return
-        parts = [self.spark.read.parquet(self.snapshot_path(base)).drop("bucket")] if snaps else []
-        parts.append(self.spark.read.parquet(self.delta_path()).where(
-            (F.col("batch_id") > base) & (F.col("batch_id") <= upto)).drop("batch_id"))
-        allp = parts[0]
-        for p in parts[1:]:
-            allp = allp.unionByName(p)
-        (_combine(allp, self.keys).withColumn("bucket", self._bucket()).repartition("bucket")
-         .write.mode("overwrite").partitionBy("bucket").parquet(self.snapshot_path(upto)))
-
-
-def _with_totals(ev: DataFrame, prior: DataFrame | None, keys, prefix: str, grain: str,
-                 partial: DataFrame | None = None) -> DataFrame:
-    """Attach state totals. Batch grain: batch partials + prior, joined back on the
-    keys (a partial+final aggregate, so a hot key is pre-aggregated map-side).
-    Event grain: prior + the running values inside the batch."""
-    names = ("transaction_count", "total_amount", "fraud_count", "max_amount")
-    if prior is not None:
-        p = prior.select(*keys, *[F.col(c).alias(f"_p_{c}") for c in names])
-    else:
-        p = None
-    if grain == "batch":
-        tot = partial if partial is not None else _partials(ev, keys)
-        if p is not None:
-            tot = tot.join(p, keys, "left")
-        else:
-            for c, t in (("transaction_count", "long"), ("total_amount", "double"), ("fraud_count", "long"),
-                         ("max_amount", "double")):
-                tot = tot.withColumn(f"_p_{c}", F.lit(None).cast(t))
-        tot = tot.select(
-            *keys,
-            (F.col("transaction_count") + F.coalesce(F.col("_p_transaction_count"), F.lit(0))).alias(f"{prefix}transaction_count"),
-            (F.col("total_amount") + F.coalesce(F.col("_p_total_amount"), F.lit(0.0))).alias(f"{prefix}total_amount"),
-            (F.col("fraud_count") + F.coalesce(F.col("_p_fraud_count"), F.lit(0))).alias(f"{prefix}fraud_count"),
-            F.greatest(F.lit(0.0), F.col("max_amount"), F.col("_p_max_amount")).alias(f"{prefix}max_amount"),
-        ).withColumn(f"{prefix}avg_amount", F.col(f"{prefix}total_amount") / F.col(f"{prefix}transaction_count"))
-        return ev.join(tot, keys, "left")
-    amount = F.coalesce(F.col("TransactionAmount"), F.lit(0.0))
-    if p is not None:
-        ev = ev.join(p, keys, "left")
-    else:
-        for c, t in (("transaction_count", "long"), ("total_amount", "double"), ("fraud_count", "long"),
-                     ("max_amount", "double")):
-            ev = ev.withColumn(f"_p_{c}", F.lit(None).cast(t))
-    w = Window.partitionBy(*keys).orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fraud = F.when(F.col("is_fraud"), 1).otherwise(0).cast("long")
-    ev = (
-        ev.withColumn(f"{prefix}transaction_count", F.count(F.lit(1)).over(w) + F.coalesce(F.col("_p_transaction_count"), F.lit(0)))
-        .withColumn(f"{prefix}total_amount", F.sum(amount).over(w) + F.coalesce(F.col("_p_total_amount"), F.lit(0.0)))
-        .withColumn(f"{prefix}fraud_count", F.sum(fraud).over(w) + F.coalesce(F.col("_p_fraud_count"), F.lit(0)))
-        .withColumn(f"{prefix}max_amount", F.greatest(F.lit(0.0), F.max(amount).over(w), F.col("_p_max_amount")))
-        .withColumn(f"{prefix}avg_amount", F.col(f"{prefix}total_amount") / F.col(f"{prefix}transaction_count"))
+    return spark.readStream.format("text").options(**(options or {})).load(path)
+
+
+def enriched(values: DataFrame, cfg: PipelineConfig, processed_at: str | None = None) -> DataFrame:
+    """Parsed, stamped and judged events with their metric keys."""
+    ev = parse_events_lenient(values) if cfg.per_record else parse_events(values, flatten=True)
+    ev = apply_fraud_rules(latency_enrich(ev, processed_at=processed_at), cfg.profile)
+    return metric_keys(ev, empty_is_unknown=cfg.per_record)
+
+
+def _fold(grain: str):
+    """Folds one key's rows into its state, a chunk at a time."""
+
+    def fold(key, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        n, total, fraud, top = state.get if state.exists else (0, 0.0, 0, 0.0)
+        for pdf in chunks:
+            if pdf.empty:
+                continue
+            amount = pdf["amount"].astype("float64")
+            counts = n + pd.Series(range(1, len(pdf) + 1), index=pdf.index, dtype="int64")
+            totals = total + amount.cumsum()
+            frauds = fraud + pdf["fraud"].astype("int64").cumsum()
+            tops = amount.cummax().clip(lower=top)
+            n, total, fraud, top = int(counts.iloc[-1]), float(totals.iloc[-1]), int(frauds.iloc[-1]), float(tops.iloc[-1])
+            running = (counts, totals, frauds, tops) if grain == "event" else (0, 0.0, 0, 0.0)
+            yield pd.DataFrame({"family": key[0], "state_key": key[1], "uid": pdf["uid"], "record": pdf["record"], **dict(zip(TOTALS, running))})
+        state.update((n, total, fraud, top))
+        if grain == "batch":
+            yield pd.DataFrame({"family": [key[0]], "state_key": [key[1]], "uid": [None], "record": [None], **{c: [v] for c, v in zip(TOTALS, (n, total, fraud, top))}})
+
+    return fold
+
+
+def stateful_rows(events: DataFrame, grain: str) -> DataFrame:
+    """Rows of the stateful operator: two per event (the account's carries the event itself), and in
+    batch grain one per touched key with its totals (``uid`` null)."""
+    if grain not in ("batch", "event"):
+        raise ValueError("grain must be 'batch' or 'event'")
+    record = F.to_json(F.struct(*events.columns))
+    keyed = events.select(
+        F.uuid().alias("uid"), record.alias("record"), F.coalesce("TransactionAmount", F.lit(0.0)).alias("amount"),
+        F.when(F.col("is_fraud"), 1).otherwise(0).cast("long").alias("fraud"),
+        *[F.to_json(F.struct(*keys)).alias(family) for family, keys in FAMILIES.items()],
     )
-    return ev.drop(*[c for c in ev.columns if c.startswith("_p_")])
-
-
-STATE_KEYS = ["family", "state_key"]
-
-
-def _state_key(keys) -> "F.Column":
-    return F.to_json(F.struct(*[F.col(k) for k in keys]))
-
-
-def process_batch(batch: DataFrame, batch_id: int, cfg: PipelineConfig, processed_at: str | None = None) -> None:
-    """One micro-batch: enrich, update the delta state, write output (idempotent).
-
-    Both metric families share one delta table keyed by (family, state_key), so a
-    batch does one state read and one state write whatever the number of families."""
-    spark = batch.sparkSession
-    ev = _parsed(batch, cfg.profile, processed_at)
-    ev = ev.withColumns({f"_k_{fam}": _state_key(keys) for fam, keys in FAMILIES.items()}).persist()
-    partial = None
+    keys = F.array(*[
+        F.struct(F.lit(f).alias("family"), F.col(f).alias("state_key"), (F.col("record") if f == "account" else F.lit(None)).alias("record"))
+        for f in FAMILIES
+    ])
+    rows = keyed.select("uid", "amount", "fraud", F.explode(keys).alias("k")).select("k.family", "k.state_key", "k.record", "uid", "amount", "fraud")
+    return rows.groupBy("family", "state_key").applyInPandasWithState(_fold(grain), FOLDED, STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def _family(rows: DataFrame, family: str, grain: str) -> DataFrame:
+    """(uid, record, prefixed totals) of one family's events."""
+    mine = rows.where(F.col("family") == family)
+    named = [F.col(c).alias(f"{family}_{c}") for c in TOTALS]
+    if grain == "event":
+        return mine.select("uid", "record", *named)
+    totals = mine.where("uid is null").select("state_key", *named)
+    return mine.where("uid is not null").select("uid", "record", "state_key").join(totals, "state_key").drop("state_key")
+
+
+def recombine(rows: DataFrame, grain: str, record_schema) -> DataFrame:
+    """One row per event with both families' metrics, from the stateful operator's rows."""
+    both = _family(rows, "account", grain).join(_family(rows, "window", grain).drop("record"), "uid")
+    out = both.withColumn("r", F.from_json("record", record_schema)).select("r.*", *[f"{f}_{c}" for f in FAMILIES for c in TOTALS])
+    return out.withColumns({f"{f}_avg_amount": F.col(f"{f}_total_amount") / F.col(f"{f}_transaction_count") for f in FAMILIES})
+
+
+def write_batch(rows: DataFrame, batch_id: int, cfg: PipelineConfig, record_schema) -> None:
+    """Output of one micro-batch; a replayed batch replaces its files."""
+    rows = rows.persist()
     try:
-        if ev.isEmpty():
-            return
-        parts = [
-            _partials(ev, [f"_k_{fam}"]).select(F.lit(fam).alias("family"), F.col(f"_k_{fam}").alias("state_key"),
-                                               "transaction_count", "total_amount", "fraud_count", "max_amount")
-            for fam in FAMILIES
-        ]
-        partial = parts[0]
-        for p in parts[1:]:
-            partial = partial.unionByName(p)
-        partial = partial.persist()
-        st = DeltaState(spark, cfg.state_dir, "families", STATE_KEYS)
-        prior = st.prior(batch_id, partial.select(*STATE_KEYS))
-        out = ev
-        for fam in FAMILIES:
-            key = f"_k_{fam}"
-            fam_prior = None if prior is None else prior.where(F.col("family") == fam).select(
-                F.col("state_key").alias(key), "transaction_count", "total_amount", "fraud_count", "max_amount")
-            fam_partial = partial.where(F.col("family") == fam).select(
-                F.col("state_key").alias(key), "transaction_count", "total_amount", "fraud_count", "max_amount")
-            out = _with_totals(out, fam_prior, [key], f"{fam}_", cfg.grain, fam_partial)
-        st.write_delta(batch_id, partial)
-        if cfg.compact_every and batch_id > 0 and batch_id % cfg.compact_every == 0:
-            st.compact(batch_id)
-        result = to_key_value(out, cfg.framework)
+        result = to_output(recombine(rows, cfg.grain, record_schema), cfg.framework, cfg.schema)
         if cfg.output_format == "kafka":
-            w = result.write.format("kafka")
-            for k, v in (cfg.kafka_options or {}).items():
-                w = w.option(k, v)
-            w.save()
+            result.write.format("kafka").options(**(cfg.kafka_options or {})).save()
         else:
             (result.withColumn("batch_id", F.lit(int(batch_id)))
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("batch_id").json(cfg.output_dir))
     finally:
-        if partial is not None:
-            partial.unpersist()
-        ev.unpersist()
-
-
-def to_key_value(df: DataFrame, framework: str) -> DataFrame:
-    return df.select(
-        F.concat_ws(":", F.col("run_id"), F.col("event_id")).alias("key"),
-        F.to_json(output_struct(df, framework)).alias("value"),
-    )
+        rows.unpersist()
 
 
 def start_pipeline(stream: DataFrame, cfg: PipelineConfig, checkpoint: str, trigger: dict | None = None,
                    processed_at: str | None = None):
     """Start the streaming query (``trigger`` e.g. ``{"processingTime": "1 second"}``
     or ``{"availableNow": True}``)."""
-    w = stream.writeStream.foreachBatch(lambda df, bid: process_batch(df, bid, cfg, processed_at)).option(
-        "checkpointLocation", checkpoint
+    events = enriched(stream, cfg, processed_at)
+    schema = events.schema
+    w = (
+        stateful_rows(events, cfg.grain).writeStream.outputMode("update")
+        .foreachBatch(lambda rows, bid: write_batch(rows, bid, cfg, schema))
+        .option("checkpointLocation", checkpoint)
     )
-    w = w.trigger(**(trigger or {"processingTime": "1 second"}))
-    return w.start()
+    return w.trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
-def read_output(spark: SparkSession, output_dir: str) -> DataFrame:
+def read_output(spark: SparkSession, output_dir: str, schema=OUTPUT_RECORD) -> DataFrame:
     """Decode the written output back to flat columns (for checks and the collector)."""
-    from latencylab.schemas import OUTPUT_RECORD
-
-    raw = spark.read.json(output_dir)
-    rec = raw.select(F.from_json("value", OUTPUT_RECORD).alias("r"), "batch_id").select("r.*", "batch_id")
-    return rec.select(
-        "framework", "run_id", "event_id", "sent_at_ms", "processed_at_ms", "latency_ms", "scenario",
-        *[F.col(f"result.{n}").alias(n) for n in PAYLOAD_NAMES],
-        F.col("result.is_fraud").alias("is_fraud"),
-        F.col("result.window_metrics.bucket_start_ms").alias("window_bucket_ms"),
-        *[F.col(f"result.window_metrics.{c}").alias(f"window_{c}") for c in
-          ("transaction_count", "total_amount", "avg_amount", "fraud_count")],
-        *[F.col(f"result.account_state.{c}").alias(f"account_{c}") for c in
-          ("transaction_count", "total_amount", "avg_amount", "fraud_count")],
-        "batch_id",
-    )
+    raw = spark.read.schema("key string, value string, batch_id long").json(output_dir)
+    rec = raw.select(F.from_json("value", schema).alias("r"), "batch_id")
+    return rec.select(*flatten(schema, "r"), "batch_id")

@@ -1,9 +1,8 @@
 """Keyed running account state with ``applyInPandasWithState`` (SS4 alternative).
 
 One state row per (run, account): count, sum, fraud count, max. Each event gets
-the values after it, in event-id order inside a micro-batch. The pandas function
-only folds the few rows of one key per trigger; Spark partitions, shuffles and
-checkpoints the state.
+the values after it, chunk by chunk as they arrive (by event id inside a chunk), so a task holds
+one chunk of a key's rows at a time. Spark partitions, shuffles and checkpoints the state.
 """
 
 from __future__ import annotations
@@ -27,21 +26,22 @@ STATE_SCHEMA = "n long, total double, fraud long, mx double"
 
 def _fold(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     n, total, fraud, mx = state.get if state.exists else (0, 0.0, 0, 0.0)
-    parts = list(pdfs)
-    if not parts:
-        return
-    pdf = pd.concat(parts).sort_values("event_id", kind="stable")
-    amount = pdf["TransactionAmount"].fillna(0.0).astype("float64")
-    counts = n + pd.Series(range(1, len(pdf) + 1), index=pdf.index, dtype="int64")
-    totals = total + amount.cumsum()
-    frauds = fraud + pdf["is_fraud"].astype("int64").cumsum()
-    maxes = amount.cummax().clip(lower=mx)
-    state.update((int(counts.iloc[-1]), float(totals.iloc[-1]), int(frauds.iloc[-1]), float(maxes.iloc[-1])))
-    yield pd.DataFrame({
-        "run_id": key[0], "event_id": pdf["event_id"].astype("int64"), "metric_account_id": key[1],
-        "account_transaction_count": counts, "account_total_amount": totals,
-        "account_avg_amount": totals / counts, "account_fraud_count": frauds, "account_max_amount": maxes,
-    })
+    for pdf in pdfs:
+        if pdf.empty:
+            continue
+        pdf = pdf.sort_values("event_id", kind="stable")
+        amount = pdf["TransactionAmount"].fillna(0.0).astype("float64")
+        counts = n + pd.Series(range(1, len(pdf) + 1), index=pdf.index, dtype="int64")
+        totals = total + amount.cumsum()
+        frauds = fraud + pdf["is_fraud"].astype("int64").cumsum()
+        maxes = amount.cummax().clip(lower=mx)
+        n, total, fraud, mx = int(counts.iloc[-1]), float(totals.iloc[-1]), int(frauds.iloc[-1]), float(maxes.iloc[-1])
+        yield pd.DataFrame({
+            "run_id": key[0], "event_id": pdf["event_id"].astype("int64"), "metric_account_id": key[1],
+            "account_transaction_count": counts, "account_total_amount": totals,
+            "account_avg_amount": totals / counts, "account_fraud_count": frauds, "account_max_amount": maxes,
+        })
+    state.update((n, total, fraud, mx))
 
 
 def account_state_stream(values: DataFrame, profile=STRICT_AGE_RULES) -> DataFrame:

@@ -27,7 +27,7 @@ def test_query_matches_oracle(spark, con, name):
 def test_every_query_has_an_oracle_or_a_reason():
     from latencylab.plans.catalog import queries
 
-    assert set(queries()) - set(SQL) == {"output_records"}  # JSON text differs by engine; unit-tested
+    assert set(queries()) == set(SQL)
 
 
 def test_double_column_list_is_current(spark):

@@ -12,6 +12,9 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+RAW = ("events.parquet", "processed_events", "fx_kept", "fx_seq", "transactions")
+
+
 def _names():
     from latencylab.plans.catalog import queries
 
@@ -50,3 +53,21 @@ def test_window_scans_are_blocked(spark):
 
     plan = _plan(queries()["gap_series"](spark, SF_SMALL))
     assert "_blk" in plan
+
+
+@pytest.mark.parametrize("name", _names())
+def test_no_sort_aggregate_or_percentile_buffer_over_raw_rows(spark, name):
+    """Aggregates whose input is a scan of raw rows are hash aggregates with fixed-width buffers."""
+    from latencylab.plans.catalog import queries
+
+    plan = _plan(queries()[name](spark, SF_SMALL)).splitlines()
+    for i, line in enumerate(plan):
+        assert not any(f in line for f in ("percentile(", "percentile_cont", "percentile_disc", "median("))
+        if "SortAggregate" not in line:
+            continue
+        below = []
+        for x in plan[i + 1 :]:
+            below.append(x)
+            if any(n in x for n in ("HashAggregate", "Join", "Scan")):  # counted rows, or the ties of a join
+                break
+        assert "Scan" not in below[-1] or not any(r in below[-1] for r in RAW), (name, below[-1])

@@ -55,12 +55,57 @@ def test_csv_nan_becomes_null(spark, tmp_dir):
 def test_read_run_events_falls_back_to_table(spark, tmp_dir):
     from latencylab.sources.readers import read_run_events
 
-    table = spark.createDataFrame([("a", 1), ("b", 2)], "run_id string, event_id long")
-    assert read_run_events(spark, f"{tmp_dir}/none.jsonl", table, "a").count() == 1
+    from latencylab.schemas import PROCESSED_EVENTS
+
+    table = spark.createDataFrame(
+        [("a", "f", "s", i, 1, 2, t, 3.5) for i, t in ((4, 9), (1, 7), (3, 7), (2, None))] + [("b", "f", "s", 2, 1, 2, 3, 4.0)], PROCESSED_EVENTS
+    )
+    stored = read_run_events(spark, f"{tmp_dir}/none.jsonl", table, "a")
+    assert [r.event_id for r in stored.collect()] == [2, 1, 3, 4]  # arrival order, then id
     p = f"{tmp_dir}/a.jsonl"
     with open(p, "w") as f:
-        f.write('{"run_id":"a","event_id":7,"collected_at_ms":1}\n')
-    assert read_run_events(spark, p, table, "a").first().event_id == 7
+        f.write('{"run_id":"a","event_id":7,"collected_at_ms":1,"latency_ms":"12.5"}\n')
+    log = read_run_events(spark, p, table, "a")
+    assert log.schema == stored.schema and (log.first().event_id, log.first().latency_ms) == (7, 12.5)
+
+
+def test_created_at_is_set_on_insert_and_kept(spark, tmp_dir):
+    st = Store(spark, f"{tmp_dir}/m")
+    for version, mode in ((1, "normal"), (2, "fault"), (2, "fault")):
+        st.upsert("run_metadata", spark.createDataFrame([("r", mode, version)], "run_id string, mode string, updated_at long"), ["run_id"])
+    r = st.read("run_metadata").collect()
+    assert [(x.mode, x.updated_at, x.created_at) for x in r] == [("fault", 2, 1)]
+
+
+def test_resource_upsert_replaces_points(spark, tmp_dir):
+    st = Store(spark, f"{tmp_dir}/u")
+    cols = "run_id string, bucket_offset_ms long, cpu_usage_cores double, updated_at long"
+    st.upsert("resource_usage_buckets", spark.createDataFrame([("r", 0, 1.0, 1), ("r", 5000, 2.0, 1)], cols), ["run_id", "bucket_offset_ms"])
+    st.upsert("resource_usage_buckets", spark.createDataFrame([("r", 5000, 9.0, 2)], cols), ["run_id", "bucket_offset_ms"])
+    got = {(x.bucket_offset_ms): x.cpu_usage_cores for x in st.read("resource_usage_buckets").collect()}
+    assert got == {0: 1.0, 5000: 9.0}
+
+
+def test_staging_folders_are_removed(spark, tmp_dir):
+    import os
+
+    from latencylab.session import ensure_checkpoint_dir
+
+    root = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = {f for f in os.listdir(root) if f.startswith("staging-")}
+    Store(spark, f"{tmp_dir}/st").replace_runs("fault_events", spark.createDataFrame([("r1", 9)], "run_id string, v long"))
+    assert {f for f in os.listdir(root) if f.startswith("staging-")} <= before
+
+
+def test_jsonl_result_files_hold_whole_records_and_survive_replay(spark, tmp_dir):
+    from latencylab.schemas import PROCESSED_EVENTS
+    from latencylab.sinks.store import write_jsonl
+
+    df = spark.createDataFrame([("a", "f", "s", 1, 1, 2, 3, 3.5), ("b", "f", "s", 2, 1, 2, 3, 4.0)], PROCESSED_EVENTS)
+    for _ in range(2):
+        write_jsonl(df, f"{tmp_dir}/json", 0)
+    back = spark.read.schema(PROCESSED_EVENTS).json(f"{tmp_dir}/json")
+    assert sorted(map(tuple, back.select(*df.columns).collect())) == sorted(map(tuple, df.collect()))
 
 
 def test_run_exists_one(spark):

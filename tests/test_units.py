@@ -141,7 +141,7 @@ def test_unmatched_start_end_defaults_to_start(spark):
 
 def test_missing_ids_with_large_hole_in_chunks(spark):
     ev = spark.createDataFrame([("r", 1), ("r", 2), ("r", 250), ("r", 250), ("s", 5)], "run_id string, event_id long")
-    got = recovery.missing_ids(ev, block=64, chunk=16)
+    got = recovery.missing_ids(ev, chunk=16)
     assert got.count() == 247
     assert got.agg(F.min("missing_event_id"), F.max("missing_event_id")).collect()[0] == (3, 249)
 
@@ -171,17 +171,112 @@ def test_filter_adds_only_given_predicates(spark):
     assert apply_filter(df, RunFilter(run_ids=("a",))).count() == 1
 
 
-def test_output_record_json_round_trip(spark):
+def test_output_record_is_the_declared_schema(spark):
+    from latencylab.operators import running
+    from latencylab.operators.output import from_output, to_output
+    from latencylab.operators.parse import latency_enrich
+    from latencylab.operators.rules import apply_fraud_rules
+    from latencylab.plans.catalog import tables
+    from latencylab.schemas import EVENT_OUTPUT_RECORD
+    from tests.conftest import SF_SMALL
+
+    tx = tables(spark, SF_SMALL).transactions
+    ev = running.add_running_metrics(apply_fraud_rules(latency_enrich(tx, processed_at="sent_at_ms")), grain="event")
+    out = to_output(ev, "flink", EVENT_OUTPUT_RECORD)
+    assert out.where(F.from_json("value", EVENT_OUTPUT_RECORD).isNull()).count() == 0
+    back = from_output(out, EVENT_OUTPUT_RECORD)
+    cols = [c for c in back.columns if c in ev.columns and c != "framework"]
+    assert "account_max_amount" in cols and len(cols) > 20
+    assert back.select(*cols).exceptAll(ev.select(*cols)).count() == 0 and back.count() == ev.count()
+
+
+def test_lenient_numbers(spark):
+    from latencylab.operators.parse import parse_events_lenient
+    from latencylab.operators.rules import STRICT_AGE_RULES, apply_fraud_rules
+    from latencylab.streaming.collect import decode_records
+
+    value = ('{"run_id":"r","event_id":"7","sent_at_ms":5.0,"payload":{"AccountID":"A","CustomerAge":"85","TransactionAmount":"20000",'
+             '"LoginAttempts":5.9,"Channel":"Mobile"}}')
+    df = spark.createDataFrame([(value,), ('{"run_id":"r","event_id":"x"}',), ("not json",)], "value string")
+    r = apply_fraud_rules(parse_events_lenient(df), STRICT_AGE_RULES).collect()
+    assert len(r) == 1 and (r[0].event_id, r[0].CustomerAge, r[0].TransactionAmount, r[0].LoginAttempts) == (7, 85, 20000.0, 5)
+    assert r[0].is_fraud and r[0].is_age_anomaly
+    got = [decode_records(spark.createDataFrame([(f'{{"run_id":"r","event_id":1,"latency_ms":{v}}}',)], "value string")).first().latency_ms
+           for v in ("12.5", '"12.5"', '"12"', "12", '"x"', "null")]
+    assert got == [12.5, 12.5, 12.0, 12.0, None, None]
+
+
+def test_volume_beyond_two_to_the_31(spark):
+    from latencylab.sources.readers import scenario_volume
+
+    df = spark.createDataFrame([("big", 1e6, 1e5)], "scenario string, eps double, duration double")
+    assert scenario_volume(df).first().expected_events == 10**11
+
+
+def test_replay_draws_with_replacement(spark):
+    from latencylab.operators.parse import replay_sample
+
+    src = spark.range(1000).select(F.col("id").alias("src_id"))
+    got = replay_sample(src, "src_id", n_events=10_000)
+    assert got.count() == 10_000 and got.select("src_id").distinct().count() > 990
+    once = replay_sample(src, "src_id")
+    assert 550 < once.select("src_id").distinct().count() < 700  # about 1 - 1/e of the rows
+
+
+def test_latest_wins_has_a_defined_winner_on_ties(spark):
+    df = spark.createDataFrame([("r", 0, 2, 10), ("r", 0, 2, 20), ("r", 0, 1, 99)], "run_id string, b long, v long, x long")
+    for d in (df, df.orderBy("x"), df.orderBy(F.desc("x"))):
+        assert [tuple(r) for r in rollup.latest_wins(d, ["run_id", "b"], ["v"]).collect()] == [("r", 0, 2, 20)]
+
+
+def test_next_iteration_keeps_exhausted_combinations(spark):
     from latencylab.plans.catalog import queries
-    from latencylab.schemas import OUTPUT_RECORD
     from tests.conftest import SF_SMALL
 
-    out = queries()["output_records"](spark, SF_SMALL)
-    back = out.select("key", F.from_json("value", OUTPUT_RECORD).alias("r"))
-    bad = back.where(F.col("r").isNull() | (F.concat_ws(":", "r.run_id", "r.event_id") != F.col("key")))
-    assert bad.count() == 0
-    r = back.where("r.result.window_metrics.transaction_count is not null").first()
-    assert r.r.framework == "spark" and r.r.result.account_state.transaction_count >= 1
+    rows = queries()["next_iteration_full"](spark, SF_SMALL).collect()
+    assert len(rows) == len(queries()["next_iteration"](spark, SF_SMALL).collect()) > 0
+    assert any(r.next_iteration is None for r in rows) and any(r.next_iteration for r in rows)
+
+
+def test_a_wide_hole_is_one_range(spark):
+    ev = spark.createDataFrame([("r", 1), ("r", 10**15)], "run_id string, event_id long")
+    assert [tuple(r) for r in recovery.missing_ranges(ev).collect()] == [("r", 2, 10**15 - 1, 10**15 - 2)]
+
+
+def test_listed_orders(spark):
+    """Rows come in the documented order (the oracle comparison ignores it)."""
+    from latencylab.plans.catalog import queries
+    from tests.conftest import SF_SMALL
+
+    def ordered(name, key):
+        rows = [key(r) for r in queries()[name](spark, SF_SMALL).collect()]
+        assert rows == sorted(rows) and len(rows) > 1, name
+
+    last = lambda v: (v is None, v if v is not None else "")  # nulls last
+    ordered("run_list", lambda r: -(r.last_collected_at_ms if r.last_collected_at_ms is not None else 10**18))
+    ordered("run_groups", lambda r: tuple(last(r[c]) for c in ("framework", "scenario", "mode", "fault_service", "fault_action")))
+    for name in ("latency_series", "latency_series_bucket", "resource_series"):
+        ordered(name, lambda r: (r.run_id, r.bucket_offset_ms))
+    ordered("fault_timeline", lambda r: (r.run_id, r.timestamp_ms, r.phase, r.container))
+    ordered("run_windows_by_start", lambda r: r.run_start_at_ms)
+
+
+def test_store_key_follows_the_files(spark, tmp_dir):
+    from latencylab.sources.fixtures import Tables
+
+    def key(n):
+        spark.range(n).write.mode("overwrite").parquet(f"{tmp_dir}/events.parquet")
+        return Tables(spark, f"file:{tmp_dir}")._source_key()
+
+    assert key(5) != key(500)
+
+
+def test_kafka_source_options():
+    from latencylab.streaming.pipeline import kafka_source_options
+
+    got = kafka_source_options({"subscribe": "events", "maxOffsetsPerTrigger": "100"})
+    assert got == {"startingOffsets": "latest", "failOnDataLoss": "false", "subscribe": "events", "maxOffsetsPerTrigger": "100"}
+    assert kafka_source_options(starting_offsets="earliest")["startingOffsets"] == "earliest"
 
 
 def test_metadata_empty_fault_fields_and_normal_runs(spark):
