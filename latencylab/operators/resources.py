@@ -20,6 +20,7 @@ from latencylab.operators.runs import RunFilter, apply_filter, event_runs, resol
 # Container cgroup ids counted as Docker containers (full match).
 DOCKER_CGROUP_PATTERN = r"/docker/.+|/system[.]slice/docker-.+[.]scope"
 RATE_RANGE_MS = 30_000
+RATE_BLOCK_MS = 3_600_000
 DEFAULT_STEP_SECONDS = 5.0
 RESOURCE_SOURCE = "prometheus:docker_total"
 
@@ -45,21 +46,23 @@ def counter_rate(samples: DataFrame, value: str = "cpu_seconds_total", pattern:
     Per series: increase of a sample = v - previous v, or v after a reset (a
     drop). Rate at t = increases of the samples after the first one inside the
     range, divided by the seconds between the first and last sample inside it;
-    null with fewer than two samples. Series are short (one sample per step), so
-    the per-series window is small.
+    null with fewer than two samples. A series is cut into blocks of ``RATE_BLOCK_MS``; each block
+    also gets the samples of the range before it, so a long series is many window partitions.
     """
     s = _docker(samples, pattern).select("run_id", "id", "timestamp_ms", F.col(value).alias("v"))
-    w = Window.partitionBy("run_id", "id").orderBy("timestamp_ms")
+    own, late = F.floor(F.col("timestamp_ms") / RATE_BLOCK_MS), F.pmod("timestamp_ms", F.lit(RATE_BLOCK_MS)) > RATE_BLOCK_MS - range_ms
+    s = s.withColumn("_own", own).withColumn("_blk", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = Window.partitionBy("run_id", "id", "_blk").orderBy("timestamp_ms")
     prev = F.lag("v").over(w)
     s = s.withColumn("inc", F.when(prev.isNull(), F.lit(0.0)).when(F.col("v") >= prev, F.col("v") - prev).otherwise(F.col("v")))
     r = w.rangeBetween(-(range_ms - 1), 0)
     s = s.select(
-        "run_id", "id", "timestamp_ms",
+        "run_id", "id", "timestamp_ms", (F.col("_blk") == F.col("_own")).alias("_mine"),
         (F.sum("inc").over(r) - F.first("inc").over(r)).alias("increase"),
         F.count(F.lit(1)).over(r).alias("n"),
         ((F.max("timestamp_ms").over(r) - F.min("timestamp_ms").over(r)) / F.lit(1000.0)).alias("span_s"),
     )
-    s = s.withColumn("rate", F.when((F.col("n") >= 2) & (F.col("span_s") > 0), F.col("increase") / F.col("span_s")))
+    s = s.where("_mine").withColumn("rate", F.when((F.col("n") >= 2) & (F.col("span_s") > 0), F.col("increase") / F.col("span_s")))
     return s.groupBy("run_id", "timestamp_ms").agg(F.sum("rate").alias(name))
 
 

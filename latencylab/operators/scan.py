@@ -171,7 +171,7 @@ def neighbour(
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, tuple[str, float]],
-                target_rows: int = TARGET_BLOCK_ROWS) -> DataFrame:
+                target_rows: int = TARGET_BLOCK_ROWS, weight: str | None = None) -> DataFrame:
     """Exact percentiles per key: ``wanted`` maps output names to ("disc" | "cont", p).
 
     Equal values are counted first (partial + final hash aggregate), a running count over the
@@ -179,10 +179,10 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str
     whose running count reaches it. No buffer grows with a group, unlike the built-in exact
     percentile, whose value map of a hot group ends in one task. "disc" is the nearest rank
     (index ceil(p n), at least 1), "cont" interpolates between ranks. Null values are skipped; a key without
-    values has no row.
+    values has no row. ``weight`` names a column that says how often each row counts.
     """
     keys = list(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"))
     ranked = running_totals(counts, keys, ["_x"], sums={"_cum": F.col("_c")}, target_rows=target_rows)
     total = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     ranked = null_safe_join(ranked, total, keys) if keys else ranked.crossJoin(total)

@@ -19,12 +19,34 @@ from pyspark.sql import functions as F
 from latencylab.operators.rollup import latest_wins
 from latencylab.session import scratch_path
 
+# The collect job's running state, deleted with a run.
+STATE_TABLES = ["processed_events_log", "collect_run_starts", "collect_ids", "collect_latency", "collect_runs"]
 TABLE_NAMES = [
     "resource_usage_buckets", "fault_events", "processed_event_buckets",
     "processed_run_summaries", "processed_events", "run_metadata",
 ]
 
 
+# Schemas of the tables that a micro-batch reads (no footers are read to infer them).
+_LOG = ("run_id string, framework string, scenario string, event_id long, sent_at_ms long, processed_at_ms long, "
+        "collected_at_ms long, latency_ms double, ")
+_LATENCY = "avg_latency_ms double, median_latency_ms double, p95_latency_ms double, max_latency_ms double"
+_RANGE = "messages long, distinct_events long, min_event_id long, max_event_id long, "
+DECLARED = {
+    "processed_events_log": _LOG + "block long, batch_id int",
+    "processed_event_buckets": ("run_id string, framework string, scenario string, bucket_offset_ms long, bucket_start_ms long, "
+                                "bucket_end_ms long, " + _RANGE + _LATENCY + ", part long"),
+    "processed_run_summaries": ("run_id string, framework string, scenario string, " + _RANGE + "first_sent_at_ms long, "
+                                "first_collected_at_ms long, last_collected_at_ms long, " + _LATENCY),
+    "collect_run_starts": ("run_id string, first_event_id long, first_record_sent_at_ms long, first_collected_at_ms long, "
+                           "run_start_ms long"),
+    "collect_ids": "run_id string, id_block long, event_id long, first_batch int",
+    "collect_latency": "run_id string, latency_ms double, n long, upto int",
+    "collect_runs": ("run_id string, " + _RANGE + "first_collected_at_ms long, last_collected_at_ms long, framework string, "
+                     "scenario string, upto int"),
+}
+
+
 class Store:
     """A folder of parquet tables, each partitioned by ``run_id``."""
 
@@ -44,32 +66,54 @@ class Store:
     def read(self, table: str, run_id: str | None = None) -> DataFrame | None:
         if not self.exists(table):
             return None
-        df = self.spark.read.option("mergeSchema", "true").parquet(self.path(table))
+        reader = self.spark.read
+        if table in DECLARED:
+            reader = reader.schema(DECLARED[table])
+        df = reader.parquet(self.path(table))
         return df if run_id is None else df.where(F.col("run_id") == run_id)
 
     # -- writes -----------------------------------------------------------------
-    def append(self, table: str, df: DataFrame, batch_id: int | None = None) -> None:
-        """Append rows; with a ``batch_id`` the batch's folder is replaced, so a
+    def append(self, table: str, df: DataFrame, batch_id: int | None = None, parts: Sequence[str] = ("run_id",)) -> None:
+        """Append rows; with a ``batch_id`` the batch's partitions are replaced, so a
         replayed micro-batch does not duplicate rows."""
         if batch_id is None:
-            df.write.mode("append").partitionBy("run_id").parquet(self.path(table))
+            df.write.mode("append").partitionBy(*parts).parquet(self.path(table))
         else:
             (df.withColumn("batch_id", F.lit(int(batch_id)))
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("batch_id", "run_id").parquet(self.path(table)))
+             .partitionBy(*parts, "batch_id").parquet(self.path(table)))
+
+    def read_parts(self, table: str, **values: list) -> DataFrame | None:
+        """Rows whose partition columns have one of the given values (others are not listed or read);
+        None if the table does not exist yet."""
+        df = self.read(table)
+        if df is None:
+            return None
+        for column, wanted in values.items():
+            df = df.where(F.col(column).isin(*wanted) if wanted else F.lit(False))
+        return df
+
+    def drop_run(self, table: str, run_id: str) -> None:
+        """Delete one run's partitions of a table."""
+        jvm = self.spark._jvm
+        escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(run_id)
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/run_id={escaped}")
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
-    def _overwrite_runs(self, table: str, df: DataFrame) -> None:
+    def overwrite_parts(self, table: str, df: DataFrame, parts: Sequence[str]) -> None:
+        """Replace the partitions that ``df`` has rows for. The rows are first written to a staging
+        folder, since they may derive from the partitions they replace."""
         staging = scratch_path(self.spark, f"staging-{table}-{uuid.uuid4().hex}")
-        df.write.mode("overwrite").partitionBy("run_id").parquet(staging)
+        df.write.mode("overwrite").partitionBy(*parts).parquet(staging)
         staged = self.spark.read.schema(df.schema).parquet(staging).select(*df.columns)
         (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("run_id").parquet(self.path(table)))
+         .partitionBy(*parts).parquet(self.path(table)))
         p = self.spark._jvm.org.apache.hadoop.fs.Path(staging)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def replace_runs(self, table: str, df: DataFrame) -> None:
         """Replace every row of the runs present in ``df`` (a fault-log import)."""
-        self._overwrite_runs(table, df)
+        self.overwrite_parts(table, df, ["run_id"])
 
     def upsert(self, table: str, df: DataFrame, keys: Sequence[str], version_col: str = "updated_at",
                keep_first: Sequence[str] = ("created_at",)) -> None:
@@ -89,7 +133,7 @@ class Store:
             if c in both.columns:
                 first = both.groupBy(*keys).agg(F.min(c).alias(f"_first_{c}"))
                 merged = merged.join(first, list(keys), "left").withColumn(c, F.col(f"_first_{c}")).drop(f"_first_{c}")
-        self._overwrite_runs(table, merged)
+        self.overwrite_parts(table, merged, ["run_id"])
 
     def purge(self, run_id: str) -> DataFrame:
         """Delete a run from every table; returns rows deleted per table.
@@ -112,6 +156,8 @@ class Store:
                 for st in fs.globStatus(jvm.org.apache.hadoop.fs.Path(pattern)) or []:
                     fs.delete(st.getPath(), True)
             rows.append((run_id, table, int(n)))
+        for table in STATE_TABLES:
+            self.drop_run(table, run_id)
         return self.spark.createDataFrame(rows, "run_id string, table_name string, deleted_rows long")
 
 

@@ -1,9 +1,10 @@
 """Collect job (SS8-SS10, SNK2-SNK5, SNK10): stamp arrival, keep one run or all,
 append raw rows, and maintain time-bucket and run-summary rollups.
 
-Rollups are recomputed from the raw log of the runs a batch touched (bucket rows
-only for the buckets it touched), so a restart or replay never overwrites counts
-with partial ones, unlike an in-memory collector.
+The raw log is partitioned by run and time block. A batch rebuilds only the time buckets it touched, from
+their blocks, and adds to the runs' state (first record, ids, counts of latency values), from which the
+run summaries follow; so its cost does not grow with the history, and a restart or replay never
+overwrites counts with partial ones, unlike an in-memory collector.
 """
 
 from __future__ import annotations
@@ -15,10 +16,17 @@ from pyspark.sql import functions as F
 
 from latencylab.functions.columns import bucket_floor, lenient_double
 from latencylab.operators.parse import as_text, lenient_long
-from latencylab.operators.rollup import bucket_rollup, run_rollup, run_starts
+from latencylab.operators.rollup import RANKS, bucket_rollup, run_labels, run_starts
 from latencylab.operators.runs import keep_run
+from latencylab.operators.scan import arg_extreme, percentiles
 from latencylab.schemas import OUTPUT_RECORD
-from latencylab.sinks.store import Store
+from latencylab.sinks.store import Store, write_jsonl
+
+LOG_BLOCK_MS = 60_000
+ID_BLOCK = 100_000
+BUCKETS_PER_PART = 1000
+SUMMARY_COLUMNS = ["run_id", "framework", "scenario", "messages", "distinct_events", "min_event_id", "max_event_id", "first_sent_at_ms",
+                   "first_collected_at_ms", "last_collected_at_ms", "avg_latency_ms", "median_latency_ms", "p95_latency_ms", "max_latency_ms"]
 
 RAW_COLUMNS = ["run_id", "framework", "scenario", "event_id", "sent_at_ms", "processed_at_ms", "collected_at_ms",
                "latency_ms"]
@@ -29,6 +37,7 @@ class CollectConfig:
     run_id: str | None = None
     mode: str = "bucket"  # "bucket": rollups (plus the raw log); "raw": raw rows only
     bucket_seconds: float = 5.0
+    jsonl_path: str | None = None  # also write each batch as JSON lines, a folder per run
 
 
 def decode_records(df: DataFrame, collected_at: str | None = None) -> DataFrame:
@@ -47,49 +56,132 @@ def decode_records(df: DataFrame, collected_at: str | None = None) -> DataFrame:
     ).where(F.col("run_id").isNotNull())
 
 
+RUN_KEYS = ["run_id"]
+
+
 def collect_batch(batch: DataFrame, batch_id: int, store: Store, cfg: CollectConfig,
                   metadata: DataFrame | None = None, collected_at: str | None = None) -> None:
+    """Stores one micro-batch. Its cost follows the batch, not the history: besides appending, it reads the
+    log of the touched time blocks, the ids of the touched id blocks, and the runs' latency counts.
+    A replayed batch leaves the same tables."""
     rows = keep_run(decode_records(batch, collected_at), cfg.run_id).persist()
     try:
         if rows.isEmpty():
             return
-        store.append("processed_events_log", rows, batch_id)
+        if cfg.jsonl_path:
+            write_jsonl(rows, cfg.jsonl_path, batch_id)
         if cfg.mode == "raw":
             store.append("processed_events", rows, batch_id)
             return
-        touched_runs = rows.select("run_id").distinct()
-        log = store.read("processed_events_log").drop("batch_id").join(touched_runs, "run_id", "left_semi")
-        starts = run_starts(log, metadata)
-        width = int(cfg.bucket_seconds * 1000)
-        touched = (
-            rows.join(starts.select("run_id", "run_start_ms"), "run_id")
-            .select("run_id", bucket_floor(F.col("collected_at_ms") - F.col("run_start_ms"), width).alias("bucket_offset_ms"))
-            .distinct()
-        )
-        rolled = bucket_rollup(log, starts, cfg.bucket_seconds)
-        old = store.read("processed_event_buckets")
-        if old is None:
-            fresh = rolled
-        else:
-            old = old.join(touched_runs, "run_id", "left_semi")
-            # a run whose start moved (an arrival earlier than the first one seen) is rebuilt whole
-            moved = (
-                old.select("run_id", (F.col("bucket_start_ms") - F.col("bucket_offset_ms")).alias("_s")).distinct()
-                .join(starts.select("run_id", "run_start_ms"), "run_id")
-                .where(F.col("_s") != F.col("run_start_ms")).select("run_id").distinct()
-            )
-            fresh = rolled.join(touched, ["run_id", "bucket_offset_ms"], "left_semi").unionByName(
-                rolled.join(moved, "run_id", "left_semi")
-            ).distinct()
-            keep = (old.join(moved, "run_id", "left_anti")
-                    .join(touched, ["run_id", "bucket_offset_ms"], "left_anti"))
-            fresh = keep.select(*rolled.columns).unionByName(fresh)
-        store.replace_runs("processed_event_buckets", fresh)
-        store.replace_runs("processed_run_summaries", run_rollup(log, starts))
+        block = F.floor(F.col("collected_at_ms") / LOG_BLOCK_MS).cast("long")
+        log_rows = rows.withColumn("block", block)
+        store.append("processed_events_log", log_rows, batch_id, ["run_id", "block"])
+        starts, moved = _update_starts(rows, batch_id, store, metadata)
+        _update_buckets(rows, starts, moved, store, cfg)
+        _update_summaries(rows, starts, batch_id, store)
     finally:
         rows.unpersist()
 
 
+def _values(df: DataFrame, column: str) -> list:
+    """The distinct runs or blocks a micro-batch touched: a short list that prunes partitions."""
+    return [r[0] for r in df.select(column).distinct().collect()]
+
+
+def _update_starts(rows: DataFrame, batch_id: int, store: Store, metadata: DataFrame | None) -> tuple[DataFrame, list]:
+    """Run starts with this batch, and the runs whose known start has changed (an arrival
+    earlier than the first one seen)."""
+    fresh = run_starts(rows, metadata).drop("eps")
+    old = store.read_parts("collect_run_starts", run_id=_values(rows, "run_id"))
+    if old is None:
+        store.replace_runs("collect_run_starts", fresh)
+        return store.read_parts("collect_run_starts", run_id=_values(rows, "run_id")), []
+    both = fresh.unionByName(old)
+    first = arg_extreme(both, RUN_KEYS, [F.col("first_collected_at_ms"), F.coalesce("first_event_id", F.lit(2**63 - 1))],
+                        [c for c in both.columns if c not in RUN_KEYS]).select(*both.columns).persist()
+    moved = [r[0] for r in first.join(old.select("run_id", F.col("run_start_ms").alias("was")), "run_id")
+             .where("run_start_ms <> was").select("run_id").collect()]
+    store.replace_runs("collect_run_starts", first)
+    first.unpersist()
+    return store.read_parts("collect_run_starts", run_id=_values(rows, "run_id")), moved
+
+
+def _update_buckets(rows: DataFrame, starts: DataFrame, moved: list, store: Store, cfg: CollectConfig) -> None:
+    """Rebuilds the buckets this batch touched from the log of their time blocks; all of a run that moved."""
+    width = int(cfg.bucket_seconds * 1000)
+    offset = bucket_floor(F.col("collected_at_ms") - F.col("run_start_ms"), width)
+    touched = rows.where(F.col("collected_at_ms").isNotNull()).join(starts.select("run_id", "run_start_ms"), "run_id").select(
+        "run_id", offset.alias("bucket_offset_ms"), F.col("run_start_ms").alias("s")).distinct().persist()
+    begin = F.col("s") + F.col("bucket_offset_ms")
+    blocks = _values(touched.select(F.explode(F.sequence(
+        F.floor(begin / LOG_BLOCK_MS).cast("long"), F.floor((begin + width - 1) / LOG_BLOCK_MS).cast("long"))).alias("block")), "block")
+    run_ids = _values(touched, "run_id")
+    log = store.read_parts("processed_events_log", run_id=run_ids, block=blocks).select(*RAW_COLUMNS)
+    fresh = bucket_rollup(log, starts, cfg.bucket_seconds).join(touched.drop("s"), ["run_id", "bucket_offset_ms"], "left_semi")
+    part = F.floor(F.col("bucket_offset_ms") / BUCKETS_PER_PART / width).cast("long")
+    fresh = fresh.withColumn("part", part)
+    old = store.read_parts("processed_event_buckets", run_id=run_ids, part=_values(touched.select(part.alias("part")), "part"))
+    if old is not None:
+        fresh = old.select(*fresh.columns).join(touched, ["run_id", "bucket_offset_ms"], "left_anti").unionByName(fresh)
+    if moved:
+        whole = store.read_parts("processed_events_log", run_id=moved).select(*RAW_COLUMNS)
+        rebuilt = bucket_rollup(whole, starts, cfg.bucket_seconds).withColumn("part", part)
+        fresh = fresh.where(~F.col("run_id").isin(moved)).unionByName(rebuilt)
+        for run_id in moved:  # their old buckets lie at other offsets
+            store.drop_run("processed_event_buckets", run_id)
+    store.overwrite_parts("processed_event_buckets", fresh, ["run_id", "part"])
+    touched.unpersist()
+
+
+def _update_summaries(rows: DataFrame, starts: DataFrame, batch_id: int, store: Store) -> None:
+    """Run summaries from running state: new ids of the touched id blocks, and latency counts per run.
+    Every state row says which batch it includes, so a replayed batch is added once."""
+    run_ids = _values(rows, "run_id")
+    seen = rows.where(F.col("collected_at_ms").isNotNull())
+    ids = seen.where(F.col("event_id").isNotNull()).select("run_id", F.floor(F.col("event_id") / ID_BLOCK).cast("long").alias("id_block"), "event_id").distinct()
+    known = store.read_parts("collect_ids", run_id=run_ids, id_block=_values(ids, "id_block"))
+    earlier = None if known is None else known.where(F.col("first_batch") < batch_id)
+    new = ids if earlier is None else ids.join(earlier, ["run_id", "id_block", "event_id"], "left_anti")
+    new = new.withColumn("first_batch", F.lit(int(batch_id))).persist()
+    new_counts = new.groupBy("run_id").agg(F.count(F.lit(1)).alias("distinct_events"))
+    store.overwrite_parts("collect_ids", new if earlier is None else earlier.select(*new.columns).unionByName(new), ["run_id", "id_block"])
+
+    latency = seen.where(F.col("latency_ms").isNotNull()).groupBy("run_id", "latency_ms").agg(F.count(F.lit(1)).alias("n"))
+    latency = latency.withColumn("upto", F.lit(int(batch_id)))
+    old = store.read_parts("collect_latency", run_id=run_ids)
+    if old is not None:
+        done = old.groupBy("run_id").agg(F.max("upto").alias("u")).where(F.col("u") >= batch_id).select("run_id")
+        latency = (
+            old.select(*latency.columns).unionByName(latency.join(done, "run_id", "left_anti"))
+            .groupBy("run_id", "latency_ms").agg(F.sum("n").alias("n"), F.max("upto").alias("upto"))
+        )
+    store.replace_runs("collect_latency", latency)
+
+    part = seen.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("messages"), F.min("event_id").alias("min_event_id"), F.max("event_id").alias("max_event_id"),
+        F.min("collected_at_ms").alias("first_collected_at_ms"), F.max("collected_at_ms").alias("last_collected_at_ms"),
+    ).join(new_counts, "run_id", "left").join(run_labels(seen), "run_id").withColumns({
+        "distinct_events": F.coalesce("distinct_events", F.lit(0).cast("long")), "upto": F.lit(int(batch_id)),
+    })
+    old = store.read_parts("collect_runs", run_id=run_ids)
+    if old is not None:
+        done = old.where(F.col("upto") >= batch_id).select("run_id")
+        both = old.select(*part.columns).unionByName(part.join(done, "run_id", "left_anti"))
+        sums, least, most = ("messages", "distinct_events"), ("min_event_id", "first_collected_at_ms"), ("max_event_id", "last_collected_at_ms", "framework", "scenario", "upto")
+        part = both.groupBy("run_id").agg(
+            *[F.sum(c).alias(c) for c in sums], *[F.min(c).alias(c) for c in least], *[F.max(c).alias(c) for c in most]
+        )
+    store.replace_runs("collect_runs", part)
+    new.unpersist()
+
+    counts = store.read_parts("collect_latency", run_id=run_ids)
+    state = store.read_parts("collect_runs", run_id=run_ids).join(starts.select("run_id", F.col("run_start_ms").alias("first_sent_at_ms")), "run_id", "left")
+    if counts is not None:
+        mean = counts.groupBy("run_id").agg((F.sum(F.col("latency_ms") * F.col("n")) / F.sum("n")).alias("avg_latency_ms"), F.max("latency_ms").alias("max_latency_ms"))
+        state = state.join(mean, "run_id", "left").join(percentiles(counts, RUN_KEYS, "latency_ms", RANKS, weight="n"), "run_id", "left")
+    store.replace_runs("processed_run_summaries", state.select(*SUMMARY_COLUMNS))
+
+
 def start_collect(stream: DataFrame, store: Store, cfg: CollectConfig, checkpoint: str,
                   trigger: dict | None = None, metadata: DataFrame | None = None, collected_at: str | None = None):
     """Second streaming query: output records -> stored rows and rollups.

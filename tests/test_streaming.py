@@ -133,34 +133,112 @@ def test_late_rows_with_and_without_watermark(spark, tmp_dir):
     assert counts["wm"] == 1  # beyond the watermark: dropped
 
 
+def _records(spark):
+    """Collected output records as JSON, with their arrival time."""
+    from latencylab.plans.catalog import tables
+
+    pe = tables(spark, SF_SMALL).processed_events_all.drop("iteration")
+    return pe.select(F.to_json(F.struct("framework", "run_id", "event_id", "sent_at_ms", "processed_at_ms", "latency_ms", "scenario")).alias("value"),
+                     "collected_at_ms")
+
+
+def _check_store(store, rows):
+    starts = rollup.run_starts(rows)
+    ref = rollup.bucket_rollup(rows, starts)
+    _same(store.read("processed_event_buckets").select(*ref.columns), ref, ref.columns)
+    ref = rollup.run_rollup(rows, starts)
+    _same(store.read("processed_run_summaries").select(*ref.columns), ref, ref.columns)
+
+
 def test_collect_job_matches_batch_rollups(spark, tmp_dir):
+    """All statistics, with buckets touched twice, arrivals before the first one seen, and replays."""
     from latencylab.sinks.store import Store
     from latencylab.streaming.collect import CollectConfig, collect_batch, decode_records
 
-    from latencylab.plans.catalog import tables
+    rec = _records(spark)
+    store = Store(spark, f"{tmp_dir}/store")
+    cfg = CollectConfig(mode="bucket", bucket_seconds=5.0, jsonl_path=f"{tmp_dir}/jsonl")
+    batches = [rec.where("collected_at_ms % 4 = 3"), rec.where("collected_at_ms % 4 in (0, 1)"), rec.where("collected_at_ms % 4 = 2")]
+    for i in (0, 1, 1, 2, 2):
+        collect_batch(batches[i], i, store, cfg, collected_at="collected_at_ms")
+    _check_store(store, decode_records(rec, "collected_at_ms"))
+    assert spark.read.json(f"{tmp_dir}/jsonl").count() == rec.count()
+    run = store.read("processed_run_summaries").first().run_id
+    store.purge(run)
+    assert store.read("collect_ids").where(F.col("run_id") == run).count() == 0
+
+
+def test_collect_reads_only_the_touched_blocks(spark, tmp_dir):
+    from latencylab.sinks.store import Store
+    from latencylab.streaming.collect import CollectConfig, collect_batch
 
-    pe = tables(spark, SF_SMALL).processed_events_all.drop("iteration")
-    rec = pe.select(
-        F.to_json(F.struct("framework", "run_id", "event_id", "sent_at_ms", "processed_at_ms",
-                           F.col("latency_ms").cast("long").alias("latency_ms"), "scenario")).alias("value"),
-        "collected_at_ms",
-    )
+    rec = _records(spark)
     store = Store(spark, f"{tmp_dir}/store")
-    cfg = CollectConfig(mode="bucket", bucket_seconds=5.0)
-    first = rec.where("collected_at_ms % 2 = 0")
-    second = rec.where("collected_at_ms % 2 = 1")
-    collect_batch(first, 0, store, cfg, collected_at="collected_at_ms")
-    collect_batch(second, 1, store, cfg, collected_at="collected_at_ms")
-    collect_batch(second, 1, store, cfg, collected_at="collected_at_ms")  # replay
-    got = store.read("processed_event_buckets").select("run_id", "bucket_offset_ms", "messages", "distinct_events")
-    rows = decode_records(rec, "collected_at_ms")
-    ref = rollup.bucket_rollup(rows, rollup.run_starts(rows)).select("run_id", "bucket_offset_ms", "messages",
-                                                                     "distinct_events")
-    assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0
-    runs = store.read("processed_run_summaries").select("run_id", "messages", "distinct_events", "first_sent_at_ms")
-    ref_runs = rollup.run_rollup(rows, rollup.run_starts(rows)).select("run_id", "messages", "distinct_events",
-                                                                        "first_sent_at_ms")
-    assert runs.exceptAll(ref_runs).count() == 0 and ref_runs.exceptAll(runs).count() == 0
+    collect_batch(rec, 0, store, CollectConfig(), collected_at="collected_at_ms")
+    part = store.read_parts("processed_events_log", run_id=["spark_low_01"], block=[1])
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "block" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_started_collect_query_restarts_from_its_checkpoint(spark, tmp_dir):
+    from latencylab.sinks.store import Store
+    from latencylab.streaming.collect import CollectConfig, decode_records, start_collect
+
+    rec = _records(spark)
+    whole = rec.select(F.to_json(F.struct("value", "collected_at_ms")).alias("value"))
+    src, store = f"{tmp_dir}/in", Store(spark, f"{tmp_dir}/store")
+    os.makedirs(src)
+    for k, wanted in enumerate(("collected_at_ms % 3 = 0", "collected_at_ms % 3 = 1", "collected_at_ms % 3 = 2")):
+        rec.where(wanted).select(F.to_json(F.struct("value", "collected_at_ms")).alias("v")).coalesce(1).write.text(f"{tmp_dir}/t{k}")
+    assert whole.count() == rec.count()
+
+    def deliver(k):
+        name = [f for f in os.listdir(f"{tmp_dir}/t{k}") if f.endswith(".txt")][0]
+        os.rename(f"{tmp_dir}/t{k}/{name}", f"{src}/part{k}.txt")
+
+    def run():
+        stream = read_events_stream(spark, "files", src, {"maxFilesPerTrigger": "1"})
+        stream = stream.select(F.from_json("value", "value string, collected_at_ms long").alias("r")).select("r.*")
+        q = start_collect(stream, store, CollectConfig(), f"{tmp_dir}/ck", {"availableNow": True}, collected_at="collected_at_ms")
+        q.awaitTermination()
+
+    deliver(0), deliver(1)
+    run()
+    deliver(2)
+    run()
+    _check_store(store, decode_records(rec, "collected_at_ms"))
+
+
+def test_raw_mode_keeps_rows_of_one_run(spark, tmp_dir):
+    from latencylab.sinks.store import Store
+    from latencylab.streaming.collect import CollectConfig, collect_batch, decode_records
+
+    rec = _records(spark)
+    store = Store(spark, f"{tmp_dir}/raw")
+    run = decode_records(rec, "collected_at_ms").first().run_id
+    for _ in range(2):
+        collect_batch(rec, 0, store, CollectConfig(mode="raw", run_id=run), collected_at="collected_at_ms")
+    want = decode_records(rec, "collected_at_ms").where(F.col("run_id") == run)
+    got = store.read("processed_events").drop("batch_id")
+    _same(got, want, want.columns)
+    assert not store.exists("processed_event_buckets")
+
+
+def test_await_idle_counts_every_batch(spark, tmp_dir):
+    from latencylab.streaming.collect import await_idle
+
+    src = f"{tmp_dir}/in"
+    os.makedirs(src)
+    for k in range(6):
+        with open(f"{src}/f{k}.txt", "w") as f:
+            f.write("x\n" * (k + 1))
+    q = (read_events_stream(spark, "files", src, {"maxFilesPerTrigger": "1"}).writeStream.foreachBatch(lambda df, i: df.count() and None)
+         .option("checkpointLocation", f"{tmp_dir}/ck").start())
+    assert await_idle(q, idle_seconds=4, poll_seconds=2.5) == 21
+    assert not q.isActive
+    q = (read_events_stream(spark, "files", src, {"maxFilesPerTrigger": "1"}).writeStream.foreachBatch(lambda df, i: (df.count(), time.sleep(0.4)) and None)
+         .option("checkpointLocation", f"{tmp_dir}/ck2").start())
+    assert 3 <= await_idle(q, idle_seconds=30, max_messages=3, poll_seconds=0.1) <= 21
 
 
 def test_keyed_pandas_state(spark, tmp_dir):

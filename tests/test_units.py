@@ -243,6 +243,20 @@ def test_a_wide_hole_is_one_range(spark):
     assert [tuple(r) for r in recovery.missing_ranges(ev).collect()] == [("r", 2, 10**15 - 1, 10**15 - 2)]
 
 
+def test_counter_rate_blocks_equal_one_window(spark):
+    from latencylab.operators import resources
+
+    samples = spark.range(500).selectExpr("'r' as run_id", "'/docker/a' as id", "id * 7001 as timestamp_ms", "cast((id % 90) * 3 as double) as cpu_seconds_total")
+    whole = resources.RATE_BLOCK_MS
+    try:
+        got = {}
+        for resources.RATE_BLOCK_MS in (10**9, 61_000, 200_000):
+            got[resources.RATE_BLOCK_MS] = sorted((r.timestamp_ms, r.cpu_usage_cores) for r in resources.counter_rate(samples).collect())
+    finally:
+        resources.RATE_BLOCK_MS = whole
+    assert got[10**9] == got[61_000] == got[200_000] and len(got[10**9]) == 500
+
+
 def test_listed_orders(spark):
     """Rows come in the documented order (the oracle comparison ignores it)."""
     from latencylab.plans.catalog import queries
