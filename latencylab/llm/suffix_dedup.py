@@ -297,10 +297,17 @@ def _match(length: int):
         group = _first(key[one])
         alone = np.repeat(np.diff(np.append(group, len(one))) == 1, np.diff(np.append(group, len(one))))
         several = np.flatnonzero(~alone)  # an anchor with one unit has no other suffix to meet
-        if len(several):
-            s = size[one[several]]
-            flat = data[np.repeat(end[one[several]] - s - (np.cumsum(s) - s), s) + np.arange(s.sum())]
-            bits[several] = earlier_windows(flat, windows[one[several]], doc[one[several]], length)
+        lo = 0
+        while lo < len(several):  # whole anchors, about a slice of text at a time
+            total = np.cumsum(size[one[several[lo:]]])
+            hi = lo + max(1, int(np.searchsorted(total, tx.SLICE, "right")))
+            while hi < len(several) and key[one[several[hi]]] == key[one[several[hi - 1]]]:
+                hi += 1
+            part = several[lo:hi]
+            s = size[one[part]]
+            flat = data[np.repeat(end[one[part]] - s - (np.cumsum(s) - s), s) + np.arange(s.sum())]
+            bits[part] = earlier_windows(flat, windows[one[part]], doc[one[part]], length)
+            lo = hi
         answer = np.where(doc > doc[one][of], ALL, bits[of])
         at = np.concatenate([[0], np.cumsum(n)])
         return pa.table({
@@ -370,7 +377,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     sent = blocks.groupBy("block").applyInArrow(_send(few, length, gram), "bucket long, block long, keys binary, many binary")
     shared = scratch(spark, sent.groupBy("bucket").applyInArrow(_shared, "block long, bucket long, n long, bits binary"), "lpf-anchors")
     units = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(
-        _send_units(max(8, n), length, gram), "bucket long, block long, keys binary, windows binary, docs binary, data binary"
+        _send_units(max(8, 2 * n), length, gram), "bucket long, block long, keys binary, windows binary, docs binary, data binary"
     )
     answers = units.groupBy("bucket").applyInArrow(_match(length), "block long, bucket long, n long, bits binary")
     both = shared.unionAll(answers)
