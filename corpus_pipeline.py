@@ -22,13 +22,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; rejected ones go. Learns from all labelled documents
     (a bounded sample of each language)."""
     model = langid.train(docs.select("doc_id", "text", "lang"))
-    return langid.identify(docs, model).filter(~F.col("rejected")).select(docs.columns)
+    return langid.recognised(docs, model)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many documents repeat; n_chars follows the text."""
-    clean = line_dedup.dedup_lines(docs)
-    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    clean = line_dedup.dedup_lines(docs, with_counts=False)
+    return clean.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -127,8 +127,8 @@ def contained_items(
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that contain no item (all columns). Rows with a null doc_id are judged
     together: one that contains an item removes them all."""
-    bad = contained_items(docs, items, threshold).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = contained_items(docs, items, threshold).select("doc_id").distinct()
+    return docs.alias("d").join(bad.alias("b"), F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")), "left_anti")
 
 
 ORACLE = """

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from latencylab.llm import text as tx
 
@@ -29,7 +30,6 @@ PER_LANG = 800
 MIN_SCORE = 0.5
 UNKNOWN = "und"
 _LETTER = np.zeros(0, bool)
-PREDICTION = "lang_pred string, score double, rejected boolean"
 
 
 def letters() -> np.ndarray:
@@ -205,12 +205,22 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 batch.columns + [pa.array(v, t) for v, t in zip(found, kinds)], batch.schema.names + ["lang_pred", "score", "rejected"]
             )
 
-    schema = docs.schema
-    for name, kind in (("lang_pred", "string"), ("score", "double"), ("rejected", "boolean")):
-        schema = schema.add(name, kind) if schema is not docs.schema else type(schema)(list(schema.fields)).add(name, kind)
+    schema = StructType(list(docs.schema.fields)).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     return docs.mapInArrow(run, schema)
 
 
+def recognised(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents that are not rejected, with their own columns unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            rejected = shared.value.predict(batch.column("text"))[2]
+            yield batch.filter(pa.array([not x for x in rejected], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column, modulus: int = 3) -> Column:
     """crc32 of the id as text, modulo ``modulus``, is 1 (a null id is not held out)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == 1, F.lit(False))

@@ -49,8 +49,9 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     )
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """All columns of ``docs`` with ``text`` cleaned, plus ``n_lines`` and ``n_dropped`` (before, lost).
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, with_counts: bool = True) -> DataFrame:
+    """All columns of ``docs`` with ``text`` cleaned, plus ``n_lines`` and ``n_dropped`` (before, lost; they
+    replace columns of these names) unless ``with_counts`` is off.
 
     Lines whose key has at least ``min_chars`` code points and is in at least ``min_docs``
     documents stay only in the largest doc_id that holds them (there all its copies stay).
@@ -58,23 +59,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     when documents are counted and are cleaned alike; a null doc_id is a document
     that is never the largest. Extra columns pass through; an empty table gives an empty table.
     """
-    drops = repeated_lines(docs, min_chars, min_docs).withColumnRenamed("doc_id", "_drop_id").withColumnRenamed("dropped", "_dropped")
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("_drop_id")), "left").withColumn("_lines", lines)
-    kept = F.filter(
-        F.col("_lines"),
-        lambda x: ~((F.char_length(line_key(x)) >= min_chars) & F.array_contains(F.col("_dropped"), _hash(line_key(x)))),
-    )
-    clean = F.when(F.col("_dropped").isNull(), F.col("_lines")).otherwise(kept)
-    return (
-        joined.withColumn("_kept", clean)
-        .withColumns({
-            "text": F.concat_ws("\n", F.col("_kept")),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dropped": (F.size("_lines") - F.size("_kept")).cast("long"),
-        })
-        .drop("_drop_id", "_dropped", "_lines", "_kept")
-    )
+    drops = repeated_lines(docs, min_chars, min_docs)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+    joined = rows.join(drops, F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left")
+
+    def stays(x: Column) -> Column:
+        return ~((F.char_length(line_key(x)) >= min_chars) & F.array_contains(F.col("dropped"), _hash(line_key(x))))
+
+    kept = F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(F.filter("lines", stays))
+    counts = {"n_lines": F.size("lines"), "n_dropped": F.size("lines") - F.size("kept")} if with_counts else {}
+    columns = [F.concat_ws("\n", "kept").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in counts]
+    return joined.withColumn("kept", kept).select(*columns, *[n.cast("long").alias(c) for c, n in counts.items()])
 
 
 def line_dedup_digest(docs: DataFrame) -> DataFrame:

@@ -1,34 +1,20 @@
-import os
-import sys
-
+import llm_brute
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-sys.path.insert(0, ROOT)
-
-SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-@pytest.fixture(scope="session")
-def spark():
-    from latencylab.session import local_session
-
-    yield local_session(4, shuffle_partitions=4, app="latencylab-tests")
-
-
 @pytest.fixture(scope="session")
 def documents(spark):
-    return spark.read.parquet(f"{SF}/documents.parquet").cache()
+    return spark.read.parquet(f"{llm_brute.SF}/documents.parquet").cache()
 
 
 @pytest.fixture()
 def docs(spark):
     """Builds a documents table from (doc_id, text[, lang, source]) tuples."""
 
-    def make(*rows, extra=None):
-        full = [(r + (None,) * 4)[:4] + (len(r[1]) if r[1] is not None else None,) for r in rows]
-        df = spark.createDataFrame(full, DOCS)
-        return df if extra is None else df.selectExpr("*", *extra)
+    def make(*rows, extra=()):
+        full = [(*(r + (None,) * 4)[:4], len(r[1]) if len(r) > 1 and r[1] is not None else None) for r in rows]
+        return spark.createDataFrame(full, DOCS).selectExpr("*", *extra)
 
     return make

@@ -4,10 +4,10 @@ import hashlib
 import math
 import random
 
-import brute
+import llm_brute as brute
 import numpy as np
 import pyarrow as pa
-from conftest import SF
+from llm_brute import SF
 from pyspark.sql import functions as F
 
 from latencylab.llm import decontam, html_extract, jaccard_join, langid, line_dedup, lm, mixing, queries, spotsigs, suffix_dedup, warc
