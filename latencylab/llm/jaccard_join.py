@@ -210,19 +210,21 @@ class _Region:
             k = min(CELL_PIVOTS, len(m))
             dist = np.ones((len(m), k))
             pivot = 0
+            done = np.zeros(len(m), bool)
             for j in range(k):  # each further pivot is the member farthest from those before
+                done[pivot] = True  # all links of a pivot are found here
                 s = self.shared(m[pivot], m, flat, edges)
                 dist[:, j] = 1 - s / (self.n[m[pivot]] + self.n[m] - s)
                 for x in np.flatnonzero(self.is_link(s, m[pivot], m)):
                     groups.link(int(m[pivot]), int(m[x]))
                 pivot = int(dist[:, : j + 1].min(1).argmax())
-            live = self._learnable(m, dist, groups)
+            live = self._learnable(m, dist, groups) & ~done
             near = dist.min(1)
             cells = [live & (dist[:, j] <= near + 2 * self.eps + SLACK) for j in range(k)]
-            if any(c.sum() == live.sum() > SMALL for c in cells) and live.sum() > 0.8 * len(m):
-                self._compare(m, flat, edges, groups, len(m))  # pivots do not separate these sets
-            else:
+            if sum(c.sum() for c in cells) <= 1.25 * live.sum():
                 stack += [m[c] for c in cells]
+            else:  # these pivots do not separate the sets: other pivots of the rest, as one cell
+                stack.append(m[live])
         return groups.links
 
     def _compare(self, m, flat, edges, groups, rows: int) -> None:
@@ -407,8 +409,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, m
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each component (its smallest doc_id) with all columns; documents without
     an id or without words stay."""
-    found = near_duplicates(docs, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_copy"), "left_anti")
+    copies = near_duplicates(docs, percent).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.alias("d").join(copies.alias("c"), F.col("d.doc_id") == F.col("c.doc_id"), "left_anti")
 
 
 ORACLE = """
