@@ -294,9 +294,9 @@ def _score(model, first_pass: bool):
     return run
 
 
-def common_words(docs: DataFrame) -> np.ndarray:
-    """Hashes, ascending, of the words that are at least ``HEAVY`` of all tokens of a sample of at most
-    ``SAMPLE_DOCS`` documents (those with the least id hashes), and START. They decide only where pairs are counted."""
+def common_words(docs: DataFrame, n_docs: int) -> np.ndarray:
+    """Hashes, ascending, of the words that are at least ``HEAVY`` of all tokens of a sample of about
+    ``SAMPLE_DOCS`` documents (drawn by a hash of the id), and START. They decide only where pairs are counted."""
 
     def count(batches):
         for batch in batches:
@@ -305,7 +305,9 @@ def common_words(docs: DataFrame) -> np.ndarray:
                 words, n = np.unique(np.append(h, np.full(len(offs) - 1, END)), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
 
-    sample = docs.select("doc_id", "text").withColumn("o", F.xxhash64("doc_id", F.lit(3))).orderBy("o").limit(SAMPLE_DOCS).select("text")
+    share = min(1.0, SAMPLE_DOCS / max(1, n_docs))
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = docs.filter(drawn).select("text")
     counts = sample.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     rows = counts.filter(F.col("n") >= max(2, HEAVY * total)).collect()
@@ -323,7 +325,7 @@ def score_documents(docs: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFr
     Extra columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    heavy = common_words(docs)
+    heavy = common_words(docs, docs.count())
     blocks, n = with_blocks(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("doc_id"), "text"), block_bytes=BLOCK_BYTES)
     n_buckets = max(8, n // 2)
     sent = blocks.groupBy("block").applyInArrow(_send(n_buckets, heavy), SENT)
