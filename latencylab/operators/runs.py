@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latencylab.functions.columns import split_iteration
-from latencylab.operators.rollup import run_labels
 from latencylab.operators.scan import percentiles
 
 
@@ -54,40 +53,51 @@ def event_runs(t) -> DataFrame:
         "first_sent_at_ms", "first_collected_at_ms", "last_collected_at_ms", "avg_latency_ms", "p95_latency_ms",
         F.coalesce("first_sent_at_ms", "first_collected_at_ms").alias("first_ts"),
     )
+    # labels are keys of the first aggregate (hash), so rows are read once and no string is aggregated over them
+    labels = ["run_id", F.col("framework").alias("event_framework"), F.col("scenario").alias("event_scenario")]
+    ends = ("min_event_id", "first_sent_at_ms", "first_collected_at_ms", "first_ts", "event_framework", "event_scenario")
     raw_rows = e.join(_ids(s), "run_id", "left_anti")
     raw = (
         raw_rows
-        .groupBy("run_id")
+        .groupBy(*labels)
         .agg(
-            F.lit("raw").alias("source"),
             F.count(F.lit(1)).alias("messages"),
             F.min("event_id").alias("min_event_id"), F.max("event_id").alias("max_event_id"),
             F.min("sent_at_ms").alias("first_sent_at_ms"),
             F.min("collected_at_ms").alias("first_collected_at_ms"),
             F.max("collected_at_ms").alias("last_collected_at_ms"),
-            F.avg("latency_ms").alias("avg_latency_ms"),
+            F.sum("latency_ms").alias("latency_sum"), F.count("latency_ms").alias("latency_count"),
             F.min(F.coalesce("sent_at_ms", "collected_at_ms")).alias("first_ts"),
         )
+        .groupBy("run_id")
+        .agg(
+            F.lit("raw").alias("source"), F.sum("messages").alias("messages"), *[F.min(c).alias(c) for c in ends],
+            *[F.max(c).alias(c) for c in ("max_event_id", "last_collected_at_ms")],
+            F.try_divide(F.sum("latency_sum"), F.sum("latency_count")).alias("avg_latency_ms"),
+        )
         .join(percentiles(raw_rows, ["run_id"], "latency_ms", {"p95_latency_ms": ("cont", 0.95)}), "run_id", "left")
-        .join(run_labels(raw_rows, "min", "event_"), "run_id", "left")
     )
     bucket_rows = b.join(_ids(s), "run_id", "left_anti").join(_ids(e), "run_id", "left_anti")
     buckets = (
         bucket_rows
-        .groupBy("run_id")
+        .groupBy(*labels)
         .agg(
-            F.lit("buckets").alias("source"),
             F.sum("messages").cast("long").alias("messages"),
             F.min("min_event_id").alias("min_event_id"), F.max("max_event_id").alias("max_event_id"),
-            F.lit(None).cast("long").alias("first_sent_at_ms"),
             F.min("bucket_start_ms").alias("first_collected_at_ms"),
             F.max("bucket_end_ms").alias("last_collected_at_ms"),
-            F.try_divide(F.sum(F.col("avg_latency_ms") * F.col("messages")), F.nullif(F.sum("messages"), F.lit(0)))
-            .alias("avg_latency_ms"),
-            F.avg("p95_latency_ms").alias("p95_latency_ms"),
-            F.min("bucket_start_ms").alias("first_ts"),
+            F.sum(F.col("avg_latency_ms") * F.col("messages")).alias("latency_sum"),
+            F.sum("p95_latency_ms").alias("p95_sum"), F.count("p95_latency_ms").alias("p95_count"),
+        )
+        .groupBy("run_id")
+        .agg(
+            F.lit("buckets").alias("source"), F.sum("messages").alias("messages"),
+            *[F.min(c).alias(c) for c in ends if c not in ("first_sent_at_ms", "first_ts")],
+            F.min("first_collected_at_ms").alias("first_ts"), F.lit(None).cast("long").alias("first_sent_at_ms"),
+            *[F.max(c).alias(c) for c in ("max_event_id", "last_collected_at_ms")],
+            F.try_divide(F.sum("latency_sum"), F.nullif(F.sum("messages"), F.lit(0))).alias("avg_latency_ms"),
+            F.try_divide(F.sum("p95_sum"), F.sum("p95_count")).alias("p95_latency_ms"),
         )
-        .join(run_labels(bucket_rows, "min", "event_"), "run_id", "left")
     )
     return summary.unionByName(raw).unionByName(buckets)
 

@@ -137,6 +137,8 @@ def write_batch(rows: DataFrame, batch_id: int, cfg: PipelineConfig, record_sche
     """Output of one micro-batch; a replayed batch replaces its files."""
     rows = rows.persist()
     try:
+        if rows.isEmpty():
+            return
         result = to_output(recombine(rows, cfg.grain, record_schema), cfg.framework, cfg.schema)
         if cfg.output_format == "kafka":
             result.write.format("kafka").options(**(cfg.kafka_options or {})).save()
