@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latencylab.functions.columns import effective_ts
-from latencylab.operators.scan import neighbour, null_safe_join, percentiles, running_totals
+from latencylab.operators.scan import TARGET_BLOCK_ROWS, neighbour, null_safe_join, percentiles, running_totals
 
 # Missing-id ranges are generated in chunks so no array exceeds this many ids.
 MISSING_CHUNK = 100_000
@@ -32,10 +32,10 @@ def timed_records(events: DataFrame, warmup_seconds: float = 0.0) -> DataFrame:
     return rows
 
 
-def gap_series(events: DataFrame, warmup_seconds: float = 0.0) -> DataFrame:
+def gap_series(events: DataFrame, warmup_seconds: float = 0.0, target_rows: int = TARGET_BLOCK_ROWS) -> DataFrame:
     """Inter-message gaps: one row per consecutive pair of records in a run."""
     rows = timed_records(events, warmup_seconds).select("run_id", "event_id", "ts")
-    nb = neighbour(rows, ["run_id"], ["ts", "event_id"], ["ts", "event_id"], "prev", "prev_")
+    nb = neighbour(rows, ["run_id"], ["ts", "event_id"], ["ts", "event_id"], "prev", "prev_", target_rows)
     return nb.where(F.col("prev_ts").isNotNull()).select(
         "run_id",
         (F.col("ts") - F.col("prev_ts")).alias("gap_ms"),

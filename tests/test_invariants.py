@@ -73,7 +73,7 @@ def test_histogram_is_cumulative(spark, data):
 @given(rows)
 def test_gap_series_covers_every_consecutive_pair(spark, data):
     ev = _frame(spark, data)
-    gaps = recovery.gap_series(ev, block_ms=7_000)  # small blocks: many carries across blocks
+    gaps = recovery.gap_series(ev, target_rows=3)  # small blocks: many carries across blocks
     per_run = {r.run_id: r["count"] for r in ev.groupBy("run_id").count().collect()}
     got = {r.run_id: r["count"] for r in gaps.groupBy("run_id").count().collect()}
     for run, n in per_run.items():
