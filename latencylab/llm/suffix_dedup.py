@@ -87,7 +87,7 @@ class Units:
         last = np.append(first[1:], len(start)) - 1
         lo, hi, p = start[first], start[last], p[first]
         content = tx.mix(ph(lo, hi + length) + tx.mix((p - lo).astype(np.uint64)))
-        return h[p], p + a, lo + a, hi + a, content
+        return tx.mix(h[p]), p + a, lo + a, hi + a, content  # least hashes are small: mixed again to spread over buckets
 
     def keep(self, mask: np.ndarray) -> None:
         for name in ("key", "anchor", "lo", "hi", "content", "row"):
