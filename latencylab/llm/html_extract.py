@@ -4,14 +4,15 @@ A page is a sequence of tokens, each with its role: a tag under its path of cont
 under its path. Over the distinct pages of a host every token has an occurrence vector, how often
 it is on each page; tokens with equal vectors form an equivalence class. The vector is kept as
 (pages, occurrences, xor of a hash of page and count), which combines map-side, so a host with a third of
-all pages is no large group. A class is valid if enough of the host's pages have it and
-its tokens keep one order; classes nest by the containers of their tokens. Valid classes are the
-host's template; what lies between template tokens are slots. A slot's text is main text unless the
-template places it in a menu, header, footer, sidebar, notice, advert, form, script, style or reader
-comments, or unless the page's template has an article slot elsewhere. Texts that are template tokens themselves, on
-nearly all pages of a host, are dropped outside the article.
-
-Templates are bounded by a page's size (a token is on ``SUPPORT`` of the pages) and joined to the pages by host.
+all pages is no large group. Classes that nearly all of the host's pages have nest by their containers: a class lies
+in the slot that a tag of its parent class opens. On a page, a class is valid if its tokens come in the template's order and
+its parent is valid. Texts between the tags are in slots, named by the containers around them. A slot's text is main
+text unless it is in a menu, header, footer, sidebar, notice, advert, form, script, style or reader
+comments, or the page has an article elsewhere. Outside articles, texts that are themselves tokens of a valid class
+are template and dropped, as are slots that hold mostly links over all pages of the host.
+
+Templates are bounded by a page's size (a token is on ``SUPPORT`` of the pages). Together they are broadcast
+where they are measured to be at most ``BROADCAST_TOKENS`` tokens, else joined to the pages by host.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
+from typing import NamedTuple
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -27,8 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from latencylab.llm.blocks import scratch
+
 SUPPORT = 0.8  # share of a host's distinct pages that have the tokens of a valid class
 MIN_PAGES = 10  # distinct pages a host needs before constant text counts as template
+BROADCAST_TOKENS = 500_000
 
 # Elements of HTML by kind.
 BLOCKS = frozenset(
@@ -65,12 +70,21 @@ ARTICLE_CLASS = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|mai
 
 
 class Node:
-    """A text with its path of containers, block number, and where the path places it."""
+    """A text with its path of containers, block number, where the path places it, and its position among all tokens."""
+
+    __slots__ = ("path", "block", "text", "outside", "article", "link", "at")
+
+    def __init__(self, path, block, text, outside, article, link, at):
+        self.path, self.block, self.text, self.outside, self.article, self.link, self.at = path, block, text, outside, article, link, at
+
 
-    __slots__ = ("path", "block", "text", "outside", "article", "link")
+class Tag(NamedTuple):
+    """A tag token: its path and name, the path it stands in, the path it opens (or None), its position."""
 
-    def __init__(self, path, block, text, outside, article, link):
-        self.path, self.block, self.text, self.outside, self.article, self.link = path, block, text, outside, article, link
+    token: str
+    path: str
+    opens: str | None
+    at: int
 
 
 def _kind(tag: str, attrs: str, in_article: bool) -> tuple[str, bool, bool]:
@@ -89,9 +103,9 @@ def _kind(tag: str, attrs: str, in_article: bool) -> tuple[str, bool, bool]:
     return label, outside, article
 
 
-def parse(page: str) -> tuple[list[str], list[Node]]:
-    """Tag tokens (path and tag) and texts of a page, in page order. Unclosed and stray tags are tolerated."""
-    tags: list[str] = []
+def parse(page: str) -> tuple[list[Tag], list[Node]]:
+    """Tag tokens and texts of a page, in page order. Unclosed and stray tags are tolerated."""
+    tags: list[Tag] = []
     nodes: list[Node] = []
     stack: list[list] = [["", "", False, False, False]]  # tag, path, outside, article, link
     block = 0
@@ -100,10 +114,15 @@ def parse(page: str) -> tuple[list[str], list[Node]]:
     def text(a: int, b: int) -> None:
         s = page[a:b]
         if s and not s.isspace():
-            _, path, outside, article, link = stack[-1]
-            nodes.append(Node(path, block, entities.unescape(s), outside, article, link))
+            nodes.append(Node(stack[-1][1], block, entities.unescape(s), *stack[-1][2:], len(tags) + len(nodes)))
         elif s and nodes and nodes[-1].block == block:
-            nodes.append(Node(stack[-1][1], block, " ", stack[-1][2], stack[-1][3], stack[-1][4]))
+            blank()
+
+    def blank() -> None:
+        nodes.append(Node(stack[-1][1], block, " ", *stack[-1][2:], len(tags) + len(nodes)))
+
+    def token(sign: str, opens: str | None = None) -> None:
+        tags.append(Tag(stack[-1][1] + sign + tag, stack[-1][1], opens, len(tags) + len(nodes)))
 
     while at < n:
         lt = page.find("<", at)
@@ -121,12 +140,12 @@ def parse(page: str) -> tuple[list[str], list[Node]]:
             continue
         tag = tag.lower()
         if tag == "br":
-            nodes.append(Node(stack[-1][1], block, " ", stack[-1][2], stack[-1][3], stack[-1][4]))
+            blank()
             continue
         if tag in BLOCKS:
             block += 1
         if close:
-            tags.append(stack[-1][1] + "</" + tag)
+            token("</")
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
@@ -141,9 +160,8 @@ def parse(page: str) -> tuple[list[str], list[Node]]:
             if stack[i][0] in BLOCKS and stack[i][0] != "p":
                 if stack[i][0] in ("ul", "ol", "dl", "table", "div", "section", "article", "body", "main") or tag not in CLOSED_BY:
                     break
-        _, path, outside, article, link = stack[-1]
-        tags.append(path + "<" + tag)
         if tag in RAW:
+            token("<")
             end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(page, at)
             at = end.end() if end else n
             if end and at < n and page[at - 1] != ">":
@@ -151,10 +169,13 @@ def parse(page: str) -> tuple[list[str], list[Node]]:
                 at = gt + 1 if gt >= 0 else n
             continue
         if tag in VOID or (attrs or "").rstrip().endswith("/") and tag not in BLOCKS:
+            token("<")
             continue
+        _, path, outside, article, link = stack[-1]
         label, out, is_article = _kind(tag, attrs, article)
-        inline = tag not in BLOCKS
-        stack.append([tag, path if inline or tag in ("p", "li") and not attrs else path + "/" + label, outside or out, article or is_article, link or tag == "a"])
+        inner = path if tag not in BLOCKS or tag in ("p", "li") and not attrs else path + "/" + label
+        token("<", inner if inner != path else None)
+        stack.append([tag, inner, outside or out, article or is_article, link or tag == "a"])
     return tags, nodes
 
 
@@ -174,79 +195,127 @@ def _hash(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s) - (1 << 63)
 
 
-def page_tokens(page: str) -> list[tuple[str, str, int, float]]:
-    """(token hash source, kind, count, mean position) of a page's distinct tokens."""
+def page_tokens(page: str) -> list[tuple]:
+    """Distinct tokens of a page: (token, kind, count, mean position, path, opened path or None, characters, of them in links)."""
     tags, nodes = parse(page)
-    where: dict[tuple[str, str], list[int]] = {}
-    for i, t in enumerate(tags):
-        where.setdefault((t, "tag"), []).append(i)
-    for i, node in enumerate(nodes):
+    found: dict[tuple[str, str], list] = {}
+    for t in tags:
+        x = found.setdefault((t.token, "tag"), [0, 0, t.path, t.opens, 0, 0])
+        x[0] += 1
+        x[1] += t.at
+    for node in nodes:
         if not node.text.isspace():
-            where.setdefault((_text_token(node.path, node.text), "text"), []).append(i)
-    return [(t, kind, len(p), sum(p) / len(p)) for (t, kind), p in where.items()]
+            x = found.setdefault((_text_token(node.path, node.text), "text"), [0, 0, node.path, None, 0, 0])
+            x[0] += 1
+            x[1] += node.at
+            x[4] += len(node.text)
+            x[5] += len(node.text) * node.link
+    return [(t, kind, n, at / n, path, opens, chars, linked) for (t, kind), (n, at, path, opens, chars, linked) in found.items()]
+
+
+TOKENS = "host string, page long, token long, kind string, count long, at double, path long, opens long, chars long, linked long"
 
 
 def _tokens(batches):
-    """Distinct (host, page content, token, kind, count) of each batch; one root token stands for the page."""
+    """Each page's tokens, hashed, with its host and the hash of its content."""
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), *[pa.int64()] * 4]
     for batch in batches:
         out: list[tuple] = []
+        hashes: dict[str, int] = {}
         for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
             page = page or ""
             host, digest = host_of(url), _hash(page)
-            out.append((host, digest, 0, "page", 1, 0.0))
-            for token, kind, count, at in page_tokens(page):
-                out.append((host, digest, _hash(token), kind, count, at))
-        cols = list(zip(*out)) if out else [[]] * 6
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["host", "page", "token", "kind", "count", "at"])
+            for token, kind, count, at, path, opens, chars, linked in page_tokens(page):
+                for p in (path, opens):
+                    if p is not None and p not in hashes:
+                        hashes[p] = _hash(p)
+                out.append((host, digest, _hash(token), kind, count, at, hashes[path], hashes.get(opens), chars, linked))
+        cols = list(zip(*out)) if out else [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [c.split()[0] for c in TOKENS.split(", ")])
+
+
+def _digests(batches):
+    """(host, page content) of each page."""
+    for batch in batches:
+        hosts = [host_of(u) for u in batch.column("url").to_pylist()]
+        digests = [_hash(p or "") for p in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64())], ["host", "page"])
 
 
 def templates(pages: DataFrame, support: float = SUPPORT, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, template): the tokens of the host's valid equivalence classes.
+    """(host, template, slots) of hosts with at least ``min_pages`` distinct pages; equal pages count once.
 
-    ``template`` is an array of (n_tokens, pages, occurrences, tokens): classes of at least two tokens, or of one text, on at
-    least ``support`` of the host's distinct pages, for hosts with at least ``min_pages`` of them.
-    Equal pages of a host count once.
+    ``template``: the equivalence classes of the tokens on at least ``support`` of the host's pages, as (pages, total,
+    members (at, kind, token, path, opens) in mean page order); a class has two tokens or is one text. ``slots``: characters
+    and linked characters, over all pages, of the texts right in each container that a template tag opens.
     """
-    each = pages.select("url", "html").mapInArrow(_tokens, "host string, page long, token long, kind string, count long, at double")
-    once = each.groupBy("host", "page", "token", "kind").agg(F.max("count").alias("count"), F.max("at").alias("at"))
-    vector = once.groupBy("host", "token", "kind").agg(
-        F.count(F.lit(1)).alias("pages"), F.sum("count").alias("total"), F.expr("bit_xor(xxhash64(page, count))").alias("vector"), F.avg("at").alias("at")
-    )
-    hosts = vector.filter("kind = 'page'").select("host", F.col("pages").alias("n")).filter(F.col("n") >= min_pages)
-    common = vector.filter("kind <> 'page'").join(hosts, "host").filter(F.col("pages") >= support * F.col("n"))
-    classes = common.groupBy("host", "pages", "total", "vector").agg(
-        F.sort_array(F.collect_list(F.struct("at", "kind", "token"))).alias("members")
+    each = pages.select("url", "html").mapInArrow(_tokens, TOKENS)
+    once = each.groupBy("host", "page", "token", "kind", "path", "opens").agg(*[F.max(c).alias(c) for c in ("count", "at", "chars", "linked")])
+    vector = once.groupBy("host", "token", "kind", "path", "opens").agg(
+        F.count(F.lit(1)).alias("pages"), F.sum("count").alias("total"), F.expr("bit_xor(xxhash64(page, count))").alias("vector"), F.avg("at").alias("at"),
+        F.sum("chars").alias("chars"), F.sum("linked").alias("linked"),
     )
+    distinct = pages.select("url", "html").mapInArrow(_digests, "host string, page long").groupBy("host", "page").agg(F.lit(1).alias("one"))
+    hosts = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
+    vector = scratch(pages.sparkSession, vector.join(hosts, "host"), "html-tokens")
+    common = vector.filter(F.col("pages") >= support * F.col("n"))
+    classes = common.groupBy("host", "pages", "total", "vector").agg(F.sort_array(F.collect_list(F.struct("at", "kind", "token", "path", "opens"))).alias("members"))
     valid = classes.filter((F.size("members") >= 2) | (F.col("members")[0]["kind"] == "text"))
-    return valid.groupBy("host").agg(F.collect_list(F.struct("pages", "total", "members")).alias("template"))
+    template = valid.groupBy("host").agg(F.collect_list(F.struct("pages", "total", "members")).alias("template"))
+    opened = common.filter("opens is not null").select("host", F.col("opens").alias("path")).distinct()
+    slot = vector.filter("kind = 'text'").groupBy("host", "path").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    slots = slot.join(opened, ["host", "path"]).groupBy("host").agg(F.collect_list(F.struct("path", "chars", "linked")).alias("slots"))
+    return template.join(slots, "host", "left")
 
 
 class Template:
-    """Template tokens of a host: constant texts by hash."""
-
-    def __init__(self, classes: list | None):
-        self.texts = {m["token"] for c in classes or () for m in c["members"] if m["kind"] == "text"}
-        self.tags = {m["token"] for c in classes or () for m in c["members"] if m["kind"] == "tag"}
-
-    def is_constant(self, node: Node) -> bool:
-        return bool(self.texts) and _hash(_text_token(node.path, node.text)) in self.texts
+    """A host's nested classes, and the share of links in its slots."""
+
+    def __init__(self, classes: list | None = None, slots: list | None = None):
+        self.classes = [[(m["token"], m["kind"], m["path"], m["opens"]) for m in c["members"]] for c in classes or ()]
+        opener = {m[3]: i for i, c in enumerate(self.classes) for m in c if m[3] is not None}
+        self.parent = [opener.get(c[0][2], -1) for c in self.classes]
+        self.texts = {m[0] for c in self.classes for m in c if m[1] == "text"}
+        self.links = {s["path"]: s["linked"] / s["chars"] for s in slots or () if s["chars"]}
+
+    def constant_texts(self, tags: list[Tag], nodes: list[Node]) -> set[int]:
+        """Hashes of the text tokens of the classes that are valid on a page."""
+        if not self.texts:
+            return set()
+        first: dict[int, int] = {}
+        for t in tags:
+            first.setdefault(_hash(t.token), t.at)
+        for x in nodes:
+            first.setdefault(_hash(_text_token(x.path, x.text)), x.at)
+        valid: dict[int, bool] = {-1: True}
+
+        def check(i: int, seen: tuple = ()) -> bool:
+            if i not in valid:
+                at = [first.get(m[0]) for m in self.classes[i]]
+                here = [x for x in at if x is not None]
+                ok = len(here) == len(at) and here == sorted(here)
+                valid[i] = ok and (self.parent[i] in (i, *seen) or check(self.parent[i], (*seen, i)))
+            return valid[i]
+
+        return {m[0] for i, c in enumerate(self.classes) if check(i) for m in c if m[1] == "text"}
 
 
 def main_text(page: str, template: Template | None = None) -> str:
     """Main text of a page: its slots' texts, blocks joined by one line break."""
-    _, nodes = parse(page)
-    template = template or Template(None)
+    tags, nodes = parse(page)
+    template = template or Template()
     inside = [x for x in nodes if not x.outside]
     if any(x.article and not x.text.isspace() for x in inside):
         inside = [x for x in inside if x.article]
     else:  # no article slot: the body's slots without the template's own text and without lists of links
-        inside = [x for x in inside if not template.is_constant(x)]
+        constant = template.constant_texts(tags, nodes)
+        inside = [x for x in inside if not constant or _hash(_text_token(x.path, x.text)) not in constant]
         chars, links = Counter(), Counter()
         for x in inside:
             chars[x.path] += len(x.text)
             links[x.path] += len(x.text) * x.link
-        inside = [x for x in inside if 2 * links[x.path] <= chars[x.path]]
+        # the slot's share of links over the host's pages, or on this page where the host has no such slot
+        inside = [x for x in inside if template.links.get(_hash(x.path), links[x.path] / max(1, chars[x.path])) <= 0.5]
         named = [x for x in inside if ARTICLE_CLASS.search(x.path.replace("/", " ").replace(".", " "))]
         if sum(len(x.text) for x in named) * 2 > sum(len(x.text) for x in inside):
             inside = named
@@ -257,6 +326,9 @@ def main_text(page: str, template: Template | None = None) -> str:
     return "\n".join(s for s in lines if s)
 
 
+EXTRACTED = "page_id long, url string, text string, n_chars long"
+
+
 def extract_main_text(pages: DataFrame, support: float = SUPPORT, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html).
 
@@ -264,28 +336,40 @@ def extract_main_text(pages: DataFrame, support: float = SUPPORT, min_pages: int
     equal rows; broken markup is read as browsers do in the main. Columns beyond the three are
     not read; an empty table gives an empty result.
     """
-    hosts = templates(pages, support, min_pages).withColumnRenamed("host", "_host")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    found = scratch(pages.sparkSession, templates(pages, support, min_pages), "html-templates")
+    tokens = F.aggregate("template", F.lit(0), lambda n, c: n + F.size(c["members"])) + F.coalesce(F.size("slots"), F.lit(0))
+    if (found.agg(F.sum(tokens)).first()[0] or 0) <= BROADCAST_TOKENS:
+        known = {r["host"]: Template(r["template"], r["slots"]) for r in found.collect()}
+        shared = pages.sparkSession.sparkContext.broadcast(known)
+
+        def extract(batches):
+            none = Template()
+            for batch in batches:
+                yield _extracted(batch, [shared.value.get(host_of(u), none) for u in batch.column("url").to_pylist()])
+
+        return rows.mapInArrow(extract, EXTRACTED)
 
     def hosts_of(batches):
         for batch in batches:
             urls = batch.column("url").to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(map(host_of, urls)), pa.string())], ["page_id", "url", "html", "_host"])
 
-    def extract(batches):
-        known: dict[str, Template] = {}
+    def extract_joined(batches):
         for batch in batches:
-            texts = []
-            column = batch.column("template")
-            for i, (host, page) in enumerate(zip(batch.column("_host").to_pylist(), batch.column("html").to_pylist())):
-                if host not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    known[host] = Template(column[i].as_py())
-                texts.append(main_text(page, known[host]) if page else "")
-            n = np.fromiter(map(len, texts), np.int64, len(texts))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(n, pa.int64())], ["page_id", "url", "text", "n_chars"]
-            )
-
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(hosts_of, "page_id long, url string, html string, _host string")
-    return rows.join(hosts, "_host", "left").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+            parsed: dict[str, Template] = {}  # of the batch's hosts
+            for i, host in enumerate(batch.column("_host").to_pylist()):
+                if host not in parsed:
+                    parsed[host] = Template(batch.column("template")[i].as_py(), batch.column("slots")[i].as_py())
+            yield _extracted(batch, [parsed[h] for h in batch.column("_host").to_pylist()])
+
+    by_host = rows.mapInArrow(hosts_of, "page_id long, url string, html string, _host string")
+    return by_host.join(found.withColumnRenamed("host", "_host"), "_host", "left").mapInArrow(extract_joined, EXTRACTED)
+
+
+def _extracted(batch: pa.RecordBatch, known: list[Template]) -> pa.RecordBatch:
+    texts = [main_text(page, t) if page else "" for page, t in zip(batch.column("html").to_pylist(), known)]
+    n = np.fromiter(map(len, texts), np.int64, len(texts))
+    return pa.RecordBatch.from_arrays(
+        [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(n, pa.int64())], ["page_id", "url", "text", "n_chars"]
+    )
