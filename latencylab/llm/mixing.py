@@ -26,7 +26,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MAX_REPEAT = 2
 SHARD_BLOCKS = 4096
-CHUNK_DOCS = 10_000
+CHUNK_DOCS = 2_000
 SEED = 20_240_607
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -179,7 +179,8 @@ class Mix:
             "source_key", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((end - 1) / b))).alias("block")
         )
         overlap = F.least(end, (F.col("block") + 1) * b) - F.greatest(F.col("start"), F.col("block") * b)
-        taken = pieces.join(used, ["source_key", "block"]).groupBy("source_key", "start").agg(F.sum(overlap * F.col("uses")).alias("taken"))
+        # merge joins: Spark would take the slots for as few rows as the sources they are drawn from, and broadcast them
+        taken = pieces.join(used.hint("merge"), ["source_key", "block"]).groupBy("source_key", "start").agg(F.sum(overlap * F.col("uses")).alias("taken"))
         out = spans.join(taken.withColumn("filled", F.lit(True)), ["source_key", "start"], "left").join(self.targets, "source_key")
         return out.select(
             "doc_id", "size", "source_size", "target",
@@ -219,7 +220,7 @@ class Mix:
         packed = pieces.groupBy("source_key", "block").agg(
             F.sort_array(F.collect_list(F.struct("at", "doc_id", "n", "piece"))).alias("p"), F.first("source").alias("source")
         )
-        return self.slots.join(packed, ["source_key", "block"]).select(
+        return self.slots.join(packed.hint("merge"), ["source_key", "block"]).select(
             "shard", "slot", "source", "block",
             F.aggregate("p.n", F.lit(0).cast("long"), lambda s, x: s + x).alias("n_words"),
             F.col("p.doc_id").alias("doc_ids"), F.array_join("p.piece", "\n").alias("text"),
