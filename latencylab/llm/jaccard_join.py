@@ -24,6 +24,9 @@ gives about n links, not n squared).
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,16 +45,17 @@ CELL_PIVOTS = 8
 MAX_REGION = 4000
 KEY_BYTES = 5
 NULL_ID = np.iinfo(np.int64).max
+Sets = Callable[[pa.Array], Iterator[np.ndarray]]  # ascending distinct 64-bit tokens of each text
 MEMBER = "doc_id long, n long, h1 long, h2 long, rare array<long>, shingles binary"
 
 
 # ---- sets, frequency classes, rare shingles ----------------------------------------------------
 
 
-def _block_sets(table: pa.Table, k: int) -> tuple[np.ndarray, list[np.ndarray], list[int], np.ndarray, np.ndarray]:
+def _block_sets(table: pa.Table, make: Sets) -> tuple[np.ndarray, list[np.ndarray], list[int], np.ndarray, np.ndarray]:
     """Ids, sets, positions of the first of each distinct set, and the two set hashes."""
     ids, texts = block_rows(table)
-    sets = list(tx.text_shingle_sets(texts, k))
+    sets = list(make(texts))
     h = np.array([[s.sum(dtype=np.uint64), tx.mix(s ^ np.uint64(0x5BF03635)).sum(dtype=np.uint64)] if len(s) else [0, 0] for s in sets], np.uint64).reshape(-1, 2)
     seen: dict[tuple, int] = {}
     for i, s in enumerate(sets):
@@ -72,9 +76,9 @@ def _short(keys: np.ndarray) -> bytes:
     return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
 
 
-def _send(n_buckets: int, k: int):
+def _send(n_buckets: int, make: Sets):
     def run(table: pa.Table) -> pa.Table:
-        _, sets, first, _, _ = _block_sets(table, k)
+        _, sets, first, _, _ = _block_sets(table, make)
         keys, counts, bucket = _block_keys(sets, first, n_buckets)
         parts = split(bucket, n_buckets)
         many = np.minimum(counts, 255).astype(np.uint8)
@@ -106,9 +110,9 @@ def _count(table: pa.Table) -> pa.Table:
     })
 
 
-def _rare(n_buckets: int, k: int, percent: int):
+def _rare(n_buckets: int, make: Sets, percent: int):
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
-        ids, sets, first, h1, h2 = _block_sets(table, k)
+        ids, sets, first, h1, h2 = _block_sets(table, make)
         keys, _, _ = _block_keys(sets, first, n_buckets)
         order = np.argsort(replies.column("bucket").to_numpy())
         blobs = replies.column("levels").to_pylist()
@@ -314,7 +318,7 @@ def _join_members(members: DataFrame, reps: DataFrame, percent: int, max_region:
         if large.isEmpty():
             return found
         depth += 1
-        many = F.least(F.lit(64), F.ceil(2 * F.col("size") / max_region) + 4)
+        many = F.lit(2)  # expected pivots are twice that: a member goes to as many cells at most
         draw = F.pmod(F.xxhash64("cls", F.lit(depth)), F.lit(1 << 40)) / float(1 << 40)
         pivots = (
             large.filter(draw < 2 * many / F.col("size")).join(reps, "cls")
@@ -348,31 +352,45 @@ def _join_members(members: DataFrame, reps: DataFrame, percent: int, max_region:
         members = scratch(spark, cells.filter("cut").select(F.col("next").alias("region"), "cls"), name)
 
 
-def similar_documents(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, max_region: int = MAX_REGION) -> tuple[DataFrame, DataFrame, DataFrame]:
+def shingles_of(k: int) -> Sets:
+    return functools.partial(tx.text_shingle_sets, k=k)
+
+
+def similar_documents(docs: DataFrame, percent: int = PERCENT, make: Sets | None = None, max_region: int = MAX_REGION,
+                      by_length: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members, classes and links of the join.
 
     members: (doc_id, n, h1, h2) of every document; classes: (n, h1, h2, cls) of every distinct non-empty
     set, cls its smallest doc_id; links: (a, b) between classes with
     100 * intersection >= percent * union, which span all components.
 
-    Null or wordless text has an empty set and no links. A text of fewer than k words is
+    ``make`` gives the set of each text (the five-word shingles). ``by_length`` also partitions the sets by length, each
+    going to its own and the next partition: linked sets are in the same or in neighbouring ones, so
+    regions hold sets of similar length only.
+
+    Null or wordless text has an empty set and no links. A text of fewer than five words is
     one shingle. A null doc_id counts as the largest id. Repeated rows are members of
     one class. Extra columns are not read; an empty table gives empty results.
     """
     spark = docs.sparkSession
     blocks, n = with_blocks(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("doc_id"), "text"))
     n_buckets = max(8, n // 4)
-    sent = blocks.groupBy("block").applyInArrow(_send(n_buckets, k), "bucket long, block long, keys binary, vals binary")
+    make = make or shingles_of(SHINGLE)
+    sent = blocks.groupBy("block").applyInArrow(_send(n_buckets, make), "bucket long, block long, keys binary, vals binary")
     replies = sent.groupBy("bucket").applyInArrow(_count, "block long, bucket long, levels binary")
-    rows = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_rare(n_buckets, k, percent), MEMBER)
+    rows = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_rare(n_buckets, make, percent), MEMBER)
     rows = scratch(spark, rows, "jaccard-sets")
 
     members = rows.select("doc_id", "n", "h1", "h2")
     classes = members.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("cls"))
     ids = classes.select("cls")
-    reps = rows.filter("shingles is not null").select(F.col("doc_id").alias("cls"), "rare", "shingles").join(ids, "cls", "left_semi")
+    reps = rows.filter("shingles is not null").select(F.col("doc_id").alias("cls"), "n", "rare", "shingles").join(ids, "cls", "left_semi")
     # repeated rows of one id in a block are one set or several; the class keeps one row
-    rare = reps.select("cls", F.explode("rare").alias("t"))
+    rare = reps.select("cls", "n", F.explode("rare").alias("t"))
+    if by_length:
+        part = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)) + SLACK)
+        rare = rare.withColumn("part", F.explode(F.array(part, part + 1))).withColumn("t", F.xxhash64("t", "part"))
+    rare = rare.select("cls", "t")
     pivots = rare.groupBy("t").agg(F.min(F.struct(F.xxhash64("cls").alias("h"), "cls")).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("t", "p")
     region = scratch(
         spark,
@@ -390,11 +408,11 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE,
     return members, classes, links.unionAll(more)
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, max_region: int = MAX_REGION) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, make: Sets | None = None, max_region: int = MAX_REGION, by_length: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included),
     one row per input row; see :func:`similar_documents` for nulls, empty texts and repeats. A component
     of documents without an id has component_id null."""
-    members, classes, links = similar_documents(docs, percent, k, max_region)
+    members, classes, links = similar_documents(docs, percent, make, max_region, by_length)
     label = components(links, name="jaccard-cc").withColumnRenamed("id", "cls")
     of = classes.join(label, "cls", "left").select("n", "h1", "h2", F.coalesce("component", "cls").alias("component"))
     out = members.join(of, ["n", "h1", "h2"], "left")

@@ -12,12 +12,14 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from latencylab.llm import jaccard_join
 from latencylab.llm import text as tx
 
 CHAIN = 2
@@ -83,6 +85,23 @@ def fingerprints(texts: list[str], limit: int = tx.CHUNK) -> tuple[list[str], np
     return [raw[a:b].tobytes().hex() for a, b in zip(edge[:-1], edge[1:])], all_keys
 
 
+def spot_sets(column: pa.Array) -> Iterator[np.ndarray]:
+    """Signature set of each text of an Arrow column."""
+    for lo, hi, buf, offs in tx.chunks(column):
+        keys = signatures(buf, offs)
+        edge = np.searchsorted(keys >> U64(32), np.arange(hi - lo + 1))
+        yield from (keys[a:b] & U64(0xFFFFFFFF) for a, b in zip(edge[:-1], edge[1:]))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, max_region: int = jaccard_join.MAX_REGION) -> DataFrame:
+    """doc_id, n_signatures, component_id: documents linked by fingerprints of at least ``percent`` Jaccard similarity.
+
+    Fingerprints are partitioned by length and joined exactly within and between neighbouring partitions, with the
+    pruning of :mod:`latencylab.llm.jaccard_join`; nulls, repeats and empty tables as there."""
+    found = jaccard_join.near_duplicates(docs, percent, spot_sets, max_region, by_length=True)
+    return found.withColumnRenamed("n_shingles", "n_signatures")
+
+
 def partition_of(length: int, threshold: float) -> int:
     """Partition of a set by its length: sets two or more partitions apart are below the threshold."""
     return 0 if length == 0 else 1 + int(math.log(length) / -math.log(threshold))

@@ -46,19 +46,23 @@ def suffix_dedup(rows, length=50):
 
 def components(rows, percent=75):
     """[(doc_id, n_shingles, component_id)]"""
-    sets = [(doc, shingles(text)) for doc, text in rows]
-    parent = {doc: doc for doc, _ in sets}
+    return linked({doc: shingles(text) for doc, text in rows}, percent)
+
+
+def linked(sets, percent=75):
+    """[(id, set size, smallest id reachable by links)]"""
+    parent = {doc: doc for doc in sets}
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for (a, x), (b, y) in itertools.combinations(sets, 2):
+    for (a, x), (b, y) in itertools.combinations(sets.items(), 2):
         if x and y and 100 * len(x & y) >= percent * len(x | y):
             p, q = find(a), find(b)
             parent[max(p, q)] = min(p, q)
-    return sorted((doc, len(s), find(doc)) for doc, s in sets)
+    return sorted((doc, len(s), find(doc)) for doc, s in sets.items())
 
 
 def contained(rows, items, threshold=0.75, k=5):

@@ -122,6 +122,14 @@ def test_spotsigs_of_edits_and_next_documents(documents):
     assert np.mean([r["near_edited"] for r in long]) > 0.35 and np.mean([r["near_next"] for r in long]) < 0.1
 
 
+def test_spotsigs_near_duplicates(docs):
+    made = [(i, t) for i, t in near_copies(25, 11)]
+    sets = {i: {int(x) for x in next(spotsigs.spot_sets(pa.array([t])))} for i, t in made}
+    want = brute.linked({i: frozenset(s) for i, s in sets.items()})
+    assert rows(spotsigs.near_duplicates(docs(*made))) == want
+    assert len({c for *_, c in want}) < len(want)
+
+
 def test_pruned_likeness_keeps_what_reaches_the_threshold():
     rnd = np.random.default_rng(0)
     for _ in range(200):
