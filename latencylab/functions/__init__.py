@@ -3,11 +3,9 @@ from latencylab.functions.columns import (  # noqa: F401
     effective_ts,
     epoch_ms_ntz,
     lenient_double,
-    nearest_rank,
-    cont_percentile,
     parse_run_id,
     split_iteration,
     rescale_metric_latency,
     unknown_if_null,
 )
-from latencylab.functions.stats import T_CRITICAL_95, t_table, with_ci95  # noqa: F401
+from latencylab.functions.stats import T_CRITICAL_95, with_ci95  # noqa: F401

@@ -24,22 +24,6 @@ def epoch_ms_ntz(c) -> Column:
     )
 
 
-def nearest_rank(col_name: str, p: float, accuracy: int | None = None) -> Column:
-    """Nearest-rank percentile: the value at sorted index ceil(p*n)-1 (first when p=0).
-
-    Exact by default (a value->count map per group, partially aggregated). For
-    whole-history groups with many distinct values pass ``accuracy`` to use the
-    bounded-memory ``percentile_approx`` sketch instead (opt-in, not exact)."""
-    if accuracy is not None:
-        return F.percentile_approx(F.col(col_name), float(p), accuracy)
-    return F.expr(f"percentile_disc({float(p)}) within group (order by {col_name})")
-
-
-def cont_percentile(col_name: str, p: float) -> Column:
-    """Interpolated percentile (SQL percentile_cont), exact."""
-    return F.expr(f"percentile_cont({float(p)}) within group (order by {col_name})")
-
-
 def lenient_double(c) -> Column:
     """Lenient numeric read: anything not castable becomes null."""
     return F.expr(f"try_cast({c} as double)") if isinstance(c, str) else c.try_cast("double")

@@ -166,14 +166,6 @@ def compare_by_scenario(t, warmup_seconds: float = 0.0, left: str = "spark", rig
     return out.withColumns({f"delta_{m}": F.col(f"right_{m}") - F.col(f"left_{m}") for m in DELTAS})
 
 
-def framework_pairs(summary: DataFrame, left: str = "spark", right: str = "flink") -> DataFrame:
-    """Pairs of runs with the same scenario and iteration, one per framework."""
-    p = summary.select("run_id", "framework", "scenario", "iteration")
-    lft = p.where(F.col("framework") == left).select("scenario", "iteration", F.col("run_id").alias("left_run_id"))
-    rgt = p.where(F.col("framework") == right).select("scenario", "iteration", F.col("run_id").alias("right_run_id"))
-    return lft.join(rgt, ["scenario", "iteration"])
-
-
 def loss_duplication(events: DataFrame) -> DataFrame:
     """Per run: messages, distinct ids, id range, missing ids and duplicates.
     Duplicates are measured, not removed."""
