@@ -5,7 +5,8 @@ boundaries), hashed to ``DIM`` buckets; a linear softmax maps the average to lan
 layers are trained together by stochastic gradient descent in numpy on a bounded sample:
 ``PER_LANG`` labelled documents of each language at most (expected), chosen by a hash of the
 id, whose bucket counts the executors compute. Scores are calibrated by temperature on a held-back fifth
-of the sample, and a text whose calibrated score is below ``MIN_SCORE`` is rejected.
+of the sample, and a text whose calibrated score is below ``MIN_SCORE`` (no language has much more than
+a third of the evidence) is rejected; a text that merely mixes two languages is not.
 
 Prediction is a map over all whole texts; embedding and output layer collapse to one
 weight per bucket and language, which is all that is shipped.
@@ -27,7 +28,7 @@ from latencylab.llm import text as tx
 DIM = 4096
 EMBED = 16
 PER_LANG = 800
-MIN_SCORE = 0.5
+MIN_SCORE = 0.35
 UNKNOWN = "und"
 _LETTER = np.zeros(0, bool)
 
