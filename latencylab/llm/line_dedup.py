@@ -60,8 +60,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     that is never the largest. Extra columns pass through; an empty table gives an empty table.
     """
     drops = repeated_lines(docs, min_chars, min_docs)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
-    joined = rows.join(drops, F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    joined = rows.join(drops, F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left").withColumn(
+        "lines", F.split(F.coalesce("row.text", F.lit("")), "\n", -1)  # after the join: only the text is shuffled
+    )
 
     def stays(x: Column) -> Column:
         return ~((F.char_length(line_key(x)) >= min_chars) & F.array_contains(F.col("dropped"), _hash(line_key(x))))
