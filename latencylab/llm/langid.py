@@ -47,7 +47,7 @@ def bucket_stream(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     n-grams are of lower-cased letters; a run of other characters is one boundary.
     """
     table = letters()
-    for lo, hi, _, _ in tx.chunks(column, 1 << 20):
+    for lo, hi, _, _ in tx.chunks(column, 1 << 18):
         rows = [(" " + (s or "").lower() + " ") for s in column.slice(lo, hi - lo).to_pylist()]
         size = np.fromiter(map(len, rows), np.int64, len(rows))
         code = np.frombuffer("".join(rows).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -119,13 +119,13 @@ def sgd(x: np.ndarray, y: np.ndarray, n_lang: int, epochs: int = 30, rate: float
     """Embedding-times-output weights and bias, by mini-batch SGD on both layers. ``x`` has
     rows of n-gram shares (they sum to 1), so ``x @ embedding`` is the averaged embedding."""
     rng = np.random.default_rng(seed)
-    scale = 1.0 / np.sqrt((x ** 2).mean(0) + 1e-9)
+    scale = 1.0 / np.sqrt(np.einsum("ij,ij->j", x, x) / len(x) + 1e-9)
     scale = np.minimum(scale, 1e3)
     emb = rng.normal(0, 0.1, (x.shape[1], EMBED))
     out = rng.normal(0, 0.1, (EMBED, n_lang))
     bias = np.zeros(n_lang)
     one_hot = np.eye(n_lang)[y]
-    xs = x * scale / np.sqrt(x.shape[1])
+    xs = x * (scale / np.sqrt(x.shape[1])).astype(np.float32)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for batch in np.array_split(rng.permutation(len(y)), max(1, len(y) // 32)):
@@ -185,7 +185,7 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG, min_score: float = MIN_
     if not len(y):
         return Model(min_score=min_score)
     held = np.arange(len(y)) % 5 == 4
-    weight, bias = sgd(x[~held].astype(np.float64), y[~held], len(langs))
+    weight, bias = sgd(x[~held], y[~held], len(langs))
     return Model(langs, weight.astype(np.float32), bias, calibrate(x[held] @ weight + bias, y[held]), min_score)
 
 
