@@ -8,8 +8,9 @@ all pages is no large group. Classes that nearly all of the host's pages have ne
 in the slot that a tag of its parent class opens. On a page, a class is valid if its tokens come in the template's order and
 its parent is valid. Texts between the tags are in slots, named by the containers around them. A slot's text is main
 text unless it is in a menu, header, footer, sidebar, notice, advert, form, script, style or reader
-comments, or the page has an article elsewhere. Outside articles, texts that are themselves tokens of a valid class
-are template and dropped, as are slots that hold mostly links over all pages of the host.
+comments. On every page, texts that are themselves tokens of a valid class are template and dropped, as are slots that hold
+mostly links over all pages of the host; inside a line with other text only a text that each page has once is dropped, so
+a sentence keeps its common words between inline tags. Of the slots that remain, those in an article are the main text if there are any.
 
 Templates are bounded by a page's size (a token is on ``SUPPORT`` of the pages). Together they are broadcast
 where they are measured to be at most ``BROADCAST_TOKENS`` tokens, else joined to the pages by host.
@@ -276,6 +277,7 @@ class Template:
         opener = {m[3]: i for i, c in enumerate(self.classes) for m in c if m[3] is not None}
         self.parent = [opener.get(c[0][2], -1) for c in self.classes]
         self.texts = {m[0] for c in self.classes for m in c if m[1] == "text"}
+        self.once = {m["token"] for c in classes or () if c["total"] == c["pages"] for m in c["members"]}
         self.links = {s["path"]: s["linked"] / s["chars"] for s in slots or () if s["chars"]}
 
     def constant_texts(self, tags: list[Tag], nodes: list[Node]) -> set[int]:
@@ -300,22 +302,31 @@ class Template:
         return {m[0] for i, c in enumerate(self.classes) if check(i) for m in c if m[1] == "text"}
 
 
+def _without_template(nodes: list[Node], constant: set[int], once: set[int]) -> list[Node]:
+    """Nodes without constant texts; in a block with other text only the constant texts that are once on each page go."""
+    tokens = [_hash(_text_token(x.path, x.text)) for x in nodes]
+    mixed = {x.block for x, t in zip(nodes, tokens) if t not in constant and not x.text.isspace()}
+    return [x for x, t in zip(nodes, tokens) if t not in constant or x.block in mixed and t not in once]
+
+
 def main_text(page: str, template: Template | None = None) -> str:
     """Main text of a page: its slots' texts, blocks joined by one line break."""
     tags, nodes = parse(page)
     template = template or Template()
+    constant = template.constant_texts(tags, nodes)
     inside = [x for x in nodes if not x.outside]
+    if constant:
+        inside = _without_template(inside, constant, template.once)
+    inside = [x for x in inside if template.links.get(_hash(x.path), 0.0) <= 0.5] if template.links else inside
     if any(x.article and not x.text.isspace() for x in inside):
         inside = [x for x in inside if x.article]
-    else:  # no article slot: the body's slots without the template's own text and without lists of links
-        constant = template.constant_texts(tags, nodes)
-        inside = [x for x in inside if not constant or _hash(_text_token(x.path, x.text)) not in constant]
+    else:  # no article slot: the body's slots without lists of links
         chars, links = Counter(), Counter()
         for x in inside:
             chars[x.path] += len(x.text)
             links[x.path] += len(x.text) * x.link
-        # the slot's share of links over the host's pages, or on this page where the host has no such slot
-        inside = [x for x in inside if template.links.get(_hash(x.path), links[x.path] / max(1, chars[x.path])) <= 0.5]
+        # the slot's share of links on this page where the host has no such slot
+        inside = [x for x in inside if _hash(x.path) in template.links or links[x.path] / max(1, chars[x.path]) <= 0.5]
         named = [x for x in inside if ARTICLE_CLASS.search(x.path.replace("/", " ").replace(".", " "))]
         if sum(len(x.text) for x in named) * 2 > sum(len(x.text) for x in inside):
             inside = named

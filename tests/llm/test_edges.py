@@ -211,6 +211,21 @@ def test_template_text_is_dropped_outside_articles(spark):
         html_extract.BROADCAST_TOKENS = limit
 
 
+def test_template_text_is_dropped_inside_articles(spark):
+    links = "<ul><li><a>more of</a><li><a>this kind</a></ul>"
+    def body(i):
+        commas = "<b>a</b> and " * (i % 3 + 1)
+        return f"<article><h1>title {i}</h1><p>Read our app</p><p>{commas}<i>story {i}</i></p><p>Seen by <b>{i} readers</b></p><section>{links}</section></article><div>tail {i}</div>"
+
+    rows = [(i, f"{HOST}{i}", page(body(i))) for i in range(20)]
+    rows += [(20 + i, f"http://other.example.com/{i}", page(f"<main><p>Same on all</p></main><div><p>own words {i}</p></div>")) for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r.page_id: r.text for r in html_extract.extract_main_text(pages).collect()}
+    for i in range(20):
+        assert text[i] == f"title {i}\n" + "a and " * (i % 3 + 1) + f"story {i}\n{i} readers"
+        assert text[20 + i] == f"own words {i}"
+
+
 def test_pipeline_stages_keep_the_columns_and_survive_odd_rows(spark, odd):
     for name, stage in corpus_pipeline.STAGES:
         for table in (odd, odd.limit(0)):
