@@ -1,6 +1,6 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Counts of words and word pairs come from all training documents. Pairs seen at least twice go into
+Counts of words and word pairs come from all training documents. All pairs go into
 a Bloom filter with their quantised log count: a pair of level q is entered as (pair, 1) ... (pair, q), so its
 level is found by probing level after level until one is missing. The filter is broadcast, and
 a text's probability is a mixture of the pair's dequantised count and the smoothed word probability.
@@ -28,10 +28,10 @@ MODULUS = 5
 BLOCK_BYTES = 8 << 20
 BITS_PER_ENTRY = 10
 PROBES = 5
-MIN_COUNT = 2
 BASE = 1.5
 FILTER_BYTES = 64 << 20
 HEAVY = 1 / 1000
+STEP = 1 << 17  # pairs or tokens worked on at a time, so that temporary arrays stay small
 SAMPLE_DOCS = 2000
 NULL_ID = np.iinfo(np.int64).max
 U64 = np.uint64
@@ -39,12 +39,12 @@ LOW = U64((1 << 40) - 1)
 END = tx.mix(np.array([0xE0D], U64))[0]
 START = tx.mix(np.array([0x57A], U64))[0]
 # interval of counts of each level, and the count a level stands for
-_EDGES = np.unique(np.ceil(MIN_COUNT * BASE ** np.arange(0, 90)).astype(np.float64))
+_EDGES = np.unique(np.ceil(BASE ** np.arange(0, 92)).astype(np.float64))
 LEVEL_COUNT = np.concatenate([[0.0], (_EDGES[:-1] + _EDGES[1:] - 1) / 2])
 
 
 def levels(count: np.ndarray) -> np.ndarray:
-    """Quantised log count: 0 below ``MIN_COUNT``, else its interval's number from 1."""
+    """Quantised log count: 0 for a count of 0, else its interval's number from 1 (a pair seen once)."""
     return np.searchsorted(_EDGES, count, "right")
 
 
@@ -56,23 +56,24 @@ def pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return tx.mix(context + (word & LOW) * U64(0x9E3779B97F4A7C15))
 
 
-def _bits(keys: np.ndarray, level: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
-    """Bit numbers of (pair, level) in a slice of ``size`` bits."""
+def _bits(keys: np.ndarray, level: np.ndarray, size: np.ndarray):
+    """Bit numbers of (pair, level) in a slice of ``size`` bits, one probe after another."""
     a = tx.mix(keys + level.astype(U64) * U64(0xD1342543DE82EF95))
     b = tx.mix(a) | U64(1)
-    return [((a + U64(i) * b) % size).astype(np.int64) for i in range(PROBES)]
+    for i in range(PROBES):
+        yield ((a + U64(i) * b) % size).astype(np.int64)
 
 
 def build_slice(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Filter slice that holds the pairs with their levels; its size follows the number of entries."""
     q = levels(counts)
-    n = int(q.sum())
-    size = max(64, -(-n * BITS_PER_ENTRY // 8) * 8)
+    size = max(64, -(-int(q.sum()) * BITS_PER_ENTRY // 8) * 8)
     mask = np.zeros(size, bool)
-    key = np.repeat(keys, q)
-    level = np.arange(1, n + 1) - np.repeat(np.cumsum(q) - q, q)
-    for at in _bits(key, level, U64(size)):
-        mask[at] = True
+    for i in range(0, len(keys), STEP):
+        part = q[i : i + STEP]
+        level = np.arange(1, part.sum() + 1) - np.repeat(np.cumsum(part) - part, part)
+        for at in _bits(np.repeat(keys[i : i + STEP], part), level, U64(size)):
+            mask[at] = True
     return np.packbits(mask).tobytes()
 
 
@@ -92,6 +93,12 @@ class Filter:
 
     def level(self, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """Highest level up to which every probe hits."""
+        out = np.zeros(len(keys), np.int64)
+        for i in range(0, len(keys), STEP):
+            out[i : i + STEP] = self._level(keys[i : i + STEP], bucket[i : i + STEP])
+        return out
+
+    def _level(self, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
         todo = np.flatnonzero(self.size[bucket] > 0)
         level = 0
@@ -208,15 +215,14 @@ def _own(heavy: np.ndarray):
         context = np.repeat(number, join("n_pairs", "<u4").astype(np.int64))
         pair, at = np.unique(context.astype(U64) << U64(40) | _long(b"".join(col["pairs"])), return_inverse=True)
         pair_count = np.bincount(at, join("pair_counts", "<u4"), minlength=len(pair))
-        kept = pair_count >= MIN_COUNT
-        pair, pair_count = pair[kept], pair_count[kept]
         context = (pair >> U64(40)).astype(np.int64)
         kinds = np.bincount(context, minlength=len(words))
         mass = np.bincount(context, LEVEL_COUNT[levels(pair_count)], minlength=len(words))
         hpair, at = np.unique(join("heavy", "<u2").astype(U64) << U64(40) | _long(b"".join(col["heavy_pairs"])), return_inverse=True)
         hcount = np.bincount(at, join("heavy_counts", "<u4"), minlength=len(hpair))
-        kept = hcount >= MIN_COUNT
-        hpair, hcount = hpair[kept], hcount[kept]
+        del at
+        for name in ("pairs", "pair_counts", "heavy", "heavy_pairs", "heavy_counts"):
+            del col[name]
         hnum = (hpair >> U64(40)).astype(np.int64)
         keys = np.concatenate([pair_keys(words[context], pair & LOW), pair_keys(heavy[hnum], hpair & LOW)])
         blob = build_slice(keys, np.concatenate([pair_count, hcount]))
@@ -254,32 +260,35 @@ def _score(model, first_pass: bool):
         kinds[common], mass[common] = m["heavy_kinds"][number], m["heavy_mass"][number]
         word_p = (count + 0.5) / (m["n"] + 0.5 * (m["v"] + 1))
         n_docs = len(t.ids)
-        # the context of each token; START has the training documents as its count
-        start = np.zeros(len(t.token), bool)
-        start[t.first] = True
-        before = np.roll(t.word, 1)
-        s = int(np.searchsorted(m["heavy"], START))
-        pick = lambda values, at_start: np.where(start, at_start, values[before])
-        c_count = pick(count, m["docs"])
-        c_kinds, c_mass = pick(kinds, m["heavy_kinds"][s]), pick(mass, m["heavy_mass"][s])
-        p = word_p[t.word]
         # probe each distinct pair once
-        keys, of = np.unique(pair_keys(t.context, t.token), return_inverse=True)
-        one = np.empty(len(keys), np.int64)
-        one[of] = np.arange(len(of))
+        keys, one, of = np.unique(pair_keys(t.context, t.token), return_index=True, return_inverse=True)
         bucket = _pair_bucket(t.context[one], keys, m["heavy"], m["n_buckets"])
         mine = (bucket >= m["lo"]) & (bucket < m["hi"])
-        level = np.zeros(len(keys), np.int64)
+        level = np.zeros(len(keys), np.int8)
         level[mine] = m["filter"].level(keys[mine], bucket[mine])
-        seen = np.minimum(LEVEL_COUNT[level][of], c_mass)
-        back = np.maximum(0.0, c_count - c_mass) + c_kinds
-        whole = c_mass + back
-        with np.errstate(divide="ignore", invalid="ignore"):
-            mixed = np.where(whole > 0, (seen + back * p) / whole, p)
-        score = np.where(mine[of], np.log10(np.where(mixed > 0, mixed, p)), 0.0)
+        del keys, one, bucket
+        # the context of each token; START has the training documents as its count
+        start = np.zeros(len(t.token), bool)
+        start[t.first] = True
+        before = np.roll(t.word, 1)
+        begin = int(np.searchsorted(m["heavy"], START))
+        score = np.zeros(len(t.token))
+        for i in range(0, len(score), STEP):
+            s = slice(i, i + STEP)
+            pick = lambda values, at_start: np.where(start[s], at_start, values[before[s]])
+            c_count = pick(count, m["docs"])
+            c_kinds, c_mass = pick(kinds, m["heavy_kinds"][begin]), pick(mass, m["heavy_mass"][begin])
+            p = word_p[t.word[s]]
+            seen = np.minimum(LEVEL_COUNT[level[of[s]]], c_mass)
+            back = np.maximum(0.0, c_count - c_mass) + c_kinds
+            whole = c_mass + back
+            with np.errstate(divide="ignore", invalid="ignore"):
+                mixed = np.where(whole > 0, (seen + back * p) / whole, p)
+            score[s] = np.where(mine[of[s]], np.log10(np.where(mixed > 0, mixed, p)), 0.0)
+        del start, before, of
         total = lambda v: np.bincount(t.row, v, minlength=n_docs)
         known = total(count[t.word] > 0).astype(np.int64) if first_pass else np.zeros(n_docs, np.int64)
-        base = total(np.log10(p)) if first_pass else np.zeros(n_docs)
+        base = total(np.log10(word_p)[t.word]) if first_pass else np.zeros(n_docs)
         return pa.table({
             "block": pa.array([table.column("block")[0].as_py() if n_docs else None] * n_docs, pa.int64()),
             "row": pa.array(np.arange(n_docs), pa.int64()),

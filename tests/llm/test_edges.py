@@ -3,6 +3,7 @@
 import hashlib
 
 import llm_brute as brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,6 +174,20 @@ def test_lm_edges(odd, docs):
     assert [(r.base_score, r.score, r.n_known, r.train_tokens, r.n_tokens) for r in none] == [(0.0, 0.0, 0, 0, 3)] * 2
 
 
+def test_lm_pairs_seen_once_count(docs):
+    held = [i for i in range(50) if lm.is_held_out(i)][:2]
+    learn = [i for i in range(50) if not lm.is_held_out(i)][:2]
+    assert lm.levels(np.array([0, 1, 2])).tolist() == [0, 1, 2] and lm.LEVEL_COUNT[:3].tolist() == [0, 1, 2]
+    rows = docs((learn[0], "alpha beta"), (learn[1], "gamma delta"), (held[0], "alpha beta"), (held[1], "alpha delta"))
+    got = {r.doc_id: r for r in lm.score_documents(rows).collect()}
+    assert got[held[0]].base_score == got[held[1]].base_score and got[held[0]].score > got[held[1]].score
+    p = 1.5 / (6 + 0.5 * 6)  # a word seen once of 6 tokens, 5 words and one unseen
+    start = (1 + 2 * p) / 4  # two words begin a document, once each
+    inner = (1 + 1 * p) / 2
+    end = (1 + 1 * 2.5 / 9) / 2
+    assert np.isclose(got[held[0]].score, np.log10(start * inner * end), rtol=1e-6)
+
+
 HOST = "http://h.example.com/"
 
 
