@@ -186,7 +186,7 @@ def compare_with_edits(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataF
     edges = np.array(bounds, np.int64)
 
     def range_of(ids: np.ndarray) -> np.ndarray:
-        return np.searchsorted(-edges[::-1], -ids, "right") if len(edges) else np.zeros(len(ids), np.int64)
+        return len(edges) - np.searchsorted(edges, ids, "left")
 
     def ranges(batches):
         for batch in batches:

@@ -97,6 +97,12 @@ def test_spotsigs_edges(odd, docs):
     assert spotsigs.compare_with_edits(odd.limit(0)).count() == 0
 
 
+def test_spotsigs_null_ids_come_last_in_any_number_of_groups(docs):
+    rows = docs(*[(i - 20, f"the story of number {i} is a long one to tell {i}") for i in range(40)], *[(None, f"the row without an id {i}") for i in range(3)])
+    several = sorted(map(str, spotsigs.compare_with_edits(rows, group_bytes=300).collect()))
+    assert several == sorted(map(str, spotsigs.compare_with_edits(rows).collect()))
+
+
 def test_spotsigs_groups_do_not_change_the_result(documents):
     a = spotsigs.compare_with_edits(documents, group_bytes=5_000)
     b = spotsigs.compare_with_edits(documents)
