@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from typing import NamedTuple
 from urllib.parse import urlsplit
 
@@ -67,7 +66,6 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 BLANK = re.compile(r"\s+")
-ARTICLE_CLASS = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main)(?:[\s_-]?(?:body|content|text))?(?=$|[\s_-])", re.I)
 
 
 class Node:
@@ -320,16 +318,6 @@ def main_text(page: str, template: Template | None = None) -> str:
     inside = [x for x in inside if template.links.get(_hash(x.path), 0.0) <= 0.5] if template.links else inside
     if any(x.article and not x.text.isspace() for x in inside):
         inside = [x for x in inside if x.article]
-    else:  # no article slot: the body's slots without lists of links
-        chars, links = Counter(), Counter()
-        for x in inside:
-            chars[x.path] += len(x.text)
-            links[x.path] += len(x.text) * x.link
-        # the slot's share of links on this page where the host has no such slot
-        inside = [x for x in inside if _hash(x.path) in template.links or links[x.path] / max(1, chars[x.path]) <= 0.5]
-        named = [x for x in inside if ARTICLE_CLASS.search(x.path.replace("/", " ").replace(".", " "))]
-        if sum(len(x.text) for x in named) * 2 > sum(len(x.text) for x in inside):
-            inside = named
     blocks: dict[int, list[str]] = {}
     for x in inside:
         blocks.setdefault(x.block, []).append(x.text)

@@ -214,6 +214,14 @@ def test_main_text(body, text):
     assert html_extract.main_text(page(body)) == text
 
 
+@pytest.mark.parametrize("body, text", [
+    ("<div class='main'><p>the longer part of the page</p></div><div class='box'><p>a shorter part</p></div>", "the longer part of the page\na shorter part"),
+    ("<div><p>read <a>this long list of names</a></p></div>", "read this long list of names"),
+])
+def test_slots_without_boilerplate_evidence_stay(body, text):
+    assert html_extract.main_text(page(body)) == text
+
+
 def test_template_text_is_dropped_outside_articles(spark):
     rows = [(i, f"{HOST}{i}", page(f"<div><p>Welcome to our site</p><p>story number {i} with its own words</p></div>")) for i in range(20)]
     rows += [(20 + i, f"http://other.example.com/{i}", page("<div><p>Welcome to our site</p></div>")) for i in range(20)]  # equal pages are one page
