@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latencylab.llm import decontam, html_extract, jaccard_join, langid, line_dedup, lm, mixing, spotsigs, suffix_dedup, warc
+from latencylab.llm import collocations, decontam, html_extract, importance, jaccard_join, langid, line_dedup, lm, mixing, multi_index, spotsigs, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,10 +54,23 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_suffix_dedup, op2_language_id, op3_warc_dictionary, op4_spotsigs, op5_jaccard_join, op6_source_mixing,
         op7_line_dedup, op8_benchmark_decontamination, op9_lm_scoring, op10_html_extraction,
+        op11_inverted_multi_index, op12_importance_resampling, op13_collocations,
     )
     return {f.__name__: f for f in found}
 
@@ -68,4 +81,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_jaccard_join": jaccard_join.ORACLE,
         "op7_line_dedup": line_dedup.ORACLE,
         "op8_benchmark_decontamination": decontam.ORACLE,
+        "op12_importance_resampling": importance.ORACLE,
+        "op13_collocations": collocations.ORACLE,
     }
