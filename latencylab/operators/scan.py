@@ -9,7 +9,10 @@ sum, max, edge row) forward with a window over the block summaries, one row per
 Blocks are cut at points of the full sort order, (order columns) as one tuple, taken
 from a hash sample of the key's rows: a dense key beside sparse ones, many equal timestamps
 (the tiebreak column splits them) and sparse ids are all cut to about ``target_rows``. Keys
-below that size are one block. The cut points are one value, the result of a scalar subquery.
+below that size are one block. The cut points are one value, the result of a scalar subquery: a point per
+million rows, so about 50 MB for 10^12 rows. A row finds its block by binary search, whose steps do not
+depend on the number of blocks. The points follow from the rows alone, so every branch of a plan, and a task that
+runs again, cuts alike (bounds sampled by a range exchange would differ between branches that prune other columns).
 
 Null keys and null order values are ordinary values (nulls first): no row is lost. The
 order columns give a total order within a key when the result depends on it.
@@ -21,12 +24,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _BLK = "_blk"
 
 # Rows per block, and sampled rows per block from which the cut points are taken.
 TARGET_BLOCK_ROWS = 1_000_000
 SAMPLES_PER_BLOCK = 32
+# A key has fewer than 2 ** MAX_CUT_BITS cut points (4 * 10^12 rows in blocks of the usual size).
+MAX_CUT_BITS = 22
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -39,11 +45,15 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"_j_{k}" for k in keys])
 
 
-def with_blocks(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], target_rows: int = TARGET_BLOCK_ROWS) -> DataFrame:
-    """Adds the block number of each row: how many of its key's cut points are at or before it."""
+def with_blocks(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], target_rows: int = TARGET_BLOCK_ROWS,
+                drawn_by: Sequence[str] = ()) -> DataFrame:
+    """Adds the block number of each row: how many of its key's cut points are at or before it.
+
+    ``drawn_by`` names further columns that decide which rows are sampled. With an aggregate's result among them, the sample is
+    drawn after the aggregate and shares its exchange with the rest of the plan, instead of reading the input once more."""
     step = max(1, target_rows // SAMPLES_PER_BLOCK)
     point, key = F.struct(*order_cols), F.xxhash64(F.lit(1), *keys)
-    drawn = F.pmod(F.xxhash64(F.lit(2), *keys, *order_cols), F.lit(step)) == 0
+    drawn = F.pmod(F.xxhash64(F.lit(2), *keys, *order_cols, *drawn_by), F.lit(step)) == 0
     cuts = (
         df.where(drawn).groupBy(key.alias("k"))
         .agg(F.array_sort(F.collect_list(point)).alias("points"))
@@ -52,28 +62,83 @@ def with_blocks(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], t
         .agg(F.map_from_entries(F.collect_list(F.struct("k", "cuts"))).alias("all"))
         .scalar()
     )
-    number = F.size(F.filter("_cuts", lambda c: c <= point)).cast("long")
-    return df.withColumn("_cuts", F.try_element_at(cuts, key)).withColumn(_BLK, F.when(F.col("_cuts").isNull(), F.lit(0).cast("long")).otherwise(number)).drop("_cuts")
+    found = df.withColumn("_cuts", F.try_element_at(cuts, key))
+    return found.withColumn(_BLK, F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(_cuts_up_to(point)).cast("long")).drop("_cuts")
+
+
+def _cuts_up_to(point: Column) -> Column:
+    """How many of the ascending ``_cuts`` are at or before ``point``, by binary search: the answer grows by a
+    power of two at a time as long as the cut it reaches is not after the point."""
+
+    def grow(n: Column, power: Column) -> Column:
+        fits = (n + power <= F.size("_cuts")) & (F.try_element_at("_cuts", n + power) <= point)
+        return F.when(fits, n + power).otherwise(n)
+
+    return F.aggregate(F.array(*[F.lit(1 << i) for i in reversed(range(MAX_CUT_BITS))]), F.lit(0), grow)
 
 
 def _columns(order_cols: Sequence[str]) -> list[Column]:
     return [F.col(c) for c in order_cols]
 
 
+def _stand_ins(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str], dict[str, Column]]:
+    """``df`` with each nullable key replaced by columns that are never null, their names, and the expressions that give the
+    keys back. Null-safe equality then is plain equality of the stand-ins, so windows and joins on them share one
+    partitioning and one sort (a null-safe join condition would shuffle the rows again)."""
+    plain: dict[str, Column] = {}
+    names: list[str] = []
+    back: dict[str, Column] = {}
+    for i, k in enumerate(keys):
+        field = df.schema[k]
+        if not field.nullable:
+            names.append(k)
+            continue
+        kind = field.dataType
+        if isinstance(kind, (T.NumericType, T.StringType)):
+            plain |= {f"_k{i}": F.coalesce(F.col(k), F.lit("" if isinstance(kind, T.StringType) else 0).cast(kind)), f"_k{i}_null": F.col(k).isNull()}
+            back[k] = F.when(~F.col(f"_k{i}_null"), F.col(f"_k{i}"))
+        else:
+            plain[f"_k{i}"] = F.struct(F.col(k))
+            back[k] = F.col(f"_k{i}")[k]
+        names += [c for c in plain if c.split("_")[1] == f"k{i}"]
+    return df.withColumns(plain).drop(*back) if plain else df, names, back
+
+
+def _restored(out: DataFrame, back: dict[str, Column], columns: Sequence[str]) -> DataFrame:
+    return out.withColumns(back).select(*columns) if back else out.select(*columns)
+
+
+def _blocked(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], target_rows: int, drawn_by: Sequence[str] = ()):
+    """(rows with block numbers and key stand-ins, partition columns, block columns, expressions of the keys). An order column that is
+    a key as well stays available under its name."""
+    b = with_blocks(df, keys, order_cols, target_rows, drawn_by)
+    both = [c for c in order_cols if c in keys]
+    b, names, back = _stand_ins(b, [k for k in keys if k not in both])
+    return b, names + both, [*names, *both, _BLK], back
+
+
+def _carry(local: DataFrame, names: Sequence[str], cols: dict[str, Column]) -> DataFrame:
+    """Block summaries (one row per block) with ``cols``, windows over the blocks of a key."""
+    return local.select(*names, _BLK, *[c.alias(n) for n, c in cols.items()])
+
+
+def _blocks_of(names: Sequence[str]):
+    return Window.partitionBy(*names).orderBy(_BLK)
+
+
+def _before(names: Sequence[str]):
+    return _blocks_of(names).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def sequence_number(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], name: str = "seq",
                     target_rows: int = TARGET_BLOCK_ROWS) -> DataFrame:
     """Exact ``row_number()`` within ``keys`` ordered by ``order_cols`` (1-based, long)."""
-    keys = list(keys)
-    b = with_blocks(df, keys, order_cols, target_rows)
-    local = b.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, _BLK).orderBy(*_columns(order_cols))))
-    counts = local.groupBy(*keys, _BLK).agg(F.max("_local").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, _BLK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (
-        null_safe_join(local, offsets, [*keys, _BLK])
-        .withColumn(name, (F.col("_off") + F.col("_local")).cast("long"))
-        .drop(_BLK, "_local", "_off")
-    )
+    b, names, block, back = _blocked(df, list(keys), order_cols, target_rows)
+    order = Window.partitionBy(*block).orderBy(*_columns(order_cols))
+    local = b.withColumns({"_local": F.row_number().over(order), "_closes": F.lead(F.lit(1)).over(order).isNull()})
+    carry = _carry(local.where("_closes"), names, {"_off": F.coalesce(F.sum("_local").over(_before(names)), F.lit(0))})
+    out = local.join(carry, block).withColumn(name, (F.col("_off") + F.col("_local")).cast("long"))
+    return _restored(out, back, [*[c for c in df.columns if c != name], name])
 
 
 def running_totals(
@@ -84,16 +149,18 @@ def running_totals(
     maxes: dict[str, Column] | None = None,
     peers: bool = False,
     target_rows: int = TARGET_BLOCK_ROWS,
+    whole: dict[str, str] | None = None,
+    drawn_by: Sequence[str] = (),
 ) -> DataFrame:
     """Running sums / maxima from the start of the key up to each row.
 
-    ``sums`` and ``maxes`` map output names to Column expressions. With
-    ``peers=True`` rows with equal order values share one value (a RANGE frame:
+    ``sums`` and ``maxes`` map output names to Column expressions; ``whole`` maps the name of a column for the key's total to
+    the name of a sum. With ``peers=True`` rows with equal order values share one value (a RANGE frame:
     all rows of a micro-batch see the batch-end total): the rows are first
     pre-aggregated per (key, order value) with a partial+final hash aggregate, the
     running scan runs over those aggregated rows, and the totals are joined back, so
     neither a key with many order values nor one huge peer group lands in a single
-    window partition.
+    window partition. ``drawn_by``: see :func:`with_blocks`.
     """
     keys, order_cols = list(keys), list(order_cols)
     sums = dict(sums or {})
@@ -108,8 +175,9 @@ def running_totals(
             maxes={n: F.col(f"_p_{n}") for n in maxes}, target_rows=target_rows,
         ).drop(*[f"_p_{n}" for n in {**sums, **maxes}])
         return null_safe_join(df, scanned, [*keys, *order_cols])
-    b = with_blocks(df, keys, order_cols, target_rows).withColumns({f"_v_{n}": e for n, e in {**sums, **maxes}.items()})
-    order = Window.partitionBy(*keys, _BLK).orderBy(*_columns(order_cols))
+    valued = df.withColumns({f"_v_{n}": e for n, e in {**sums, **maxes}.items()})
+    b, names, block, back = _blocked(valued, keys, order_cols, target_rows, drawn_by)
+    order = Window.partitionBy(*block).orderBy(*_columns(order_cols))
     w = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = b.withColumns({
         **{f"_l_{n}": F.sum(f"_v_{n}").over(w) for n in sums},
@@ -117,23 +185,21 @@ def running_totals(
         "_closes": F.lead(F.lit(1)).over(order).isNull(),
     })
     # the totals of a block are those of its last row: a filter of the window output, no aggregate
-    per_block = local.where("_closes").select(*keys, _BLK, *[F.col(f"_l_{n}").alias(f"_b_{n}") for n in {**sums, **maxes}])
-    before = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_block.select(
-        *keys,
-        _BLK,
-        *[F.sum(f"_b_{n}").over(before).alias(f"_c_{n}") for n in sums],
-        *[F.max(f"_b_{n}").over(before).alias(f"_c_{n}") for n in maxes],
-    )
-    out = null_safe_join(local, carry, [*keys, _BLK]).withColumns({
+    carry = _carry(local.where("_closes"), names, {
+        **{f"_c_{n}": F.sum(f"_l_{n}").over(_before(names)) for n in sums},
+        **{f"_c_{n}": F.max(f"_l_{n}").over(_before(names)) for n in maxes},
+        **{f"_w_{t}": F.sum(f"_l_{n}").over(Window.partitionBy(*names)) for t, n in (whole or {}).items()},
+    })
+    out = local.join(carry, block).withColumns({
         # sum semantics: null only when every value so far is null
         **{n: F.when(F.col(f"_c_{n}").isNull(), F.col(f"_l_{n}"))
            .when(F.col(f"_l_{n}").isNull(), F.col(f"_c_{n}"))
            .otherwise(F.col(f"_c_{n}") + F.col(f"_l_{n}")) for n in sums},
         **{n: F.greatest(F.col(f"_c_{n}"), F.col(f"_l_{n}")) for n in maxes},
+        **{t: F.col(f"_w_{t}") for t in whole or {}},
     })
-    drop = [_BLK, "_closes"] + [f"_{p}_{n}" for n in {**sums, **maxes} for p in ("v", "l", "c")]
-    return out.drop(*drop)
+    made = [*sums, *maxes, *(whole or {})]
+    return _restored(out, back, [*[c for c in df.columns if c not in made], *made])
 
 
 def neighbour(
@@ -150,24 +216,19 @@ def neighbour(
     Output columns are ``prefix + col``; null on the first (last) row of a key.
     ``order_cols`` must be a total order inside a key.
     """
-    keys = list(keys)
-    b = with_blocks(df, keys, order_cols, target_rows)
-    packed = F.struct(*[F.col(c) for c in cols])
-    w = Window.partitionBy(*keys, _BLK).orderBy(*_columns(order_cols))
-    if direction == "prev":
-        # the previous row, and whether this row closes its block (no next row)
-        local = b.withColumns({"_nb": F.lag(packed).over(w), "_edge_row": F.lead(F.lit(1)).over(w).isNull()})
-        carry_fn = F.lag
-    elif direction == "next":
-        local = b.withColumns({"_nb": F.lead(packed).over(w), "_edge_row": F.lag(F.lit(1)).over(w).isNull()})
-        carry_fn = F.lead
-    else:
+    if direction not in ("prev", "next"):
         raise ValueError("direction must be 'prev' or 'next'")
+    packed = F.struct(*[F.col(c) for c in cols])
+    b, names, block, back = _blocked(df.withColumn("_cols", packed), list(keys), order_cols, target_rows)
+    w = Window.partitionBy(*block).orderBy(*_columns(order_cols))
+    near, far = (F.lag, F.lead) if direction == "prev" else (F.lead, F.lag)
+    # the neighbour, and whether this row is at the edge of its block that the next block looks at
+    local = b.withColumns({"_nb": near("_cols").over(w), "_edge_row": far(F.lit(1)).over(w).isNull()})
     # one edge row per block, taken from the window output (a filter, no aggregate)
-    edges = local.where("_edge_row").select(*keys, _BLK, packed.alias("_edge"))
-    carry = edges.select(*keys, _BLK, carry_fn("_edge").over(Window.partitionBy(*keys).orderBy(_BLK)).alias("_carry"))
-    out = null_safe_join(local, carry, [*keys, _BLK]).withColumn("_nb", F.coalesce("_nb", "_carry"))
-    return out.withColumns({prefix + c: F.col("_nb")[c] for c in cols}).drop(_BLK, "_nb", "_carry", "_edge_row")
+    carry = _carry(local.where("_edge_row"), names, {"_carry": near("_cols").over(_blocks_of(names))})
+    out = local.join(carry, block).withColumn("_nb", F.coalesce("_nb", "_carry"))
+    made = {prefix + c: F.col("_nb")[c] for c in cols}
+    return _restored(out.withColumns(made), back, [*[c for c in df.columns if c not in made], *made])
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, tuple[str, float]],
@@ -177,15 +238,14 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str
     Equal values are counted first (partial + final hash aggregate), a running count over the
     distinct values gives every value's last rank, and the value at a rank is the least one
     whose running count reaches it. No buffer grows with a group, unlike the built-in exact
-    percentile, whose value map of a hot group ends in one task. "disc" is the nearest rank
+    percentile, whose value map of a hot group ends in one task. The counted values feed the cut points, the running
+    count and the group's total alike, so the input is read once. "disc" is the nearest rank
     (index ceil(p n), at least 1), "cont" interpolates between ranks. Null values are skipped; a key without
     values has no row. ``weight`` names a column that says how often each row counts.
     """
     keys = list(keys)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"))
-    ranked = running_totals(counts, keys, ["_x"], sums={"_cum": F.col("_c")}, target_rows=target_rows)
-    total = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    ranked = null_safe_join(ranked, total, keys) if keys else ranked.crossJoin(total)
+    ranked = running_totals(counts, keys, ["_x"], sums={"_cum": F.col("_c")}, whole={"_n": "_cum"}, target_rows=target_rows, drawn_by=["_c"])
 
     def at(rank: Column) -> Column:
         return F.min(F.when(F.col("_cum") >= rank, F.col("_x").cast("double")))
