@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latencylab.functions.columns import effective_ts
-from latencylab.operators.scan import TARGET_BLOCK_ROWS, neighbour, null_safe_join, percentiles, running_totals
+from latencylab.operators.scan import TARGET_BLOCK_ROWS, neighbour, running_totals, value_statistics
 
 # Missing-id ranges are generated in chunks so no array exceeds this many ids.
 MISSING_CHUNK = 100_000
@@ -71,9 +71,8 @@ def largest_gaps(gaps: DataFrame, conds: dict, keys=("run_id",)) -> DataFrame:
 
 def gap_stats(gaps: DataFrame) -> DataFrame:
     """Per run: number of gaps, typical (median) gap and the largest gap."""
-    agg = gaps.groupBy("run_id").agg(F.count(F.lit(1)).alias("gap_count")).join(
-        percentiles(gaps, ["run_id"], "gap_ms", {"typical_gap_ms": ("cont", 0.5)}), "run_id", "left"
-    )
+    agg = value_statistics(gaps, ["run_id"], "gap_ms", {"typical_gap_ms": ("cont", 0.5)}, {"gap_count": "count"}).select(
+        "run_id", "gap_count", "typical_gap_ms")
     top = largest_gaps(gaps, {"g": F.lit(True)}).select(
         "run_id", F.col("g.gap_ms").alias("max_gap_ms"), F.col("g.before_event_id").alias("max_gap_before_event_id"),
         F.col("g.after_event_id").alias("max_gap_after_event_id"),
@@ -189,10 +188,7 @@ def fault_latency_sections(events: DataFrame, intervals: DataFrame, window_secon
     )
     exploded = rows.select("run_id", "latency_ms", F.explode(F.filter(labels, lambda x: x.isNotNull())).alias("section"))
     keys = ["run_id", "section"]
-    agg = exploded.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("latency_ms").alias("avg_latency_ms"),
-        F.max("latency_ms").alias("max_latency_ms"),
-    )
-    pct = percentiles(exploded, keys, "latency_ms", {"median_latency_ms": ("cont", 0.5), "p95_latency_ms": ("disc", 0.95)})
-    return null_safe_join(agg, pct, keys, "left")
+    return value_statistics(
+        exploded, keys, "latency_ms", {"median_latency_ms": ("cont", 0.5), "p95_latency_ms": ("disc", 0.95)},
+        {"n": "count", "avg_latency_ms": "avg", "max_latency_ms": "max"},
+    ).select(*keys, "n", "avg_latency_ms", "max_latency_ms", "median_latency_ms", "p95_latency_ms")

@@ -63,7 +63,9 @@ def with_blocks(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], t
         .scalar()
     )
     found = df.withColumn("_cuts", F.try_element_at(cuts, key))
-    return found.withColumn(_BLK, F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(_cuts_up_to(point)).cast("long")).drop("_cuts")
+    # never null, so that no join on it makes the optimizer search the blocks of rows further up for nulls
+    number = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.coalesce(_cuts_up_to(point), F.lit(0)))
+    return found.withColumn(_BLK, number.cast("long")).drop("_cuts")
 
 
 def _cuts_up_to(point: Column) -> Column:
@@ -233,31 +235,50 @@ def neighbour(
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, tuple[str, float]],
                 target_rows: int = TARGET_BLOCK_ROWS, weight: str | None = None) -> DataFrame:
-    """Exact percentiles per key: ``wanted`` maps output names to ("disc" | "cont", p).
+    """Exact percentiles per key: the percentiles of :func:`value_statistics` alone."""
+    return value_statistics(df, keys, value, wanted, target_rows=target_rows, weight=weight)
+
+
+def value_statistics(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, tuple[str, float]] | None = None,
+                     moments: dict[str, str] | None = None, extra: dict[str, tuple] | None = None,
+                     target_rows: int = TARGET_BLOCK_ROWS, weight: str | None = None) -> DataFrame:
+    """Exact percentiles and other statistics of a column per key, from one read of the rows.
+
+    ``wanted`` maps output names to ("disc" | "cont", p): "disc" is the nearest rank (index ceil(p n), at least 1), "cont"
+    interpolates between ranks. ``moments`` maps output names to "count", "avg", "stddev" (sample; null below two values) or "max";
+    ``extra`` maps output names to (aggregate function, column) for functions that combine with themselves, like min and max.
 
     Equal values are counted first (partial + final hash aggregate), a running count over the
     distinct values gives every value's last rank, and the value at a rank is the least one
-    whose running count reaches it. No buffer grows with a group, unlike the built-in exact
-    percentile, whose value map of a hot group ends in one task. The counted values feed the cut points, the running
-    count and the group's total alike, so the input is read once. "disc" is the nearest rank
-    (index ceil(p n), at least 1), "cont" interpolates between ranks. Null values are skipped; a key without
-    values has no row. ``weight`` names a column that says how often each row counts.
+    whose running count reaches it; the moments follow from the counted values and the group's totals. No buffer grows with a
+    group, unlike the built-in exact percentile, whose value map of a hot group ends in one task. The counted values feed the
+    cut points, the running count and the totals alike, so the input is read once. Rows whose value is null are skipped; a
+    key without values has no row. ``weight`` names a column that says how often each row counts.
     """
-    keys = list(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"))
-    ranked = running_totals(counts, keys, ["_x"], sums={"_cum": F.col("_c")}, whole={"_n": "_cum"}, target_rows=target_rows, drawn_by=["_c"])
+    keys, wanted, moments, extra = list(keys), wanted or {}, moments or {}, extra or {}
+    x = F.col("_x").cast("double")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg(
+        (F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"), *[fn(c).alias(f"_e_{n}") for n, (fn, c) in extra.items()])
+    sums, whole = {"_cum": F.col("_c")}, {"_n": "_cum"}
+    if {"avg", "stddev"} & set(moments.values()):
+        sums["_part"], whole["_sum"] = x * F.col("_c"), "_part"
+    ranked = running_totals(counts, keys, ["_x"], sums=sums, whole=whole, target_rows=target_rows, drawn_by=["_c"])
 
     def at(rank: Column) -> Column:
-        return F.min(F.when(F.col("_cum") >= rank, F.col("_x").cast("double")))
+        return F.min(F.when(F.col("_cum") >= rank, x))
 
-    aggs = {}
+    aggs = {"_n": F.max("_n")}
     for name, (kind, p) in wanted.items():
         if kind == "disc":
             aggs[name] = at(F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("_n"))))
         else:
             pos = F.lit(p) * (F.col("_n") - 1)
             aggs[f"{name}_lo"], aggs[f"{name}_hi"] = at(F.floor(pos) + 1), at(F.ceil(pos) + 1)
-    out = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *[e.alias(n) for n, e in aggs.items()])
+    off = x - F.col("_sum") / F.col("_n")
+    of = {"count": lambda: F.max("_n"), "avg": lambda: F.max("_sum") / F.max("_n"), "max": lambda: F.max(x),
+          "stddev": lambda: F.sqrt(F.sum(off * off * F.col("_c")) / F.nullif(F.max("_n") - 1, F.lit(0)))}
+    aggs |= {n: of[kind]() for n, kind in moments.items()} | {n: fn(f"_e_{n}") for n, (fn, _) in extra.items()}
+    out = ranked.groupBy(*keys).agg(*[e.alias(n) for n, e in aggs.items()])
     picked = []
     for name, (kind, p) in wanted.items():
         if kind == "disc":
@@ -266,7 +287,7 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str
             pos = F.lit(p) * (F.col("_n") - 1)
             lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
             picked.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-    return out.select(*keys, *picked)
+    return out.select(*keys, *picked, *moments, *extra)
 
 
 def arg_extreme(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cols: Sequence[str],

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from latencylab.functions.columns import bucket_floor
 from latencylab.functions.stats import with_ci95
 from latencylab.operators.runs import RunFilter, selected_runs
-from latencylab.operators.scan import null_safe_join, percentiles
-from latencylab.operators.summary import QUANTILES, _ids, distinct_per_run
+from latencylab.operators.scan import value_statistics
+from latencylab.operators.summary import LATENCY_MOMENTS, QUANTILES, _ids, distinct_per_run
 
 
 def _weighted_avg():
@@ -39,25 +39,14 @@ def _bucket_aggs(width: int, start_col: str = "bucket_start_ms"):
 
 
 def _raw_stats(rows: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
-    """Statistics of raw rows per key; the percentiles are joined to the other aggregates."""
-    agg = rows.groupBy(*keys).agg(*_raw_aggs(width))
-    pct = percentiles(rows, keys, "latency_ms", QUANTILES)
-    return null_safe_join(agg, pct, keys, "left").select(
-        *keys, "bucket_start_ms", "messages", "throughput_eps", "avg_latency_ms", *QUANTILES, "stddev_latency_ms", "max_latency_ms"
+    """Statistics of raw rows (with a latency) per key, all from one read of them."""
+    out = value_statistics(rows, keys, "latency_ms", QUANTILES, {"messages": "count", **LATENCY_MOMENTS}, {"bucket_start_ms": (F.min, "collected_at_ms")})
+    return out.select(
+        *keys, "bucket_start_ms", "messages", (F.col("messages") * F.lit(1000.0) / F.lit(float(width))).alias("throughput_eps"),
+        "avg_latency_ms", *QUANTILES, "stddev_latency_ms", "max_latency_ms",
     )
 
 
-def _raw_aggs(width: int):
-    return [
-        F.min("collected_at_ms").alias("bucket_start_ms"),
-        F.count(F.lit(1)).alias("messages"),
-        (F.count(F.lit(1)) * F.lit(1000.0) / F.lit(float(width))).alias("throughput_eps"),
-        F.avg("latency_ms").alias("avg_latency_ms"),
-        F.stddev_samp("latency_ms").alias("stddev_latency_ms"),
-        F.max("latency_ms").alias("max_latency_ms"),
-    ]
-
-
 def run_bounds(t) -> DataFrame:
     """Series origin per run: summary start (sent, else collected), else the first
     raw sent / collected time."""
@@ -143,15 +132,8 @@ def per_run_stats(t, sel: DataFrame, warmup_seconds: float = 0.0) -> DataFrame:
             "_lat", F.when(F.col("collected_at_ms") >= F.col("first_ts") + F.lit(warm), F.col("latency_ms"))
         )
     )
-    latency = e.groupBy("run_id").agg(
-        F.avg("_lat").alias("avg_latency_ms"),
-        F.stddev_samp("_lat").alias("stddev_latency_ms"),
-        F.max("_lat").alias("max_latency_ms"),
-    )
-    raw_runs = (
-        sel.select(*keep).join(distinct_per_run(e), "run_id").join(latency, "run_id")
-        .join(percentiles(e, ["run_id"], "_lat", QUANTILES), "run_id", "left")
-    )
+    latency = value_statistics(e, ["run_id"], "_lat", QUANTILES, LATENCY_MOMENTS)
+    raw_runs = sel.select(*keep).join(distinct_per_run(e), "run_id").join(latency, "run_id", "left")
     return summary_runs.unionByName(raw_runs.select(*summary_runs.columns))
 
 

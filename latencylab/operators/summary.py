@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from latencylab.functions.columns import parse_run_id
 from latencylab.functions.stats import with_ci95
-from latencylab.operators.scan import percentiles
+from latencylab.operators.scan import value_statistics
 
 LATENCY_COLUMNS = [
     "measured_messages", "latency_sample_count", "avg_latency_ms", "median_latency_ms",
@@ -22,6 +22,7 @@ LATENCY_COLUMNS = [
 
 # Interpolated percentiles of raw latencies.
 QUANTILES = {"median_latency_ms": ("cont", 0.5), "p95_latency_ms": ("cont", 0.95)}
+LATENCY_MOMENTS = {"avg_latency_ms": "avg", "stddev_latency_ms": "stddev", "max_latency_ms": "max"}
 
 
 def _ids(df: DataFrame) -> DataFrame:
@@ -77,13 +78,7 @@ def raw_latency(events: DataFrame, bounds: DataFrame, warmup_ms: int = 0) -> Dat
     rows = events.where(F.col("latency_ms").isNotNull()).join(
         bounds.select("run_id", start.alias("_start")), "run_id"
     ).where(F.col("collected_at_ms") >= F.col("_start") + F.lit(warmup_ms))
-    return rows.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("measured_messages"),
-        F.count("latency_ms").alias("latency_sample_count"),
-        F.avg("latency_ms").alias("avg_latency_ms"),
-        F.stddev_samp("latency_ms").alias("stddev_latency_ms"),
-        F.max("latency_ms").alias("max_latency_ms"),
-    ).join(percentiles(rows, ["run_id"], "latency_ms", QUANTILES), "run_id", "left")
+    return value_statistics(rows, ["run_id"], "latency_ms", QUANTILES, {"measured_messages": "count", "latency_sample_count": "count", **LATENCY_MOMENTS})
 
 
 def run_summary(t, warmup_seconds: float = 0.0) -> DataFrame:
