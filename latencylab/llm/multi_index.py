@@ -33,7 +33,9 @@ SAMPLE = 20_000  # rows (expected) on which the codebooks are trained
 CALIBRATION = 250  # rows (expected) searched by brute force to find the depth
 RECALL = 0.97
 ROUNDS = 12
-REGION_BYTES = 32 << 20
+REGION_BYTES = 64 << 20
+REGIONS = 48  # at least, where a region keeps REGION_ROWS rows
+REGION_ROWS = 1024
 QUERY_BYTES = 32 << 20  # of queries in one group
 SCORES = 1 << 21  # scores computed at once
 NULL_ID = np.iinfo(np.int64).max
@@ -159,7 +161,7 @@ class MultiIndex:
         for r in self.index.groupBy("cell").count().collect():
             self.count[r["cell"]] = r["count"]
         self.depth = self._calibrate(self._draw(calibration, 12), recall)
-        self._lay_out(max(1, region_bytes // (8 * dim)))
+        self._lay_out(max(1, min(region_bytes // (8 * dim), max(REGION_ROWS, self.n // REGIONS))))
 
     def _draw(self, wanted: int, salt: int) -> np.ndarray:
         """About ``wanted`` vectors, drawn by a hash of the row (all, where there are no more)."""
