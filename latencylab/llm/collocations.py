@@ -6,8 +6,8 @@ symbols, their BWT, and the same of the reversed sequence. An interval of the on
 symbols in the BWT interval are the words that extend it to the left (or, in the twin, to the right) with their counts, and each
 gives the next interval pair. Sorting by so many symbols is enough: an extension to m + 1 words needs suffixes in order of m + 1 symbols.
 
-Two rounds keep what shards send small. First each shard extends its words to the left and sends hashes of its pairs
-with capped counts to buckets; a bucket answers one bit a pair: frequent in all shards together, or not. Then each
+Two rounds keep what shards send small. First each shard extends its words to the left and sends hashes of its words and pairs
+with capped counts to buckets; a bucket answers one bit for each: frequent in all shards together, or not. Then each
 shard extends frequent pairs to the right as long as every pair inside is frequent, and its counts are summed over shards. A hash
 collision can only let a pair through to the exact second count.
 """
@@ -32,9 +32,10 @@ MIN_WORDS = 2
 MAX_WORDS = 3
 COVERED = 50  # percent of a phrase's count that a longer candidate around it needs to drop it
 TOP = 2000
-SHARD_BYTES = 8 << 20
-HELD_BYTES = 48 << 20  # of texts held by a task over all languages
-BUCKET_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
+HELD_BYTES = 16 << 20  # of texts held by a task over all languages
+BUCKET_BYTES = 8 << 20
+SENT_SHARE = 0.7  # bytes sent to buckets for a byte of text, about
 U64 = np.uint64
 SHORT = U64((1 << 40) - 1)
 
@@ -51,8 +52,8 @@ class FmIndex:
     def __init__(self, seq: np.ndarray, size: int, depth: int):
         n = len(seq)
         rank, length = seq.astype(np.int64), 1
-        order = np.argsort(rank, kind="stable")
-        while length < depth:
+        order = None
+        while length < depth or order is None:
             key = rank * (int(rank.max(initial=0)) + 1)
             key[: max(0, n - length)] += rank[length:]
             order = np.argsort(key, kind="stable")
@@ -60,8 +61,9 @@ class FmIndex:
             if length < depth:
                 key = key[order]
                 rank[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+        del rank, key
         self.size = size
-        self.bwt = seq[order - 1]
+        self.bwt = seq[order - 1].astype(np.int32)
         self.start = np.concatenate([[0], np.cumsum(np.bincount(seq, minlength=size))])
         self._by_symbol = None
 
@@ -76,9 +78,12 @@ class FmIndex:
     def extensions(self, lo: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of disjoint intervals (lo, count): (interval, symbol, count, count of smaller symbols) of every symbol in their
         BWT, separators excepted."""
-        whose = np.repeat(np.arange(len(lo)), count)
-        at = np.arange(len(whose)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-        key, n = np.unique(whose * self.size + self.bwt[at], return_counts=True)
+        key = np.repeat(np.arange(len(lo)) * self.size, count)
+        at = np.arange(len(key), dtype=np.int32)
+        at += np.repeat((lo - (np.cumsum(count) - count)).astype(np.int32), count)
+        key += self.bwt[at]
+        del at
+        key, n = np.unique(key, return_counts=True)
         whose, symbol = key // self.size, key % self.size
         smaller = np.cumsum(n) - n
         first = np.searchsorted(whose, np.arange(len(lo)))
@@ -173,80 +178,95 @@ def cut_text(data: bytes, limit: int, overlap: int) -> Iterator[tuple[bytes, int
     yield data[at:], 1
 
 
-SHARDS = "shard long, lang string, weight int, n_words long, seq binary, hashes binary, names array<string>"
-
-
-def write_shards(docs: DataFrame, max_words: int, shard_bytes: int) -> DataFrame:
-    """Table of shards of (lang, text); a shard holds texts of one language that one task read."""
+class Sent:
+    """What a shard asks buckets about: its pairs of words, then its words, in the order (bucket, hash) of ``order``."""
+
+    def __init__(self, shard: Shard, lang: str, hashes: np.ndarray, n_buckets: int):
+        self.words = shard.single_words()
+        self.pairs = shard.to_left(self.words)
+        raw = lang.encode()
+        salt = tx.mix(np.frombuffer(raw.ljust(8 * (len(raw) // 8 + 1), b"\0"), "<u8").cumsum(dtype=U64)[-1:])
+        first = tx.mix(hashes + salt)
+        key = tx.mix(first[self.pairs.words[:, 0] - 1] + hashes[self.pairs.words[:, 1] - 1] * U64(0x9E3779B97F4A7C15))
+        key = np.concatenate([key, tx.mix(first)])
+        bucket = buckets_of(key, n_buckets)
+        self.order = np.lexsort((key, bucket))
+        self.key = key[self.order] & SHORT
+        self.parts = split(bucket[self.order], n_buckets)
+
+    def counts(self) -> np.ndarray:
+        return np.concatenate([self.pairs.count, self.words.count])[self.order]
+
+    def answered(self, bits: dict[int, bytes]) -> tuple[Phrases, Phrases]:
+        """The pairs and the words that the buckets have found often enough."""
+        often = np.zeros(len(self.order), bool)
+        for b, x, y in self.parts:
+            often[self.order[x:y]] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=y - x) > 0
+        n = len(self.pairs.count)
+        return self.pairs[often[:n]], self.words[often[n:]]
+
+
+# Rows of kind "text" hold a shard in parts (small values are easier on the executors' memory than one large one), rows of kind "sent" its messages.
+SHARDS = ("kind string, shard long, lang string, weight int, n_words long, part int, seq binary, hashes binary, names array<string>, "
+          "bucket long, pairs binary, counts binary")
+PART_TOKENS = 1 << 16
+PART_WORDS = 1 << 14
+
+
+def _batch(n: int, shard: int, lang: str, **columns) -> pa.RecordBatch:
+    """``n`` rows of the table of shards; columns that are not given are null."""
+    kinds = {"part": pa.int32(), "seq": pa.binary(), "hashes": pa.binary(), "names": pa.list_(pa.string()), "bucket": pa.int64(), "pairs": pa.binary(), "counts": pa.binary(),
+             "weight": pa.int32(), "n_words": pa.int64(), "kind": pa.string(), "shard": pa.int64(), "lang": pa.string()}
+    given = {"shard": [shard] * n, "lang": [lang] * n, **columns}
+    names = [c.split()[0] for c in SHARDS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(given[c], kinds[c]) if c in given else pa.nulls(n, kinds[c]) for c in names], names)
+
+
+def write_shards(docs: DataFrame, max_words: int, shard_bytes: int, min_count: int, n_buckets: int) -> DataFrame:
+    """Table of shards of (lang, text) with their messages; a shard holds texts of one language that one task read."""
+    counted = "<u4" if min_count > 255 else "u1"
+
+    def rows(number: int, lang: str, texts: list, weight: int):
+        seq, hashes, names, n = word_sequence(pa.array(texts, pa.large_string()))
+        for part in range(max(-(-len(seq) // PART_TOKENS), -(-len(hashes) // PART_WORDS))):
+            cut = lambda values, size: values[part * size : (part + 1) * size]  # noqa: E731, B023
+            yield _batch(1, number, lang, kind=["text"], weight=[weight], n_words=[n if part == 0 else 0], part=[part], seq=[cut(seq, PART_TOKENS).tobytes()],
+                         hashes=[cut(hashes, PART_WORDS).astype("<u8").tobytes()], names=[cut(names, PART_WORDS)])
+        sent = Sent(Shard(seq, len(hashes) + 1, 2), lang, hashes, n_buckets)
+        short = np.ascontiguousarray(sent.key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+        capped = (np.minimum(sent.counts(), min_count) if weight > 0 else np.zeros(len(sent.key))).astype(counted)
+        for i in range(0, len(sent.parts), 32):
+            some = sent.parts[i : i + 32]
+            yield _batch(len(some), number, lang, kind=["sent"] * len(some), bucket=[b for b, *_ in some],
+                         pairs=[short[x:y].tobytes() for _, x, y in some], counts=[capped[x:y].tobytes() for _, x, y in some])
 
     def run(batches):
         held: dict[str, list[str]] = {}
         size: dict[str, int] = {}
-        made = [TaskContext.get().partitionId() << 32]
-
-        def shard(lang: str, texts: list, weight: int = 1):
-            seq, hashes, names, n = word_sequence(pa.array(texts, pa.large_string()))
-            made[0] += 1
-            row = [[made[0]], [lang], [weight], [n], [seq.tobytes()], [hashes.astype("<u8").tobytes()], [names]]
-            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string())]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], ["shard", "lang", "weight", "n_words", "seq", "hashes", "names"])
-
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
                 data = text.as_py() or ""
                 n = len(data.encode())
                 if n > shard_bytes:
                     for part, weight in cut_text(data.encode(), shard_bytes, max_words - 1):
-                        yield shard(lang, [part.decode()], weight)
+                        number += 1
+                        yield from rows(number, lang, [part.decode()], weight)
                     continue
                 held.setdefault(lang, []).append(data)
                 size[lang] = size.get(lang, 0) + n
                 while size.get(lang, 0) >= shard_bytes or sum(size.values()) >= HELD_BYTES:
                     most = max(size, key=size.get)
                     del size[most]
-                    yield shard(most, held.pop(most))
+                    number += 1
+                    yield from rows(number, most, held.pop(most), 1)
         for lang in sorted(held):
-            yield shard(lang, held[lang])
+            number += 1
+            yield from rows(number, lang, held[lang], 1)
 
     return scratch(docs.sparkSession, docs.mapInArrow(run, SHARDS), "collocation-shards")
 
 
-def _pairs(shard: Shard, lang: str, hashes: np.ndarray, n_buckets: int):
-    """The pairs of a shard in the order in which they are sent: phrases, bucket, short hash."""
-    pairs = shard.to_left(shard.single_words())
-    salt = tx.mix(np.frombuffer(lang.encode().ljust(8 * (len(lang.encode()) // 8 + 1), b"\0"), "<u8").cumsum(dtype=U64)[-1:])
-    a, b = hashes[pairs.words[:, 0] - 1], hashes[pairs.words[:, 1] - 1]
-    key = tx.mix(tx.mix(a + salt) + b * U64(0x9E3779B97F4A7C15))
-    order = np.lexsort((key, buckets_of(key, n_buckets)))
-    return pairs[order], buckets_of(key, n_buckets)[order], key[order] & SHORT
-
-
-def _row(table, i: int, depth: int):
-    get = lambda name: table.column(name)[i].as_py()
-    hashes = np.frombuffer(get("hashes"), "<u8")
-    return Shard(np.frombuffer(get("seq"), "<i4"), len(hashes) + 1, depth), hashes, get("lang"), get("weight")
-
-
-def _send(n_buckets: int, min_count: int):
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                shard, hashes, lang, weight = _row(batch, i, 2)
-                pairs, bucket, key = _pairs(shard, lang, hashes, n_buckets)
-                short = np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
-                capped = (np.minimum(pairs.count, min_count) if weight > 0 else np.zeros(len(key))).astype("<u4" if min_count > 255 else "u1")
-                parts = split(bucket, n_buckets)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([b for b, *_ in parts], pa.int64()), pa.array([batch.column("shard")[i].as_py()] * len(parts), pa.int64()),
-                        pa.array([short[x:y].tobytes() for _, x, y in parts], pa.binary()), pa.array([capped[x:y].tobytes() for _, x, y in parts], pa.binary()),
-                    ],
-                    ["bucket", "shard", "pairs", "counts"],
-                )
-
-    return run
-
-
 def _answer(min_count: int):
     """Of each message to a bucket one bit a pair: whether all messages together hold it often enough."""
 
@@ -265,55 +285,50 @@ def _answer(min_count: int):
 
 
 def _count(n_buckets: int, max_words: int):
-    """Counts of the words of a shard, its frequent pairs, and the longer phrases made of frequent pairs."""
+    """Counts of the frequent words of a shard, its frequent pairs, and the longer phrases made of frequent pairs."""
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        out = [], [], []
-        for i in range(table.num_rows):
-            shard, hashes, lang, weight = _row(table, i, max_words)
-            names = table.column("names").combine_chunks()[i].values
-            pairs, bucket, _ = _pairs(shard, lang, hashes, n_buckets)
-            bits = dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist()))
-            flags = [np.unpackbits(np.frombuffer(bits[b], np.uint8), count=y - x) for b, x, y in split(bucket, n_buckets)]
-            phrases = pairs[np.concatenate(flags) > 0] if flags else pairs
-            known = np.sort(phrases.words[:, 0] * shard.size + phrases.words[:, 1])
-
-            def frequent(words, count, known=known, size=shard.size):
-                code = words[:, -2] * size + words[:, -1]
-                return known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code
-
-            levels = [shard.single_words()]
-            while True:
-                levels.append(phrases)
-                if levels[-1].words.shape[1] >= max_words or not len(phrases.count):
-                    break
-                phrases = shard.to_right(phrases, frequent)
-            for level in levels:
-                joined = [names.take(pa.array(level.words[:, j] - 1)) for j in range(level.words.shape[1])]
-                out[0].append(pc.binary_join_element_wise(*joined, " "))
-                out[1].append(np.full(len(level.count), level.words.shape[1], np.int32))
-                out[2].append(level.count * weight)
-        text = pa.concat_arrays(out[0]) if out[0] else pa.array([], pa.string())
-        size, count = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out[1:])
-        lang = pa.array([lang] * len(text), pa.string()) if len(text) else pa.array([], pa.string())
-        return pa.table({"lang": lang, "phrase": text, "size": pa.array(size, pa.int32()), "count": pa.array(count, pa.int64())})
+        table = table.sort_by("part")
+        join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+        lang, weight, hashes = table.column("lang")[0].as_py(), table.column("weight")[0].as_py(), join("hashes", "<u8")
+        names = pa.concat_arrays([c.flatten() for c in table.column("names").chunks])
+        shard = Shard(join("seq", "<i4"), len(hashes) + 1, max_words)
+        bits = dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist()))
+        phrases, words = Sent(shard, lang, hashes, n_buckets).answered(bits)
+        known = np.sort(phrases.words[:, 0] * shard.size + phrases.words[:, 1])
+
+        def frequent(words, count):
+            code = words[:, -2] * shard.size + words[:, -1]
+            return known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code
+
+        levels = [words, phrases]
+        while levels[-1].words.shape[1] < max_words and len(phrases.count):
+            phrases = shard.to_right(phrases, frequent)
+            levels.append(phrases)
+        joined = [pc.binary_join_element_wise(*[names.take(pa.array(x.words[:, j] - 1)) for j in range(x.words.shape[1])], " ") for x in levels]
+        text = pa.concat_arrays(joined)
+        size = np.concatenate([np.full(len(x.count), x.words.shape[1], np.int32) for x in levels])
+        count = np.concatenate([x.count for x in levels]) * weight
+        return pa.table({"lang": pa.array([lang] * len(text), pa.string()), "phrase": text, "size": pa.array(size), "count": pa.array(count, pa.int64())})
 
     return run
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, size, count) of all words and of the phrases of 2 to ``max_words`` words that occur ``min_count`` times, and
+    """(lang, phrase, size, count) of all phrases of 1 to ``max_words`` words that occur ``min_count`` times, and
     (lang, n) with the number of words of each language."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    shards = write_shards(docs, max_words, shard_bytes)
-    total = shards.agg(F.sum(F.octet_length("seq")), F.count(F.lit(1))).first()
-    n_buckets = max(8, min(total[1], 64), math.ceil((total[0] or 0) * 6 / 4 / BUCKET_BYTES))
-    sent = shards.select("shard", "lang", "weight", "seq", "hashes").mapInArrow(_send(n_buckets, min_count), "bucket long, shard long, pairs binary, counts binary")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_buckets = max(8, math.ceil(total * SENT_SHARE / BUCKET_BYTES))
+    table = write_shards(docs, max_words, shard_bytes, min_count, n_buckets)
+    sent = table.filter("kind = 'sent'").select("bucket", "shard", "pairs", "counts")
     answers = sent.groupBy("bucket").applyInArrow(_answer(min_count), "shard long, bucket long, bits binary")
+    shards = table.filter("kind = 'text'").select("shard", "lang", "weight", "part", "seq", "hashes", "names")
     found = shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_count(n_buckets, max_words), "lang string, phrase string, size int, count long")
-    counts = found.groupBy("lang", "phrase", "size").agg(F.sum("count").alias("count")).filter((F.col("count") >= min_count) | (F.col("size") == 1))
-    return scratch(spark, counts, "collocation-counts"), shards.groupBy("lang").agg(F.sum(F.col("n_words") * F.col("weight")).alias("n"))
+    counts = found.groupBy("lang", "phrase", "size").agg(F.sum("count").alias("count")).filter(F.col("count") >= min_count)
+    n = table.filter("kind = 'text'").groupBy("lang").agg(F.sum(F.col("n_words") * F.col("weight")).alias("n"))
+    return scratch(spark, counts, "collocation-counts"), n
 
 
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS,

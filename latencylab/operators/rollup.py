@@ -48,6 +48,11 @@ def run_starts(events: DataFrame, metadata: DataFrame | None = None) -> DataFram
         ["event_id", "sent_at_ms", "collected_at_ms"],
         names=["first_event_id", "first_record_sent_at_ms", "first_collected_at_ms"],
     )
+    return aligned(first, metadata)
+
+
+def aligned(first: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """Adds ``eps`` and the run start to the first records of runs."""
     if metadata is not None:
         first = first.join(metadata.select("run_id", "eps"), "run_id", "left")
     else:

@@ -5,10 +5,15 @@ replayed batch overwrites; replace / upsert / purge rewrite only the touched
 ``run_id`` partitions with dynamic partition overwrite. A plan never reads and
 overwrites the same path: the new partitions are first written to a staging
 folder under the shared checkpoint dir, then copied over by a second job.
+
+A micro-batch reads by folder: the paths follow from the runs and blocks it touches, and only those are listed. A
+log's batch folders are merged as they pile up. The merged folder of the batches up to n is ``batch_id=-(n + 1)``; it
+appears by one rename, and from then on the folders it replaces do not count, whether they are deleted yet or not.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import uuid
 from collections.abc import Sequence
@@ -26,6 +31,7 @@ TABLE_NAMES = [
     "processed_run_summaries", "processed_events", "run_metadata",
 ]
 
+MERGED_INTO_ONE = 64  # batch folders that merge into one file
 
 # Schemas of the tables that a micro-batch reads (no footers are read to infer them).
 _LOG = ("run_id string, framework string, scenario string, event_id long, sent_at_ms long, processed_at_ms long, "
@@ -40,7 +46,7 @@ DECLARED = {
                                 "first_collected_at_ms long, last_collected_at_ms long, " + _LATENCY),
     "collect_run_starts": ("run_id string, first_event_id long, first_record_sent_at_ms long, first_collected_at_ms long, "
                            "run_start_ms long"),
-    "collect_ids": "run_id string, id_block long, event_id long, first_batch int",
+    "collect_ids": "run_id string, id_block long, bucket long, before binary, seen binary, upto int",
     "collect_latency": "run_id string, latency_ms double, n long, upto int",
     "collect_runs": ("run_id string, " + _RANGE + "first_collected_at_ms long, last_collected_at_ms long, framework string, "
                      "scenario string, upto int"),
@@ -58,9 +64,7 @@ class Store:
         return f"{self.root}/{table}"
 
     def exists(self, table: str) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path(table))
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        p, fs = self._fs(self.path(table))
         return fs.exists(p)
 
     def read(self, table: str, run_id: str | None = None) -> DataFrame | None:
@@ -83,22 +87,86 @@ class Store:
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy(*parts, "batch_id").parquet(self.path(table)))
 
-    def read_parts(self, table: str, **values: list) -> DataFrame | None:
-        """Rows whose partition columns have one of the given values (others are not listed or read);
-        None if the table does not exist yet."""
-        df = self.read(table)
-        if df is None:
-            return None
+    # -- reads by folder -----------------------------------------------------------
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def children(self, folder: str) -> list[str]:
+        """Names of the partition folders right below one folder (nothing deeper is listed)."""
+        p, fs = self._fs(folder)
+        if not fs.exists(p):
+            return []
+        return sorted(st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory() and "=" in st.getPath().getName())
+
+    def folder(self, table: str, **values) -> str:
+        """Path of a partition, its columns in the order of the folders."""
+        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        return "/".join([self.path(table), *[f"{c}={escape(str(v))}" for c, v in values.items()]])
+
+    def read_folders(self, table: str, folders: Sequence[str], schema: str | None = None) -> DataFrame:
+        """Rows of these folders of a table (those that exist); no other folder is listed."""
+        schema = schema or DECLARED[table]
+        found = []
+        for folder in folders:
+            p, fs = self._fs(folder)
+            if fs.exists(p):
+                found.append(folder)
+        if not found:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", self.path(table)).parquet(*found)
+
+    def run_eps(self, run_ids: Sequence[str]) -> DataFrame:
+        """(run_id, eps) of runs as their metadata is now."""
+        return self.read_folders("run_metadata", [self.folder("run_metadata", run_id=r) for r in run_ids], "run_id string, eps double")
+
+    def read_partitions(self, table: str, columns: Sequence[str], wanted: Sequence[tuple]) -> DataFrame:
+        """Rows whose leading partition columns have one of the given combinations of values."""
+        return self.read_folders(table, [self.folder(table, **dict(zip(columns, values))) for values in wanted])
+
+    def read_parts(self, table: str, **values: list) -> DataFrame:
+        """Rows whose leading partition columns have one of the given values each (other folders are not listed or read)."""
+        df = self.read_partitions(table, list(values), list(itertools.product(*values.values())))
         for column, wanted in values.items():
             df = df.where(F.col(column).isin(*wanted) if wanted else F.lit(False))
         return df
 
+    def live_batches(self, folder: str) -> list[int]:
+        """The batch folders of a log's partition that count: the newest merged one and the batches after it."""
+        ids = sorted(int(name.split("=")[1]) for name in self.children(folder))
+        newest = min([i for i in ids if i < 0], default=None)
+        return ids if newest is None else [newest, *[i for i in ids if i > -newest - 1]]
+
+    def read_log(self, table: str, columns: Sequence[str], wanted: Sequence[tuple]) -> DataFrame:
+        """Live rows of a log's partitions."""
+        parts = [self.folder(table, **dict(zip(columns, values))) for values in wanted]
+        return self.read_folders(table, [f"{p}/batch_id={i}" for p in parts for i in self.live_batches(p)])
+
+    def merge_batches(self, table: str, folder: str, upto: int, least: int = 2) -> bool:
+        """Merges a log partition's live batches up to ``upto`` (batches that cannot be replayed any more) into
+        one folder, if there are at least ``least``."""
+        live = self.live_batches(folder)
+        old = [i for i in live if i <= upto]
+        if len(old) < least:
+            return False
+        staging = f"{self.root}/_staging/{uuid.uuid4().hex}"
+        levels = [part.split("=")[0] for part in folder[len(self.path(table)) + 1:].split("/")]
+        rows = self.read_folders(table, [f"{folder}/batch_id={i}" for i in old]).drop(*levels, "batch_id")
+        rows.coalesce(max(1, len(old) // MERGED_INTO_ONE)).write.parquet(staging)
+        path, fs = self._fs(f"{folder}/batch_id={-(upto + 1)}")
+        fs.delete(path, True)  # an earlier attempt that did not get to be the newest
+        if not fs.rename(self._fs(staging)[0], path):
+            raise OSError(f"cannot move merged batches to {folder}")
+        keep = set(self.live_batches(folder))
+        for name in self.children(folder):
+            if int(name.split("=")[1]) not in keep:
+                fs.delete(self._fs(f"{folder}/{name}")[0], True)
+        return True
+
     def drop_run(self, table: str, run_id: str) -> None:
         """Delete one run's partitions of a table."""
-        jvm = self.spark._jvm
-        escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(run_id)
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/run_id={escaped}")
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        p, fs = self._fs(self.folder(table, run_id=run_id))
+        fs.delete(p, True)
 
     def overwrite_parts(self, table: str, df: DataFrame, parts: Sequence[str]) -> None:
         """Replace the partitions that ``df`` has rows for. The rows are first written to a staging

@@ -2,9 +2,13 @@
 append raw rows, and maintain time-bucket and run-summary rollups.
 
 The raw log is partitioned by run and time block. A batch rebuilds only the time buckets it touched, from
-their blocks, and adds to the runs' state (first record, ids, counts of latency values), from which the
-run summaries follow; so its cost does not grow with the history, and a restart or replay never
-overwrites counts with partial ones, unlike an in-memory collector.
+their blocks, and adds to the runs' state (first record, ids as bitmaps, counts of latency values), from which the
+run summaries follow. A restart or replay never overwrites counts with partial ones, unlike an in-memory collector.
+
+Folders are read by path, so a batch lists those of the blocks it touches and nothing else; the batch folders of a block are
+merged when they pile up and when its time has passed. What still grows with a run is its counted latency
+values, which every batch of the run reads and writes. Run metadata is looked up in each batch: a run whose events per second
+become known later is rebuilt with its back-calculated start by its next batch.
 """
 
 from __future__ import annotations
@@ -16,14 +20,16 @@ from pyspark.sql import functions as F
 
 from latencylab.functions.columns import bucket_floor, lenient_double
 from latencylab.operators.parse import as_text, lenient_long
-from latencylab.operators.rollup import RANKS, bucket_rollup, run_labels, run_starts
+from latencylab.operators.rollup import RANKS, aligned, bucket_rollup, run_labels, run_starts
 from latencylab.operators.runs import keep_run
 from latencylab.operators.scan import arg_extreme, percentiles
 from latencylab.schemas import OUTPUT_RECORD
 from latencylab.sinks.store import Store, write_jsonl
 
 LOG_BLOCK_MS = 60_000
-ID_BLOCK = 100_000
+IDS_PER_BITMAP = 32_768  # fixed by Spark's bitmap functions
+BITMAPS_PER_BLOCK = 64
+MERGE_FOLDERS = 16  # batch folders of an open block that are merged
 BUCKETS_PER_PART = 1000
 SUMMARY_COLUMNS = ["run_id", "framework", "scenario", "messages", "distinct_events", "min_event_id", "max_event_id", "first_sent_at_ms",
                    "first_collected_at_ms", "last_collected_at_ms", "avg_latency_ms", "median_latency_ms", "p95_latency_ms", "max_latency_ms"]
@@ -61,9 +67,9 @@ RUN_KEYS = ["run_id"]
 
 def collect_batch(batch: DataFrame, batch_id: int, store: Store, cfg: CollectConfig,
                   metadata: DataFrame | None = None, collected_at: str | None = None) -> None:
-    """Stores one micro-batch. Its cost follows the batch, not the history: besides appending, it reads the
-    log of the touched time blocks, the ids of the touched id blocks, and the runs' latency counts.
-    A replayed batch leaves the same tables."""
+    """Stores one micro-batch. Besides appending, it reads the log of the touched time blocks, the id bitmaps of the touched
+    id blocks, and the runs' latency counts; ``metadata`` (run_id, eps) is the store's ``run_metadata`` as it is now, unless
+    given. A replayed batch leaves the same tables."""
     rows = keep_run(decode_records(batch, collected_at), cfg.run_id).persist()
     try:
         if rows.isEmpty():
@@ -75,35 +81,52 @@ def collect_batch(batch: DataFrame, batch_id: int, store: Store, cfg: CollectCon
             return
         block = F.floor(F.col("collected_at_ms") / LOG_BLOCK_MS).cast("long")
         log_rows = rows.withColumn("block", block)
-        store.append("processed_events_log", log_rows, batch_id, ["run_id", "block"])
-        starts, moved = _update_starts(rows, batch_id, store, metadata)
+        store.append("processed_events_log", log_rows, batch_id, LOG_PARTS)
+        starts, moved = _update_starts(rows, store, metadata)
         _update_buckets(rows, starts, moved, store, cfg)
         _update_summaries(rows, starts, batch_id, store)
+        _merge_log(log_rows, batch_id, store)
     finally:
         rows.unpersist()
 
 
-def _values(df: DataFrame, column: str) -> list:
-    """The distinct runs or blocks a micro-batch touched: a short list that prunes partitions."""
-    return [r[0] for r in df.select(column).distinct().collect()]
+LOG_PARTS = ["run_id", "block"]
+
+
+def _values(df: DataFrame, *columns: str) -> list[tuple]:
+    """The distinct runs, or runs and blocks, that a micro-batch touched: a short list that names folders."""
+    return [tuple(r) for r in df.where(F.col(columns[-1]).isNotNull()).select(*columns).distinct().collect()]
+
+
+def _merge_log(log_rows: DataFrame, batch_id: int, store: Store) -> None:
+    """Merges the batch folders of touched blocks that have many, and of the blocks before them, which are over.
+    Only batches before this one are merged: this one may be replayed."""
+    for run_id, block in _values(log_rows, *LOG_PARTS):
+        store.merge_batches("processed_events_log", store.folder("processed_events_log", run_id=run_id, block=block), batch_id - 1, MERGE_FOLDERS)
+        store.merge_batches("processed_events_log", store.folder("processed_events_log", run_id=run_id, block=block - 1), batch_id - 1)
 
 
-def _update_starts(rows: DataFrame, batch_id: int, store: Store, metadata: DataFrame | None) -> tuple[DataFrame, list]:
-    """Run starts with this batch, and the runs whose known start has changed (an arrival
-    earlier than the first one seen)."""
-    fresh = run_starts(rows, metadata).drop("eps")
-    old = store.read_parts("collect_run_starts", run_id=_values(rows, "run_id"))
-    if old is None:
-        store.replace_runs("collect_run_starts", fresh)
-        return store.read_parts("collect_run_starts", run_id=_values(rows, "run_id")), []
-    both = fresh.unionByName(old)
+def _whole_log(store: Store, runs: list[tuple]) -> DataFrame:
+    """All blocks of some runs."""
+    parts = [(run, int(b.split("=")[1])) for (run,) in runs
+             for b in store.children(store.folder("processed_events_log", run_id=run)) if b.split("=")[1].lstrip("-").isdigit()]
+    return store.read_log("processed_events_log", LOG_PARTS, parts)
+
+
+def _update_starts(rows: DataFrame, store: Store, metadata: DataFrame | None) -> tuple[DataFrame, list[tuple]]:
+    """Run starts with this batch, and the runs whose known start has changed (an arrival earlier than
+    the first one seen, or events per second that have become known)."""
+    runs = _values(rows, "run_id")
+    eps = store.run_eps([r for (r,) in runs]) if metadata is None else metadata
+    old = store.read_partitions("collect_run_starts", RUN_KEYS, runs)
+    both = run_starts(rows).drop("eps", "run_start_ms").unionByName(old.drop("run_start_ms"))
     first = arg_extreme(both, RUN_KEYS, [F.col("first_collected_at_ms"), F.coalesce("first_event_id", F.lit(2**63 - 1))],
-                        [c for c in both.columns if c not in RUN_KEYS]).select(*both.columns).persist()
-    moved = [r[0] for r in first.join(old.select("run_id", F.col("run_start_ms").alias("was")), "run_id")
-             .where("run_start_ms <> was").select("run_id").collect()]
+                        [c for c in both.columns if c not in RUN_KEYS]).select(*both.columns)
+    first = aligned(first, eps).drop("eps").persist()
+    moved = _values(first.join(old.select("run_id", F.col("run_start_ms").alias("was")), "run_id").where("run_start_ms <> was"), "run_id")
     store.replace_runs("collect_run_starts", first)
     first.unpersist()
-    return store.read_parts("collect_run_starts", run_id=_values(rows, "run_id")), moved
+    return store.read_partitions("collect_run_starts", RUN_KEYS, runs), moved
 
 
 def _update_buckets(rows: DataFrame, starts: DataFrame, moved: list, store: Store, cfg: CollectConfig) -> None:
@@ -113,48 +136,75 @@ def _update_buckets(rows: DataFrame, starts: DataFrame, moved: list, store: Stor
     touched = rows.where(F.col("collected_at_ms").isNotNull()).join(starts.select("run_id", "run_start_ms"), "run_id").select(
         "run_id", offset.alias("bucket_offset_ms"), F.col("run_start_ms").alias("s")).distinct().persist()
     begin = F.col("s") + F.col("bucket_offset_ms")
-    blocks = _values(touched.select(F.explode(F.sequence(
-        F.floor(begin / LOG_BLOCK_MS).cast("long"), F.floor((begin + width - 1) / LOG_BLOCK_MS).cast("long"))).alias("block")), "block")
-    run_ids = _values(touched, "run_id")
-    log = store.read_parts("processed_events_log", run_id=run_ids, block=blocks).select(*RAW_COLUMNS)
+    blocks = _values(touched.select("run_id", F.explode(F.sequence(
+        F.floor(begin / LOG_BLOCK_MS).cast("long"), F.floor((begin + width - 1) / LOG_BLOCK_MS).cast("long"))).alias("block")), *LOG_PARTS)
+    log = store.read_log("processed_events_log", LOG_PARTS, blocks).select(*RAW_COLUMNS)
     fresh = bucket_rollup(log, starts, cfg.bucket_seconds).join(touched.drop("s"), ["run_id", "bucket_offset_ms"], "left_semi")
     part = F.floor(F.col("bucket_offset_ms") / BUCKETS_PER_PART / width).cast("long")
     fresh = fresh.withColumn("part", part)
-    old = store.read_parts("processed_event_buckets", run_id=run_ids, part=_values(touched.select(part.alias("part")), "part"))
-    if old is not None:
-        fresh = old.select(*fresh.columns).join(touched, ["run_id", "bucket_offset_ms"], "left_anti").unionByName(fresh)
+    old = store.read_partitions("processed_event_buckets", ["run_id", "part"], _values(touched.select("run_id", part.alias("part")), "run_id", "part"))
+    fresh = old.select(*fresh.columns).join(touched, ["run_id", "bucket_offset_ms"], "left_anti").unionByName(fresh)
     if moved:
-        whole = store.read_parts("processed_events_log", run_id=moved).select(*RAW_COLUMNS)
-        rebuilt = bucket_rollup(whole, starts, cfg.bucket_seconds).withColumn("part", part)
-        fresh = fresh.where(~F.col("run_id").isin(moved)).unionByName(rebuilt)
-        for run_id in moved:  # their old buckets lie at other offsets
-            store.drop_run("processed_event_buckets", run_id)
+        rebuilt = bucket_rollup(_whole_log(store, moved).select(*RAW_COLUMNS), starts, cfg.bucket_seconds).withColumn("part", part)
+        fresh = fresh.where(~F.col("run_id").isin(*[r for (r,) in moved])).unionByName(rebuilt)
+    fresh = fresh.persist()
+    fresh.count()  # before any folder it reads goes
+    for (run_id,) in moved:  # their old buckets lie at other offsets
+        store.drop_run("processed_event_buckets", run_id)
     store.overwrite_parts("processed_event_buckets", fresh, ["run_id", "part"])
+    fresh.unpersist()
     touched.unpersist()
 
 
+def _update_ids(seen: DataFrame, batch_id: int, store: Store) -> DataFrame:
+    """Adds a batch's ids to the runs' bitmaps; returns (run_id, distinct_events): how many ids of a run are new.
+
+    A state row holds the bitmap of a range of ids and, for a batch that comes again, the bitmap before its last batch."""
+    bucket = F.bitmap_bucket_number("event_id")
+    ids = seen.where(F.col("event_id").isNotNull()).select(
+        "run_id", F.floor(bucket / BITMAPS_PER_BLOCK).cast("long").alias("id_block"), bucket.alias("bucket"), F.bitmap_bit_position("event_id").alias("bit"))
+    keys = ["run_id", "id_block", "bucket"]
+    old = store.read_partitions("collect_ids", keys[:2], _values(ids, "run_id", "id_block"))
+    base = old.select(*keys, F.when(F.col("upto") < batch_id, F.col("seen")).otherwise(F.col("before")).alias("before"))
+    fresh = ids.groupBy(*keys).agg(F.bitmap_construct_agg("bit").alias("seen"))
+    state = base.withColumnRenamed("before", "seen").unionByName(fresh).groupBy(*keys).agg(F.bitmap_or_agg("seen").alias("seen"))
+    empty = F.lit(bytes(IDS_PER_BITMAP // 8))
+    state = state.join(base, keys, "left").select(
+        *keys, F.coalesce("before", empty).alias("before"), "seen", F.lit(int(batch_id)).alias("upto")).persist()
+    new = state.groupBy("run_id").agg(F.sum(F.bitmap_count("seen") - F.bitmap_count("before")).alias("distinct_events")).persist()
+    new.count()
+    store.overwrite_parts("collect_ids", state, ["run_id", "id_block"])
+    state.unpersist()
+    return new
+
+
+def seen_ids(store: Store, run_ids: list[str]) -> DataFrame:
+    """(run_id, event_id) of every id that runs have collected, from their bitmaps; with
+    :func:`latencylab.operators.recovery.missing_ranges` the holes."""
+    state = store.read_partitions("collect_ids", RUN_KEYS, [(r,) for r in run_ids]).select("run_id", "bucket", "seen")
+    byte = state.select("run_id", "bucket", "seen", F.explode(F.sequence(F.lit(0), F.lit(IDS_PER_BITMAP // 8 - 1))).alias("i"))
+    byte = byte.select("run_id", "bucket", "i", F.conv(F.hex(F.substring("seen", F.col("i") + 1, F.lit(1))), 16, 10).cast("int").alias("value")).where("value > 0")
+    bits = byte.select("run_id", "bucket", (F.col("i") * 8).alias("first"), "value", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit"))
+    bits = bits.where(F.expr("(value >> bit) & 1 = 1")).select("run_id", "bucket", (F.col("first") + F.col("bit")).cast("long").alias("bit"))
+    positive = (F.col("bucket") - 1) * IDS_PER_BITMAP + 1 + F.col("bit")
+    return bits.select("run_id", F.when(F.col("bucket") > 0, positive).otherwise(F.col("bucket") * IDS_PER_BITMAP - F.col("bit")).alias("event_id"))
+
+
 def _update_summaries(rows: DataFrame, starts: DataFrame, batch_id: int, store: Store) -> None:
-    """Run summaries from running state: new ids of the touched id blocks, and latency counts per run.
+    """Run summaries from running state: new ids of the touched bitmaps, and latency counts per run.
     Every state row says which batch it includes, so a replayed batch is added once."""
-    run_ids = _values(rows, "run_id")
+    runs = _values(rows, "run_id")
     seen = rows.where(F.col("collected_at_ms").isNotNull())
-    ids = seen.where(F.col("event_id").isNotNull()).select("run_id", F.floor(F.col("event_id") / ID_BLOCK).cast("long").alias("id_block"), "event_id").distinct()
-    known = store.read_parts("collect_ids", run_id=run_ids, id_block=_values(ids, "id_block"))
-    earlier = None if known is None else known.where(F.col("first_batch") < batch_id)
-    new = ids if earlier is None else ids.join(earlier, ["run_id", "id_block", "event_id"], "left_anti")
-    new = new.withColumn("first_batch", F.lit(int(batch_id))).persist()
-    new_counts = new.groupBy("run_id").agg(F.count(F.lit(1)).alias("distinct_events"))
-    store.overwrite_parts("collect_ids", new if earlier is None else earlier.select(*new.columns).unionByName(new), ["run_id", "id_block"])
+    new_counts = _update_ids(seen, batch_id, store)
 
     latency = seen.where(F.col("latency_ms").isNotNull()).groupBy("run_id", "latency_ms").agg(F.count(F.lit(1)).alias("n"))
     latency = latency.withColumn("upto", F.lit(int(batch_id)))
-    old = store.read_parts("collect_latency", run_id=run_ids)
-    if old is not None:
-        done = old.groupBy("run_id").agg(F.max("upto").alias("u")).where(F.col("u") >= batch_id).select("run_id")
-        latency = (
-            old.select(*latency.columns).unionByName(latency.join(done, "run_id", "left_anti"))
-            .groupBy("run_id", "latency_ms").agg(F.sum("n").alias("n"), F.max("upto").alias("upto"))
-        )
+    old = store.read_partitions("collect_latency", RUN_KEYS, runs)
+    done = old.groupBy("run_id").agg(F.max("upto").alias("u")).where(F.col("u") >= batch_id).select("run_id")
+    latency = (
+        old.select(*latency.columns).unionByName(latency.join(done, "run_id", "left_anti"))
+        .groupBy("run_id", "latency_ms").agg(F.sum("n").alias("n"), F.max("upto").alias("upto"))
+    )
     store.replace_runs("collect_latency", latency)
 
     part = seen.groupBy("run_id").agg(
@@ -163,22 +213,20 @@ def _update_summaries(rows: DataFrame, starts: DataFrame, batch_id: int, store:
     ).join(new_counts, "run_id", "left").join(run_labels(seen), "run_id").withColumns({
         "distinct_events": F.coalesce("distinct_events", F.lit(0).cast("long")), "upto": F.lit(int(batch_id)),
     })
-    old = store.read_parts("collect_runs", run_id=run_ids)
-    if old is not None:
-        done = old.where(F.col("upto") >= batch_id).select("run_id")
-        both = old.select(*part.columns).unionByName(part.join(done, "run_id", "left_anti"))
-        sums, least, most = ("messages", "distinct_events"), ("min_event_id", "first_collected_at_ms"), ("max_event_id", "last_collected_at_ms", "framework", "scenario", "upto")
-        part = both.groupBy("run_id").agg(
-            *[F.sum(c).alias(c) for c in sums], *[F.min(c).alias(c) for c in least], *[F.max(c).alias(c) for c in most]
-        )
+    old = store.read_partitions("collect_runs", RUN_KEYS, runs)
+    done = old.where(F.col("upto") >= batch_id).select("run_id")
+    both = old.select(*part.columns).unionByName(part.join(done, "run_id", "left_anti"))
+    sums, least, most = ("messages", "distinct_events"), ("min_event_id", "first_collected_at_ms"), ("max_event_id", "last_collected_at_ms", "framework", "scenario", "upto")
+    part = both.groupBy("run_id").agg(
+        *[F.sum(c).alias(c) for c in sums], *[F.min(c).alias(c) for c in least], *[F.max(c).alias(c) for c in most]
+    )
     store.replace_runs("collect_runs", part)
-    new.unpersist()
+    new_counts.unpersist()
 
-    counts = store.read_parts("collect_latency", run_id=run_ids)
-    state = store.read_parts("collect_runs", run_id=run_ids).join(starts.select("run_id", F.col("run_start_ms").alias("first_sent_at_ms")), "run_id", "left")
-    if counts is not None:
-        mean = counts.groupBy("run_id").agg((F.sum(F.col("latency_ms") * F.col("n")) / F.sum("n")).alias("avg_latency_ms"), F.max("latency_ms").alias("max_latency_ms"))
-        state = state.join(mean, "run_id", "left").join(percentiles(counts, RUN_KEYS, "latency_ms", RANKS, weight="n"), "run_id", "left")
+    counts = store.read_partitions("collect_latency", RUN_KEYS, runs)
+    state = store.read_partitions("collect_runs", RUN_KEYS, runs).join(starts.select("run_id", F.col("run_start_ms").alias("first_sent_at_ms")), "run_id", "left")
+    mean = counts.groupBy("run_id").agg((F.sum(F.col("latency_ms") * F.col("n")) / F.sum("n")).alias("avg_latency_ms"), F.max("latency_ms").alias("max_latency_ms"))
+    state = state.join(mean, "run_id", "left").join(percentiles(counts, RUN_KEYS, "latency_ms", RANKS, weight="n"), "run_id", "left")
     store.replace_runs("processed_run_summaries", state.select(*SUMMARY_COLUMNS))
 
 

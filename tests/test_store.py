@@ -116,3 +116,38 @@ def test_run_exists_one(spark):
     t = tables(spark, SF_SMALL)
     assert run_exists_one(t, "spark_low_01") is True
     assert run_exists_one(t, "spark_low_99") is False
+
+
+def _log(spark, *rows):
+    return spark.createDataFrame([(r, "f", "s", i, None, None, b * 60_000, 1.0, b) for r, b, i in rows],
+                                 "run_id string, framework string, scenario string, event_id long, sent_at_ms long, processed_at_ms long, "
+                                 "collected_at_ms long, latency_ms double, block long")
+
+
+def test_merged_batches_replace_their_folders(spark, tmp_dir):
+    st = Store(spark, f"{tmp_dir}/s")
+    table, parts = "processed_events_log", ["run_id", "block"]
+    for i in range(6):
+        st.append(table, _log(spark, ("a:b", 1, i), ("a:b", 2, i), ("c", 1, i)), i, parts)
+    folder = st.folder(table, run_id="a:b", block=1)
+    ids = lambda: sorted(r.event_id for r in st.read_log(table, parts, [("a:b", 1)]).collect())
+    assert st.merge_batches(table, folder, 3) and st.live_batches(folder) == [-4, 4, 5] and st.children(folder) == ["batch_id=-4", "batch_id=4", "batch_id=5"]
+    assert ids() == list(range(6))
+    assert not st.merge_batches(table, folder, 3)
+    # a crash between the rename and the deletes leaves folders that no longer count
+    st.append(table, _log(spark, ("a:b", 1, 2)), 2, parts)
+    assert st.live_batches(folder) == [-4, 4, 5] and ids() == list(range(6))
+    assert st.merge_batches(table, folder, 5) and st.children(folder) == ["batch_id=-6"] and ids() == list(range(6))
+    # the other partitions are as they were
+    assert st.live_batches(st.folder(table, run_id="a:b", block=2)) == list(range(6))
+    assert st.read_partitions(table, parts, [("c", 1), ("none", 7)]).count() == 6
+
+
+def test_folder_reads_list_only_their_folders(spark, tmp_dir):
+    st = Store(spark, f"{tmp_dir}/s")
+    table, parts = "processed_events_log", ["run_id", "block"]
+    st.append(table, _log(spark, *[("r", b, b) for b in range(40)]), 0, parts)
+    got = st.read_parts(table, run_id=["r"], block=[7])
+    files = got.inputFiles()
+    assert len(files) == 1 and "block=7" in files[0] and [r.event_id for r in got.collect()] == [7]
+    assert st.read_parts(table, run_id=["r"], block=[]).count() == 0 and st.read_parts(table, run_id=["x"]).count() == 0
