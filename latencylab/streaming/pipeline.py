@@ -4,11 +4,12 @@
 parses them, applies the fraud rules, adds the running account and window metrics, and writes
 key/value output.
 
-Running state is in Spark's own state store: every event is sent to its account's and its
-window's key, one stateful operator folds each key's rows chunk by chunk, and within the micro-batch the
-two rows of an event are joined again. ``grain="batch"`` gives all rows of a micro-batch the totals
-after it (each key's totals are one more row, joined to its events), ``grain="event"`` the running
-value at each event in arrival order. State and offsets are in the query's checkpoint; files of a batch
+Running state is in Spark's own state store. ``grain="batch"`` gives all rows of a micro-batch the totals
+after it: a streaming aggregate keeps them per account and per window (combined per task before the shuffle, no Python
+worker), its rows of the keys that a batch touched arrive together with the batch's events, and are joined to them there.
+``grain="event"`` gives the running value at each event in arrival order: every event is sent to its account's and
+its window's key, one stateful operator folds each key's rows chunk by chunk, and within the micro-batch the
+two rows of an event are joined again. State and offsets are in the query's checkpoint; files of a batch
 replace those of a replayed one, so file output neither loses nor repeats records (a Kafka sink
 may receive a replayed batch again).
 """
@@ -74,61 +75,62 @@ def enriched(values: DataFrame, cfg: PipelineConfig, processed_at: str | None =
     return metric_keys(ev, empty_is_unknown=cfg.per_record)
 
 
-def _fold(grain: str):
-    """Folds one key's rows into its state, a chunk at a time."""
-
-    def fold(key, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, total, fraud, top = state.get if state.exists else (0, 0.0, 0, 0.0)
-        for pdf in chunks:
-            if pdf.empty:
-                continue
-            amount = pdf["amount"].astype("float64")
-            counts = n + pd.Series(range(1, len(pdf) + 1), index=pdf.index, dtype="int64")
-            totals = total + amount.cumsum()
-            frauds = fraud + pdf["fraud"].astype("int64").cumsum()
-            tops = amount.cummax().clip(lower=top)
-            n, total, fraud, top = int(counts.iloc[-1]), float(totals.iloc[-1]), int(frauds.iloc[-1]), float(tops.iloc[-1])
-            running = (counts, totals, frauds, tops) if grain == "event" else (0, 0.0, 0, 0.0)
-            yield pd.DataFrame({"family": key[0], "state_key": key[1], "uid": pdf["uid"], "record": pdf["record"], **dict(zip(TOTALS, running))})
-        state.update((n, total, fraud, top))
-        if grain == "batch":
-            yield pd.DataFrame({"family": [key[0]], "state_key": [key[1]], "uid": [None], "record": [None], **{c: [v] for c, v in zip(TOTALS, (n, total, fraud, top))}})
-
-    return fold
+def _fold(key, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """Folds one key's rows into its state, a chunk at a time; every row gets the values after it."""
+    n, total, fraud, top = state.get if state.exists else (0, 0.0, 0, 0.0)
+    for pdf in chunks:
+        if pdf.empty:
+            continue
+        amount = pdf["amount"].astype("float64")
+        counts = n + pd.Series(range(1, len(pdf) + 1), index=pdf.index, dtype="int64")
+        totals = total + amount.cumsum()
+        frauds = fraud + pdf["fraud"].astype("int64").cumsum()
+        tops = amount.cummax().clip(lower=top)
+        n, total, fraud, top = int(counts.iloc[-1]), float(totals.iloc[-1]), int(frauds.iloc[-1]), float(tops.iloc[-1])
+        yield pd.DataFrame({"family": key[0], "state_key": key[1], "uid": pdf["uid"], "record": pdf["record"], **dict(zip(TOTALS, (counts, totals, frauds, tops)))})
+    state.update((n, total, fraud, top))
+
+
+def _keyed(events: DataFrame) -> DataFrame:
+    """(record, amount, fraud, account, window): an event as JSON and the keys of its two families as JSON."""
+    return events.select(
+        F.to_json(F.struct(*events.columns)).alias("record"), F.coalesce("TransactionAmount", F.lit(0.0)).cast("double").alias("amount"),
+        F.when(F.col("is_fraud"), 1).otherwise(0).cast("long").alias("fraud"),
+        *[F.to_json(F.struct(*keys)).alias(family) for family, keys in FAMILIES.items()],
+    )
 
 
 def stateful_rows(events: DataFrame, grain: str) -> DataFrame:
-    """Rows of the stateful operator: two per event (the account's carries the event itself), and in
-    batch grain one per touched key with its totals (``uid`` null)."""
+    """Event grain: two rows of the stateful operator per event (the account's carries the event itself). Batch grain: one row per
+    event, and one per key that the batch touched with the key's totals after the batch."""
     if grain not in ("batch", "event"):
         raise ValueError("grain must be 'batch' or 'event'")
-    record = F.to_json(F.struct(*events.columns))
-    keyed = events.select(
-        F.uuid().alias("uid"), record.alias("record"), F.coalesce("TransactionAmount", F.lit(0.0)).alias("amount"),
-        F.when(F.col("is_fraud"), 1).otherwise(0).cast("long").alias("fraud"),
-        *[F.to_json(F.struct(*keys)).alias(family) for family, keys in FAMILIES.items()],
-    )
+    keyed = _keyed(events)
+    if grain == "batch":
+        keys = F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.col(f).alias("state_key")) for f in FAMILIES])).alias("k")
+        totals = keyed.select("amount", "fraud", keys).groupBy("k.family", "k.state_key").agg(
+            F.count(F.lit(1)).alias("transaction_count"), F.sum("amount").alias("total_amount"), F.sum("fraud").alias("fraud_count"),
+            F.greatest(F.lit(0.0), F.max("amount")).alias("max_amount"),
+        )
+        return keyed.select("record", *FAMILIES).unionByName(totals, allowMissingColumns=True)
     keys = F.array(*[
         F.struct(F.lit(f).alias("family"), F.col(f).alias("state_key"), (F.col("record") if f == "account" else F.lit(None)).alias("record"))
         for f in FAMILIES
     ])
-    rows = keyed.select("uid", "amount", "fraud", F.explode(keys).alias("k")).select("k.family", "k.state_key", "k.record", "uid", "amount", "fraud")
-    return rows.groupBy("family", "state_key").applyInPandasWithState(_fold(grain), FOLDED, STATE, "update", GroupStateTimeout.NoTimeout)
-
-
-def _family(rows: DataFrame, family: str, grain: str) -> DataFrame:
-    """(uid, record, prefixed totals) of one family's events."""
-    mine = rows.where(F.col("family") == family)
-    named = [F.col(c).alias(f"{family}_{c}") for c in TOTALS]
-    if grain == "event":
-        return mine.select("uid", "record", *named)
-    totals = mine.where("uid is null").select("state_key", *named)
-    return mine.where("uid is not null").select("uid", "record", "state_key").join(totals, "state_key").drop("state_key")
+    rows = keyed.withColumn("uid", F.uuid()).select("uid", "amount", "fraud", F.explode(keys).alias("k")).select("k.family", "k.state_key", "k.record", "uid", "amount", "fraud")
+    return rows.groupBy("family", "state_key").applyInPandasWithState(_fold, FOLDED, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def recombine(rows: DataFrame, grain: str, record_schema) -> DataFrame:
-    """One row per event with both families' metrics, from the stateful operator's rows."""
-    both = _family(rows, "account", grain).join(_family(rows, "window", grain).drop("record"), "uid")
+    """One row per event with both families' metrics, from the stateful rows of a micro-batch."""
+    if grain == "batch":
+        both = rows.where("record is not null").select("record", *FAMILIES)
+        for f in FAMILIES:
+            totals = rows.where(F.col("family") == f).select(F.col("state_key").alias(f), *[F.col(c).alias(f"{f}_{c}") for c in TOTALS])
+            both = both.join(totals, f)
+    else:
+        named = {f: rows.where(F.col("family") == f).select("uid", "record", *[F.col(c).alias(f"{f}_{c}") for c in TOTALS]) for f in FAMILIES}
+        both = named["account"].join(named["window"].drop("record"), "uid")
     out = both.withColumn("r", F.from_json("record", record_schema)).select("r.*", *[f"{f}_{c}" for f in FAMILIES for c in TOTALS])
     return out.withColumns({f"{f}_avg_amount": F.col(f"{f}_total_amount") / F.col(f"{f}_transaction_count") for f in FAMILIES})
 
@@ -137,8 +139,6 @@ def write_batch(rows: DataFrame, batch_id: int, cfg: PipelineConfig, record_sche
     """Output of one micro-batch; a replayed batch replaces its files."""
     rows = rows.persist()
     try:
-        if rows.isEmpty():
-            return
         result = to_output(recombine(rows, cfg.grain, record_schema), cfg.framework, cfg.schema)
         if cfg.output_format == "kafka":
             result.write.format("kafka").options(**(cfg.kafka_options or {})).save()
