@@ -175,7 +175,10 @@ def test_collect_reads_only_the_touched_blocks(spark, tmp_dir):
     rec = _records(spark)
     store = Store(spark, f"{tmp_dir}/store")
     collect_batch(rec, 0, store, CollectConfig(), collected_at="collected_at_ms")
-    part = store.read_parts("processed_events_log", run_id=["spark_low_01"], block=[1])
+    run, block = store.read("processed_events_log").select("run_id", "block").first()
+    part = store.read_parts("processed_events_log", run_id=[run], block=[block])
+    files = part.inputFiles()
+    assert files and all(f"run_id={run}/block={block}/" in f for f in files)
     plan = part._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "block" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
@@ -274,3 +277,64 @@ def test_optional_dedupe_within_watermark(spark, tmp_dir):
     q.processAllAvailable()
     q.stop()
     assert spark.table("dedup").count() == 2
+
+
+def _one_run(spark, *batches):
+    """Batches of output records of one run: ids, sent a second apart, arriving 100 ms later."""
+    rec = 'to_json(named_struct("run_id", "spark_low_01", "framework", "spark", "scenario", "low", "event_id", id, "sent_at_ms", id * 1000, "latency_ms", 100.0)) as value'
+    return [spark.createDataFrame([(i,) for i in ids], "id long").selectExpr(rec, "id * 1000 + 100 as collected_at_ms") for ids in batches]
+
+
+def test_events_per_second_that_become_known_later_move_the_run(spark, tmp_dir):
+    from latencylab.sinks.store import Store
+    from latencylab.streaming.collect import CollectConfig, collect_batch, decode_records
+
+    store = Store(spark, f"{tmp_dir}/store")
+    batches = _one_run(spark, range(11, 30), range(30, 45))
+    collect_batch(batches[0], 0, store, CollectConfig(), collected_at="collected_at_ms")
+    assert store.read("collect_run_starts").first().run_start_ms == 11_000
+    meta = spark.createDataFrame([("spark_low_01", 2.0, 5)], "run_id string, eps double, ver long")
+    store.upsert("run_metadata", meta, ["run_id"], "ver")
+    collect_batch(batches[1], 1, store, CollectConfig(), collected_at="collected_at_ms")
+    assert store.read("collect_run_starts").first().run_start_ms == 11_000 - 5_000  # (11 - 1) / 2 s before
+    rows = decode_records(batches[0].unionByName(batches[1]), "collected_at_ms")
+    ref = rollup.bucket_rollup(rows, rollup.run_starts(rows, meta))
+    _same(store.read("processed_event_buckets").select(*ref.columns), ref, ref.columns)
+
+
+def test_collected_ids_are_bitmaps_with_the_same_counts_and_holes(spark, tmp_dir):
+    from latencylab.operators.recovery import missing_ranges
+    from latencylab.sinks.store import Store
+    from latencylab.streaming.collect import CollectConfig, collect_batch, decode_records, seen_ids
+
+    store = Store(spark, f"{tmp_dir}/store")
+    ids = [-40_000, -1, 0, *range(1, 40), *range(32_760, 32_780), 3_000_000]
+    batches = _one_run(spark, ids[::2], [*ids[1::2], 5, 6], [7, 3_000_001])
+    for i in (0, 1, 1, 2, 2):
+        collect_batch(batches[i], i, store, CollectConfig(), collected_at="collected_at_ms")
+    want = sorted({*ids, 3_000_001})
+    assert sorted(r.event_id for r in seen_ids(store, ["spark_low_01"]).collect()) == want
+    summary = store.read("processed_run_summaries").first()
+    assert (summary.distinct_events, summary.messages) == (len(want), len(ids) + 4)
+    rows = decode_records(batches[0].unionByName(batches[1]).unionByName(batches[2]), "collected_at_ms")
+    holes = lambda df: sorted(tuple(r) for r in missing_ranges(df).collect())
+    assert holes(seen_ids(store, ["spark_low_01"])) == holes(rows)
+
+
+def test_files_listed_per_batch_stay_few(spark, tmp_dir, monkeypatch):
+    """After many batches a block that is over is one folder, and the open one at most as many as are merged at once."""
+    from latencylab.sinks.store import Store
+    from latencylab.streaming import collect
+
+    monkeypatch.setattr(collect, "MERGE_FOLDERS", 3)
+    store = Store(spark, f"{tmp_dir}/store")
+    listed = []
+    for i, batch in enumerate(_one_run(spark, *[range(1 + 12 * k, 13 + 12 * k) for k in range(9)])):
+        collect.collect_batch(batch, i, store, collect.CollectConfig(), collected_at="collected_at_ms")
+        run = store.folder("processed_events_log", run_id="spark_low_01")
+        listed.append({b: len(store.children(f"{run}/{b}")) for b in store.children(run)})
+    newest = max(int(b.split("=")[1]) for b in listed[-1])
+    assert all(n <= collect.MERGE_FOLDERS + 1 for seen in listed for n in seen.values())
+    assert all(n <= 2 for b, n in listed[-1].items() if int(b.split("=")[1]) < newest)
+    assert len(listed[-1]) == 2 and any(n < 3 for n in listed[-1].values())
+    assert store.read("processed_run_summaries").first().messages == 108
