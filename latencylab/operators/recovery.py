@@ -192,3 +192,31 @@ def fault_latency_sections(events: DataFrame, intervals: DataFrame, window_secon
         exploded, keys, "latency_ms", {"median_latency_ms": ("cont", 0.5), "p95_latency_ms": ("disc", 0.95)},
         {"n": "count", "avg_latency_ms": "avg", "max_latency_ms": "max"},
     ).select(*keys, "n", "avg_latency_ms", "max_latency_ms", "median_latency_ms", "p95_latency_ms")
+
+
+def fault_attempt_sections(events: DataFrame, attempts: DataFrame, window_seconds: float = 15.0, warmup_seconds: float = 0.0,
+                           bin_seconds: float = 60.0) -> DataFrame:
+    """Latency n / mean / true median / nearest-rank p95 / max around every fault attempt: within the window before its start,
+    during it (an attempt that never ended is its start alone), and within the window after its end.
+
+    A record may lie in sections of several attempts. Attempts are spread over the time bins that they and their windows
+    touch, records have one bin, and the two meet by an equi-join on (run, bin): no range join, and a run with many attempts or
+    records is many keys. Sections without a record have no row; an attempt without a start time takes no part."""
+    w, width = int(window_seconds * 1000), int(bin_seconds * 1000)
+    bin_of = lambda c: F.floor(c / F.lit(width)).cast("long")
+    spans = attempts.where(F.col("fault_start_ms").isNotNull()).select(
+        "run_id", "attempt", F.col("fault_start_ms").alias("s"), F.coalesce("fault_end_ms", "fault_start_ms").alias("e"))
+    spans = spans.select("*", F.explode(F.sequence(bin_of(F.col("s") - w), bin_of(F.col("e") + w))).alias("bin"))
+    rows = timed_records(events, warmup_seconds).where(F.col("latency_ms").isNotNull()).select("run_id", "ts", "latency_ms", bin_of(F.col("ts")).alias("bin"))
+    ts, s, e = F.col("ts"), F.col("s"), F.col("e")
+    section = (
+        F.when((s - w <= ts) & (ts < s), F.lit("pre_window"))
+        .when((s <= ts) & (ts <= e), F.lit("fault_interval"))
+        .when((e < ts) & (ts <= e + w), F.lit("post_window"))
+    )
+    met = rows.join(spans, ["run_id", "bin"]).select("run_id", "attempt", section.alias("section"), "latency_ms").where(F.col("section").isNotNull())
+    keys = ["run_id", "attempt", "section"]
+    return value_statistics(
+        met, keys, "latency_ms", {"median_latency_ms": ("cont", 0.5), "p95_latency_ms": ("disc", 0.95)},
+        {"n": "count", "avg_latency_ms": "avg", "max_latency_ms": "max"},
+    ).select(*keys, "n", "avg_latency_ms", "max_latency_ms", "median_latency_ms", "p95_latency_ms")

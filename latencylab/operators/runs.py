@@ -11,6 +11,7 @@ AQE broadcasts them when their measured size is small.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -198,6 +199,25 @@ def selected_runs(t, filt: RunFilter | None = None) -> DataFrame:
     return apply_filter(resolve_dimensions(event_runs(t), t.run_metadata, t.fault_events), filt)
 
 
+class SelectedTables:
+    """The stored tables restricted to some runs, for any operator that takes the tables.
+
+    ``runs`` is a table of run ids (of any length): every table is semi-joined with it before anything else, so that Spark's
+    broadcast or runtime filter prunes the scans; or a short sequence of ids, which becomes a literal IN that reaches the scans."""
+
+    def __init__(self, t, runs: DataFrame | Sequence[str]):
+        self._tables = t
+        self._runs = runs.select("run_id").distinct() if isinstance(runs, DataFrame) else tuple(runs)
+
+    def __getattr__(self, name: str):
+        value = getattr(self._tables, name)
+        if not isinstance(value, DataFrame) or "run_id" not in value.columns:
+            return value
+        if isinstance(self._runs, DataFrame):
+            return value.join(self._runs, "run_id", "left_semi")
+        return value.where(F.col("run_id").isin(*self._runs))
+
+
 RUN_LIST_COLUMNS = [
     "run_id", "framework", "scenario", "iteration", "mode", "fault_service", "fault_action", "fault_count",
     "eps", "duration_seconds", "max_events", "messages", "min_event_id", "max_event_id", "first_sent_at_ms",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from latencylab.functions.columns import parse_run_id
 from latencylab.functions.stats import with_ci95
+from latencylab.operators.runs import SelectedTables
 from latencylab.operators.scan import value_statistics
 
 LATENCY_COLUMNS = [
@@ -140,7 +141,7 @@ def compare_runs(summary: DataFrame, pairs: DataFrame, metrics=None) -> DataFram
 
 def compare_two_runs(t, left_run_id: str, right_run_id: str, warmup_seconds: float = 0.0) -> DataFrame:
     """The comparison of two given runs: one row, or none if either is unknown."""
-    s = run_summary(t, warmup_seconds).where(F.col("run_id").isin(left_run_id, right_run_id))
+    s = run_summary(SelectedTables(t, (left_run_id, right_run_id)), warmup_seconds)
     pair = t.spark.createDataFrame([(left_run_id, right_run_id)], "left_run_id string, right_run_id string")
     return compare_runs(s, pair)
 

@@ -356,6 +356,12 @@ def q_aggregate_selected(spark, sf):
     return series.aggregate_runs(tables(spark, sf), SELECTED, 0.0)
 
 
+def q_aggregate_run_table(spark, sf):
+    """The aggregate over the runs of a table of ids: those that have a fault log."""
+    t = tables(spark, sf)
+    return series.aggregate_runs(runs.SelectedTables(t, t.fault_events.select("run_id")), None, 0.0, group_by=GROUP_DIMS)
+
+
 def q_aggregate_latency_series(spark, sf):
     return series.aggregate_latency_series(tables(spark, sf), None, SERIES_BUCKET_SECONDS, 0.0, group_by=GROUP_DIMS)
 
@@ -400,6 +406,11 @@ def q_fault_latency_sections(spark, sf):
     return recovery.fault_latency_sections(_all_events(t), recovery.fault_intervals(t.fault_events), 15.0, 0.0)
 
 
+def q_fault_attempt_sections(spark, sf):
+    t = tables(spark, sf)
+    return recovery.fault_attempt_sections(_all_events(t), recovery.fault_attempts(t.fault_events), 15.0, 0.0)
+
+
 # -- resources and live metrics ------------------------------------------------------
 
 def q_metric_align(spark, sf):

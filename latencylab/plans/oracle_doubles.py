@@ -20,6 +20,15 @@ DOUBLE_COLUMNS: dict[str, list[str]] = {'account_batch_cumulative': ['account_to
                                'max_cpu_usage_cores',
                                'avg_cpu_usage_percent',
                                'max_cpu_usage_percent'],
+ 'aggregate_run_table': ['avg_of_run_avg_latency_ms',
+                    'avg_of_run_median_latency_ms',
+                    'avg_of_run_p95_latency_ms',
+                    'avg_of_run_stddev_latency_ms',
+                    'stddev_of_run_avg_latency_ms',
+                    'max_latency_ms',
+                    'avg_of_run_avg_latency_ci95_margin_ms',
+                    'avg_of_run_avg_latency_ci95_low_ms',
+                    'avg_of_run_avg_latency_ci95_high_ms'],
  'aggregate_runs': ['avg_of_run_avg_latency_ms',
                     'avg_of_run_median_latency_ms',
                     'avg_of_run_p95_latency_ms',
@@ -144,6 +153,7 @@ DOUBLE_COLUMNS: dict[str, list[str]] = {'account_batch_cumulative': ['account_to
                             'account_avg_amount',
                             'account_max_amount'],
  'event_envelope': ['TransactionAmount', 'AccountBalance'],
+ 'fault_attempt_sections': ['avg_latency_ms', 'max_latency_ms', 'median_latency_ms', 'p95_latency_ms'],
  'fault_latency_sections': ['avg_latency_ms', 'max_latency_ms', 'median_latency_ms', 'p95_latency_ms'],
  'fault_timeline': ['elapsed_seconds'],
  'gap_stats': ['typical_gap_ms'],
