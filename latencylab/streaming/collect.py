@@ -25,6 +25,7 @@ from latencylab.operators.runs import keep_run
 from latencylab.operators.scan import arg_extreme, percentiles
 from latencylab.schemas import OUTPUT_RECORD
 from latencylab.sinks.store import Store, write_jsonl
+from latencylab.streaming.live import await_idle, observe_latencies
 
 LOG_BLOCK_MS = 60_000
 IDS_PER_BITMAP = 32_768  # fixed by Spark's bitmap functions
@@ -43,6 +44,7 @@ class CollectConfig:
     run_id: str | None = None
     mode: str = "bucket"  # "bucket": rollups (plus the raw log); "raw": raw rows only
     bucket_seconds: float = 5.0
+    live_metrics: bool = False  # observe the message counter and latency histogram (see ``live.ProgressTotals``)
     jsonl_path: str | None = None  # also write each batch as JSON lines, a folder per run
 
 
@@ -63,6 +65,7 @@ def decode_records(df: DataFrame, collected_at: str | None = None) -> DataFrame:
 
 
 RUN_KEYS = ["run_id"]
+__all__ = ["CollectConfig", "await_idle", "collect_batch", "decode_records", "seen_ids", "start_collect"]
 
 
 def collect_batch(batch: DataFrame, batch_id: int, store: Store, cfg: CollectConfig,
@@ -235,35 +238,11 @@ def start_collect(stream: DataFrame, store: Store, cfg: CollectConfig, checkpoin
     """Second streaming query: output records -> stored rows and rollups.
     Bounded collection: ``trigger={'availableNow': True}`` with a per-trigger cap
     on the source (``maxFilesPerTrigger`` / ``maxOffsetsPerTrigger``)."""
+    if cfg.live_metrics:
+        latency = lenient_double(F.get_json_object(F.col("value").cast("string"), "$.latency_ms"))
+        observed = observe_latencies(stream.withColumn("latency_ms", latency))
+        stream = observed.select(*stream.columns)
     w = stream.writeStream.foreachBatch(
         lambda df, bid: collect_batch(df, bid, store, cfg, metadata, collected_at)
     ).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"processingTime": "1 second"})).start()
-
-
-def await_idle(query, idle_seconds: float = 30.0, max_messages: int | None = None, poll_seconds: float = 1.0) -> int:
-    """Bounded collection: stop the query after ``idle_seconds`` without input rows,
-    or once ``max_messages`` rows were read. Adds up all recent progress reports by batch, so
-    batches that end between two polls count. Returns the number of rows read."""
-    import time
-
-    rows, idle_since = {}, time.time()
-
-    def poll() -> int:
-        before = sum(rows.values())
-        for p in query.recentProgress:
-            if int(p["numInputRows"]) > 0:
-                rows[p["batchId"]] = int(p["numInputRows"])
-        return sum(rows.values()) - before
-
-    while query.isActive:
-        if poll() > 0:
-            idle_since = time.time()
-        if max_messages is not None and sum(rows.values()) >= max_messages:
-            break
-        if time.time() - idle_since >= idle_seconds:
-            break
-        time.sleep(poll_seconds)
-    poll()
-    query.stop()
-    return sum(rows.values())

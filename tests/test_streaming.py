@@ -338,3 +338,50 @@ def test_files_listed_per_batch_stay_few(spark, tmp_dir, monkeypatch):
     assert all(n <= 2 for b, n in listed[-1].items() if int(b.split("=")[1]) < newest)
     assert len(listed[-1]) == 2 and any(n < 3 for n in listed[-1].values())
     assert store.read("processed_run_summaries").first().messages == 108
+
+
+def test_bounded_run_counts_more_batches_than_spark_keeps(spark, tmp_dir):
+    from latencylab.streaming.live import ProgressTotals, await_idle
+
+    src = f"{tmp_dir}/in"
+    os.makedirs(src)
+    for k in range(14):
+        with open(f"{src}/f{k}.txt", "w") as f:
+            f.write("x\n" * (k + 1))
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    totals = ProgressTotals()
+    spark.streams.addListener(totals)
+    try:
+        q = (read_events_stream(spark, "files", src, {"maxFilesPerTrigger": "1"}).writeStream.format("noop")
+             .option("checkpointLocation", f"{tmp_dir}/ck").start())
+        assert await_idle(q, idle_seconds=5, poll_seconds=1.0, totals=totals) == sum(range(1, 15))
+        assert len(totals.rows) >= 14 and not q.isActive
+    finally:
+        spark.streams.removeListener(totals)
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+
+
+def test_observed_histogram_equals_the_batch_one(spark, tmp_dir):
+    from latencylab.operators.metrics import latency_histogram
+    from latencylab.sinks.store import Store
+    from latencylab.streaming.collect import CollectConfig, decode_records, start_collect
+    from latencylab.streaming.live import LIVE, ProgressTotals
+
+    rec = _records(spark)
+    rec.select("value").repartition(2).write.text(f"{tmp_dir}/in")
+    totals = ProgressTotals(LIVE)
+    spark.streams.addListener(totals)
+    try:
+        stream = read_events_stream(spark, "files", f"{tmp_dir}/in", {"maxFilesPerTrigger": "1"})
+        q = start_collect(stream, Store(spark, f"{tmp_dir}/store"), CollectConfig(mode="raw", live_metrics=True), f"{tmp_dir}/ck", {"availableNow": True})
+        totals.follow(q)
+        q.awaitTermination()
+        deadline = time.time() + 20
+        while len(totals.observed) < 2 and time.time() < deadline:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(totals)
+    got = totals.histogram()
+    rows = decode_records(rec, "collected_at_ms")
+    want = {r.le: r.n for r in latency_histogram(rows).groupBy("le").agg(F.sum("cumulative_count").alias("n")).collect()}
+    assert got["le"] == want and got["messages"] == rows.where("latency_ms is not null").count() > 0
