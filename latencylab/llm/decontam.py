@@ -124,11 +124,22 @@ def contained_items(
     return out if out is not None else spark.createDataFrame([], PAIRS)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that contain no item (all columns). Rows with a null doc_id are judged
-    together: one that contains an item removes them all."""
-    bad = contained_items(docs, items, threshold).select("doc_id").distinct()
-    return docs.alias("d").join(bad.alias("b"), F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, max_shingles: int = MAX_SHINGLES) -> DataFrame:
+    """The documents that contain no item (all columns, whatever their names). Every row is judged by its own text in the task that
+    reads it: no shuffle, and a row without an id or with another row's id stays if it is clean."""
+    spark, names, kept = docs.sparkSession, docs.columns, docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = f"c{names.index('text')}"
+    for ids, sets in _slices(items, max_shingles, k):
+        index = spark.sparkContext.broadcast(ItemIndex(ids, sets, threshold))
+
+        def clean(batches, index=index):
+            ix = index.value
+            for batch in batches:
+                keep = [not len(s) or not ix.search(s) for s in tx.text_shingle_sets(batch.column(text), k)]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        kept = kept.mapInArrow(clean, kept.schema)
+    return kept.toDF(*names)
 
 
 ORACLE = """

@@ -243,3 +243,63 @@ def test_cut_texts_add_up():
             for i in range(len(w) - m + 1):
                 want[" ".join(w[i : i + m])] += 1
     assert +total == want
+
+
+# -- HTML extraction: names are evidence, broken pages are read in linear time ---------------
+
+
+def test_html_names_are_evidence_not_verdicts():
+    from latencylab.llm.html_extract import main_text
+
+    body = "<p>" + "Some long running text of the article. " * 5 + "</p>"
+    text = ("Some long running text of the article. " * 5).strip()
+    kept = {
+        "<article><header class='entry-header'><h1>Title</h1></header>%s</article>": "Title\n",
+        "<div class='post'><div class='post-header'><h1>Title</h1></div>%s</div>": "Title\n",
+        "<div id='content'><h2 class='social-history'>Title</h2>%s</div>": "Title\n",
+        "<div id='content'><div class='side-effects'><p>Nausea</p></div>%s</div>": "Nausea\n",
+        "<div id='content'><div class='reply-to-critics'>Well</div><p class='form'>A form</p>%s</div>": "Well\nA form\n",
+        "<div class='search-results'><article><h1>Title</h1>%s</article></div>": "Title\n",
+        "<article><p>Let <math><mi>x</mi></math> be.</p>%s</article>": "Let x be.\n",
+    }
+    for page, first in kept.items():
+        assert main_text(page % body) == first + text, page
+    beside = "<div id='content'>" + body * 3 + "</div><article class='card'>teaser</article>"
+    assert text in main_text(beside)
+    gone = ["<div class='site-header'>x</div>", "<div class='cookie-notice'>x</div>", "<ul class='mainMenu'><li>x</ul>", "<div id='comments'><article class='comment'>x</article></div>",
+            "<div class='ad-slot-2'>x</div>", "<div class='related-posts'><article>x</article></div>", "<section class='newsletter-signup'>x</section>", "<div class='sidebar'>x</div>"]
+    for junk in gone:
+        assert main_text(f"<div id='content'>{body}</div>{junk}") == text, junk
+
+
+def test_html_of_thousands_of_open_elements_is_linear():
+    import time
+    import tracemalloc
+
+    from latencylab.llm.html_extract import main_text, parse
+
+    n = 50_000
+    pages = ["<div class='a'>" * n + "x", "<b>" * n + "</i>" * n + "x", "<b>" * n + "<hr>" * n + "x", "<u>" * n + "</b>" * n, "<blockquote><p>y" * (n // 10), "<p><b>" * n,
+             "<b><article>" + "<u>" * n + "</b>" * n, "<li>" * n + "</ul>" * n, "<table>" + "<tr><td>z" * n]
+    for page in pages:
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 12, page[:40]  # 2 to 3 s alone; quadratic work would take minutes
+    tracemalloc.start()
+    parse(pages[0][: 15 * 10_000])
+    assert tracemalloc.get_traced_memory()[1] < 40e6
+    tracemalloc.stop()
+
+
+def test_decontamination_judges_each_row_by_its_text(spark, docs):
+    from latencylab.llm import decontam
+
+    item = "one two three four five six seven"
+    made = [(None, f"so {item} it was"), (None, "a clean text of some words here"), (7, "clean as well, this one is"), (7, f"{item} again"), (8, None), (9, "")]
+    items = spark.createDataFrame([(1, item), (2, "eight nine ten eleven twelve thirteen")], "item_id long, text string")
+    table = docs(*made, extra=["1 as item_id", "'x' as `a.b`"])
+    for limit in (decontam.MAX_SHINGLES, 2):
+        got = decontam.decontaminate(table, items, max_shingles=limit)
+        assert got.columns == table.columns
+        assert sorted((r["doc_id"] or -1, r["text"] or "") for r in got.collect()) == sorted((d or -1, t or "") for d, t in (made[1], made[2], made[4], made[5]))
+    assert decontam.decontaminate(table, items.limit(0)).count() == len(made)
