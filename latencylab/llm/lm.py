@@ -18,6 +18,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +26,11 @@ from latencylab.llm import text as tx
 from latencylab.llm.blocks import block_rows, buckets_of, scratch, split, with_blocks
 
 MODULUS = 5
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BITS_PER_ENTRY = 10
 PROBES = 5
 BASE = 1.5
-FILTER_BYTES = 64 << 20
+FILTER_BYTES = 48 << 20
 HEAVY = 1 / 1000
 STEP = 1 << 17  # pairs or tokens worked on at a time, so that temporary arrays stay small
 SAMPLE_DOCS = 2000
@@ -149,9 +150,9 @@ def _short(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
 
 
-def _long(blob: bytes) -> np.ndarray:
+def _long(blob: np.ndarray) -> np.ndarray:
     raw = np.zeros((len(blob) // 5, 8), np.uint8)
-    raw[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    raw[:, :5] = blob.reshape(-1, 5)
     return raw.view("<u8").ravel()
 
 
@@ -208,31 +209,32 @@ def _own(heavy: np.ndarray):
     """Counts, pair totals and filter slice of one bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        col = {name: table.column(name).to_pylist() for name in table.schema.names}
-        join = lambda name, kind: np.frombuffer(b"".join(col[name]), kind)
+        # one column at a time, so that no more than one is held as Python bytes
+        join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
         words, number = np.unique(join("words", "<u8"), return_inverse=True)
         count = np.bincount(number, join("counts", "<u4"), minlength=len(words)).astype(np.int64)
-        context = np.repeat(number, join("n_pairs", "<u4").astype(np.int64))
-        pair, at = np.unique(context.astype(U64) << U64(40) | _long(b"".join(col["pairs"])), return_inverse=True)
+        pair = np.repeat(number, join("n_pairs", "<u4").astype(np.int64)).astype(U64) << U64(40)
+        pair |= _long(join("pairs", "u1"))
+        pair, at = np.unique(pair, return_inverse=True)
         pair_count = np.bincount(at, join("pair_counts", "<u4"), minlength=len(pair))
+        del at
         context = (pair >> U64(40)).astype(np.int64)
         kinds = np.bincount(context, minlength=len(words))
         mass = np.bincount(context, LEVEL_COUNT[levels(pair_count)], minlength=len(words))
-        hpair, at = np.unique(join("heavy", "<u2").astype(U64) << U64(40) | _long(b"".join(col["heavy_pairs"])), return_inverse=True)
+        hpair, at = np.unique(join("heavy", "<u2").astype(U64) << U64(40) | _long(join("heavy_pairs", "u1")), return_inverse=True)
         hcount = np.bincount(at, join("heavy_counts", "<u4"), minlength=len(hpair))
         del at
-        for name in ("pairs", "pair_counts", "heavy", "heavy_pairs", "heavy_counts"):
-            del col[name]
         hnum = (hpair >> U64(40)).astype(np.int64)
         keys = np.concatenate([pair_keys(words[context], pair & LOW), pair_keys(heavy[hnum], hpair & LOW)])
         blob = build_slice(keys, np.concatenate([pair_count, hcount]))
-        bucket = col["bucket"][0]
+        del keys
+        bucket = table.column("bucket")[0].as_py()
         answer = np.empty(len(number), [("c", "<i8"), ("t", "<f4"), ("m", "<f4")])
         answer["c"], answer["t"], answer["m"] = count[number], kinds[number], mass[number]
         rows = [("slice", None, bucket, blob, float(len(blob)), 0.0), ("total", None, bucket, None, float(count.sum()), float((count > 0).sum()))]
         n = 0
-        for block, w in zip(col["block"], col["words"]):
-            m = len(w) // 8
+        for block, m in zip(table.column("block").to_pylist(), pc.binary_length(table.column("words")).to_pylist()):
+            m //= 8
             rows.append(("answer", block, bucket, answer[n : n + m].tobytes(), 0.0, 0.0))
             n += m
         t = np.bincount(hnum, minlength=len(heavy))
@@ -336,7 +338,7 @@ def score_documents(docs: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFr
     spark = docs.sparkSession
     heavy = common_words(docs, docs.count())
     blocks, n = with_blocks(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("doc_id"), "text"), block_bytes=BLOCK_BYTES)
-    n_buckets = max(8, n // 2)
+    n_buckets = max(8, n)
     sent = blocks.groupBy("block").applyInArrow(_send(n_buckets, heavy), SENT)
     owned = scratch(spark, sent.groupBy("bucket").applyInArrow(_own(heavy), OWNED), "lm-counts")
     total = owned.filter("kind = 'total'").agg(F.sum("a"), F.sum("b")).first()
