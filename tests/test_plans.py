@@ -79,3 +79,12 @@ def test_no_sort_aggregate_or_percentile_buffer_over_raw_rows(spark, name):
             if any(n in x for n in ("HashAggregate", "Join", "Scan")):  # counted rows, or the ties of a join
                 break
         assert "Scan" not in below[-1] or not any(r in below[-1] for r in RAW), (name, below[-1])
+
+
+def test_fault_attempts_meet_records_by_equi_join(spark):
+    from latencylab.plans.catalog import queries
+
+    df = queries()["fault_attempt_sections"](spark, SF_SMALL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -96,3 +96,23 @@ def test_percentiles_equal_the_built_in_ones(spark):
     )
     as_rows = lambda d: sorted((r.k, round(r.m, 9), round(r.p, 9), r.d, r.z) for r in d.collect())
     assert as_rows(got) == as_rows(want)
+
+
+def test_blocks_are_numbered_by_the_cuts_at_or_before_a_row(spark):
+    df = spark.range(20_000).select(F.lit("k").alias("k"), (F.col("id") * 7 % 20_000).alias("o"))
+    got = with_blocks(df, ["k"], ["o"], 100).collect()
+    rows = sorted((r.o, r._blk) for r in got)
+    numbers = [b for _, b in rows]
+    assert numbers == sorted(numbers) and numbers[0] == 0 and set(numbers) == set(range(numbers[-1] + 1)) and 100 < numbers[-1] < 400
+
+
+def test_value_statistics_in_one_pass(spark):
+    from latencylab.operators.scan import value_statistics
+
+    df = _data(spark)
+    got = value_statistics(df, ["k"], "v", {"m": ("cont", 0.5)}, {"n": "count", "a": "avg", "s": "stddev", "x": "max"}, {"first": (F.min, "o")}, target_rows=40)
+    want = df.where("v is not null").groupBy("k").agg(
+        F.expr("percentile_cont(0.5) within group (order by v)").alias("m"), F.count("v").alias("n"), F.avg("v").alias("a"), F.stddev_samp("v").alias("s"),
+        F.max("v").alias("x"), F.min("o").alias("first"))
+    near = lambda d: sorted(tuple(round(v, 8) if isinstance(v, float) else v for v in r) for r in d.select("k", "m", "n", "a", "s", "x", "first").collect())
+    assert near(got) == near(want)
