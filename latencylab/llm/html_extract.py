@@ -8,9 +8,9 @@ all pages is no large group. Classes that nearly all of the host's pages have ne
 in the slot that a tag of its parent class opens. On a page, a class is valid if its tokens come in the template's order and
 its parent is valid. Texts between the tags are in slots, named by the containers around them. A slot's text is main
 text unless it is in a menu, header, footer, sidebar, notice, advert, form, script, style or reader
-comments. On every page, texts that are themselves tokens of a valid class are template and dropped, as are slots that hold
-mostly links over all pages of the host; inside a line with other text only a text that each page has once is dropped, so
-a sentence keeps its common words between inline tags. Of the slots that remain, those in an article are the main text if there are any.
+comments, by its elements, roles and names. On every page, texts that are themselves tokens of a valid class are template and dropped, as are slots that hold
+mostly links over all pages of the host and are in no article; inside a line with other text only a text that each page has once is dropped, so
+a sentence keeps its common words between inline tags. Of the slots that remain, those in articles are the main text if they hold a fair share of it.
 
 Templates are bounded by a page's size (a token is on ``SUPPORT`` of the pages). Together they are broadcast
 where they are measured to be at most ``BROADCAST_TOKENS`` tokens, else joined to the pages by host.
@@ -34,6 +34,7 @@ from latencylab.llm.blocks import scratch
 SUPPORT = 0.8  # share of a host's distinct pages that have the tokens of a valid class
 MIN_PAGES = 10  # distinct pages a host needs before constant text counts as template
 BROADCAST_TOKENS = 500_000
+ARTICLE_SHARE = 0.25  # of the text that is left, from which on the articles are the main text
 
 # Elements of HTML by kind.
 BLOCKS = frozenset(
@@ -42,7 +43,7 @@ BLOCKS = frozenset(
     "th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math textarea select canvas object noframes".split())
+RAW = frozenset("script style noscript template iframe svg textarea select noframes".split())
 OUTSIDE = frozenset("head title nav footer aside form menu dialog button search datalist".split())
 CLOSED_BY = {  # an open element of the first kind ends where one of the second starts
     "p": BLOCKS - {"body", "html"},
@@ -55,13 +56,24 @@ CLOSED_BY = {  # an open element of the first kind ends where one of the second
     "option": frozenset(["option"]),
     "head": frozenset(["body"]),
 }
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner\w*|breadcrumb\w*|comment\w*|consent|cookie\w*|copyright|disclaimer|disqus|"
-    r"footer|footnav|header|masthead|menu\w*|modal|nav|navbar|navigation|newsletter|notice\w*|notification\w*|alert\w*|pager|pagination|paywall|popup|"
-    r"promo\w*|related\w*|replies|reply|share|sharing|side|sidebar\w*|sidenav|signup|skip|skyscraper|social\w*|sponsor\w*|subscribe\w*|toolbar|"
-    r"topbar|widget\w*|login|search\w*|form)(?=$|[\s_-])",
-    re.I,
+# Words of class names and ids: those of boilerplate, and those that only say where or how it is shown. A name is evidence of
+# boilerplate if it has one of the first kind and all its words are of these two kinds: "site-header" is, "entry-header" and "side-effects" are not.
+BOILERPLATE = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment comments consent cookie cookies copyright "
+    "disclaimer disqus footer footnav header masthead menu menus modal nav navbar navigation newsletter notice notices notification notifications alert "
+    "alerts pager pagination paywall popup promo promos promotion related replies reply share sharing shares side sidebar sidenav signup skip skyscraper "
+    "social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets login search form".split()
 )
+LAYOUT = frozenset(
+    "site page main top bottom left right global inner outer wrap wrapper container box block area section region list item items bar link links col column "
+    "row primary secondary slot unit title button buttons btn icon icons message overlay panel group holder posts articles stories content "
+    "respond thread policy gdpr mobile desktop sticky fixed large small media us this tools results field input".split()
+)
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+# Elements whose names are no evidence: headings and the parts of running text.
+PROSE = frozenset("html body main p h1 h2 h3 h4 h5 h6 hgroup blockquote pre figure figcaption td th em strong b i u q cite code sub sup mark math".split())
+# Names that speak of a page around its articles, not of what the articles are: an article inside is main text again.
+AROUND = BOILERPLATE - frozenset("ad ads adv advert adverts advertisement advertising adsense comment comments disqus replies reply related promo promos promotion sponsor sponsored sponsors".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar status note".split())
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -86,39 +98,105 @@ class Tag(NamedTuple):
     at: int
 
 
-def _kind(tag: str, attrs: str, in_article: bool) -> tuple[str, bool, bool]:
-    """Label of a container for paths, whether it is outside the main text, whether it is an article."""
+def _named(names: str, words: frozenset = BOILERPLATE) -> bool:
+    """Whether one of the names is evidence of boilerplate."""
+    for name in names.split():
+        parts = [w.lower() for w in WORD.findall(name)]
+        if any(w in words for w in parts) and all(w in BOILERPLATE or w in LAYOUT or w.isdigit() for w in parts):
+            return True
+    return False
+
+
+# What an element is to the main text: part of it, boilerplate by a name that articles inside overrule, or boilerplate.
+INSIDE, BY_NAME, OUT = 0, 1, 2
+
+
+def _kind(tag: str, attrs: str, in_article: bool) -> tuple[str, int, bool]:
+    """Label of a container for paths, what it is to the main text, whether it is an article."""
     got = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in ATTR.finditer(attrs)} if attrs else {}
     names = " ".join(entities.unescape(got[a]) for a in ("class", "id") if a in got)
     role = got.get("role", "").lower()
     hidden = "hidden" in got or got.get("aria-hidden", "").lower() == "true" or "display:none" in got.get("style", "").replace(" ", "").lower()
-    outside = hidden or tag in OUTSIDE or role in ROLES or (tag == "header" and not in_article)
-    if not outside and names and tag not in ("html", "body", "article", "main"):
-        outside = bool(BOILERPLATE.search(names))
-    elif not outside and names and tag == "article":
-        outside = bool(re.search(r"comment|reply|related|sponsor|promo|teaser|advert", names, re.I))
+    state = INSIDE
+    if hidden or tag in OUTSIDE or role in ROLES or (tag == "header" and not in_article):
+        state = OUT
+    elif names and tag == "article":
+        state = OUT if re.search(r"comment|reply|related|sponsor|promo|teaser|advert", names, re.I) else INSIDE
+    elif names and tag not in PROSE and _named(names):
+        state = BY_NAME if _named(names, AROUND) else OUT
     article = tag in ("article", "main") or role in ("main", "article")
     label = tag + "".join("." + x for x in names.split()) if tag not in ("html", "body") else tag
-    return label, outside, article
+    return label, state, article
+
+
+class _Open:
+    """The open elements: [tag, path, state, article, link] each, with the positions of those that searches look for, so
+    that a search does not walk through thousands of unclosed elements. A path is the hash of its containers."""
+
+    def __init__(self):
+        self.stack: list[list] = [["", "", INSIDE, False, False]]
+        self.of: dict[str, list[int]] = {}  # positions of each tag
+        self.solid: list[int] = []  # positions of block elements
+
+    def push(self, entry: list) -> None:
+        self.of.setdefault(entry[0], []).append(len(self.stack))
+        if entry[0] in BLOCKS or entry[0] in CLOSED_BY:
+            self.solid.append(len(self.stack))
+        self.stack.append(entry)
+
+    def cut(self, at: int) -> None:
+        for entry in reversed(self.stack[at:]):
+            self.of[entry[0]].pop()
+        while self.solid and self.solid[-1] >= at:
+            self.solid.pop()
+        del self.stack[at:]
+
+    def last(self, *tags: str) -> int:
+        return max((self.of[t][-1] for t in tags if self.of.get(t)), default=0)
+
+    def end(self, tag: str) -> None:
+        """An end tag closes up to its element; a stray inline end tag closes no container."""
+        at = self.last(tag)
+        if at and (tag in BLOCKS or at >= self.last("article", "main", "body", "table")):
+            self.cut(at)
+
+    def start(self, tag: str) -> None:
+        """A start tag ends the open elements that cannot hold it."""
+        if tag not in CLOSERS:
+            return
+        while self.solid:
+            i = self.solid[-1]
+            one = self.stack[i][0]
+            if one in CLOSED_BY and tag in CLOSED_BY[one]:
+                self.cut(i)
+            else:
+                return  # any other block holds it
+
+
+CLOSERS = frozenset().union(*CLOSED_BY.values())
 
 
 def parse(page: str) -> tuple[list[Tag], list[Node]]:
-    """Tag tokens and texts of a page, in page order. Unclosed and stray tags are tolerated."""
+    """Tag tokens and texts of a page, in page order. Unclosed and stray tags are tolerated; time and memory follow the
+    page's length, however deep it nests."""
     tags: list[Tag] = []
     nodes: list[Node] = []
-    stack: list[list] = [["", "", False, False, False]]  # tag, path, outside, article, link
+    opened = _Open()
+    stack = opened.stack
     block = 0
     at, n = 0, len(page)
 
     def text(a: int, b: int) -> None:
         s = page[a:b]
         if s and not s.isspace():
-            nodes.append(Node(stack[-1][1], block, entities.unescape(s), *stack[-1][2:], len(tags) + len(nodes)))
+            _, path, state, article, link = stack[-1]
+            nodes.append(Node(path, block, entities.unescape(s), state != INSIDE, article, link, len(tags) + len(nodes)))
         elif s and nodes and nodes[-1].block == block:
             blank()
 
     def blank() -> None:
-        nodes.append(Node(stack[-1][1], block, " ", *stack[-1][2:], len(tags) + len(nodes)))
+        _, path, state, article, link = stack[-1]
+        nodes.append(Node(path, block, " ", state != INSIDE, article, link, len(tags) + len(nodes)))
 
     def token(sign: str, opens: str | None = None) -> None:
         tags.append(Tag(stack[-1][1] + sign + tag, stack[-1][1], opens, len(tags) + len(nodes)))
@@ -145,20 +223,9 @@ def parse(page: str) -> tuple[list[Tag], list[Node]]:
             block += 1
         if close:
             token("</")
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] in ("article", "main", "body", "table") and tag not in BLOCKS:
-                    break  # a stray inline end tag closes no container
+            opened.end(tag)
             continue
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in CLOSED_BY and tag in CLOSED_BY[stack[i][0]]:
-                del stack[i:]
-                break
-            if stack[i][0] in BLOCKS and stack[i][0] != "p":
-                if stack[i][0] in ("ul", "ol", "dl", "table", "div", "section", "article", "body", "main") or tag not in CLOSED_BY:
-                    break
+        opened.start(tag)
         if tag in RAW:
             token("<")
             end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(page, at)
@@ -170,11 +237,13 @@ def parse(page: str) -> tuple[list[Tag], list[Node]]:
         if tag in VOID or (attrs or "").rstrip().endswith("/") and tag not in BLOCKS:
             token("<")
             continue
-        _, path, outside, article, link = stack[-1]
-        label, out, is_article = _kind(tag, attrs, article)
-        inner = path if tag not in BLOCKS or tag in ("p", "li") and not attrs else path + "/" + label
+        _, path, state, article, link = stack[-1]
+        label, own, is_article = _kind(tag, attrs, article)
+        inner = path if tag not in BLOCKS or tag in ("p", "li") and not attrs else xxhash.xxh3_64_hexdigest(path + "/" + label)
         token("<", inner if inner != path else None)
-        stack.append([tag, inner, outside or out, article or is_article, link or tag == "a"])
+        if is_article and state == BY_NAME:
+            state = INSIDE
+        opened.push([tag, inner, max(state, own), article or is_article, link or tag == "a"])
     return tags, nodes
 
 
@@ -315,9 +384,12 @@ def main_text(page: str, template: Template | None = None) -> str:
     inside = [x for x in nodes if not x.outside]
     if constant:
         inside = _without_template(inside, constant, template.once)
-    inside = [x for x in inside if template.links.get(_hash(x.path), 0.0) <= 0.5] if template.links else inside
-    if any(x.article and not x.text.isspace() for x in inside):
-        inside = [x for x in inside if x.article]
+    # links all over the host are a menu or a list of pages, but what an article lists is its own
+    inside = [x for x in inside if x.article or template.links.get(_hash(x.path), 0.0) <= 0.5] if template.links else inside
+    articles = [x for x in inside if x.article]
+    size = lambda some: sum(len(x.text) for x in some if not x.text.isspace())
+    if size(articles) >= ARTICLE_SHARE * size(inside) > 0:  # else they are teasers beside the main text
+        inside = articles
     blocks: dict[int, list[str]] = {}
     for x in inside:
         blocks.setdefault(x.block, []).append(x.text)
