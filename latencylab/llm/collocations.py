@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,12 +33,15 @@ MIN_WORDS = 2
 MAX_WORDS = 3
 COVERED = 50  # percent of a phrase's count that a longer candidate around it needs to drop it
 TOP = 2000
-SHARD_BYTES = 4 << 20
-HELD_BYTES = 16 << 20  # of texts held by a task over all languages
+SHARD_BYTES = 8 << 20
+HELD_BYTES = 24 << 20  # of texts held by a task over all languages
 BUCKET_BYTES = 8 << 20
-SENT_SHARE = 0.7  # bytes sent to buckets for a byte of text, about
+SENT_SHARE = 0.6  # bytes sent to buckets for a byte of text, about
 U64 = np.uint64
-SHORT = U64((1 << 40) - 1)
+# Bytes of a hash in a message. A bucket holds about as many keys at any size of the corpus, so the share of keys that collide
+# (and are let through to the exact count) does not grow with it.
+SHORT_BYTES = 4
+SHORT = U64((1 << 8 * SHORT_BYTES) - 1)
 
 # The bytes that end a piece, and those that stand between words of a piece.
 PIECE_END = np.zeros(256, bool)
@@ -228,12 +232,13 @@ def write_shards(docs: DataFrame, max_words: int, shard_bytes: int, min_count: i
 
     def rows(number: int, lang: str, texts: list, weight: int):
         seq, hashes, names, n = word_sequence(pa.array(texts, pa.large_string()))
+        pack = zstandard.ZstdCompressor(level=1)
         for part in range(max(-(-len(seq) // PART_TOKENS), -(-len(hashes) // PART_WORDS))):
             cut = lambda values, size: values[part * size : (part + 1) * size]  # noqa: E731, B023
-            yield _batch(1, number, lang, kind=["text"], weight=[weight], n_words=[n if part == 0 else 0], part=[part], seq=[cut(seq, PART_TOKENS).tobytes()],
+            yield _batch(1, number, lang, kind=["text"], weight=[weight], n_words=[n if part == 0 else 0], part=[part], seq=[pack.compress(cut(seq, PART_TOKENS).tobytes())],
                          hashes=[cut(hashes, PART_WORDS).astype("<u8").tobytes()], names=[cut(names, PART_WORDS)])
         sent = Sent(Shard(seq, len(hashes) + 1, 2), lang, hashes, n_buckets)
-        short = np.ascontiguousarray(sent.key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+        short = sent.key.astype("<u4")
         capped = (np.minimum(sent.counts(), min_count) if weight > 0 else np.zeros(len(sent.key))).astype(counted)
         for i in range(0, len(sent.parts), 32):
             some = sent.parts[i : i + 32]
@@ -272,13 +277,11 @@ def _answer(min_count: int):
 
     def run(table: pa.Table) -> pa.Table:
         blobs = table.column("pairs").to_pylist()
-        raw = np.zeros((sum(map(len, blobs)) // 5, 8), np.uint8)
-        raw[:, :5] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 5)
         counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u4" if min_count > 255 else "u1")
-        _, number = np.unique(raw.view("<u8").ravel(), return_inverse=True)
+        _, number = np.unique(np.frombuffer(b"".join(blobs), "<u4"), return_inverse=True)
         often = (np.bincount(number, counts) >= min_count)[number] if len(number) else np.zeros(0, bool)
-        ends = np.cumsum([len(b) // 5 for b in blobs])
-        bits = [np.packbits(often[e - len(b) // 5 : e]).tobytes() for b, e in zip(blobs, ends)]
+        ends = np.cumsum([len(b) // SHORT_BYTES for b in blobs])
+        bits = [np.packbits(often[e - len(b) // SHORT_BYTES : e]).tobytes() for b, e in zip(blobs, ends)]
         return pa.table({"shard": table.column("shard"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
     return run
@@ -291,8 +294,9 @@ def _count(n_buckets: int, max_words: int):
         table = table.sort_by("part")
         join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
         lang, weight, hashes = table.column("lang")[0].as_py(), table.column("weight")[0].as_py(), join("hashes", "<u8")
+        seq = np.frombuffer(b"".join(zstandard.decompress(x) for x in table.column("seq").to_pylist()), "<i4")
         names = pa.concat_arrays([c.flatten() for c in table.column("names").chunks])
-        shard = Shard(join("seq", "<i4"), len(hashes) + 1, max_words)
+        shard = Shard(seq, len(hashes) + 1, max_words)
         bits = dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist()))
         phrases, words = Sent(shard, lang, hashes, n_buckets).answered(bits)
         known = np.sort(phrases.words[:, 0] * shard.size + phrases.words[:, 1])
@@ -306,10 +310,9 @@ def _count(n_buckets: int, max_words: int):
             phrases = shard.to_right(phrases, frequent)
             levels.append(phrases)
         joined = [pc.binary_join_element_wise(*[names.take(pa.array(x.words[:, j] - 1)) for j in range(x.words.shape[1])], " ") for x in levels]
-        text = pa.concat_arrays(joined)
-        size = np.concatenate([np.full(len(x.count), x.words.shape[1], np.int32) for x in levels])
-        count = np.concatenate([x.count for x in levels]) * weight
-        return pa.table({"lang": pa.array([lang] * len(text), pa.string()), "phrase": text, "size": pa.array(size), "count": pa.array(count, pa.int64())})
+        # one string for language and phrase (which has no line break) makes the rows to be summed small
+        keys = pc.binary_join_element_wise(pa.concat_arrays(joined), pa.scalar(lang), "\n")
+        return pa.table({"key": keys, "count": pa.array(np.concatenate([x.count for x in levels]) * weight, pa.int64())})
 
     return run
 
@@ -325,8 +328,10 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
     sent = table.filter("kind = 'sent'").select("bucket", "shard", "pairs", "counts")
     answers = sent.groupBy("bucket").applyInArrow(_answer(min_count), "shard long, bucket long, bits binary")
     shards = table.filter("kind = 'text'").select("shard", "lang", "weight", "part", "seq", "hashes", "names")
-    found = shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_count(n_buckets, max_words), "lang string, phrase string, size int, count long")
-    counts = found.groupBy("lang", "phrase", "size").agg(F.sum("count").alias("count")).filter(F.col("count") >= min_count)
+    found = shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_count(n_buckets, max_words), "key string, count long")
+    counts = found.groupBy("key").agg(F.sum("count").alias("count")).filter(F.col("count") >= min_count)
+    counts = counts.withColumn("phrase", F.substring_index("key", "\n", 1)).select(
+        F.expr("substring(key, length(phrase) + 2)").alias("lang"), "phrase", F.size(F.split("phrase", " ")).alias("size"), "count")
     n = table.filter("kind = 'text'").groupBy("lang").agg(F.sum(F.col("n_words") * F.col("weight")).alias("n"))
     return scratch(spark, counts, "collocation-counts"), n
 
